@@ -8,14 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bfd_packing import op1_bfd_packing
 from .bpe_fst import op10_bpe_fst
+from .chat_events import op4_chat_events
+from .license_scan import op3_license_scan
+from .line_quality import OP7_SQL, op7_line_quality
 from .ogg_media import op2_ogg_media
 from .pow2_packing import op5_pow2_packing
+from .simhash_gph import op9_simhash_gph
+from .substring_dedup import op6_substring_dedup
+from .tier_compaction import OP8_SQL, op8_tier_compaction
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bfd_packing, op2_ogg_media, op5_pow2_packing, op10_bpe_fst]
+    found = [op1_bfd_packing, op2_ogg_media, op3_license_scan, op4_chat_events, op5_pow2_packing, op6_substring_dedup, op7_line_quality, op8_tier_compaction, op9_simhash_gph, op10_bpe_fst]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_line_quality": OP7_SQL, "op8_tier_compaction": OP8_SQL}
