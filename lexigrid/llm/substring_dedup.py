@@ -74,7 +74,8 @@ def hashed(text: str | None, window: int, buckets: int) -> tuple[list[bytes], np
 
 
 DEALT = "bucket int, local boolean, docs binary, marks binary, sizes binary, data binary"
-ANSWER = "k long, th long, bucket int, bits binary"
+PACKED = "part int, bucket int, docs binary, marks binary, sizes binary, data binary"
+ANSWER = "k long, th long, answers array<struct<bucket: int, bits: binary>>"
 
 
 def _deal(window: int, buckets: int, block: int):
@@ -134,9 +135,10 @@ def _deal(window: int, buckets: int, block: int):
     return run
 
 
-def _count():
-    """For each document of a bucket, a bit for each of its hashes: whether a smaller document has it too."""
-    arrow = arrow_schema(ANSWER)
+def _count(parts: int):
+    """For each document of a bucket, a bit for each of its hashes: whether a smaller document has it too. The answers of a bucket are
+    packed by the part of the documents that they belong to, so that rows don't grow as documents times buckets."""
+    arrow = arrow_schema(PACKED)
 
     def run(group: pa.Table) -> pa.Table:
         out: list[tuple[int, int, int, bytes]] = []
@@ -166,7 +168,28 @@ def _count():
             edges = np.concatenate(([0], np.cumsum(sizes)))
             for k in np.flatnonzero(np.add.reduceat(repeats, edges[:-1])).tolist():
                 out.append((int(keys[k]), int(marks[k]), bucket, np.packbits(repeats[edges[k] : edges[k + 1]]).tobytes()))
-        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, arrow, strict=True)], schema=arrow)
+        packed: dict[tuple[int, int], list[tuple[int, int, bytes]]] = {}
+        for key, mark, bucket, bits in out:
+            packed.setdefault(((key * 31 + mark) % parts, bucket), []).append((key, mark, bits))
+        made = [(part, bucket, np.array([x[0] for x in xs], np.int64).tobytes(), np.array([x[1] for x in xs], np.int64).tobytes(), np.array([len(x[2]) for x in xs], np.uint32).tobytes(), b"".join(x[2] for x in xs)) for (part, bucket), xs in packed.items()]
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made, strict=True) if made else [[]] * 6, arrow, strict=True)], schema=arrow)
+
+    return run
+
+
+def _gather():
+    """One row a document, with its answers from all buckets."""
+    arrow = arrow_schema(ANSWER)
+
+    def run(group: pa.Table) -> pa.Table:
+        found: dict[tuple[int, int], list[dict]] = {}
+        for bucket, docs, marks, sizes, data in zip(*(group.column(c).to_pylist() for c in ("bucket", "docs", "marks", "sizes", "data")), strict=True):
+            at = 0
+            for key, mark, n in zip(np.frombuffer(docs, np.int64).tolist(), np.frombuffer(marks, np.int64).tolist(), np.frombuffer(sizes, np.uint32).tolist(), strict=True):
+                found.setdefault((key, mark), []).append({"bucket": bucket, "bits": data[at : at + n]})
+                at += n
+        cols = [[k[0] for k in found], [k[1] for k in found], list(found.values())]
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
 
     return run
 
@@ -233,7 +256,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("__text"), F.struct(*plain).alias("__row"))
     buckets = rounds_of(plan_bytes(docs), bucket_bytes)
     dealt = rows.select("k", "th", "__text").mapInArrow(_deal(window, buckets, block), DEALT)
-    answers = dealt.groupBy("bucket").applyInArrow(_count(), ANSWER).groupBy("k", "th").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
+    answers = dealt.groupBy("bucket").applyInArrow(_count(buckets), PACKED).groupBy("part").applyInArrow(_gather(), ANSWER)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     met = rows.join(answers.hint("shuffle_hash"), ["k", "th"], "left").select("__text", "answers", *(F.col("__row")[c].alias(c) for c in plain))
     schema = f"{kinds}, {OUT}" + ", kept_text string" * keep
