@@ -208,7 +208,11 @@ def trained(rounds: int = 400, rate: float = 0.5, shrink: float = 2e-3) -> Model
 
 
 def _gram_column(words: Column) -> Column:
-    """The distinct n-grams of an array of words."""
+    """The distinct n-grams of an array of words, which is computed once."""
+    return _let(words, _grams_of)
+
+
+def _grams_of(words: Column) -> Column:
     common = F.array(*(F.lit(w) for w in sorted(COMMON)))
 
     def of(n: int) -> Column:
