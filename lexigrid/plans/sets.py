@@ -1 +1,130 @@
-"""Queries."""
+"""H: sorts, limits, set operations and change tests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators.applicability import transitions
+from ..operators.changes import boundary_sets, negative_violations, pending_gaps
+from ..registry import both, query, table
+from .aggregates import found
+from .inputs import FACTS_SQL, RULES_SQL, addresses, rules
+from .rule_sql import pair_ctes
+
+BEFORE, AFTER = "2026-06-30", "2027-06-30"
+
+
+@query("h1_rule_order", f"SELECT rule_id, row_number() OVER (ORDER BY level <> 'state', category, jurisdiction, rule_id) AS place FROM ({RULES_SQL})")
+def h1(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.orderBy(F.col("level") != "state", "category", "jurisdiction", "rule_id")
+    return rules(spark).select("rule_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("h2_natural_order", "SELECT s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY try_cast(regexp_replace(s_name, '[^0-9]', '', 'g') AS BIGINT), s_name) AS place FROM supplier")
+def h2(spark: SparkSession, sf: str) -> DataFrame:
+    digits = F.expr("try_cast(regexp_replace(s_name, '[^0-9]', '') AS BIGINT)")
+    return table(spark, sf, "supplier").select("s_name", F.row_number().over(Window.partitionBy("s_nationkey").orderBy(digits, "s_name")).cast("long").alias("place"))
+
+
+@query("h3_top_k_and_more", "SELECT o_custkey, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY r) FILTER (r <= 4) AS top, greatest(count(*) - 4, 0) AS more FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) GROUP BY 1")
+def h3(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    r = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("r"))
+    first = F.array_sort(F.collect_list(F.when(F.col("r") <= 4, F.struct("r", "o_orderkey"))))
+    return r.groupBy("o_custkey").agg(F.array_join(F.transform(first, lambda x: x["o_orderkey"].cast("string")), ",").alias("top"), F.greatest(F.count("*") - 4, F.lit(0)).alias("more"))
+
+
+both("h4_first_match", "SELECT p_partkey, CASE WHEN p_size > 40 THEN 'large' WHEN p_retailprice > 1500 THEN 'dear' WHEN p_type LIKE 'E%' THEN 'economy' ELSE 'other' END AS class FROM part")
+both(
+    "h5_set_operations",
+    "SELECT k, 'both' AS part FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' INTERSECT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') a UNION ALL SELECT k, 'only_f' FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') b "
+    "UNION ALL SELECT k, 'any' FROM (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') c",
+)
+
+
+@query("h6_boundary_sets", f"WITH facts AS ({FACTS_SQL}), m AS (SELECT DISTINCT jurisdiction FROM ({RULES_SQL}) WHERE level = 'city') SELECT m.jurisdiction, count(address_id) AS addresses, 0::BIGINT AS shared FROM m LEFT JOIN facts ON local_jurisdiction = m.jurisdiction GROUP BY 1")
+def h6(spark: SparkSession, sf: str) -> DataFrame:
+    return boundary_sets(rules(spark).where("level = 'city'"), addresses(spark, sf))
+
+
+PENDING = "(SELECT rule_id FROM rules WHERE status = 'pending')"
+
+
+@query(
+    "h7_pending_gaps",
+    f"WITH {pair_ctes()} SELECT a.address_id, coalesce(string_agg(r.rule_id, ',' ORDER BY r.rule_id), '') AS missing FROM (SELECT DISTINCT address_id FROM outcome) a CROSS JOIN {PENDING} r LEFT JOIN outcome o ON o.address_id = a.address_id AND o.rule_id = r.rule_id AND o.result = 'pending' WHERE o.rule_id IS NULL GROUP BY 1",
+)
+def h7(spark: SparkSession, sf: str) -> DataFrame:
+    ids = [r for r, in rules(spark).where("status = 'pending'").select("rule_id").collect()]
+    return pending_gaps(found(spark, sf), ids)
+
+
+@query("h8_negative_test", f"WITH {pair_ctes()} SELECT o.address_id, o.rule_id FROM outcome o JOIN rules r USING (rule_id) WHERE o.result IS NOT NULL AND r.category = 'rent' AND (r.jurisdiction LIKE '%A' OR r.jurisdiction LIKE '%EUROPE')")
+def h8(spark: SparkSession, sf: str) -> DataFrame:
+    return negative_violations(found(spark, sf), rules(spark), "rent", ["A", "EUROPE"])
+
+
+CHANGE = (
+    "SELECT address_id, rule_id, b.result AS before, a.result AS after, coalesce(a.result = 'applies', false) AS affected FROM ({b}) b JOIN ({a}) a USING (address_id, rule_id) WHERE b.result IS DISTINCT FROM a.result"
+)
+
+
+def change_sql() -> str:
+    return CHANGE.format(b=f"WITH {pair_ctes(BEFORE)} SELECT * FROM outcome", a=f"WITH {pair_ctes(AFTER)} SELECT * FROM outcome")
+
+
+@query("g12_as_of_transition", change_sql())
+def g12(spark: SparkSession, sf: str) -> DataFrame:
+    return transitions(rules(spark), addresses(spark, sf), BEFORE, AFTER)
+
+
+@query("h9_change_tests", f"WITH c AS ({change_sql()}) SELECT 'as_of' AS test, count(DISTINCT address_id) FILTER (affected) AS affected FROM c UNION ALL SELECT 'pending', count(DISTINCT address_id) FROM (WITH {pair_ctes()} SELECT * FROM outcome WHERE result = 'pending')")
+def h9(spark: SparkSession, sf: str) -> DataFrame:
+    a = g12(spark, sf).where("affected").agg(F.lit("as_of").alias("test"), F.count_distinct("address_id").alias("affected"))
+    b = found(spark, sf).where("result = 'pending'").agg(F.lit("pending").alias("test"), F.count_distinct("address_id").alias("affected"))
+    return a.unionByName(b)
+
+
+@query("h10_ordered_distinct", "SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY 1, 2) GROUP BY 1")
+def h10(spark: SparkSession, sf: str) -> DataFrame:
+    f = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("f"))
+    return f.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "event_type"))), lambda x: x["event_type"]), ",").alias("kinds"))
+
+
+@query("h11_merge_chunks", "SELECT conv_id, string_agg('c' || lpad(CAST(turn // 2 + 1 AS VARCHAR), 2, '0') || '.' || turn, ',' ORDER BY turn) AS ids, min_by(role, turn) AS document FROM conversations GROUP BY 1")
+def h11(spark: SparkSession, sf: str) -> DataFrame:
+    tag = F.concat(F.lit("c"), F.lpad((F.floor(F.col("turn") / 2) + 1).cast("string"), 2, "0"), F.lit("."), F.col("turn").cast("string"))
+    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", tag.alias("id")))).alias("l"), F.min_by("role", "turn").alias("document"))
+    return g.select("conv_id", F.array_join(F.transform("l", lambda x: x["id"]), ",").alias("ids"), "document")
+
+
+@query(
+    "h12_document_status",
+    "WITH r AS (SELECT doc_id, 'short' AS reason FROM documents WHERE n_chars < 200 UNION ALL SELECT doc_id, 'foreign' FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1) SELECT d.doc_id, coalesce(string_agg(reason, ',' ORDER BY reason), '') AS reasons, CASE WHEN count(reason) = 0 THEN 'complete' ELSE 'review_required' END AS status FROM documents d LEFT JOIN r USING (doc_id) GROUP BY 1",
+)
+def h12(spark: SparkSession, sf: str) -> DataFrame:
+    d, lab = table(spark, sf, "documents").select("doc_id", "n_chars", "lang"), table(spark, sf, "labels")
+    gaps = d.where("n_chars < 200").select("doc_id", F.lit("short").alias("reason")).unionByName(d.where("lang <> 'en'").select("doc_id", F.lit("foreign").alias("reason"))).unionByName(lab.where("toxic = 1").select("doc_id", F.lit("toxic").alias("reason")))
+    g = gaps.groupBy("doc_id").agg(F.array_sort(F.collect_list("reason")).alias("l"))
+    return d.select("doc_id").join(g, "doc_id", "left").select("doc_id", F.coalesce(F.array_join("l", ","), F.lit("")).alias("reasons"), F.when(F.col("l").isNull(), "complete").otherwise("review_required").alias("status"))
+
+
+@query(
+    "h13_smallest_container",
+    "WITH g AS (SELECT p_type, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS k, p_name FROM part), x AS (SELECT p_type, k, array_to_string(string_split(p_name, ' ')[1:k], ' ') AS prefix, count(*) AS members FROM g GROUP BY 1, 2, 3), t AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1) "
+    "SELECT p_type, max(k) FILTER (members * 2 >= n) AS depth FROM t LEFT JOIN x USING (p_type) GROUP BY 1",
+)
+def h13(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select("p_type", F.split("p_name", " ").alias("w"))
+    prefixes = p.select("p_type", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k")).select("p_type", F.col("k").cast("long").alias("k"), F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("prefix"))
+    x = prefixes.groupBy("p_type", "k", "prefix").agg(F.count("*").alias("members"))
+    t = p.groupBy("p_type").agg(F.count("*").alias("n"))
+    return t.join(x, "p_type", "left").groupBy("p_type").agg(F.max(F.when(F.col("members") * 2 >= F.col("n"), F.col("k"))).alias("depth"))
+
+
+both(
+    "h14_duplicate_audit",
+    "SELECT kind, count(*) AS clusters, sum(n) AS members FROM (SELECT 'same_text' AS kind, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1 UNION ALL SELECT 'same_conversation_turn', count(*) FROM conversations GROUP BY text HAVING count(*) > 1 UNION ALL SELECT 'same_price', count(*) FROM part GROUP BY p_retailprice HAVING count(*) > 1 "
+    "UNION ALL SELECT 'same_customer_day', count(*) FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE) HAVING count(*) > 1) x GROUP BY kind",
+)

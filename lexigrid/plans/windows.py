@@ -1 +1,110 @@
-"""Queries."""
+"""G: ordered operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..operators import ordered as O
+from ..registry import both, on_tables, query, table
+
+both("g1_neighbours", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations")
+both(
+    "g2_next_start_regions",
+    "SELECT doc, s AS region_start, least(coalesce(lead(s) OVER (PARTITION BY doc ORDER BY s), 400), s + 50) AS region_end FROM (SELECT DISTINCT l_orderkey AS doc, l_partkey % 300 AS s FROM lineitem) x",
+)
+
+
+@query("g3_first_wins", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def g3(spark: SparkSession, sf: str) -> DataFrame:
+    """An aggregate rather than a window: partial minima are combined before the shuffle."""
+    return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+
+
+LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents"
+
+
+@query("g4_line_offsets", f"SELECT doc_id, n, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS starts FROM ({LINES})")
+def g4(spark: SparkSession, sf: str) -> DataFrame:
+    return O.line_offsets(table(spark, sf, "documents")).select("doc_id", "n", "starts")
+
+
+@query(
+    "g5_repeated_line_islands",
+    f"WITH l AS ({LINES}), k AS (SELECT doc_id, n, count(*) OVER (PARTITION BY doc_id, line) >= 3 AND line <> '' AS again FROM l), g AS (SELECT *, n - row_number() OVER (PARTITION BY doc_id, again ORDER BY n) AS island FROM k) "
+    "SELECT doc_id, min(n) AS first_line, max(n) AS last_line FROM g WHERE again GROUP BY doc_id, island",
+)
+def g5(spark: SparkSession, sf: str) -> DataFrame:
+    lines = O.line_offsets(table(spark, sf, "documents"))
+    return O.repeated_islands(lines, 3)
+
+
+@query("g5_page_furniture")
+def g5_furniture(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of page furniture in texts to which a header with a counter is added every 12 lines."""
+    lines = O.line_offsets(table(spark, sf, "documents"))
+    page = F.when((F.col("n") - 1) % 12 == 0, F.concat(F.lit("Official Code of the State\nPage "), (F.col("n") - 1) / 12 + 1, F.lit("\n"), F.col("line"))).otherwise(F.col("line"))
+    texts = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", page.alias("line")))).alias("l")).select("doc_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    return O.page_furniture(texts)
+
+
+SPANS = "SELECT DISTINCT l_orderkey AS doc, CAST(l_linenumber * 40 AS INT) AS s, CAST(l_linenumber * 40 + l_quantity % 30 + 1 AS INT) AS e FROM lineitem"
+
+
+@query(
+    "g6_complement_segments",
+    f"WITH x AS (SELECT doc, s, max(e) AS e FROM ({SPANS}) GROUP BY doc, s), a AS (SELECT doc, e AS s, lead(s) OVER (PARTITION BY doc ORDER BY s) AS e FROM x UNION ALL SELECT doc, 0, min(s) FROM x GROUP BY doc), b AS (SELECT doc, s, coalesce(e, 1000) AS e FROM a) "
+    "SELECT doc, s, e, row_number() OVER (PARTITION BY doc ORDER BY s) AS segment FROM b WHERE s < e",
+)
+def g6(spark: SparkSession, sf: str) -> DataFrame:
+    x = on_tables(spark, sf, SPANS).groupBy("doc", "s").agg(F.max("e").alias("e"))
+    return O.complement(x, 1000)
+
+
+@query("g7_budget_gate", "SELECT user_id, event_id, coalesce(sum(abs(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 500 AS started FROM events")
+def g7(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("user_id", "event_id", F.abs("value").alias("cost"))
+    return O.budget_gate(e, "user_id", "event_id", "cost", 500.0).select("user_id", "event_id", "started")
+
+
+@query("g8_chunk_plan")
+def g8(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of 500 to 1,000 characters at the best line boundary, else a hard cut; they tile each text."""
+    return O.plan_chunks(table(spark, sf, "documents"), 1000, 500)
+
+
+@query(
+    "g9_label_runs",
+    "WITH x AS (SELECT DISTINCT l_orderkey AS doc, chr(CAST(97 + l_partkey % 9 AS INT)) AS label FROM lineitem), g AS (SELECT doc, label, ascii(label) - row_number() OVER (PARTITION BY doc ORDER BY label) AS island FROM x), r AS (SELECT doc, island, min(label) AS first_label, max(label) AS last_label, count(*) AS n FROM g GROUP BY 1, 2) "
+    "SELECT doc, first_label, last_label, n FROM (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY n DESC, first_label) AS k FROM r) WHERE k = 1 AND n >= 2",
+)
+def g9(spark: SparkSession, sf: str) -> DataFrame:
+    x = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.char((97 + F.col("l_partkey") % 9).cast("int")).alias("label")).distinct()
+    w = Window.partitionBy("doc").orderBy("label")
+    g = x.withColumn("island", F.ascii("label") - F.row_number().over(w)).groupBy("doc", "island").agg(F.min("label").alias("first_label"), F.max("label").alias("last_label"), F.count("*").alias("n"))
+    best = g.groupBy("doc").agg(F.max_by(F.struct("first_label", "last_label", "n"), F.struct("n", (-F.ascii("first_label")).alias("k"))).alias("b"))
+    return best.select("doc", "b.*").where("n >= 2")
+
+
+ATTEMPTS = "SELECT o_custkey AS id, o_orderkey AS ord, o_orderstatus = 'F' AS usable, o_orderpriority AS kind FROM orders"
+
+
+@query(
+    "g10_failed_predecessors",
+    f"WITH a AS ({ATTEMPTS}), u AS (SELECT id, min(ord) FILTER (usable) AS used FROM a GROUP BY id) SELECT u.id, u.used, count(a.ord) AS failed_before, coalesce(string_agg(DISTINCT a.kind, ',' ORDER BY a.kind), '') AS kinds FROM u LEFT JOIN a ON a.id = u.id AND (u.used IS NULL OR a.ord < u.used) GROUP BY 1, 2",
+)
+def g10(spark: SparkSession, sf: str) -> DataFrame:
+    return O.failed_before(on_tables(spark, sf, ATTEMPTS))
+
+
+@query("g11_cascading_attempts", f"WITH a AS ({ATTEMPTS}) SELECT id, ord, kind FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS r FROM a WHERE usable) WHERE r = 1")
+def g11(spark: SparkSession, sf: str) -> DataFrame:
+    a = on_tables(spark, sf, ATTEMPTS).where("usable")
+    return a.groupBy("id").agg(F.min_by(F.struct("ord", "kind"), "ord").alias("b")).select("id", "b.*")
+
+
+@query("g13_tiling", f"WITH x AS (SELECT doc, s, max(e) AS e FROM ({SPANS}) GROUP BY doc, s) SELECT doc, count(*) FILTER (nxt IS NOT NULL AND nxt <> e) AS breaks FROM (SELECT doc, e, lead(s) OVER (PARTITION BY doc ORDER BY s) AS nxt FROM x) GROUP BY doc")
+def g13(spark: SparkSession, sf: str) -> DataFrame:
+    x = on_tables(spark, sf, SPANS).groupBy("doc", "s").agg(F.max("e").alias("e"))
+    nxt = F.lead("s").over(Window.partitionBy("doc").orderBy("s"))
+    return x.select("doc", "e", nxt.alias("nxt")).groupBy("doc").agg(F.count_if(F.col("nxt") != F.col("e")).alias("breaks"))
