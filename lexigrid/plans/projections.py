@@ -1 +1,220 @@
-"""Queries."""
+"""C: projections, filters and predicates."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import boundaries as B
+from ..functions import dates as D
+from ..functions import places as P
+from ..operators import validation as V
+from ..registry import both, on_tables, query, table
+from .inputs import AS_OF, RULES_SQL, rules
+from .rule_sql import BOUNDS
+
+CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN 'ST' || c_nationkey END AS jurisdiction, CASE WHEN c_custkey % 5 = 0 THEN 'x' END AS confidence FROM customer"
+
+
+@query("c1_trusted_fields", f"SELECT c_custkey, c_name, concat_ws('; ', CASE WHEN jurisdiction IS NOT NULL THEN 'trusted field jurisdiction ignored: ' || jurisdiction END, CASE WHEN confidence IS NOT NULL THEN 'ignored confidence' END) AS warnings FROM ({CUSTOMERS})")
+def c1(spark: SparkSession, sf: str) -> DataFrame:
+    rows = on_tables(spark, sf, CUSTOMERS).select("c_custkey", "c_name", "jurisdiction", "confidence")
+    return V.split_trusted(rows, ["jurisdiction"], ["confidence"])
+
+
+NAMES = "SELECT n_nationkey AS k, CASE WHEN n_nationkey % 2 = 0 THEN upper(substr(n_name, 1, 2)) ELSE n_name || ', ' || upper(substr(n_name, 1, 2)) END AS j FROM nation"
+
+
+@query("c2_level", f"SELECT k, CASE WHEN regexp_full_match(j, '[A-Z]{{2}}') THEN 'state' ELSE 'city' END AS level FROM ({NAMES})")
+def c2(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, NAMES).select("k", P.level_for(F.col("j")).alias("level"))
+
+
+@query("c3_state_of", f"SELECT k, trim(string_split(j, ',')[-1]) AS state FROM ({NAMES})")
+def c3(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, NAMES).select("k", P.state_of(F.col("j")).alias("state"))
+
+
+ZIPS = "SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'CA' WHEN 1 THEN 'NJ' WHEN 2 THEN 'MA' ELSE 'TX' END AS state, CASE WHEN c_custkey % 9 = 0 THEN '' ELSE lpad(CAST(c_custkey * 641 % 100000 AS VARCHAR(9)), 5, '0') END AS zip FROM customer"
+
+
+@query(
+    "c4_zip_outside_state",
+    "SELECT k, CASE WHEN zip = '' OR state = 'TX' THEN NULL ELSE NOT (substr(zip, 1, 3) BETWEEN CASE state WHEN 'CA' THEN '900' WHEN 'NJ' THEN '070' ELSE '010' END AND CASE state WHEN 'CA' THEN '961' WHEN 'NJ' THEN '089' ELSE '027' END) END AS outside FROM (" + ZIPS + ")",
+)
+def c4(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, ZIPS).select("k", P.zip_outside_state(F.col("state"), F.col("zip")).alias("outside"))
+
+
+NAME = "^(?:([A-Za-z .''-]+), )?([A-Z]{2})$"
+
+
+@query("c5_name_grammar", f"SELECT k, regexp_extract(j, '{NAME}', 1) AS place, regexp_extract(j, '{NAME}', 2) AS state FROM ({NAMES})")
+def c5(spark: SparkSession, sf: str) -> DataFrame:
+    p = NAME.replace("''", "'")
+    return on_tables(spark, sf, NAMES).select("k", F.regexp_extract("j", p, 1).alias("place"), F.regexp_extract("j", p, 2).alias("state"))
+
+
+@query(
+    "c6_schema_validation",
+    "SELECT p_partkey, concat_ws('; ', CASE WHEN p_name IS NULL OR length(p_name) < 12 THEN 'p_name: too short' END, CASE WHEN NOT regexp_matches(p_brand, '^Brand#[1-3][1-5]$') THEN 'p_brand: pattern' END, CASE WHEN p_size > 40 THEN 'p_size: over 40' END, CASE WHEN p_type NOT IN ('STANDARD', 'SMALL', 'MEDIUM', 'LARGE') THEN 'p_type: not allowed' END) AS errors FROM part",
+)
+def c6(spark: SparkSession, sf: str) -> DataFrame:
+    schema = {
+        "required": ["p_name"],
+        "properties": {"p_name": {"minLength": 12}, "p_brand": {"pattern": "^Brand#[1-3][1-5]$"}, "p_size": {"maximum": 40}, "p_type": {"enum": ["STANDARD", "SMALL", "MEDIUM", "LARGE"]}},
+    }
+    return table(spark, sf, "part").select("p_partkey", F.concat_ws("; ", V.schema_errors(schema)).alias("errors"))
+
+
+PROPS = "SELECT event_id, CASE WHEN event_id % 97 = 0 THEN '{bad' WHEN event_id % 10 = 0 THEN '{\"k\": \"x\", \"extra\": 1}' ELSE props END AS p FROM events"
+
+
+@query("c7_strict_types", "SELECT event_id, CASE WHEN NOT json_valid(p) THEN 'not JSON' WHEN list_has_any(list_filter(json_keys(p), lambda x: x <> 'k'), json_keys(p)) THEN 'extra field' WHEN json_type(p, '$.k') NOT IN ('UBIGINT', 'BIGINT') THEN 'wrong type' ELSE 'ok' END AS verdict FROM (SELECT event_id, CASE WHEN event_id % 97 = 0 THEN '{bad' WHEN event_id % 10 = 0 THEN '{\"k\": \"x\", \"extra\": 1}' ELSE props END AS p FROM events)")
+def c7(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, PROPS).select("event_id", V.strict_verdict(F.col("p"), {"k": "BIGINT"}).alias("verdict"))
+
+
+@query("c8_payload_parse", f"SELECT event_id, json_valid(p) AS parsed, CASE WHEN json_valid(p) THEN coalesce(array_to_string(list_sort(list_filter(json_keys(p), lambda x: x <> 'k')), ','), '') ELSE '' END AS unknown_keys FROM ({PROPS})")
+def c8(spark: SparkSession, sf: str) -> DataFrame:
+    keys = F.json_object_keys("p")
+    return on_tables(spark, sf, PROPS).select("event_id", F.try_parse_json("p").isNotNull().alias("parsed"), F.coalesce(F.array_join(F.array_sort(F.array_except(keys, F.array(F.lit("k")))), ","), F.lit("")).alias("unknown_keys"))
+
+
+@query("c9_temporal_status", f"SELECT rule_id, CASE WHEN status = 'in_force' AND {BOUNDS} > DATE '{AS_OF}' THEN 'not_yet_effective' ELSE status END AS now FROM ({RULES_SQL})")
+def c9(spark: SparkSession, sf: str) -> DataFrame:
+    return rules(spark).select("rule_id", D.temporal_status(F.col("status"), F.col("effective_date"), F.lit(AS_OF).cast("date")).alias("now"))
+
+
+PARTIAL = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 1, 4) WHEN 1 THEN substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 1, 7) WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) ELSE NULL END AS effective, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'enacted' ELSE 'enacted' END AS enactment, o_orderkey % 3 = 0 AS evidence, o_orderkey % 5 = 0 AS codified FROM orders"
+LATEST = "CASE length(effective) WHEN 4 THEN CAST(effective || '-12-31' AS DATE) WHEN 7 THEN last_day(CAST(effective || '-01' AS DATE)) ELSE CAST(effective AS DATE) END"
+EARLIEST = "CASE length(effective) WHEN 4 THEN CAST(effective || '-01-01' AS DATE) WHEN 7 THEN CAST(effective || '-01' AS DATE) ELSE CAST(effective AS DATE) END"
+
+
+@query("c10_date_bounds", f"SELECT k, {EARLIEST} AS earliest, {LATEST} AS latest FROM ({PARTIAL})")
+def c10(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, PARTIAL).select("k", D.date_bounds(F.col("effective")).alias("b")).select("k", "b.earliest", "b.latest")
+
+
+@query(
+    "c11_derive_status",
+    f"SELECT k, CASE WHEN enactment = 'pending' THEN 'pending' WHEN effective IS NULL THEN CASE WHEN evidence OR NOT codified THEN NULL ELSE 'in_force' END WHEN {LATEST} <= DATE '1998-06-15' THEN 'in_force' WHEN {EARLIEST} > DATE '1998-06-15' THEN 'not_yet_effective' END AS status, "
+    f"CASE WHEN enactment = 'pending' THEN 'enactment_status' WHEN effective IS NULL THEN CASE WHEN evidence THEN 'relative_date_unresolved' WHEN NOT codified THEN 'no_effective_date' ELSE 'codified_without_date' END WHEN {LATEST} <= DATE '1998-06-15' THEN 'effective_on_or_before' WHEN {EARLIEST} > DATE '1998-06-15' THEN 'effective_after' ELSE 'straddles_as_of' END AS why FROM ({PARTIAL})",
+)
+def c11(spark: SparkSession, sf: str) -> DataFrame:
+    s = D.derive_status(F.col("enactment"), F.col("effective"), F.col("evidence"), F.lit("1998-06-15").cast("date"), F.col("codified"))
+    return on_tables(spark, sf, PARTIAL).select("k", s.alias("s")).select("k", "s.status", "s.why")
+
+
+both(
+    "c12_final_state",
+    "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' AND l_tax > 0.04 THEN 'rejected' WHEN l_returnflag = 'R' THEN 'held' WHEN l_linestatus = 'F' AND l_discount > 0.08 THEN 'historical' WHEN l_quantity = 1 THEN 'duplicate' ELSE 'accepted' END AS state FROM lineitem",
+)
+CODES = (("PROMO", "promotion"), ("STANDARD A", "standard_a"), ("STANDARD", "standard"), ("SMALL", "small"), ("ECO", "economy"))
+
+
+@query("c13_prefix_codes", "SELECT p_partkey, CASE " + " ".join(f"WHEN starts_with(p_type, '{a}') THEN '{b}'" for a, b in CODES) + " ELSE 'other' END AS code FROM part")
+def c13(spark: SparkSession, sf: str) -> DataFrame:
+    code = reduce(lambda acc, x: acc.when(F.startswith(F.col("p_type"), F.lit(x[0])), x[1]), CODES[1:], F.when(F.startswith(F.col("p_type"), F.lit(CODES[0][0])), CODES[0][1]))
+    return table(spark, sf, "part").select("p_partkey", code.otherwise("other").alias("code"))
+
+
+@query(
+    "c14_validation_findings",
+    "SELECT 'ERROR' AS severity, 'empty' AS finding, count(*) AS n FROM documents WHERE text = '' OR text IS NULL UNION ALL SELECT 'WARNING', 'duplicate_text', count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1) UNION ALL SELECT 'ERROR', 'unknown_nation', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) "
+    "UNION ALL SELECT 'WARNING', 'label_without_document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'INFO', 'length_differs', count(*) FROM documents WHERE length(text) <> n_chars",
+)
+def c14(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    checks = [
+        V.finding("ERROR", "empty", d.where("text = '' OR text IS NULL")),
+        V.finding("WARNING", "duplicate_text", d.groupBy("text").count().where("count > 1")),
+        V.finding("ERROR", "unknown_nation", table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left_anti")),
+        V.finding("WARNING", "label_without_document", table(spark, sf, "labels").join(d, "doc_id", "left_anti")),
+        V.finding("INFO", "length_differs", d.where("length(text) <> n_chars")),
+    ]
+    return reduce(DataFrame.unionByName, checks)
+
+
+@query("c15_integrity_invariants", "SELECT l_orderkey, l_linenumber, 'discount_range' AS violation FROM lineitem WHERE l_discount > 0.09 UNION ALL SELECT l_orderkey, l_linenumber, 'ship_before_order' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate UNION ALL SELECT l_orderkey, l_linenumber, 'no_order' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def c15(spark: SparkSession, sf: str) -> DataFrame:
+    """One pass over the rows and one join; each row names the invariants that it breaks."""
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    m = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_shipdate").join(o, "l_orderkey", "left")
+    broken = F.array_compact(F.array(F.when(F.col("l_discount") > 0.09, F.lit("discount_range")), F.when(F.col("l_shipdate") < F.col("o_orderdate"), F.lit("ship_before_order")), F.when(F.col("o_orderdate").isNull(), F.lit("no_order"))))
+    return m.select("l_orderkey", "l_linenumber", F.explode(broken).alias("violation"))
+
+
+both(
+    "c16_posture",
+    "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_established' WHEN l.quality = 1 AND d.lang = 'en' THEN 'codified' WHEN l.quality = 1 THEN 'official_text' ELSE 'unverified' END AS posture FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+)
+both(
+    "c17_effective_evidence",
+    "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'date' WHEN o_orderpriority LIKE '2%' THEN 'history' WHEN o_orderpriority LIKE '3%' AND o_totalprice > 100000 THEN 'operative' ELSE 'reject' END AS kind, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN CAST(o_orderdate AS DATE) END AS effective FROM orders",
+)
+
+BILLS = "SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'Approved by the Governor, July 9, 2024' WHEN 1 THEN 'House bill' || chr(10) || 'No further action taken.' WHEN 2 THEN 'In the 193rd (2023 - 2024) session' WHEN 3 THEN 'In the 194th (Current) session' ELSE 'No label here' END AS body FROM orders"
+ENACTED = r"(?im)\b(?:approved|enacted|signed)\b(?:\s+by\s+(?:the\s+)?governor)?[\s,:]*(?:on\s+)?(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s*\d{4}|^\s*(?:signed by the governor\b.*|chapter \d+ of the acts of \d{4}\b.*)$"
+TERMINAL = r"(?im)^\s*(?:no further action(?: taken)?|withdrawn|leave to withdraw(?: granted)?|rejected|defeated|vetoed)\s*\.?\s*$"
+
+
+@query(
+    "c18_legislative_status",
+    f"SELECT k, CASE WHEN regexp_matches(body, '{ENACTED}') THEN 'conflict' WHEN regexp_matches(body, '{TERMINAL}') THEN 'failed' WHEN body LIKE '%193rd%' THEN 'failed' WHEN body LIKE '%194th%' THEN 'pending' ELSE 'model' END AS status FROM ({BILLS})",
+)
+def c18(spark: SparkSession, sf: str) -> DataFrame:
+    s, as_of = D.session_of(F.col("body")), F.lit(AS_OF).cast("date")
+    rows = on_tables(spark, sf, BILLS).withColumn("s", s)
+    ended = F.col("s.consistent") & (as_of >= F.col("s.ends_by"))
+    sits = F.col("s.consistent") & F.year(as_of).between(F.col("s.first_year"), F.col("s.last_year"))
+    status = F.when(F.col("body").rlike(ENACTED), "conflict").when(F.col("body").rlike(TERMINAL), "failed").when(ended, "failed").when(sits, "pending").otherwise("model")
+    return rows.select("k", status.alias("status"))
+
+
+WINDOWS = (
+    "SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d, CASE o_orderkey % 6 WHEN 0 THEN 'This section is repealed as of ' WHEN 1 THEN 'This rule expires on ' WHEN 2 THEN 'Rates are effective through ' WHEN 3 THEN 'The rule becomes operative on ' WHEN 4 THEN 'Amended by Ord. 5. Effective ' ELSE 'It remains in effect until ' END AS lead_in FROM orders"
+)
+LAST = "CASE WHEN k % 6 IN (0) THEN d WHEN k % 6 IN (1, 2, 5) THEN d + 1 END"
+
+
+@query(
+    "c19_validity_decision",
+    f"SELECT k, CASE WHEN k % 6 IN (1, 5) AND d = DATE '1998-06-15' THEN 'hold' WHEN {LAST} <= DATE '1998-06-15' THEN 'historical' WHEN k % 6 = 4 AND k % 2 = 0 AND d > DATE '1998-06-15' THEN 'not_yet_effective' END AS outcome, "
+    f"CASE WHEN k % 6 IN (1, 5) AND d = DATE '1998-06-15' THEN NULL WHEN {LAST} <= DATE '1998-06-15' THEN CASE WHEN k % 6 = 0 THEN 'repealed' ELSE 'expired' END WHEN {LAST} > DATE '1998-06-15' THEN 'current_until' END AS state FROM ({WINDOWS})",
+)
+def c19(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat("lead_in", F.date_format("d", "MMMM d, yyyy"), F.lit("."))
+    rows = on_tables(spark, sf, WINDOWS).select("k", B.boundaries(text, F.col("k") % 2 == 0).alias("b"))
+    return rows.select("k", B.decide(F.col("b"), F.lit("1998-06-15").cast("date")).alias("x")).select("k", "x.outcome", "x.state")
+
+
+@query("c20_window_consequence", f"SELECT k, CASE WHEN k % 6 IN (1, 5) AND d = DATE '1998-06-15' THEN 'held' WHEN {LAST} <= DATE '1998-06-15' THEN 'historical' WHEN k % 6 = 4 AND k % 2 = 0 AND d > DATE '1998-06-15' THEN 'not_yet_effective' ELSE 'in_force' END AS status FROM ({WINDOWS})")
+def c20(spark: SparkSession, sf: str) -> DataFrame:
+    x = c19(spark, sf)
+    return x.select("k", F.when(F.col("outcome") == "hold", "held").when(F.col("outcome").isNotNull(), F.col("outcome")).otherwise("in_force").alias("status"))
+
+
+both(
+    "c21_postal_category",
+    "SELECT c.c_custkey, CASE WHEN n.n_regionkey IS NULL THEN 'unresolved' WHEN c.c_nationkey = c.c_custkey % 25 THEN 'same' WHEN n.n_regionkey < 3 THEN 'known' ELSE 'other' END AS category FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_custkey % 30",
+)
+
+
+@query("c22_review_targets", "SELECT * FROM (SELECT c_custkey, concat_ws(',', CASE WHEN c_acctbal < 0 THEN 'negative_balance' END, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'segment' END, CASE WHEN c_nationkey = 7 THEN 'nation' END) AS reasons FROM customer) WHERE reasons <> ''")
+def c22(spark: SparkSession, sf: str) -> DataFrame:
+    why = F.array_compact(F.array(F.when(F.col("c_acctbal") < 0, F.lit("negative_balance")), F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("segment")), F.when(F.col("c_nationkey") == 7, F.lit("nation"))))
+    return table(spark, sf, "customer").select("c_custkey", why.alias("w")).where(F.size("w") > 0).select("c_custkey", F.array_join("w", ",").alias("reasons"))
+
+
+both("c23_map_points", "SELECT s_suppkey, 30 + s_suppkey * 0.01 AS lat, -(70 + s_suppkey * 0.01) AS lon, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) AS flagged FROM supplier WHERE s_acctbal IS NOT NULL AND s_suppkey % 11 <> 0")
+
+
+@query("c24_code_texts", "SELECT o_orderkey, coalesce(CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END, o_orderstatus) AS shown FROM orders")
+def c24(spark: SparkSession, sf: str) -> DataFrame:
+    texts = F.create_map(F.lit("F"), F.lit("finished"), F.lit("O"), F.lit("open"))
+    return table(spark, sf, "orders").select("o_orderkey", F.coalesce(F.try_element_at(texts, F.col("o_orderstatus")), "o_orderstatus").alias("shown"))
+
+
