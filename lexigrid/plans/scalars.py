@@ -1 +1,384 @@
-"""Queries."""
+"""D: scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import boundaries as B
+from ..functions import dates as D
+from ..functions import facts as X
+from ..functions import places as P
+from ..functions import text as T
+from ..registry import on_tables, query, table
+from .inputs import values
+from .rule_sql import q
+
+SPACED = "SELECT doc_id, replace(substr(text, 1, 300), ' ', '  ') || ' ( a ) [ b ]' AS t FROM documents"
+
+
+@query("d1_collapse_space", f"SELECT doc_id, regexp_replace(t, '\\s+', ' ', 'g') AS folded FROM ({SPACED})")
+def d1(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, SPACED).select("doc_id", T.fold_space(F.col("t")).alias("folded"))
+
+
+@query("d2_layout_fold", f"SELECT doc_id, regexp_replace(regexp_replace(t, '\\s+', ' ', 'g'), ' ?([()\\[\\]]) ?', '\\1', 'g') AS folded FROM ({SPACED})")
+def d2(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, SPACED).select("doc_id", T.fold_layout(F.col("t")).alias("folded"))
+
+
+QUOTES = (
+    "SELECT item_id, CASE item_id % 4 WHEN 0 THEN substr(text, 5, 40) WHEN 1 THEN replace(substr(text, 5, 40), ' ', '  ') WHEN 2 THEN '( ' || substr(text, 5, 40) || ' )' ELSE 'no such words here' END AS quote, "
+    "CASE WHEN item_id % 4 = 2 THEN '(' || substr(text, 5, 40) || ')' || text ELSE text END AS source FROM benchmark WHERE substr(text, 5, 1) <> ' ' AND substr(text, 44, 1) <> ' '"
+)
+
+
+@query("d3_verify_span", f"SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'exact_match' WHEN 1 THEN CASE WHEN position(' ' IN substr(quote, 1, 80)) > 0 THEN 'normalized_match' ELSE 'exact_match' END WHEN 2 THEN 'layout_normalized_match' ELSE 'failed' END AS status FROM ({QUOTES})")
+def d3(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, QUOTES).select("item_id", T.verify_span(F.col("quote"), F.col("source"))["status"].alias("status"))
+
+
+@query("d3_verify_exact", f"SELECT item_id, CASE WHEN position(quote IN source) > 0 THEN position(quote IN source) - 1 END AS start, CASE WHEN position(quote IN source) > 0 THEN position(quote IN source) - 1 + length(quote) END AS end_at, CASE WHEN position(quote IN source) > 0 THEN CAST((length(source) - length(replace(source, quote, ''))) / length(quote) AS INT) END AS occurrences FROM ({QUOTES})")
+def d3_exact(spark: SparkSession, sf: str) -> DataFrame:
+    x = on_tables(spark, sf, QUOTES).select("item_id", T.verify_exact(F.col("quote"), F.col("source")).alias("x"))
+    return x.select("item_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end_at"), "x.occurrences")
+
+
+@query("d4_anchored_match", "SELECT item_id, starts_with(ltrim(text), trim(substr(text, 1, 20))) AS at_start, ends_with(rtrim(text), trim(substr(text, 1, 20))) AS at_end FROM benchmark")
+def d4(spark: SparkSession, sf: str) -> DataFrame:
+    words = F.substring("text", 1, 20)
+    return table(spark, sf, "benchmark").select("item_id", T.anchored(words, F.col("text"), False).alias("at_start"), T.anchored(words, F.col("text"), True).alias("at_end"))
+
+
+@query("d5_evidence_diagnosis", "SELECT doc_id, CASE WHEN contains(quote, '[[') THEN 'marker in quote' WHEN position(quote IN text) > 0 THEN 'verified' ELSE 'not found' END AS verdict FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN substr(text, 10, 30) WHEN 1 THEN '[[SEGMENT 2]] ' || substr(text, 1, 9) ELSE substr(text, 2, 20) || '#' END AS quote FROM documents) WHERE length(text) > 50")
+def d5(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").where("length(text) > 50")
+    quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 10, 30)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("[[SEGMENT 2]] "), F.substring("text", 1, 9))).otherwise(F.concat(F.substring("text", 2, 20), F.lit("#")))
+    verdict = F.when(quote.rlike(r"\[\[(?:PAGE BREAK|SEGMENT \d+)\]\]"), "marker in quote").when(T.verify_exact(quote, F.col("text")).isNotNull(), "verified").otherwise("not found")
+    return d.select("doc_id", verdict.alias("verdict"))
+
+
+@query("d6_quote_parts", "SELECT item_id, position(substr(text, 1, 15) IN text) > 0 AND position(substr(text, 20, 15) IN substr(text, 16)) > 0 AS in_order FROM benchmark")
+def d6(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = F.substring("text", 1, 15), F.substring("text", 20, 15)
+    second = F.instr(F.col("text").substr(F.lit(16), F.length("text")), b)
+    return table(spark, sf, "benchmark").select("item_id", ((F.instr(F.col("text"), a) > 0) & (second > 0)).alias("in_order"))
+
+
+@query("d7_nfc", "SELECT doc_id, nfc_normalize(replace(substr(text, 1, 200), 'é', 'e' || chr(769))) AS t FROM documents")
+def d7(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.nfc(F.replace(F.substring("text", 1, 200), F.lit("é"), F.lit("é"))).alias("t"))
+
+
+@query("d8_fold_key", "SELECT n_nationkey, lower(trim(regexp_replace('  ' || n_name || '  x ', '\\s+', ' ', 'g'))) AS key FROM nation")
+def d8(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "nation").select("n_nationkey", T.fold_key(F.concat(F.lit("  "), "n_name", F.lit("  x "))).alias("key"))
+
+
+@query("d9_record_id", "SELECT p_partkey, 'r-' || substr(sha256('[\"' || p_name || '\",\"' || p_brand || '\"]'), 1, 10) AS rule_id FROM part")
+def d9(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", T.record_id(F.col("p_name"), F.col("p_brand")).alias("rule_id"))
+
+
+CLAIMS = "SELECT o_orderkey AS k, 'Rent of $' || CAST(CAST(floor(o_totalprice) AS INT) AS VARCHAR(12)) || ' rises ' || CAST(o_orderkey % 9 + 1 AS VARCHAR(3)) || ' percent after ' || CAST(o_custkey % 40 + 2 AS VARCHAR(4)) || ' days' AS claim FROM orders"
+
+
+@query("d10_figures", "SELECT k, list_sort(['money:' || CAST(p AS VARCHAR), 'percent:' || pc, 'day:' || dy]) AS figures FROM (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS INT) AS p, o_orderkey % 9 + 1 AS pc, o_custkey % 40 + 2 AS dy FROM orders)")
+def d10(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, CLAIMS).select("k", F.array_sort(T.figures(F.col("claim"))).alias("figures"))
+
+
+PHRASES = (("one hundred twenty", 120), ("fifteen", 15), ("two thousand five", 2005), ("thirty-one", 31), ("ninety nine", 99), ("three hundred", 300), ("twelve thousand", 12000))
+
+
+@query("d11_phrase_value", f"SELECT * FROM ({values(PHRASES)}) AS t(phrase, n)")
+def d11(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(p,) for p, _ in PHRASES], "phrase string")
+    return rows.select("phrase", T.phrase_value(F.col("phrase")).alias("n"))
+
+
+@query("d12_unsupported_figures", "SELECT o_orderkey AS k, CASE WHEN (o_orderkey % 9 + 1) = 3 THEN [] ELSE ['percent:' || (o_orderkey % 9 + 1)] END AS unsupported FROM orders")
+def d12(spark: SparkSession, sf: str) -> DataFrame:
+    claim = F.concat(F.lit("rises "), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit("% in 5 days"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.array_except(T.figures(claim), T.figures(F.lit("3 percent within 5 days"))).alias("unsupported"))
+
+
+@query("d13_calendar_dates", "SELECT o_orderkey AS k, [CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 40] AS dates FROM orders")
+def d13(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.to_date("o_orderdate")
+    later = F.date_add(d, 40)
+    us = F.when(F.col("o_orderkey") % 2 == 0, F.date_format(later, "M/d/yyyy")).otherwise(F.date_format(later, "yyyy-MM-dd"))
+    text = F.concat(F.lit("From "), F.date_format(d, "MMMM d, yyyy"), F.lit(" to "), us, F.lit("."))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), D.calendar_dates(text).alias("dates"))
+
+
+REFS = "SELECT conv_id, turn, chr(167) || ' ' || (conv_id % 90 + 1) || '(' || chr(CAST(97 + turn % 5 AS INT)) || ')' AS ref FROM conversations"
+REFS_SPARK = REFS.replace("chr(167)", "'§'")
+
+
+@query("d14_ref_tokens", "SELECT conv_id, turn, CAST(conv_id % 90 + 1 AS VARCHAR) || ',' || chr(CAST(97 + turn % 5 AS INT)) AS tokens FROM conversations")
+def d14(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, REFS_SPARK).select("conv_id", "turn", F.array_join(T.ref_tokens(F.concat(F.lit("Section "), F.col("ref"))), ",").alias("tokens"))
+
+
+@query("d15_expand_ranges", "SELECT conv_id, turn, list_transform(range(0, turn % 5 + 1), lambda i: '§ 9(' || chr(CAST(97 + i AS INT)) || ')') AS refs FROM conversations")
+def d15(spark: SparkSession, sf: str) -> DataFrame:
+    ref = F.concat(F.lit("§ 9(a)-("), F.char((97 + F.col("turn") % 5).cast("int")), F.lit(")"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", T.expand_range(ref).alias("refs"))
+
+
+@query("d16_ref_matches", "SELECT a.conv_id, a.turn AS ref, b.turn AS cited, a.turn % 5 = b.turn % 5 AS matches FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id")
+def d16(spark: SparkSession, sf: str) -> DataFrame:
+    x = on_tables(spark, sf, REFS_SPARK).withColumn("tokens", T.ref_tokens(F.col("ref")))
+    y = x.select("conv_id", F.col("turn").alias("cited"), F.concat("tokens", F.array(F.lit("1"))).alias("citation"))
+    met = x.select("conv_id", F.col("turn").alias("r"), "tokens").join(y, "conv_id")
+    return met.select("conv_id", F.col("r").alias("ref"), "cited", T.contains_run(F.col("citation"), F.col("tokens")).alias("matches"))
+
+
+@query("d17_ref_ancestor", "SELECT a.conv_id, a.turn AS ref, b.turn AS cited, a.turn % 5 = b.turn % 5 AS ancestor FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id")
+def d17(spark: SparkSession, sf: str) -> DataFrame:
+    x = on_tables(spark, sf, REFS_SPARK).withColumn("tokens", T.ref_tokens(F.col("ref")))
+    y = x.select("conv_id", F.col("turn").alias("cited"), "tokens")
+    met = x.select("conv_id", F.col("turn").alias("r"), F.concat("tokens", F.array(F.lit("2"))).alias("longer")).join(y, "conv_id")
+    return met.select("conv_id", F.col("r").alias("ref"), "cited", T.is_ancestor(F.col("tokens"), F.col("longer")).alias("ancestor"))
+
+
+@query("d18_same_ref", "SELECT a.conv_id, a.turn AS ref, b.turn AS other, a.turn % 5 = b.turn % 5 AS same FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id")
+def d18(spark: SparkSession, sf: str) -> DataFrame:
+    x = on_tables(spark, sf, REFS_SPARK).withColumn("tokens", T.ref_tokens(F.col("ref")))
+    y = x.select("conv_id", F.col("turn").alias("other"), F.concat(F.array(F.lit("title")), "tokens").alias("longer"))
+    met = x.select("conv_id", F.col("turn").alias("r"), "tokens").join(y, "conv_id")
+    return met.select("conv_id", F.col("r").alias("ref"), "other", T.same_ref(F.col("tokens"), F.col("longer")).alias("same"))
+
+
+STREETS = (
+    ("123 North First Street Apt 4", "123", None, "N", "1ST", "ST", None, "APT 4"),
+    ("45-47 St. James Ave.", "45", "47", None, "SAINT JAMES", "AVE", None, None),
+    ("9 Broadway", "9", None, None, "BROADWAY", None, None, None),
+    ("14.5 Mt Vernon Rd W", "14.5", None, None, "MOUNT VERNON", "RD", "W", None),
+    ("200 South 05th St #12", "200", None, "S", "5TH", "ST", None, "#12"),
+    ("Avenue", None, None, None, "AVENUE", None, None, None),
+    ("77A Fort Hill Square", "77A", None, None, "FORT HILL", "SQ", None, None),
+)
+
+
+@query("d19_parse_street", f"SELECT * FROM ({values(STREETS)}) AS t(line, low, high, predir, name, suffix, postdir, unit)")
+def d19(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.createDataFrame([(s[0],) for s in STREETS], "line string").select("line", P.parse_street(F.col("line")).alias("s"))
+    return rows.select("line", "s.low", "s.high", "s.predir", F.array_join("s.name", " ").alias("name"), "s.suffix", "s.postdir", "s.unit")
+
+
+MATCHED = "SELECT s_suppkey, s_suppkey || ' MAIN ST, ' || CASE WHEN s_suppkey % 4 = 0 THEN 'STE 2, ' ELSE '' END || 'TOWN' || s_nationkey || ', MA, 0' || (2000 + s_suppkey) AS m FROM supplier"
+
+
+@query("d20_split_matched", "SELECT s_suppkey, s_suppkey || ' MAIN ST' || CASE WHEN s_suppkey % 4 = 0 THEN ', STE 2' ELSE '' END AS street, 'TOWN' || s_nationkey AS city, 'MA' AS state, '0' || (2000 + s_suppkey) AS zip FROM supplier")
+def d20(spark: SparkSession, sf: str) -> DataFrame:
+    return on_tables(spark, sf, MATCHED).select("s_suppkey", P.split_matched(F.col("m")).alias("m")).select("s_suppkey", "m.*")
+
+
+@query("d21_same_place", "SELECT n_nationkey, n_nationkey % 2 = 0 AS same FROM nation")
+def d21(spark: SparkSession, sf: str) -> DataFrame:
+    other = F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit(" "), F.lower("n_name"), F.lit(","))).otherwise(F.concat("n_name", F.lit("x")))
+    return table(spark, sf, "nation").select("n_nationkey", P.same_place(F.col("n_name"), other).alias("same"))
+
+
+COMPARED = (
+    ("10 Main St", "10 MAIN ST, BOSTON, MA, 02101", "", ""),
+    ("10-12 Main St", "12 MAIN ST, BOSTON, MA, 02101", "house_number_range_endpoint", ""),
+    ("10 Main St", "11 MAIN ST, BOSTON, MA, 02101", "", "house_number_differs"),
+    ("10 Main", "10 MAIN ST, BOSTON, MA, 02101", "street_suffix_only_on_one_side", ""),
+    ("10 N Main St Apt 2", "10 S MAIN ST, BOSTON, MA, 02101", "secondary_unit_in_input", "street_directional_differs"),
+    ("10 Oak Ave", "10 MAIN ST, BOSTON, MA, 02101", "", "street_name_differs"),
+    ("Main Ave", "10 MAIN ST, BOSTON, MA, 02101", "", "house_number_missing_in_input,street_suffix_differs"),
+)
+
+
+@query("d22_compare_addresses", f"SELECT given, matched, minor, meaningful FROM ({values(COMPARED)}) AS t(given, matched, minor, meaningful)")
+def d22(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.addresses import compare
+
+    rows = spark.createDataFrame([c[:2] for c in COMPARED], "given string, matched string").withColumn("g", P.parse_street(F.col("given"))).withColumn("m", P.parse_street(P.split_matched(F.col("matched"))["street"]))
+    minor, meaningful = compare(F.col("g"), F.col("m"))
+    return rows.select("given", "matched", F.array_join(minor, ",").alias("minor"), F.array_join(meaningful, ",").alias("meaningful"))
+
+
+USES = (
+    ("Five or more apartments", 5, None), ("Residential (5+ units)", 5, None), ("Apartments, 2 to 4 units", 2, 4), ("Building of 8 units or more", 8, None), ("Block of 4 units or less", 1, 4),
+    ("MXD 4-8-UNIT-APT", 4, 8), (">30-UNIT-APT", 31, None), ("APT 7-30 UNITS", 7, 30), ("Warehouse", None, None), ("many or more units", None, None),
+)
+
+
+@query("d23_unit_range", f"SELECT p.p_partkey, u.description, u.low, u.high FROM part p JOIN ({values(tuple((i, *u) for i, u in enumerate(USES)))}) AS u(i, description, low, high) ON p.p_partkey % 10 = u.i".replace("CAST(NULL AS VARCHAR(400))", "NULL"))
+def d23(spark: SparkSession, sf: str) -> DataFrame:
+    u = spark.createDataFrame([(i, d) for i, (d, _, _) in enumerate(USES)], "i long, description string")
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 10).alias("i")).join(u, "i")
+    return p.select("p_partkey", "description", X.unit_range(F.col("description")).alias("r")).select("p_partkey", "description", "r.low", "r.high")
+
+
+@query(
+    "d24_unit_facts",
+    f"WITH u AS (SELECT p.p_partkey, p.p_size AS n, u.low, u.high FROM part p JOIN ({values(tuple((i, *u) for i, u in enumerate(USES)))}) AS u(i, description, low, high) ON p.p_partkey % 10 = u.i), v AS (SELECT *, p_partkey % 3 <> 0 AS known FROM u) "
+    "SELECT p_partkey, CASE WHEN known THEN CASE WHEN n < low OR n > high THEN NULL ELSE n END ELSE low END AS units_min, CASE WHEN known THEN CASE WHEN n < low OR n > high THEN NULL ELSE n END ELSE high END AS units_max, "
+    "CASE WHEN known THEN CASE WHEN n < low OR n > high THEN 'conflict' ELSE 'recorded' END WHEN low IS NOT NULL THEN 'use_description' ELSE 'missing' END AS units_source FROM v".replace("CAST(NULL AS VARCHAR(400))", "NULL"),
+)
+def d24(spark: SparkSession, sf: str) -> DataFrame:
+    u = spark.createDataFrame([(i, d) for i, (d, _, _) in enumerate(USES)], "i long, description string")
+    p = table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 10).alias("i"), F.when(F.col("p_partkey") % 3 != 0, F.col("p_size").cast("string")).otherwise("").alias("units")).join(u, "i")
+    return p.select("p_partkey", X.unit_facts(F.col("units"), F.col("description")).alias("r")).select("p_partkey", "r.*")
+
+
+@query("d25_use_class", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'subsidized_housing' WHEN p_partkey % 5 IN (1, 2) THEN 'apartment' END AS use_class FROM part")
+def d25(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    d = F.when(k == 0, F.lit("subsd housing flats")).when(k == 1, F.lit("Garden Apartment")).otherwise(F.lit("4C"))
+    return table(spark, sf, "part").select("p_partkey", X.use_class(d, F.when(k == 2, F.lit("Apartments (class 4C)"))).alias("use_class"))
+
+
+@query("d26_split_clauses", "SELECT o_orderkey AS k, ['When a; b applies', 'Units of ' || o_orderstatus, 'End'] AS clauses FROM orders")
+def d26(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.conditions import split_clauses
+
+    text = F.concat(F.lit("When a; b applies;  Units of "), "o_orderstatus", F.lit("; End"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), split_clauses(text).alias("clauses"))
+
+
+@query("d28_written_date", "SELECT o_orderkey AS k, CAST(o_orderdate AS DATE) AS d FROM orders")
+def d28(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), D.written_date(F.upper(F.date_format("o_orderdate", "MMMM d, yyyy"))).alias("d"))
+
+
+@query("d29_relative_date", "SELECT o_orderkey AS k, CAST(date_trunc('month', CAST(o_orderdate AS DATE) + to_months(CAST(o_orderkey % 24 + 1 AS INT))) AS DATE) AS d FROM orders")
+def d29(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), D.first_of_month_after(F.to_date("o_orderdate"), (F.col("o_orderkey") % 24 + 1).cast("int")).alias("d"))
+
+
+@query("d30_base_dates", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS base, CASE o_orderkey % 3 WHEN 1 THEN 'approved' WHEN 2 THEN 'signed' ELSE '' END AS event FROM orders")
+def d30(spark: SparkSession, sf: str) -> DataFrame:
+    pattern = r"(?i)\b(approved|enacted|signed)\b(?:\s+by\s+(?:the\s+)?governor)?[\s,:]*(?:on\s+)?((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s*\d{4})"
+    day = F.date_format("o_orderdate", "MMMM d, yyyy")
+    text = F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("[ Approved by Governor, "), day, F.lit(" ]"))).when(F.col("o_orderkey") % 3 == 2, F.concat(F.lit("It was signed on "), day)).otherwise(F.concat(F.lit("Filed "), day))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), D.written_date(F.regexp_extract(text, pattern, 2)).alias("base"), F.lower(F.regexp_extract(text, pattern, 1)).alias("event"))
+
+
+@query("d31_history_note", f"SELECT o_orderkey AS k, regexp_matches(t, {q(B.HISTORY_NOTE)}) AS note FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Amended 3-1-2020 by Ord. ' || o_custkey WHEN 1 THEN 'Section repealed (see note) by them' ELSE 'Nothing' END AS t FROM orders)")
+def d31(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey") % 3
+    t = F.when(k == 0, F.concat(F.lit("Amended 3-1-2020 by Ord. "), F.col("o_custkey"))).when(k == 1, F.lit("Section repealed (see note) by them")).otherwise(F.lit("Nothing"))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), t.rlike(B.HISTORY_NOTE).alias("note"))
+
+
+@query("d32_date_in_evidence", "SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS written FROM orders")
+def d32(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat(F.lit("In force from "), F.date_format("o_orderdate", "MMMM d, yyyy"))
+    wanted = F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "yyyy-MM")).otherwise(F.lit("2031-01"))
+    found = F.exists(D.calendar_dates(text), lambda d: F.startswith(F.date_format(d, "yyyy-MM-dd"), wanted))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), found.alias("written"))
+
+
+@query("d33_boundary_scan", "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'repealed_on' WHEN 1 THEN 'expires_on' ELSE 'valid_through' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) + 1 END AS end_exclusive FROM orders")
+def d33(spark: SparkSession, sf: str) -> DataFrame:
+    k, day = F.col("o_orderkey") % 3, F.date_format("o_orderdate", "MMMM d, yyyy")
+    lead = F.when(k == 0, F.lit("This section remains in effect only until ")).when(k == 1, F.lit("It expires on ")).otherwise(F.lit("Valid through "))
+    text = F.concat(lead, day, F.when(k == 0, F.lit(", and as of that date is repealed.")).otherwise(F.lit(".")))
+    b = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.explode(B.boundaries(text, F.lit(False))).alias("b"))
+    return b.select("k", "b.kind", "b.end_exclusive")
+
+
+@query("d34_session", "SELECT o_orderkey AS k, 190 + o_orderkey % 8 AS court, 2023 + 2 * (o_orderkey % 8 - 3) AS first_year, make_date(2025 + 2 * (o_orderkey % 8 - 3), 2, 1) AS ends_by, o_orderkey % 2 = 0 AS consistent FROM orders")
+def d34(spark: SparkSession, sf: str) -> DataFrame:
+    n = 190 + F.col("o_orderkey") % 8
+    start = 2023 + 2 * (n - 193)
+    y = F.when(F.col("o_orderkey") % 2 == 0, start).otherwise(start + 5)
+    text = F.concat(F.lit("Bill H.12, "), n.cast("string"), F.lit("th ("), y.cast("string"), F.lit(" - "), (y + 1).cast("string"), F.lit(")"))
+    s = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), D.session_of(text).alias("s"))
+    return s.select("k", F.col("s.general_court").cast("long").alias("court"), F.col("s.first_year").cast("long").alias("first_year"), "s.ends_by", "s.consistent")
+
+
+SCOPES = (("This Division shall not apply to hotels", "structural"), ("For purposes of this section, a unit", "structural"), ("Sections 12(a) and 14 do not apply", "explicit_reference"), ("Any tenant of a mobilehome", "named_subject"), ("Nothing in this act limits", "structural"))
+
+
+@query("d35_scope_mode", f"SELECT * FROM ({values(SCOPES)}) AS t(words, mode)")
+def d35(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.scope import scope_mode
+
+    return spark.createDataFrame([(s[0],) for s in SCOPES], "words string").select("words", scope_mode(F.col("words")).alias("mode"))
+
+
+NORMATIVE = r"(?i)\b(?:shall|must|may\s+only|may\s+not|no\s+\w+\s+may|prohibited|unlawful|permitted|allowed|entitled|required)\b"
+
+
+@query("d36_text_signals", f"SELECT conv_id, turn, len(regexp_extract_all(t, {q(NORMATIVE)})) AS normative, regexp_matches(t, '(?i)\\bmeans\\b') AS glossary FROM (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' A landlord shall not, and must never. Rent means cost' ELSE '' END AS t FROM conversations)")
+def d36(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit(" A landlord shall not, and must never. Rent means cost")).otherwise(F.lit("")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_count(t, F.lit(NORMATIVE)).alias("normative"), t.rlike(r"(?i)\bmeans\b").alias("glossary"))
+
+
+@query("d37_boundary_levels")
+def d37(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.ordered import boundary_levels
+
+    return boundary_levels(table(spark, sf, "documents"))
+
+
+@query("d38_line_key", "SELECT doc_id, regexp_replace(trim(regexp_replace('  Page ' || doc_id || '  of   ' || n_chars, '\\s+', ' ', 'g')), '[0-9]+', '#', 'g') AS key FROM documents")
+def d38(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select("doc_id", T.line_key(F.concat(F.lit("  Page "), "doc_id", F.lit("  of   "), "n_chars")).alias("key"))
+
+
+@query("d39_compose_scope", "SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderkey % 2 = 0 THEN 'own ' || o_orderstatus || '; shared' ELSE 'shared; extra' END AS scope FROM orders")
+def d39(spark: SparkSession, sf: str) -> DataFrame:
+    pending, even = F.col("o_orderstatus") == "P", F.col("o_orderkey") % 2 == 0
+    own = F.when(~pending & even, F.concat(F.lit(" own "), "o_orderstatus"))
+    spread = F.when(pending, F.array().cast("array<string>")).otherwise(F.array(F.lit("shared"), F.lit(" shared ")))
+    more = F.when(pending | even, F.array().cast("array<string>")).otherwise(F.array(F.lit("extra"), F.lit("")))
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), T.compose_scope(own, spread, more).alias("scope"))
+
+
+@query("d40_record_assembly", "SELECT p_partkey, '{\"title\":\"' || p_name || '\",\"requirement\":\"' || CASE WHEN p_size > 25 THEN '[Basis: summary] ' ELSE '' END || p_type || '\"}' AS record FROM part")
+def d40(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("p_size") > 25, F.lit("[Basis: summary] "))
+    record = F.to_json(F.struct(F.col("p_name").alias("title"), F.concat(F.coalesce(label, F.lit("")), "p_type").alias("requirement")))
+    return table(spark, sf, "part").select("p_partkey", record.alias("record"))
+
+
+@query("d41_english_list", "SELECT user_id, CASE count(*) WHEN 1 THEN any_value(event_type) ELSE array_to_string(list(event_type ORDER BY event_type)[1:-2], ', ') || ' and ' || max(event_type) END AS shown FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
+def d41(spark: SparkSession, sf: str) -> DataFrame:
+    g = table(spark, sf, "events").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("l"))
+    return g.select("user_id", T.english_list(F.col("l")).alias("shown"))
+
+
+@query("d42_cost", "SELECT l_orderkey, l_linenumber, l_partkey, round((l_quantity * 4 * 0.75 + coalesce(CASE WHEN l_linenumber % 2 = 0 THEN l_partkey * 4 END, 0) * 3.75) / 1e6, 6) AS cost FROM lineitem")
+def d42(spark: SparkSession, sf: str) -> DataFrame:
+    out = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_partkey") * 4)
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.cost(F.col("l_quantity") * 4, out, F.lit(None)).alias("cost"))
+
+
+@query("d43_statute_keys", "SELECT s_suppkey, ['ca-civ-' || (1900 + s_suppkey % 90), 'ca-civ-' || (1950 + s_suppkey % 7)] AS keys FROM supplier")
+def d43(spark: SparkSession, sf: str) -> DataFrame:
+    from ..functions.scope import statute_keys
+
+    text = F.concat(F.lit("Cal. Civ. Code § "), (1900 + F.col("s_suppkey") % 90).cast("string"), F.lit(" and Civ. Code § "), (1950 + F.col("s_suppkey") % 7).cast("string"))
+    return table(spark, sf, "supplier").select("s_suppkey", statute_keys(text, F.lit("CA")).alias("keys"))
+
+
+@query(
+    "d44_jaccard",
+    "WITH w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS a FROM benchmark), g AS (SELECT item_id, list_distinct(list_transform(range(1, greatest(len(a) - 1, 1)), lambda i: array_to_string(a[i:i + 2], ' '))) AS x, list_distinct(list_transform(range(1, greatest(len(a) - 6, 1)), lambda i: array_to_string(a[i:i + 2], ' '))) AS y FROM w) "
+    "SELECT item_id, CASE WHEN len(x) + len(y) = 0 THEN 0.0 ELSE round(len(list_intersect(x, y))::DOUBLE / (len(x) + len(y) - len(list_intersect(x, y))), 6) END AS jaccard FROM g",
+)
+def d44(spark: SparkSession, sf: str) -> DataFrame:
+    w = T.ascii_words(F.col("text"))
+    rows = table(spark, sf, "benchmark").select("item_id", w.alias("w")).select("item_id", T.shingles(F.col("w"), 3).alias("x"), T.shingles(F.slice("w", F.lit(1), F.greatest(F.size("w") - 5, F.lit(0))), 3).alias("y"))
+    return rows.select("item_id", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"))
+
+
+@query("d45_boundary_offsets", "SELECT s_suppkey, printf('%.6f', 30 + s_suppkey * 0.01 + o.y) AS lat, printf('%.6f', -70 - s_suppkey * 0.01 + o.x) AS lon FROM supplier, (VALUES (0.0007, 0.0), (-0.0007, 0.0), (0.0, 0.0009), (0.0, -0.0009)) AS o(y, x)")
+def d45(spark: SparkSession, sf: str) -> DataFrame:
+    offsets = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y, x in ((0.0007, 0.0), (-0.0007, 0.0), (0.0, 0.0009), (0.0, -0.0009))))
+    p = table(spark, sf, "supplier").select("s_suppkey", F.explode(offsets).alias("o"))
+    return p.select("s_suppkey", F.format_string("%.6f", 30 + F.col("s_suppkey") * 0.01 + F.col("o.y")).alias("lat"), F.format_string("%.6f", -70 - F.col("s_suppkey") * 0.01 + F.col("o.x")).alias("lon"))
+
+
+@query("d46_escape_html", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS shown FROM pages")
+def d46(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", T.escape_html(F.substring("html", 1, 300)).alias("shown"))
