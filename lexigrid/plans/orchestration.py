@@ -1 +1,83 @@
-"""Queries."""
+"""I: pipelines, staged runs, replays."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.kleene import built, compare_units
+from ..operators import pipelines as L
+from ..operators.applicability import outcomes
+from ..operators.graph import shared_folder
+from ..registry import on_tables, query, table
+from ..streaming.ledger import drain, totals
+from .inputs import FACTS_SQL, addresses, rules
+from .rule_sql import pair_ctes
+
+RESPONSES = (
+    "SELECT event_id AS doc_id, 'primary' AS pass, CASE WHEN event_id % 13 = 0 THEN '{{oops' ELSE concat('{{\"quote\": \"', event_type, '\", \"value\": ', CAST(event_id % 9 AS VARCHAR(4)), '}}') END AS payload FROM events UNION ALL "
+    "SELECT event_id, 'repair', concat('{{\"quote\": \"', event_type, '\", \"value\": 5}}') FROM events WHERE event_id % 26 = 0"
+).replace("{{", "{").replace("}}", "}")
+EXTRACTED = "SELECT event_id AS doc_id, CASE WHEN event_id % 26 = 0 THEN 'repair' WHEN event_id % 13 = 0 THEN NULL ELSE 'primary' END AS pass, CASE WHEN event_id % 26 = 0 THEN 5 WHEN event_id % 13 <> 0 THEN CAST(event_id % 9 AS INT) END AS value, CASE WHEN event_id % 13 = 0 AND event_id % 26 <> 0 THEN 'rejected' WHEN event_id % 26 <> 0 AND event_id % 9 < 2 THEN 'held' ELSE 'accepted' END AS state FROM events"
+
+
+@query("i1_document_extraction", EXTRACTED)
+def i1(spark: SparkSession, sf: str) -> DataFrame:
+    return L.extract(on_tables(spark, sf, RESPONSES), table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("text")))
+
+
+@query("i2_large_documents", "SELECT doc_id, n_chars > 5000 AS large, CASE WHEN n_chars > 5000 THEN CAST(ceil(n_chars / 4000.0) AS BIGINT) ELSE 1 END AS requests FROM documents")
+def i2(spark: SparkSession, sf: str) -> DataFrame:
+    large = F.col("n_chars") > 5000
+    return table(spark, sf, "documents").select("doc_id", large.alias("large"), F.when(large, F.ceil(F.col("n_chars") / 4000.0)).otherwise(F.lit(1)).cast("long").alias("requests"))
+
+
+@query("i3_stage_runner", "SELECT user_id, event_id, coalesce(max(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS ran FROM events")
+def i3(spark: SparkSession, sf: str) -> DataFrame:
+    return L.run_until_stopped(table(spark, sf, "events").select("user_id", "event_id", (F.col("event_id") % 97 == 0).alias("stops")), "user_id", "event_id", "stops").select("user_id", "event_id", "ran")
+
+
+@query("i3_streaming_ledger", "SELECT user_id, count(*) AS requests, round(sum(value), 4) AS spent FROM events GROUP BY 1")
+def i3_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of files, drained with a checkpoint."""
+    root = shared_folder(spark)
+    table(spark, sf, "events").select("user_id", "value").repartition(4).write.parquet(f"{root}/in")
+    drain(totals(spark, f"{root}/in", "user_id long, value double"), f"{root}/out", f"{root}/checkpoint")
+    return spark.read.parquet(f"{root}/out").select("user_id", "requests", F.round("spent", 4).alias("spent"))
+
+
+@query("i4_replay", EXTRACTED.replace("% 9 < 2 THEN 'held'", "% 9 < 4 THEN 'held'"))
+def i4(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored responses under a stricter rule; nothing is requested."""
+    return L.extract(on_tables(spark, sf, RESPONSES), table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("text")), least=4)
+
+
+@query(
+    "i5_address_resolution",
+    "WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 1 WHEN c_custkey % 5 = 0 THEN 2 WHEN c_custkey % 7 = 0 THEN 3 END AS used, c_nationkey FROM customer) SELECT a.id, a.used, coalesce('P' || s.s_nationkey, n.n_name) AS place, CASE WHEN a.used IS NULL AND s.s_suppkey IS NULL THEN 'unresolved' WHEN s.s_suppkey IS NOT NULL THEN 'override' WHEN a.used > 1 THEN 'review' ELSE 'resolved' END AS status "
+    "FROM a LEFT JOIN nation n ON n.n_nationkey = a.c_nationkey AND a.used IS NOT NULL LEFT JOIN supplier s ON s.s_suppkey = a.id",
+)
+def i5(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
+    tried = F.array(F.when(F.col("id") % 3 == 0, F.lit(1)), F.when(F.col("id") % 5 == 0, F.lit(2)), F.when(F.col("id") % 7 == 0, F.lit(3)))
+    areas = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("area"))
+    overrides = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("P"), F.col("s_nationkey")).alias("place"))
+    return L.resolve(c.withColumn("tried", tried), areas, "c_nationkey", overrides)
+
+
+@query("i6_what_if", f"WITH {pair_ctes('2028-06-01')} SELECT rule_id, count(*) AS n FROM outcome WHERE result = 'applies' GROUP BY 1")
+def i6(spark: SparkSession, sf: str) -> DataFrame:
+    return outcomes(rules(spark), addresses(spark, sf), "2028-06-01").where("result = 'applies'").groupBy("rule_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    "i9_atoms_as_data",
+    f"WITH facts AS ({FACTS_SQL}) SELECT address_id, CASE WHEN year_built IS NULL OR year_built = 1990 THEN NULL ELSE year_built < 1990 END AS before_1990, CASE WHEN units_min IS NULL THEN NULL WHEN units_max <= 4 THEN true WHEN units_min > 4 THEN false END AS at_most_4, CASE WHEN units_min >= 3 THEN true WHEN units_max < 3 THEN false END AS at_least_3 FROM facts",
+)
+def i9(spark: SparkSession, sf: str) -> DataFrame:
+    low, high = F.col("units_min"), F.col("units_max")
+    return addresses(spark, sf).select(
+        "address_id", built(F.lit("before"), F.lit(1990), F.col("year_built")).alias("before_1990"), compare_units("<=", F.lit(4), low, high).alias("at_most_4"), compare_units(">=", F.lit(3), low, high).alias("at_least_3")
+    )
+
+

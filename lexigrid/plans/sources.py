@@ -1 +1,160 @@
-"""Queries."""
+"""A and B: sources and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.graph import shared_folder
+from ..registry import both, on_tables, query, table
+from ..sources import readers as R
+from ..sources import sinks as S
+from .inputs import AS_OF
+from .rule_sql import pair_ctes
+
+ZIPPED = "SELECT s_suppkey, lpad(CAST(s_suppkey AS VARCHAR(9)), 5, '0') AS zip, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END AS name FROM supplier"
+
+
+@query("a1_csv_scan", f"SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, zip, name FROM ({ZIPPED})")
+def a1(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark)
+    S.write_csv(on_tables(spark, sf, ZIPPED), path)
+    return R.read_csv(spark, path, ["s_suppkey", "zip", "name"])
+
+
+@query("a2_json_scan", "SELECT p_partkey, p_name, p_size FROM part")
+def a2(spark: SparkSession, sf: str) -> DataFrame:
+    path = shared_folder(spark)
+    S.write_json(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), path)
+    return spark.read.schema("p_partkey long, p_name string, p_size int").json(path)
+
+
+HEADED = "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text ELSE concat('SOURCE: https://example.org/', CAST(doc_id AS VARCHAR(20)), chr(10), 'RETRIEVED: 2026-10-01 22:44 UTC', chr(10), chr(10), text) END AS t FROM documents"
+
+
+@query("a3_header_texts", "SELECT doc_id, CASE WHEN doc_id % 5 <> 0 THEN 'https://example.org/' || doc_id END AS source_url, CASE WHEN doc_id % 5 <> 0 THEN sha256(text) END AS body_sha256, doc_id % 5 <> 0 AS valid FROM documents")
+def a3(spark: SparkSession, sf: str) -> DataFrame:
+    h = on_tables(spark, sf, HEADED).select("doc_id", R.parse_header(F.col("t")).alias("h"))
+    return h.select("doc_id", "h.source_url", F.sha2("h.body", 256).alias("body_sha256"), "h.valid")
+
+
+@query("a4_manifest_time", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%MZ') AS at FROM events")
+def a4(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", R.manifest_time(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm"), F.lit(" UTC"))).alias("at"))
+
+
+@query("a5_availability", "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'supplied_text' WHEN doc_id % 2 = 0 THEN 'capture_failed' ELSE 'link_only' END AS kind FROM documents")
+def a5(spark: SparkSession, sf: str) -> DataFrame:
+    file = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("D"), "doc_id")).otherwise("")
+    status = F.when(F.col("doc_id") % 2 == 0, "manual: blocked").otherwise("link-only")
+    return table(spark, sf, "documents").select("doc_id", R.availability(file, status).alias("kind"))
+
+
+@query("a6_source_lookup", "SELECT d.doc_id, sha256(d.text) AS body_sha256, l.quality IS NOT NULL AS in_manifest FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def a6(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("body_sha256"))
+    m = table(spark, sf, "labels").select("doc_id", F.lit(True).alias("in_manifest"))
+    return d.join(m, "doc_id", "left").fillna(False, ["in_manifest"])
+
+
+both("a7_supplied_documents", "SELECT doc_id, source, n_chars FROM documents WHERE n_chars > 0 AND lang = 'en'")
+
+
+@query("a8_unwrap_rules", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE [event_type, 'x'] END AS rules FROM events")
+def a8(spark: SparkSession, sf: str) -> DataFrame:
+    items = F.concat(F.lit('["'), "event_type", F.lit('","x"]'))
+    k = F.col("event_id") % 3
+    payload = F.when(k == 0, items).when(k == 1, F.concat(F.lit('{"rules":'), items, F.lit("}"))).otherwise(F.lit('{"other":1}'))
+    rows = table(spark, sf, "events").select("event_id", R.unwrap_rules(payload).alias("r"))
+    return rows.select("event_id", F.transform("r", lambda x: F.replace(x, F.lit('"'), F.lit(""))).alias("rules"))
+
+
+@query("a9_cached_batch", "SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN 'miss' WHEN s_suppkey % 10 = 0 THEN 'corrupt' ELSE 'hit' END AS status FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey")
+def a9(spark: SparkSession, sf: str) -> DataFrame:
+    requests = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), R.cache_key(F.col("c_custkey").alias("k")).alias("key"))
+    s = table(spark, sf, "supplier")
+    cache = s.select(R.cache_key(F.col("s_suppkey").alias("k")).alias("key"), F.col("s_name").alias("response"), F.when(F.col("s_suppkey") % 10 == 0, F.lit("damaged")).otherwise(F.sha2("s_name", 256)).alias("digest"))
+    return R.cached(requests, cache).select("id", "status")
+
+
+both("a10_point_lookup", "SELECT c_custkey, n_name AS area FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2")
+both("a11_candidate_listing", "SELECT c_custkey, s_suppkey AS candidate FROM customer JOIN supplier ON s_nationkey = c_nationkey WHERE c_custkey % 3 = 0")
+
+
+@query(
+    "a12_batch_reconciliation",
+    "SELECT CAST(coalesce(c.c_custkey, s.k) AS VARCHAR) AS id, CASE WHEN c.c_custkey IS NULL THEN 'not submitted' WHEN s.k IS NULL THEN 'missing' WHEN s.k % 7 = 0 THEN 'unknown indicator' WHEN s.k % 3 = 0 AND s.k % 5 = 0 THEN 'malformed match' END AS problem "
+    "FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT o_custkey AS k FROM orders GROUP BY 1) s ON s.k = c.c_custkey",
+)
+def a12(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_custkey")
+    match = F.when(k % 7 == 0, "Odd").when(k % 3 == 0, "Match").otherwise("No_Match")
+    line = F.concat_ws(",", k.cast("string"), match, F.lit("06"), F.when(k % 5 == 0, "").otherwise("075"), F.lit("0101"))
+    rows = table(spark, sf, "orders").select("o_custkey").distinct().select(line.alias("line"))
+    sent = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.lit(True).alias("sent"))
+    return R.parse_batch(rows, sent).select("id", "problem")
+
+
+@query("a13_cache_key", "SELECT p_partkey, sha256('{\"a\":\"' || p_brand || '\",\"b\":' || CASE WHEN p_size > 25 THEN 'null' ELSE CAST(p_size AS VARCHAR) END || '}') AS key FROM part")
+def a13(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "part").select("p_partkey", R.cache_key(F.col("p_brand").alias("a"), F.when(F.col("p_size") <= 25, F.col("p_size")).alias("b")).alias("key"))
+
+
+@query("a16_prompts", "SELECT conv_id, '# ' || conv_id || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS prompt, sha256('# ' || conv_id || chr(10) || string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS identity FROM conversations GROUP BY conv_id")
+def a16(spark: SparkSession, sf: str) -> DataFrame:
+    said = F.array_sort(F.collect_list(F.struct("turn", F.concat("role", F.lit(": "), "text").alias("s"))))
+    g = table(spark, sf, "conversations").groupBy("conv_id").agg(said.alias("l"))
+    p = g.select("conv_id", R.prompt(F.col("conv_id").cast("string"), F.transform("l", lambda x: x["s"])).alias("prompt"))
+    return p.withColumn("identity", F.sha2("prompt", 256))
+
+
+@query("a17_request_identity", "SELECT conv_id, sha256('[' || string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) || ']') AS identity FROM conversations GROUP BY 1")
+def a17(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("turn"))), 256).alias("identity"))
+
+
+@query("b1_json_sink", f"WITH {pair_ctes()} SELECT address_id, rule_id, result FROM outcome WHERE result IS NOT NULL")
+def b1(spark: SparkSession, sf: str) -> DataFrame:
+    from .aggregates import found
+
+    path = shared_folder(spark)
+    S.write_json(found(spark, sf, AS_OF).where("result IS NOT NULL").select("address_id", "rule_id", "result"), path)
+    return spark.read.schema("address_id long, rule_id string, result string").json(path)
+
+
+@query("b2_csv_sink", f"WITH {pair_ctes()} SELECT address_id, rule_id, replace(reasons, ',', ';') AS reasons FROM outcome")
+def b2(spark: SparkSession, sf: str) -> DataFrame:
+    from .aggregates import found
+
+    path = shared_folder(spark)
+    S.write_csv(S.csv_rows(found(spark, sf).select("address_id", "rule_id", "reasons"), ["reasons"]), path)
+    return R.read_csv(spark, path, ["address_id", "rule_id", "reasons"]).withColumn("address_id", F.col("address_id").cast("long"))
+
+
+@query("b3_lookup_documents", f"WITH {pair_ctes()} SELECT address_id, '[' || string_agg('{{\"rule_id\":\"' || rule_id || '\",\"result\":\"' || result || '\"}}', ',' ORDER BY rule_id) || ']' AS entries FROM outcome WHERE result IS NOT NULL GROUP BY 1")
+def b3(spark: SparkSession, sf: str) -> DataFrame:
+    from .aggregates import found
+
+    return S.lookup_documents(found(spark, sf).where("result IS NOT NULL"), "address_id", "rule_id", ["rule_id", "result"])
+
+
+@query("b4_dictionary_codes", "SELECT props, row_number() OVER (ORDER BY f, props) - 1 AS code FROM (SELECT props, min(event_id) AS f FROM events GROUP BY 1)")
+def b4(spark: SparkSession, sf: str) -> DataFrame:
+    return S.dictionary_encode(table(spark, sf, "events"), "props", "event_id")
+
+
+SECRETS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "aws_key": r"AKIA[0-9A-Z]{16}", "address": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"}
+LEAK = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{k}' END" for k, p in SECRETS.items())
+
+
+@query("b5_submission_check", f"SELECT doc_id, kinds, sha256(text) AS sha256 FROM (SELECT *, concat_ws(',', {LEAK}) AS kinds FROM documents) WHERE kinds <> ''")
+def b5(spark: SparkSession, sf: str) -> DataFrame:
+    found = S.leaks(table(spark, sf, "documents").select("doc_id", "text"), "text", SECRETS)
+    return found.select("doc_id", F.array_join("leaks", ",").alias("kinds"), F.sha2("text", 256).alias("sha256"))
+
+
+@query("b6_superseding_write", "SELECT d.doc_id AS key, CASE WHEN l.doc_id IS NULL THEN 'write' WHEN l.toxic = 1 THEN 'version' ELSE 'keep' END AS action FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def b6(spark: SparkSession, sf: str) -> DataFrame:
+    new = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").cast("string").alias("identity"))
+    old = table(spark, sf, "labels").select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 1, "other").otherwise(F.col("doc_id").cast("string")).alias("identity"))
+    return S.superseding(old, new).select("key", "action")

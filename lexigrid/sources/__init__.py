@@ -1,0 +1 @@
+"""Readers: strings as they are, documents with headers, cached responses."""
