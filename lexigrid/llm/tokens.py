@@ -32,11 +32,12 @@ class Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(key) <= self.longest:
-            if len(self) >= self.size:
-                self.old = dict(self)
-                self.clear()
-            self[key] = value
+            if len(key) > self.longest:
+                return value
+        self[key] = value
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
         return value
 
 
@@ -47,19 +48,21 @@ def pattern(source: str):
 
 
 class TextEncoder:
-    """ids(text): little-endian 32-bit ids as bytes. piece_ids(str) encodes one match of the pattern."""
+    """ids(text): little-endian 32-bit ids as bytes. piece_ids(str) encodes one match of the pattern; word_ids(str), if given, one that
+    is a space and the letters of word."""
 
-    def __init__(self, source: str, piece_ids: Callable[[str], list[int]], size: int = 100_000):
-        find = pattern(source).findall
-        pieces = Cache(lambda p: array("I", piece_ids(p)).tobytes(), size)
+    def __init__(self, source: str, piece_ids: Callable[[str], list[int]], size: int = 200_000, word_ids: Callable[[str], list[int]] | None = None):
+        find, word_ids = pattern(source).findall, word_ids or (lambda word: piece_ids(" " + word))
+        pieces = Cache(lambda p: array("I", piece_ids(p)).tobytes(), size // 4)
         ends = {p: pieces[p] for p in (".", ",")}
         self.first = lambda part: b"".join([pieces[p] for p in find(part)])
 
         def rest(part: str) -> bytes:
             if part.isalpha():  # letters only: one match with the space before it
-                return pieces[" " + part]
-            if part[-1:] in ends and part[:-1].isalpha():
-                return pieces[" " + part[:-1]] + ends[part[-1]]
+                return array("I", word_ids(part)).tobytes()
+            end = ends.get(part[-1:])
+            if end and part[:-1].isalpha():
+                return self.rest[part[:-1]] + end
             return b"".join([pieces[p] for p in find(" " + part)])
 
         self.rest = Cache(rest, size)
@@ -88,11 +91,14 @@ def json_encoder(path: str) -> TextEncoder:
 
         model = Tokenizer.from_file(path).model
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        table = dict(zip(visible, map(chr, visible), strict=True))
-        table |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in table)}
+        table = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(visible)))}
 
         def piece_ids(piece: str) -> list[int]:
             return [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(table))]
 
-        _ENCODERS[path] = TextEncoder(public_tokenizers.PATTERN, piece_ids)
+        def word_ids(word: str) -> list[int]:
+            return [t.id for t in tokenize(space + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(table))]
+
+        tokenize, space = model.tokenize, table[32]
+        _ENCODERS[path] = TextEncoder(public_tokenizers.PATTERN, piece_ids, word_ids=word_ids)
     return _ENCODERS[path]
