@@ -21,6 +21,9 @@ from .tokens import ID, TextEncoder, public_file
 
 
 
+_BYTES = [bytes([b]) for b in range(256)]
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
@@ -52,18 +55,16 @@ class Transducer:
         self.reset()
 
     def reset(self) -> None:
-        self.numbers: dict[tuple[int, bytes], int] = {}
+        self.numbers: dict[tuple[int, bytes], int] = {}  # of states after an emission, by last token and pending bytes
         self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte: the next state, what is emitted
-        self.states: list[tuple[int, bytes, list[int], list[int], list[int]]] = []  # last emitted token, bytes after it, for each end in them the last token and where it begins, ends that a token can continue
+        self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...], list[int]]] = []  # last emitted token, bytes after it, for each end in them the last token and where it begins, ends that a token can continue
         self.ends: list[tuple[int, ...] | None] = []
-        self.state(-1, b"", [-1], [-1], [0])
+        self.state(-1, b"", (-1,), (-1,), [0])
 
-    def state(self, before: int, pending: bytes, last: list[int], begins: list[int], live: list[int]) -> int:
-        number = self.numbers.setdefault((before, pending), len(self.ends))
-        if number == len(self.ends):
-            self.states.append((before, pending, last, begins, live))
-            self.ends.append(None)
-        return number
+    def state(self, before: int, pending: bytes, last: tuple[int, ...], begins: tuple[int, ...], live: list[int]) -> int:
+        self.states.append((before, pending, last, begins, live))
+        self.ends.append(None)
+        return len(self.ends) - 1
 
     def parts(self, token: int) -> tuple[int, int] | None:
         if token not in self.made_of:
@@ -98,34 +99,41 @@ class Transducer:
 
     def step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, pending, last, begins, live = self.states[number]
-        pending += bytes([byte])
-        n, ranks = len(pending), self.ranks
-        token, begin = -1, -1
+        pending += _BYTES[byte]
+        n, ranks, beginnings = len(pending), self.ranks, self.beginnings
+        token, begin, still = -1, -1, []
         for at in live:
-            found = ranks.get(pending[at:], -1)
-            if found >= 0 and self.parts(found) and (at == 0 and before < 0 or self.fits(last[at], found)):
-                token, begin = found, at
-                break
-        last, begins = [*last, token], [*begins, begin]
-        live = [at for at in live if pending[at:] in self.beginnings]
+            end = pending[at:] if at else pending
+            if token < 0:
+                found = ranks.get(end, -1)
+                if found >= 0 and (self.made_of[found] if found in self.made_of else self.parts(found)) and (at == 0 and before < 0 or self.fits(last[at], found)):
+                    token, begin = found, at
+            if end in beginnings:
+                still.append(at)
+        last, begins = (*last, token), (*begins, begin)
         if token >= 0:
-            live.append(n)
+            still.append(n)
         # the last position that lies on all chains which a token can still continue; a piece that is itself a token counts as one
-        cut = n if token >= 0 else live[0]
-        for p in [0, *live] if before < 0 and pending in ranks else live:
+        cut = still[-1]
+        for p in [0, *still] if before < 0 and pending in ranks else still:
             while cut != p:
                 if cut > p:
                     cut = begins[cut]
                 else:
                     p = begins[p]
+        if not cut:
+            found = self.next[number << 8 | byte] = (self.state(before, pending, last, begins, still), ())
+            return found
         emitted: list[int] = []
         at = cut
         while at > 0:
             emitted.append(last[at])
             at = begins[at]
-        if cut:
-            before, pending, last, begins, live = last[cut], pending[cut:], last[cut:], [-1, *(b - cut for b in begins[cut + 1 :])], [p - cut for p in live if p >= cut]
-        found = self.next[number << 8 | byte] = (self.state(before, pending, last, begins, live), tuple(reversed(emitted)))
+        key = (last[cut], pending[cut:])
+        to = self.numbers.get(key)
+        if to is None:
+            to = self.numbers[key] = self.state(key[0], key[1], last[cut:], (-1, *[b - cut for b in begins[cut + 1 :]]), [p - cut for p in still if p >= cut])
+        found = self.next[number << 8 | byte] = (to, tuple(reversed(emitted)))
         return found
 
     def end(self, number: int) -> tuple[int, ...]:
