@@ -10,6 +10,7 @@ and transitions are made when first met and kept in a bounded table.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left
 
 import numpy as np
 
@@ -52,9 +53,13 @@ class Transducer:
         self.longest = max(map(len, ranks))
         self.made_of: dict[int, tuple[int, int] | None] = {}  # by id: what its last merge joined; itself twice for one byte; None if no merges reach it
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.in_order = sorted(ranks)
+        self.ranks_after: dict[bytes, list[int]] = {}  # by beginning of a token: bounded by the vocabulary
         self.reset()
 
     def reset(self) -> None:
+        self.alike: dict[int, int] = {}
+        self.first_with: dict[tuple, int] = {}
         self.numbers: dict[tuple[int, bytes], int] = {}  # of states after an emission, by last token and pending bytes
         self.next: dict[int, tuple[int, tuple[int, ...]]] = {}  # by state * 256 + byte: the next state, what is emitted
         self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...], list[int]]] = []  # last emitted token, bytes after it, for each end in them the last token and where it begins, ends that a token can continue
@@ -97,6 +102,34 @@ class Transducer:
         self.pairs[a, b] = ok
         return ok
 
+    def extending(self, whole: bytes, n: int) -> list[int]:
+        """The ranks of the tokens that begin with whole, and of what they are after n bytes, in order."""
+        if whole not in self.ranks_after:
+            lo, hi = bisect_left(self.in_order, whole), bisect_left(self.in_order, whole + b"\xff" * self.longest)
+            found = self.in_order[lo:hi]
+            self.ranks_after[whole] = sorted({self.ranks[t] for t in found} | {self.ranks[t[n:]] for t in found if t[n:] in self.ranks})
+        return self.ranks_after[whole]
+
+    def like(self, token: int, byte: int) -> int:
+        """A token that allows and forbids the same neighbours that begin with byte; so that states which differ in the last token only are one.
+        What counts are the parts at the token's end that a token can extend by the byte, and which of those tokens' ranks come before the part is used up."""
+        found = self.alike.get(token << 8 | byte)
+        if found is None:
+            if len(self.alike) >= 300_000:
+                self.alike.clear()
+            marks, at, limit = [], token, None
+            while True:
+                whole = self.tokens[at] + _BYTES[byte]
+                if whole in self.beginnings or whole in self.ranks:
+                    ranks = self.extending(whole, len(self.tokens[at]))
+                    if count := len(ranks) if limit is None else bisect_left(ranks, limit):
+                        marks.append((at, count))
+                if len(self.tokens[at]) == 1:
+                    break
+                limit, at = at, self.parts(at)[1]
+            found = self.alike[token << 8 | byte] = self.first_with.setdefault((byte, *marks), token)
+        return found
+
     def step(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
         before, pending, last, begins, live = self.states[number]
         pending += _BYTES[byte]
@@ -121,7 +154,7 @@ class Transducer:
                     cut = begins[cut]
                 else:
                     p = begins[p]
-        if not cut:
+        if not cut and (n > 1 or before < 0):
             found = self.next[number << 8 | byte] = (self.state(before, pending, last, begins, still), ())
             return found
         emitted: list[int] = []
@@ -129,10 +162,11 @@ class Transducer:
         while at > 0:
             emitted.append(last[at])
             at = begins[at]
-        key = (last[cut], pending[cut:])
+        rest = pending[cut:]
+        key = (self.like(last[cut], rest[0]) if rest else last[cut], rest)
         to = self.numbers.get(key)
         if to is None:
-            to = self.numbers[key] = self.state(key[0], key[1], last[cut:], (-1, *[b - cut for b in begins[cut + 1 :]]), [p - cut for p in still if p >= cut])
+            to = self.numbers[key] = self.state(key[0], rest, (key[0], *last[cut + 1 :]), (-1, *[b - cut for b in begins[cut + 1 :]]), [p - cut for p in still if p >= cut])
         found = self.next[number << 8 | byte] = (to, tuple(reversed(emitted)))
         return found
 
