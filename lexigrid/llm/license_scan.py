@@ -2,9 +2,9 @@
 
 The model is trained on the driver from the templates below and from variations of them made by rule; no table is read for it. It has a class `unknown`,
 trained on sentences that talk of licences without granting one, and its temperature and threshold are calibrated on variations held out.
-Scoring is DataFrame functions only: documents and then lines without any of the model's n-grams are left out (their score is the
-intercept alone, which must name `unknown`; training checks it), the others' n-grams meet the weights in a broadcast join
-whose size is bounded by MOST_GRAMS, and lines are scored once for each distinct document.
+Scoring is DataFrame functions only. Every n-gram of the model has a telling word of four letters or more; documents, and then lines, without
+any of these words are left out: their score is the intercept alone, which must name `unknown` (training checks it). The others' n-grams meet
+the weights in a broadcast join whose size is bounded by MOST_GRAMS, and lines are scored once for each distinct document.
 """
 
 from __future__ import annotations
@@ -133,6 +133,12 @@ def grams(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1) if not COMMON.issuperset(words[i : i + n])]
 
 
+def telling(gram: str) -> str | None:
+    """The longest run of letters and digits in the words that aren't common, if it has four or more: a text without it lacks the n-gram."""
+    runs = [r for w in gram.split() if w not in COMMON for r in re.findall("[a-z0-9]+", w)]
+    return max((r for r in runs if len(r) >= 4), key=lambda r: (len(r), r), default=None)
+
+
 def variations(text: str) -> list[str]:
     """The sentence, its parts, and it with a name before it or with one word in seven or in eleven lost."""
     words = text.split()
@@ -171,31 +177,34 @@ def examples() -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
 def trained(rounds: int = 400, rate: float = 0.5, shrink: float = 2e-3) -> Model:
     """Softmax regression by proximal gradient descent with an L1 penalty, which leaves few weights."""
     fit, held = examples()
-    names = sorted(set(itertools.chain.from_iterable(set(grams(tokens(t))) for t, _ in fit)))
+    names = sorted(g for g in set(itertools.chain.from_iterable(set(grams(tokens(t))) for t, _ in fit)) if telling(g))
     if len(names) > MOST_GRAMS:
         raise ValueError("more n-grams than the bound")
     place, k = {g: i for i, g in enumerate(names)}, len(TEMPLATES) + 1
 
-    def matrix(rows: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
-        x, y = np.zeros((len(rows), len(names)), np.float32), np.eye(k, dtype=np.float32)[[c for _, c in rows]]
-        for i, (t, _) in enumerate(rows):
-            x[i, [place[g] for g in set(grams(tokens(t))) if g in place]] = 1
-        return x, y
+    def sparse(rows: list[tuple[str, int]]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The n-grams that each row holds, and its class; rows without any are left out."""
+        found = [(np.array(sorted({place[g] for g in set(grams(tokens(t))) if g in place}), np.int64), c) for t, c in rows]
+        return [x for x, _ in found if len(x)], np.eye(k)[[c for x, c in found if len(x)]]
 
     def softmax(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    x, y = matrix(fit)
-    w, b = np.zeros((len(names), k), np.float32), np.zeros(k, np.float32)
+    x, y = sparse(fit)  # every n-gram of names is held by a row
+    flat, row = np.concatenate(x), np.repeat(np.arange(len(x)), [len(i) for i in x])
+    starts = np.concatenate(([0], np.cumsum([len(i) for i in x])[:-1]))
+    order = np.argsort(flat, kind="stable")
+    firsts = np.concatenate(([0], np.flatnonzero(np.diff(flat[order])) + 1))
+    w, b = np.zeros((len(names), k)), np.zeros(k)
     b[-1] = 2.0  # fixed: without evidence the class is unknown
-    count = np.maximum(x.sum(axis=0), 1)[:, None]
+    count = np.bincount(flat, minlength=len(names))[:, None]
     for _ in range(rounds):
-        error = softmax(x @ w + b) - y
-        w -= rate * (x.T @ error) / count**0.5 / 4
+        error = softmax(np.add.reduceat(w[flat], starts) + b) - y
+        w -= rate * np.add.reduceat(error[row[order]], firsts) / count**0.5 / 4
         w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink, 0)
-    hx, hy = matrix(held)
-    z = hx @ w + b
+    hx, hy = sparse(held)
+    z = np.array([w[i].sum(axis=0) for i in hx]) + b
     temperature = min(np.geomspace(0.25, 4, 41), key=lambda t: -np.log(np.maximum((softmax(z / t) * hy).sum(axis=1), 1e-12)).sum())
     p = softmax(z / temperature)
     wrong = [float(r[c]) for r, c, true in zip(p, p.argmax(axis=1), hy.argmax(axis=1), strict=True) if c != k - 1 and c != true]
@@ -223,10 +232,14 @@ def _grams_of(words: Column) -> Column:
     return F.array_distinct(F.concat(of(2), of(3)))
 
 
-def _words(text: Column) -> Column:
+def _lower(text: Column) -> Column:
     from .line_quality import _LETTERS
 
-    return F.regexp_extract_all(F.translate(text, _LETTERS, _LETTERS.lower()), F.lit(_TOKEN), F.lit(0))
+    return F.translate(text, _LETTERS, _LETTERS.lower())
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(_lower(text), F.lit(_TOKEN), F.lit(0))
 
 
 def _let(value: Column, f) -> Column:
@@ -244,11 +257,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     spark, k = docs.sparkSession, len(model.families)
     sums = [f"w{i}" for i in range(k)]
     weights = spark.createDataFrame([(g, *map(float, w)) for g, w in zip(model.grams, model.weights, strict=True)], "gram string, " + ", ".join(f"{c} double" for c in sums))
-    # words of licences that a text must hold in order to hold one of their n-grams: every n-gram has such a word, so nothing is lost
-    rare = sorted({max((w for w in g.split() if w not in COMMON), key=len) for g in model.grams})
-    rare_words = F.array(*(F.lit(w) for w in rare))
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line", "paragraph"))
-    lines = lines.withColumn("words", _words(F.col("paragraph"))).where(F.arrays_overlap("words", rare_words))
+    told = F.array(*(F.lit(w) for w in sorted({telling(g) for g in model.grams})))
+
+    def may_hold(text: Column) -> Column:
+        return F.arrays_overlap(F.split(_lower(text), "[^a-z0-9]+"), told)
+
+    near = docs.where(may_hold(F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line", "paragraph"))
+    lines = near.where(may_hold(F.col("paragraph"))).withColumn("words", _words(F.col("paragraph")))
     found = lines.withColumn("grams", _gram_column(F.col("words")))
     hits = found.select("doc_id", "th", "line", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
     scored = hits.dropDuplicates(["doc_id", "th", "line", "gram"]).groupBy("doc_id", "th", "line").agg(F.first("paragraph").alias("paragraph"), *(F.sum(c).alias(c) for c in sums))
