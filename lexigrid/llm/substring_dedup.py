@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, in_steps, plan_bytes, rounds_of, table
+from .common import arrow_schema, in_steps, rounds_of, table, text_bytes
 
 WINDOW = 20
 #: Windows that a task holds before it deals them out.
@@ -254,7 +254,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     carried = [c for c in docs.columns if c not in taken]
     plain = [c for c in carried if c != text_col]
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("__text"), F.struct(*plain).alias("__row"))
-    buckets = rounds_of(plan_bytes(docs), bucket_bytes)
+    buckets = rounds_of(text_bytes(docs, text_col), bucket_bytes)
     dealt = rows.select("k", "th", "__text").mapInArrow(_deal(window, buckets, block), DEALT)
     answers = dealt.groupBy("bucket").applyInArrow(_count(buckets), PACKED).groupBy("part").applyInArrow(_gather(), ANSWER)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)

@@ -131,8 +131,10 @@ def test_op7_on_odd_rows(spark):
 
 
 def test_op7_removes_lines_of_a_host(spark):
-    own = lambda i: " ".join(f"own{i}x{j}" for j in range(25))
-    shared = "Subscribe TO our  list 12 now " + "and more " * 12
+    def own(i):
+        return " ".join("own" + "".join(chr(97 + int(c)) for c in f"{i}") + chr(97 + j) for j in range(25))
+
+    shared = "Subscribe TO our  list 12 now " + " ".join("more" + chr(97 + j) for j in range(20))
     rows = [(i, f"{own(i)}\n{shared}" if i % 2 else f"{shared.replace('12', '34')}\nx{i}", "hot") for i in range(80)]
     rows += [(100 + i, f"{own(i)}\n{shared}", f"host{i}") for i in range(60)] + [(200 + i, own(999), "hot") for i in range(200)] + [(500, shared, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
