@@ -92,7 +92,7 @@ def f6(spark: SparkSession, sf: str) -> DataFrame:
     return found(spark, sf).groupBy("address_id").pivot("result", list(STATES)).agg(F.count("rule_id")).fillna(0)
 
 
-both("f7_conditional_sums", "SELECT l_returnflag, count(CASE WHEN l_discount > 0.05 THEN 1 END) AS high, sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS finished, count(*) AS n FROM lineitem GROUP BY l_returnflag")
+both("f7_conditional_sums", "SELECT l_returnflag, count(CASE WHEN l_discount > 0.05 THEN 1 END) AS high, CAST(sum(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS finished, count(*) AS n FROM lineitem GROUP BY l_returnflag")
 
 
 @query("f8_cost_statistics", "SELECT o_orderstatus, round(avg(o_totalprice), 4) AS mean, round(median(o_totalprice), 4) AS middle, max(o_totalprice) AS most FROM orders GROUP BY 1")

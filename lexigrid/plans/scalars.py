@@ -10,7 +10,7 @@ from ..functions import dates as D
 from ..functions import facts as X
 from ..functions import places as P
 from ..functions import text as T
-from ..registry import on_tables, query, table
+from ..registry import listed, on_tables, query, table
 from .inputs import values
 from .rule_sql import q
 
@@ -83,7 +83,7 @@ def d9(spark: SparkSession, sf: str) -> DataFrame:
 CLAIMS = "SELECT o_orderkey AS k, 'Rent of $' || CAST(CAST(floor(o_totalprice) AS INT) AS VARCHAR(12)) || ' rises ' || CAST(o_orderkey % 9 + 1 AS VARCHAR(3)) || ' percent after ' || CAST(o_custkey % 40 + 2 AS VARCHAR(4)) || ' days' AS claim FROM orders"
 
 
-@query("d10_figures", "SELECT k, list_sort(['money:' || CAST(p AS VARCHAR), 'percent:' || pc, 'day:' || dy]) AS figures FROM (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS INT) AS p, o_orderkey % 9 + 1 AS pc, o_custkey % 40 + 2 AS dy FROM orders)")
+@listed("d10_figures", "figures", "SELECT k, list_sort(['money:' || CAST(p AS VARCHAR), 'percent:' || pc, 'day:' || dy]) AS figures FROM (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS INT) AS p, o_orderkey % 9 + 1 AS pc, o_custkey % 40 + 2 AS dy FROM orders)")
 def d10(spark: SparkSession, sf: str) -> DataFrame:
     return on_tables(spark, sf, CLAIMS).select("k", F.array_sort(T.figures(F.col("claim"))).alias("figures"))
 
@@ -97,13 +97,13 @@ def d11(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("phrase", T.phrase_value(F.col("phrase")).alias("n"))
 
 
-@query("d12_unsupported_figures", "SELECT o_orderkey AS k, CASE WHEN (o_orderkey % 9 + 1) = 3 THEN [] ELSE ['percent:' || (o_orderkey % 9 + 1)] END AS unsupported FROM orders")
+@listed("d12_unsupported_figures", "unsupported", "SELECT o_orderkey AS k, CASE WHEN (o_orderkey % 9 + 1) = 3 THEN [] ELSE ['percent:' || (o_orderkey % 9 + 1)] END AS unsupported FROM orders")
 def d12(spark: SparkSession, sf: str) -> DataFrame:
     claim = F.concat(F.lit("rises "), (F.col("o_orderkey") % 9 + 1).cast("string"), F.lit("% in 5 days"))
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.array_except(T.figures(claim), T.figures(F.lit("3 percent within 5 days"))).alias("unsupported"))
 
 
-@query("d13_calendar_dates", "SELECT o_orderkey AS k, [CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 40] AS dates FROM orders")
+@listed("d13_calendar_dates", "dates", "SELECT o_orderkey AS k, [CAST(o_orderdate AS DATE), CAST(o_orderdate AS DATE) + 40] AS dates FROM orders")
 def d13(spark: SparkSession, sf: str) -> DataFrame:
     d = F.to_date("o_orderdate")
     later = F.date_add(d, 40)
@@ -121,7 +121,7 @@ def d14(spark: SparkSession, sf: str) -> DataFrame:
     return on_tables(spark, sf, REFS_SPARK).select("conv_id", "turn", F.array_join(T.ref_tokens(F.concat(F.lit("Section "), F.col("ref"))), ",").alias("tokens"))
 
 
-@query("d15_expand_ranges", "SELECT conv_id, turn, list_transform(range(0, turn % 5 + 1), lambda i: '§ 9(' || chr(CAST(97 + i AS INT)) || ')') AS refs FROM conversations")
+@listed("d15_expand_ranges", "refs", "SELECT conv_id, turn, list_transform(range(0, turn % 5 + 1), lambda i: '§ 9(' || chr(CAST(97 + i AS INT)) || ')') AS refs FROM conversations")
 def d15(spark: SparkSession, sf: str) -> DataFrame:
     ref = F.concat(F.lit("§ 9(a)-("), F.char((97 + F.col("turn") % 5).cast("int")), F.lit(")"))
     return table(spark, sf, "conversations").select("conv_id", "turn", T.expand_range(ref).alias("refs"))
@@ -234,7 +234,7 @@ def d25(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", X.use_class(d, F.when(k == 2, F.lit("Apartments (class 4C)"))).alias("use_class"))
 
 
-@query("d26_split_clauses", "SELECT o_orderkey AS k, ['When a; b applies', 'Units of ' || o_orderstatus, 'End'] AS clauses FROM orders")
+@listed("d26_split_clauses", "clauses", "SELECT o_orderkey AS k, ['When a; b applies', 'Units of ' || o_orderstatus, 'End'] AS clauses FROM orders")
 def d26(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.conditions import split_clauses
 
@@ -310,7 +310,7 @@ NORMATIVE = r"(?i)\b(?:shall|must|may\s+only|may\s+not|no\s+\w+\s+may|prohibited
 @query("d36_text_signals", f"SELECT conv_id, turn, len(regexp_extract_all(t, {q(NORMATIVE)})) AS normative, regexp_matches(t, '(?i)\\bmeans\\b') AS glossary FROM (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' A landlord shall not, and must never. Rent means cost' ELSE '' END AS t FROM conversations)")
 def d36(spark: SparkSession, sf: str) -> DataFrame:
     t = F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit(" A landlord shall not, and must never. Rent means cost")).otherwise(F.lit("")))
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_count(t, F.lit(NORMATIVE)).alias("normative"), t.rlike(r"(?i)\bmeans\b").alias("glossary"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_count(t, F.lit(NORMATIVE)).cast("long").alias("normative"), t.rlike(r"(?i)\bmeans\b").alias("glossary"))
 
 
 @query("d37_boundary_levels")
@@ -353,7 +353,7 @@ def d42(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.cost(F.col("l_quantity") * 4, out, F.lit(None)).alias("cost"))
 
 
-@query("d43_statute_keys", "SELECT s_suppkey, ['ca-civ-' || (1900 + s_suppkey % 90), 'ca-civ-' || (1950 + s_suppkey % 7)] AS keys FROM supplier")
+@listed("d43_statute_keys", "keys", "SELECT s_suppkey, ['ca-civ-' || (1900 + s_suppkey % 90), 'ca-civ-' || (1950 + s_suppkey % 7)] AS keys FROM supplier")
 def d43(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions.scope import statute_keys
 

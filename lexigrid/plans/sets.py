@@ -125,6 +125,6 @@ def h13(spark: SparkSession, sf: str) -> DataFrame:
 
 both(
     "h14_duplicate_audit",
-    "SELECT kind, count(*) AS clusters, sum(n) AS members FROM (SELECT 'same_text' AS kind, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1 UNION ALL SELECT 'same_conversation_turn', count(*) FROM conversations GROUP BY text HAVING count(*) > 1 UNION ALL SELECT 'same_price', count(*) FROM part GROUP BY p_retailprice HAVING count(*) > 1 "
+    "SELECT kind, count(*) AS clusters, CAST(sum(n) AS BIGINT) AS members FROM (SELECT 'same_text' AS kind, count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1 UNION ALL SELECT 'same_conversation_turn', count(*) FROM conversations GROUP BY text HAVING count(*) > 1 UNION ALL SELECT 'same_price', count(*) FROM part GROUP BY p_retailprice HAVING count(*) > 1 "
     "UNION ALL SELECT 'same_customer_day', count(*) FROM orders GROUP BY o_custkey, CAST(o_orderdate AS DATE) HAVING count(*) > 1) x GROUP BY kind",
 )

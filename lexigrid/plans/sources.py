@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
-from ..registry import both, on_tables, query, table
+from ..registry import both, listed, on_tables, query, table
 from ..sources import readers as R
 from ..sources import sinks as S
 from .inputs import AS_OF
@@ -60,7 +60,7 @@ def a6(spark: SparkSession, sf: str) -> DataFrame:
 both("a7_supplied_documents", "SELECT doc_id, source, n_chars FROM documents WHERE n_chars > 0 AND lang = 'en'")
 
 
-@query("a8_unwrap_rules", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE [event_type, 'x'] END AS rules FROM events")
+@listed("a8_unwrap_rules", "rules", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE [event_type, 'x'] END AS rules FROM events")
 def a8(spark: SparkSession, sf: str) -> DataFrame:
     items = F.concat(F.lit('["'), "event_type", F.lit('","x"]'))
     k = F.col("event_id") % 3

@@ -26,6 +26,20 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def listed(name: str, column: str, sql: str) -> Callable[[Query], Query]:
+    """A query with a list column, which is compared as text."""
+    from pyspark.sql import functions as F
+
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, sf_dir).withColumn(column, F.array_join(F.col(column).cast("array<string>"), "|"))
+
+        query(name, f"SELECT * REPLACE (array_to_string(CAST({column} AS VARCHAR[]), '|') AS {column}) FROM ({sql})")(run)
+        return f
+
+    return add
+
+
 def both(name: str, sql: str) -> None:
     """A query whose statement is plain SQL that either engine takes."""
 
