@@ -74,8 +74,11 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     are kept; new ones replace those of the same name.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", "depleted", "kept", "kept_text"]
-    carried = [c for c in docs.columns if c not in made]
-    text, host = F.coalesce(F.col(text_col), F.lit("")), F.col(host_col)
+    # names of this function's own, so that no column of docs can clash with them
+    own = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    docs, carried = docs.toDF(*own.values()), [own[c] for c in own if c not in made]
+    whole, host = F.col(own[text_col]), F.col(own[host_col])
+    text = F.coalesce(whole, F.lit(""))
     mark = F.xxhash64(host.isNull(), host, text).alias("__th")
 
     lines = docs.select(mark, host.alias("__host"), F.array_distinct(normal_lines(text)).alias("__lines"))
@@ -99,9 +102,11 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     gone = F.when(F.col("__often").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate("__keys", F.lit(0).cast("long"), lambda acc, x: acc + F.when(F.array_contains("__often", x["key"]), x["n"]).otherwise(0)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     met = met.withColumn("removed_chars", gone).withColumn("base_failed", failed).withColumn("depleted", F.col("removed_chars") * 2 > F.col("word_chars"))
-    stays = F.filter(F.split(F.col(text_col), "\n"), lambda x: F.size(F.filter(F.transform(normal_lines(x), lambda y: _key(host, y)), lambda y: F.array_contains("__often", y))) == 0)
-    kept_text = F.when(F.col("__often").isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
-    return met.select(*carried, *made[:6], "removed_chars", "depleted", (~F.col("base_failed") & ~F.col("depleted")).alias("kept"), kept_text.alias("kept_text"))
+    stays = F.filter(F.split(whole, "\n"), lambda x: F.size(F.filter(F.transform(normal_lines(x), lambda y: _key(host, y)), lambda y: F.array_contains("__often", y))) == 0)
+    kept_text = F.when(F.col("__often").isNull(), whole).otherwise(F.array_join(stays, "\n"))
+    kept = ~F.col("base_failed") & ~F.col("depleted")
+    out = met.select(*carried, *made[:6], "removed_chars", "depleted", kept.alias("kept"), kept_text.alias("kept_text"))
+    return out.toDF(*(c for c in own if c not in made), *made)
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

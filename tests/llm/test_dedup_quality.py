@@ -128,6 +128,9 @@ def test_op7_on_odd_rows(spark):
     assert sorted((str(r.text), r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == sorted((str(t), *plain_quality(t)) for _, t, *_ in ODD)
     assert all(r.kept_text == r.text for r in got)
     assert line_quality.assess(df.limit(0)).count() == 0
+    clash = df.withColumnsRenamed({"lang": "__th", "n_chars": "kept"})
+    out = line_quality.assess(clash.withColumn("__often", clash["source"]))
+    assert out.columns[:4] == ["doc_id", "text", "__th", "source"] and out.columns.count("kept") == 1 and out.where("kept").count() == sum(r.kept for r in got)
 
 
 def test_op7_removes_lines_of_a_host(spark):
