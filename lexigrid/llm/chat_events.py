@@ -172,3 +172,19 @@ def op4_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return digest(format_messages(fold(as_events(turns.unionByName(own)))))
+
+
+def _length_sql(column: str) -> str:
+    """Characters of an escaped text: one more for each backslash and each control string."""
+    found = "|".join(re.sub(r"([|\[\]])", r"\\\1", c) for c in CONTROL)
+    return f"length({column}) + len(regexp_extract_all({column}, '\\\\')) + len(regexp_extract_all({column}, '{found}'))"
+
+
+OP4_SQL = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, turn, role, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum({len(START + TEXT + END) + 1} + {_length_sql("role")} + {_length_sql("text")})::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""

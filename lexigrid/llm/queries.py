@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bfd_packing import op1_bfd_packing
 from .bpe_fst import op10_bpe_fst
-from .chat_events import op4_chat_events
+from .chat_events import OP4_SQL, op4_chat_events
 from .license_scan import op3_license_scan
 from .line_quality import OP7_SQL, op7_line_quality
 from .ogg_media import op2_ogg_media
 from .pow2_packing import op5_pow2_packing
 from .simhash_gph import op9_simhash_gph
-from .substring_dedup import op6_substring_dedup
+from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .tier_compaction import OP8_SQL, op8_tier_compaction
 
 
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_quality": OP7_SQL, "op8_tier_compaction": OP8_SQL}
+    return {"op4_chat_events": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_line_quality": OP7_SQL, "op8_tier_compaction": OP8_SQL}

@@ -148,11 +148,12 @@ def test_op7_removes_lines_of_a_host(spark):
     assert got[500].removed_chars == 0
 
 
-@pytest.mark.parametrize("name", ["op7_line_quality", "op8_tier_compaction"])
+@pytest.mark.parametrize("name", ["op4_chat_events", "op6_substring_dedup", "op7_line_quality", "op8_tier_compaction"])
 def test_against_sql(spark, sf, name):
     df = queries()[name](spark, sf)
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cur = con.execute(oracle_sql()[name])
     names = [d[0] for d in cur.description]
     assert sorted(tuple(r[c] for c in names) for r in df.collect()) == sorted(cur.fetchall())
