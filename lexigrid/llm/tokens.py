@@ -51,7 +51,7 @@ class TextEncoder:
     """ids(text): little-endian 32-bit ids as bytes. piece_ids(str) encodes one match of the pattern; word_ids(str), if given, one that
     is a space and the letters of word."""
 
-    def __init__(self, source: str, piece_ids: Callable[[str], list[int]], size: int = 120_000, word_ids: Callable[[str], list[int]] | None = None):
+    def __init__(self, source: str, piece_ids: Callable[[str], list[int]], size: int = 200_000, word_ids: Callable[[str], list[int]] | None = None):
         find, word_ids = pattern(source).findall, word_ids or (lambda word: piece_ids(" " + word))
         pieces = Cache(lambda p: array("I", piece_ids(p)).tobytes(), size // 4)
         ends = {p: pieces[p] for p in (".", ",")}
@@ -100,5 +100,5 @@ def json_encoder(path: str) -> TextEncoder:
             return [t.id for t in tokenize(space + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(table))]
 
         tokenize, space = model.tokenize, table[32]
-        _ENCODERS[path] = TextEncoder(public_tokenizers.PATTERN, piece_ids, word_ids=word_ids)
+        _ENCODERS[path] = TextEncoder(public_tokenizers.PATTERN, piece_ids, size=120_000, word_ids=word_ids)
     return _ENCODERS[path]
