@@ -73,8 +73,8 @@ def hashed(text: str | None, window: int, buckets: int) -> tuple[list[bytes], np
     return words, a >> np.uint64(8), ((b >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
-DEALT = "bucket int, local boolean, docs binary, marks binary, sizes binary, data binary"
-PACKED = "part int, bucket int, docs binary, marks binary, sizes binary, data binary"
+DEALT = "bucket int, local boolean, block long, docs binary, marks binary, sizes binary, data binary"
+PACKED = "part int, bucket int, docs binary, marks binary, blocks binary, sizes binary, data binary"
 ANSWER = "k long, th long, answers array<struct<bucket: int, bits: binary>>"
 
 
@@ -93,6 +93,8 @@ def _deal(window: int, buckets: int, block: int):
             h, bucket = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
             doc = np.repeat(np.arange(len(held), dtype=np.int32), counts)
             held.clear()
+            # blocks of the same rows send the same windows; copies of a row in other blocks send other ones
+            name = int.from_bytes(hashlib.blake2b(keys.tobytes() + marks.tobytes(), digest_size=8).digest(), "little", signed=True)
             # equal rows are one document: the copy's windows start no earlier
             same = np.concatenate(([False], (keys[1:] == keys[:-1]) & (marks[1:] == marks[:-1])))
             first = np.zeros(len(h), bool)
@@ -105,7 +107,7 @@ def _deal(window: int, buckets: int, block: int):
             for k in range(len(keys)):
                 own = first[edges[k] : edges[k + 1]]
                 if not same[k] and not own.all():
-                    rows.append((int(marks[k] % buckets), True, keys[k : k + 1].tobytes(), marks[k : k + 1].tobytes(), b"", np.packbits(~own).tobytes()))
+                    rows.append((int(marks[k] % buckets), True, name, keys[k : k + 1].tobytes(), marks[k : k + 1].tobytes(), b"", np.packbits(~own).tobytes()))
             first[np.repeat(same, counts)] = False
             at = np.flatnonzero(first)
             at = at[np.argsort(bucket[at], kind="stable")]
@@ -116,7 +118,7 @@ def _deal(window: int, buckets: int, block: int):
                 if hi > lo:
                     own = at[lo:hi]
                     which, sizes = np.unique(doc[own], return_counts=True)
-                    rows.append((b, False, keys[which].tobytes(), marks[which].tobytes(), sizes.astype(np.uint32).tobytes(), h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
+                    rows.append((b, False, name, keys[which].tobytes(), marks[which].tobytes(), sizes.astype(np.uint32).tobytes(), h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
             for i in range(0, len(rows), 512):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 512], strict=True), arrow, strict=True)], schema=arrow)
 
@@ -141,15 +143,16 @@ def _count(parts: int):
     arrow = arrow_schema(PACKED)
 
     def run(group: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int, bytes]] = []
-        cols = [group.column(c).to_pylist() for c in ("bucket", "local", "docs", "marks", "sizes", "data")]
+        out: list[tuple[int, int, int, int, bytes]] = []
+        cols = [group.column(c).to_pylist() for c in ("bucket", "local", "docs", "marks", "sizes", "data", "block")]
         rows = list(zip(*cols, strict=True))
-        out += [(int(np.frombuffer(d, np.int64)[0]), int(np.frombuffer(m, np.int64)[0]), -1, bits) for _, local, d, m, _, bits in rows if local]
+        out += [(int(np.frombuffer(d, np.int64)[0]), int(np.frombuffer(m, np.int64)[0]), name, -1, bits) for _, local, d, m, _, bits, name in rows if local]
         rows = [r for r in rows if not r[1]]
         if rows:
             bucket = rows[0][0]
             keys, marks = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in (2, 3))
             sizes = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows]).astype(np.int64)
+            names = np.repeat(np.array([r[6] for r in rows], np.int64), [len(r[2]) // 8 for r in rows])
             raw = np.zeros((int(sizes.sum()), 8), np.uint8)
             raw[:, :7] = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, 7)
             del rows, cols
@@ -167,28 +170,32 @@ def _count(parts: int):
             repeats[order] = ranks[order] > np.repeat(least, np.diff(np.append(starts, len(h))))
             edges = np.concatenate(([0], np.cumsum(sizes)))
             for k in np.flatnonzero(np.add.reduceat(repeats, edges[:-1])).tolist():
-                out.append((int(keys[k]), int(marks[k]), bucket, np.packbits(repeats[edges[k] : edges[k + 1]]).tobytes()))
-        packed: dict[tuple[int, int], list[tuple[int, int, bytes]]] = {}
-        for key, mark, bucket, bits in out:
-            packed.setdefault(((key * 31 + mark) % parts, bucket), []).append((key, mark, bits))
-        made = [(part, bucket, np.array([x[0] for x in xs], np.int64).tobytes(), np.array([x[1] for x in xs], np.int64).tobytes(), np.array([len(x[2]) for x in xs], np.uint32).tobytes(), b"".join(x[2] for x in xs)) for (part, bucket), xs in packed.items()]
-        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made, strict=True) if made else [[]] * 6, arrow, strict=True)], schema=arrow)
+                out.append((int(keys[k]), int(marks[k]), int(names[k]), bucket, np.packbits(repeats[edges[k] : edges[k + 1]]).tobytes()))
+        packed: dict[tuple[int, int], list[tuple[int, int, int, bytes]]] = {}
+        for key, mark, name, bucket, bits in out:
+            packed.setdefault(((key * 31 + mark) % parts, bucket), []).append((key, mark, name, bits))
+        made = [(part, bucket, *(np.array([x[i] for x in xs], np.int64).tobytes() for i in range(3)), np.array([len(x[3]) for x in xs], np.uint32).tobytes(), b"".join(x[3] for x in xs)) for (part, bucket), xs in packed.items()]
+        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made, strict=True) if made else [[]] * 7, arrow, strict=True)], schema=arrow)
 
     return run
 
 
 def _gather():
-    """One row a document, with its answers from all buckets."""
+    """One row a document, with its answers from all buckets. Copies of a row in different blocks have answers for different windows, each
+    copy's being complete: those of the smallest block are taken."""
     arrow = arrow_schema(ANSWER)
 
     def run(group: pa.Table) -> pa.Table:
-        found: dict[tuple[int, int], list[dict]] = {}
-        for bucket, docs, marks, sizes, data in zip(*(group.column(c).to_pylist() for c in ("bucket", "docs", "marks", "sizes", "data")), strict=True):
+        found: dict[tuple[int, int], tuple[int, list[dict]]] = {}
+        for bucket, docs, marks, blocks, sizes, data in zip(*(group.column(c).to_pylist() for c in ("bucket", "docs", "marks", "blocks", "sizes", "data")), strict=True):
             at = 0
-            for key, mark, n in zip(np.frombuffer(docs, np.int64).tolist(), np.frombuffer(marks, np.int64).tolist(), np.frombuffer(sizes, np.uint32).tolist(), strict=True):
-                found.setdefault((key, mark), []).append({"bucket": bucket, "bits": data[at : at + n]})
+            for key, mark, name, n in zip(*(np.frombuffer(x, np.int64).tolist() for x in (docs, marks, blocks)), np.frombuffer(sizes, np.uint32).tolist(), strict=True):
+                if (key, mark) not in found or name < found[key, mark][0]:
+                    found[key, mark] = (name, [])
+                if name == found[key, mark][0]:
+                    found[key, mark][1].append({"bucket": bucket, "bits": data[at : at + n]})
                 at += n
-        cols = [[k[0] for k in found], [k[1] for k in found], list(found.values())]
+        cols = [[k[0] for k in found], [k[1] for k in found], [a for _, a in found.values()]]
         return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
 
     return run
