@@ -2,8 +2,8 @@
 
 The model is trained on the driver from the templates below and from variations of them made by rule; no table is read for it. It has a class `unknown`,
 trained on sentences that talk of licences without granting one, and its temperature and threshold are calibrated on variations held out.
-Scoring is DataFrame functions only. Every n-gram of the model has a telling word of four letters or more; documents, and then lines, without
-any of these words are left out: their score is the intercept alone, which must name `unknown` (training checks it). The others' n-grams meet
+Scoring is DataFrame functions only. Every n-gram of the model has a telling word, whatever its length; documents, and then lines, without
+any of these words as a whole are left out: their score is the intercept alone, which must name `unknown` (training checks it). The others' n-grams meet
 the weights in a broadcast join whose size is bounded by MOST_GRAMS, and lines are scored once for each distinct document.
 """
 
@@ -133,10 +133,10 @@ def grams(words: list[str]) -> list[str]:
     return [" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1) if not COMMON.issuperset(words[i : i + n])]
 
 
-def telling(gram: str) -> str | None:
-    """The longest run of letters and digits in the words that aren't common, if it has four or more: a text without it lacks the n-gram."""
+def telling(gram: str) -> str:
+    """A run of letters and digits in the words that aren't common, which few texts hold: a long one, else one with letters. A text without it lacks the n-gram."""
     runs = [r for w in gram.split() if w not in COMMON for r in re.findall("[a-z0-9]+", w)]
-    return max((r for r in runs if len(r) >= 4), key=lambda r: (len(r), r), default=None)
+    return max(runs, key=lambda r: (len(r) >= 4, not r.isdigit(), len(r), r))
 
 
 def variations(text: str) -> list[str]:
@@ -177,21 +177,22 @@ def examples() -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
 def trained(rounds: int = 400, rate: float = 0.5, shrink: float = 2e-3) -> Model:
     """Softmax regression by proximal gradient descent with an L1 penalty, which leaves few weights."""
     fit, held = examples()
-    names = sorted(g for g in set(itertools.chain.from_iterable(set(grams(tokens(t))) for t, _ in fit)) if telling(g))
+    names = sorted(set(itertools.chain.from_iterable(set(grams(tokens(t))) for t, _ in fit)))
     if len(names) > MOST_GRAMS:
         raise ValueError("more n-grams than the bound")
     place, k = {g: i for i, g in enumerate(names)}, len(TEMPLATES) + 1
 
     def sparse(rows: list[tuple[str, int]]) -> tuple[list[np.ndarray], np.ndarray]:
-        """The n-grams that each row holds, and its class; rows without any are left out."""
+        """The n-grams that each row holds, and its class."""
         found = [(np.array(sorted({place[g] for g in set(grams(tokens(t))) if g in place}), np.int64), c) for t, c in rows]
-        return [x for x, _ in found if len(x)], np.eye(k)[[c for x, c in found if len(x)]]
+        return [x for x, _ in found], np.eye(k)[[c for _, c in found]]
 
     def softmax(z: np.ndarray) -> np.ndarray:
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
-    x, y = sparse(fit)  # every n-gram of names is held by a row
+    x, y = sparse(fit)  # every n-gram of names is held by a row; a row without any would teach nothing, as the intercept is fixed
+    y, x = y[[len(i) > 0 for i in x]], [i for i in x if len(i)]
     flat, row = np.concatenate(x), np.repeat(np.arange(len(x)), [len(i) for i in x])
     starts = np.concatenate(([0], np.cumsum([len(i) for i in x])[:-1]))
     order = np.argsort(flat, kind="stable")
