@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,17 @@ def in_steps(batches: Iterator[pa.RecordBatch], step: int = STEP) -> Iterator[pa
             yield batch.slice(at, step)
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of consecutive rows whose values of a string or binary column take at most so many bytes together, or that are one row."""
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def arrow_schema(ddl: str) -> pa.Schema:
     """On the driver; executors get the result."""
     from pyspark.sql.pandas.types import to_arrow_schema
