@@ -1,7 +1,8 @@
 """Packing by powers of two: a document's ids are cut into pieces whose lengths are its length's binary digits.
 
 Every piece is a sequence of its own, so no sequence crosses documents, nothing is padded, and sequences of one length
-make one bucket. Nothing is shuffled: a task reads whole documents and writes their pieces.
+make one bucket: a folder of its own, from which a reader takes batches of one shape. Nothing is shuffled: a task reads whole
+documents and writes their pieces to the buckets.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, in_steps, table
+from .common import arrow_schema, in_steps, shared_dir, table
 from .tokens import ID, json_encoder, public_file
 
 LONGEST = 1024
@@ -37,7 +38,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     """A row for each piece: doc_id, start, length, bucket (the power of two), ids (little-endian 32-bit), doc_tokens, sequence_id, offset.
 
     Each document's ids are its whole text's, then end_id. A null text counts as empty: one piece that holds end_id.
-    A null id is kept. Repeated rows are packed once each. An empty table gives no rows. Other columns are not read.
+    A null id is kept. Repeated rows are packed once each. An empty table gives no rows. Very long texts give as many pieces of the longest
+    length as they fill. Other columns are not read, whatever their names.
     sequence_id is unique: the task's number times 2**33 and a count.
     """
     binary_pieces(0, longest)
@@ -64,12 +66,25 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
 
 def write_buckets(pieces: DataFrame, path: str) -> None:
     """One folder for each length, so that a reader takes batches of one shape."""
-    pieces.write.partitionBy("bucket").parquet(path)
+    pieces.write.partitionBy("bucket").option("compression", "zstd").parquet(path)
+
+
+def read_buckets(spark: SparkSession, path: str, bucket: int | None = None) -> DataFrame:
+    """All pieces, or those of one power of two. A table without pieces has no folders: no rows."""
+    pieces = spark.read.schema(KINDS).parquet(path)
+    return pieces if bucket is None else pieces.where(F.col("bucket") == bucket)
+
+
+def bucketed(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """The pieces of docs as they are read back from their buckets in the shared folder."""
+    path = shared_dir(docs.sparkSession)
+    write_buckets(pack(docs, vocabulary), path)
+    return read_buckets(docs.sparkSession, path)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 def op5_pow2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(pack(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json")))
+    return digest(bucketed(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json")))

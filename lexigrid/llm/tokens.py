@@ -1,104 +1,75 @@
-"""Token ids of whole texts, by way of bounded caches.
+"""Token ids of whole texts, as the tokenizers library gives them for a byte-level BPE file.
 
-A space that follows a character other than white space always begins a new match of the byte-level pattern, whatever
-stands around it. A text may therefore be cut there and the parts encoded one by one: the ids are those of the whole
-text. Parts repeat, so that most are found in a cache; the rest are matched and their pieces merged.
+A file whose merges stand in the order of their ids is the same thing as a table of ranks, which a faster encoder takes. What the
+file has besides (other kinds of models, several added tokens, added tokens with conditions) goes to the library itself, and so do
+texts that the faster encoder's pattern search gives up on (over half a million white-space characters in a row).
 """
 
 from __future__ import annotations
 
-import gc
-import re
-from array import array
-from collections.abc import Callable
+import json
 
 import numpy as np
 
 ID = np.dtype("<u4")
-_LOOSE = re.compile(r" (?=\s|\Z)")
-_CUT = re.compile(r"(?<=\S) ")
-#: White space as Unicode has it; Python's \s also takes U+001C to U+001F.
-WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
-class Cache(dict):
-    """Values of make(key) in two generations of at most `size` keys; keys over `longest` characters aren't kept."""
-
-    def __init__(self, make: Callable, size: int, longest: int = 48):
-        super().__init__()
-        self.make, self.size, self.longest, self.old = make, size, longest, {}
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-            if len(key) > self.longest:
-                return value
-        self[key] = value
-        if len(self) >= self.size:
-            self.old = dict(self)
-            self.clear()
-        return value
+def public_file(name: str) -> str:
+    import public_tokenizers
 
+    return public_tokenizers.path(name)
 
-def pattern(source: str):
-    import regex
 
-    return regex.compile(source.replace("[^\\s", f"[^{WHITE}").replace("\\S", f"[^{WHITE}]").replace("\\s", f"[{WHITE}]"))
+def _ranks(spec: dict) -> dict[bytes, int] | None:
+    """Token bytes by id, if ranks say the same as the file's merges."""
+    model, pre = spec["model"], spec["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    if not plain or spec["normalizer"] or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        return None
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(visible)))}
+    vocab, added = model["vocab"], {t["content"] for t in spec["added_tokens"]}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocab["".join(p)] for p in pairs]
+    own = {t: i for t, i in vocab.items() if t not in added}
+    if made != sorted(set(made)) or len(made) + 256 != len(own) or {t for t in own if len(t) == 1} != set(byte) or (made and made[0] <= max(own[t] for t in byte)):
+        return None
+    return {bytes(byte[c] for c in t): i for t, i in own.items()}
 
 
 class TextEncoder:
-    """ids(text): little-endian 32-bit ids as bytes. piece_ids(str) encodes one match of the pattern; word_ids(str), if given, one that
-    is a space and the letters of word."""
-
-    def __init__(self, source: str, piece_ids: Callable[[str], list[int]], size: int = 200_000, word_ids: Callable[[str], list[int]] | None = None):
-        find, word_ids = pattern(source).findall, word_ids or (lambda word: piece_ids(" " + word))
-        pieces = Cache(lambda p: array("I", piece_ids(p)).tobytes(), size // 4)
-        ends = {p: pieces[p] for p in (".", ",")}
-        self.first = lambda part: b"".join([pieces[p] for p in find(part)])
-
-        def rest(part: str) -> bytes:
-            if part.isalpha():  # letters only: one match with the space before it
-                return array("I", word_ids(part)).tobytes()
-            end = ends.get(part[-1:])
-            if end and part[:-1].isalpha():
-                return self.rest[part[:-1]] + end
-            return b"".join([pieces[p] for p in find(" " + part)])
-
-        self.rest = Cache(rest, size)
-        gc.freeze()
-        gc.set_threshold(500_000)  # the caches hold no cycles; looking for some in them takes long
+    """ids(text): the ids of a whole text as little-endian 32-bit numbers; largest: the largest id there is."""
 
-    def ids(self, text: str) -> bytes:
-        parts = _CUT.split(text) if _LOOSE.search(text) else text.split(" ")
-        return b"".join([self.first(parts[0]), *map(self.rest.__getitem__, parts[1:])])
+    def __init__(self, path: str):
+        import public_tokenizers
+        from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self.library = Tokenizer.from_file(path)
+        self.largest = max(self.library.get_vocab(with_added_tokens=True).values())
+        added = spec["added_tokens"]
+        ranks = _ranks(spec) if len(added) <= 1 and not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized")) else None
+        self.fast, self.added = None, {t["content"] for t in added}
+        if ranks is not None:
+            import tiktoken
 
-_ENCODERS: dict[str, TextEncoder] = {}
+            self.fast = tiktoken.Encoding("of a file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={t["content"]: t["id"] for t in added})._core_bpe
 
+    def ids(self, text: str) -> bytes:
+        if self.fast is not None:
+            try:
+                return bytes(self.fast.encode_to_tiktoken_buffer(text, self.added))
+            except ValueError:  # the pattern search has a bound
+                pass
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, ID).tobytes()
 
-def public_file(name: str) -> str:
-    import public_tokenizers
 
-    return public_tokenizers.path(name)
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
 def json_encoder(path: str) -> TextEncoder:
-    """Of a byte-level BPE file of the tokenizers library; one a process."""
+    """Of a file of the tokenizers library; one a process."""
     if path not in _ENCODERS:
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(path).model
-        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        table = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(visible)))}
-
-        def piece_ids(piece: str) -> list[int]:
-            return [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(table))]
-
-        def word_ids(word: str) -> list[int]:
-            return [t.id for t in tokenize(space + word if word.isascii() else (" " + word).encode().decode("latin-1").translate(table))]
-
-        tokenize, space = model.tokenize, table[32]
-        _ENCODERS[path] = TextEncoder(public_tokenizers.PATTERN, piece_ids, size=120_000, word_ids=word_ids)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
