@@ -70,16 +70,24 @@ def best_fit_decreasing(lengths: list[int], width: int) -> list[list[int]]:
     return rows
 
 
-KINDS = "sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, starts array<long>"
+KINDS = "sequence_id long, n_tokens int, id_bytes int, ids binary, cu_seqlens array<int>, resets array<int>, doc_ids array<long>, starts array<long>"
+
+
+def id_kind(largest: int) -> np.dtype:
+    """The narrowest of 16 and 32 bits that holds every id up to the largest."""
+    if not 0 <= largest < 1 << 32:
+        raise ValueError(f"no id of 32 bits: {largest}")
+    return np.dtype("<u2" if largest < 1 << 16 else "<u4")
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, end_id: int = 50256, block: int = BLOCK) -> DataFrame:
-    """A row for each packed sequence: ids as width little-endian 16-bit numbers (32-bit for vocabularies over 65,536), padded
-    with end_id after n_tokens; cu_seqlens from 0 to n_tokens; resets, where a position count restarts; and each segment's
-    document and its first id's place there.
+    """A row for each packed sequence: ids as width little-endian numbers of id_bytes bytes (2 if the vocabulary's largest id and end_id
+    are below 65,536, else 4), padded with end_id after n_tokens; cu_seqlens from 0 to n_tokens; resets, where a position count
+    restarts; and each segment's document and its first id's place there.
 
     A document's ids are its whole text's, then end_id. A null text counts as empty. A null id is kept. Repeated rows are
-    packed once each. An empty table gives no rows. Other columns are not read.
+    packed once each. An empty table gives no rows. Very long texts become as many segments as they fill. Segments of one length keep the order
+    of the rows. Other columns are not read, whatever their names.
     """
 
     arrow = arrow_schema(KINDS)
@@ -87,7 +95,8 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, kind = json_encoder(vocabulary), np.dtype("<u2" if end_id < 1 << 16 else "<u4")
+        encoder = json_encoder(vocabulary)
+        kind = id_kind(max(encoder.largest, end_id))
         held: list[tuple[int | None, int, np.ndarray]] = []
         size, seen = 0, TaskContext.get().partitionId() << 33
 
@@ -101,7 +110,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
                     for k in row:
                         line[ends[-1] : ends[-1] + len(held[k][2])] = held[k][2]
                         ends.append(ends[-1] + len(held[k][2]))
-                    for c, v in zip(cols, (seen, ends[-1], line.tobytes(), ends, ends[:-1], [held[k][0] for k in row], [held[k][1] for k in row]), strict=True):
+                    for c, v in zip(cols, (seen, ends[-1], kind.itemsize, line.tobytes(), ends, ends[:-1], [held[k][0] for k in row], [held[k][1] for k in row]), strict=True):
                         c.append(v)
                     seen += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
@@ -142,4 +151,4 @@ def op1_bfd_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the matrices to the shared folder and gives, for each row read back, its segments and checksums."""
     path = shared_dir(spark)
     write_matrices(pack(table(spark, sf_dir, "documents"), public_file("byte_bpe_50k.json")), path)
-    return read_matrices(spark, path).select("sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), (F.length("ids") / 2).cast("int").alias("width"), "cu_seqlens", "resets", "doc_ids", "starts")
+    return read_matrices(spark, path).select("sequence_id", "n_tokens", F.crc32("ids").alias("ids_crc32"), (F.length("ids") / F.col("id_bytes")).cast("int").alias("width"), "cu_seqlens", "resets", "doc_ids", "starts")
