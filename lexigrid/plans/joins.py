@@ -69,12 +69,12 @@ def e6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "e7_jurisdiction_dimension",
-    "SELECT coalesce(a.k, b.k) AS jurisdiction, coalesce(docs, '') AS docs, coalesce(n, 0) AS rules FROM (SELECT source AS k, string_agg(DISTINCT lang, ',' ORDER BY lang) AS docs FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT source AS k, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1) b ON a.k = b.k",
+    "SELECT coalesce(a.k, b.k) AS jurisdiction, coalesce(docs, '') AS docs, coalesce(n, 0) AS rules FROM (SELECT source AS k, string_agg(DISTINCT lang, ',' ORDER BY lang) AS docs FROM documents GROUP BY 1) a FULL JOIN (SELECT CASE WHEN lang = 'fr' THEN 'only ' || source ELSE source END AS k, count(*) AS n FROM documents GROUP BY 1) b ON a.k = b.k",
 )
 def e7(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
-    a = d.where("doc_id % 2 = 0").groupBy(F.col("source").alias("jurisdiction")).agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("docs"))
-    b = d.where("doc_id % 3 = 0").groupBy(F.col("source").alias("jurisdiction")).agg(F.count("*").alias("rules"))
+    a = d.groupBy(F.col("source").alias("jurisdiction")).agg(F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("docs"))
+    b = d.groupBy(F.when(F.col("lang") == "fr", F.concat(F.lit("only "), "source")).otherwise(F.col("source")).alias("jurisdiction")).agg(F.count("*").alias("rules"))
     return a.join(b, "jurisdiction", "full_outer").select("jurisdiction", F.coalesce("docs", F.lit("")).alias("docs"), F.coalesce("rules", F.lit(0)).alias("rules"))
 
 

@@ -209,7 +209,7 @@ def c22(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", why.alias("w")).where(F.size("w") > 0).select("c_custkey", F.array_join("w", ",").alias("reasons"))
 
 
-both("c23_map_points", "SELECT s_suppkey, CAST(30 + s_suppkey * 0.01 AS DOUBLE) AS lat, CAST(-(70 + s_suppkey * 0.01) AS DOUBLE) AS lon, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) AS flagged FROM supplier WHERE s_acctbal IS NOT NULL AND s_suppkey % 11 <> 0")
+both("c23_map_points", "SELECT s_suppkey, CAST(30 + s_suppkey * 0.01 AS DOUBLE) AS lat, CAST(-(70 + s_suppkey * 0.01) AS DOUBLE) AS lon, s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) AS flagged FROM supplier WHERE s_acctbal IS NOT NULL")
 
 
 @query("c24_code_texts", "SELECT o_orderkey, coalesce(CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'open' END, o_orderstatus) AS shown FROM orders")

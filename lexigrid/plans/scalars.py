@@ -10,21 +10,42 @@ from ..functions import dates as D
 from ..functions import facts as X
 from ..functions import places as P
 from ..functions import text as T
+from ..operators.evidence import verify_evidence, verify_quote_parts
+from ..operators.ordered import boundary_levels
 from ..registry import listed, on_tables, query, table
 from .inputs import values
 from .rule_sql import q
 
-SPACED = "SELECT doc_id, replace(substr(text, 1, 300), ' ', '  ') || ' ( a ) [ b ]' AS t FROM documents"
+SPACED = "SELECT doc_id, replace(coalesce(text, ''), ' ', '  ') || ' ( a ) [ b ]' AS t FROM documents"
+CHARACTERS = f"SELECT doc_id, unnest(string_split(t, '')) AS c, unnest(range(length(t))) AS i FROM ({SPACED})"
+COLLAPSED = (
+    f"SELECT doc_id, i, CASE WHEN white THEN ' ' ELSE c END AS c FROM (SELECT *, lag(white) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM "
+    f"(SELECT *, regexp_matches(c, '[\\s\\x1c-\\x1f\\x85\\xa0\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{2028}}\\x{{2029}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]') AS white FROM ({CHARACTERS}))) WHERE NOT (white AND coalesce(after, false))"
+)
+LAID_OUT = (
+    f"SELECT doc_id, i, c FROM (SELECT *, lag(c) OVER w AS before, lead(c) OVER w AS next FROM ({COLLAPSED}) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) "
+    "WHERE NOT (c = ' ' AND (coalesce(before, '') IN ('(', ')', '[', ']') OR coalesce(next, '') IN ('(', ')', '[', ']')))"
+)
+
+
+def _summed(characters: str) -> str:
+    return f"SELECT doc_id, md5(string_agg(c, '' ORDER BY i)) AS folded_md5, count(*) AS n, CAST(sum(i) AS BIGINT) AS places_sum FROM ({characters}) GROUP BY doc_id"
 
 
-@query("d1_collapse_space", f"SELECT doc_id, regexp_replace(t, '\\s+', ' ', 'g') AS folded FROM ({SPACED})")
+def _folded(spark: SparkSession, sf: str, layout: bool) -> DataFrame:
+    x = on_tables(spark, sf, SPACED).select("doc_id", T.fold_places(F.col("t"), layout).alias("x"))
+    total = F.aggregate("x.places", F.lit(0).cast("long"), lambda acc, i: acc + i)
+    return x.select("doc_id", F.md5(F.col("x.text").cast("binary")).alias("folded_md5"), F.size("x.places").cast("long").alias("n"), total.alias("places_sum"))
+
+
+@query("d1_collapse_space", _summed(COLLAPSED))
 def d1(spark: SparkSession, sf: str) -> DataFrame:
-    return on_tables(spark, sf, SPACED).select("doc_id", T.fold_space(F.col("t")).alias("folded"))
+    return _folded(spark, sf, False)
 
 
-@query("d2_layout_fold", f"SELECT doc_id, regexp_replace(regexp_replace(t, '\\s+', ' ', 'g'), ' ?([()\\[\\]]) ?', '\\1', 'g') AS folded FROM ({SPACED})")
+@query("d2_layout_fold", _summed(LAID_OUT))
 def d2(spark: SparkSession, sf: str) -> DataFrame:
-    return on_tables(spark, sf, SPACED).select("doc_id", T.fold_layout(F.col("t")).alias("folded"))
+    return _folded(spark, sf, True)
 
 
 QUOTES = (
@@ -33,9 +54,15 @@ QUOTES = (
 )
 
 
-@query("d3_verify_span", f"SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'exact_match' WHEN 1 THEN CASE WHEN position(' ' IN substr(quote, 1, 80)) > 0 THEN 'normalized_match' ELSE 'exact_match' END WHEN 2 THEN 'layout_normalized_match' ELSE 'failed' END AS status FROM ({QUOTES})")
+@query(
+    "d3_verify_span",
+    "SELECT item_id, status, CASE WHEN status <> 'failed' THEN CASE WHEN item_id % 4 = 2 THEN 0 ELSE position(substr(source, 5, 40) IN source) - 1 END END AS start, "
+    "CASE WHEN status <> 'failed' THEN CASE WHEN item_id % 4 = 2 THEN 42 ELSE position(substr(source, 5, 40) IN source) + 39 END END AS end_at FROM "
+    f"(SELECT *, CASE item_id % 4 WHEN 0 THEN 'exact_match' WHEN 1 THEN CASE WHEN position(' ' IN substr(quote, 1, 80)) > 0 THEN 'normalized_match' ELSE 'exact_match' END WHEN 2 THEN 'layout_normalized_match' ELSE 'failed' END AS status FROM ({QUOTES}))",
+)
 def d3(spark: SparkSession, sf: str) -> DataFrame:
-    return on_tables(spark, sf, QUOTES).select("item_id", T.verify_span(F.col("quote"), F.col("source"))["status"].alias("status"))
+    x = on_tables(spark, sf, QUOTES).select("item_id", T.verify_span(F.col("quote"), F.col("source")).alias("x"))
+    return x.select("item_id", "x.status", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end_at"))
 
 
 @query("d3_verify_exact", f"SELECT item_id, CASE WHEN position(quote IN source) > 0 THEN position(quote IN source) - 1 END AS start, CASE WHEN position(quote IN source) > 0 THEN position(quote IN source) - 1 + length(quote) END AS end_at, CASE WHEN position(quote IN source) > 0 THEN CAST((length(source) - length(replace(source, quote, ''))) / length(quote) AS INT) END AS occurrences FROM ({QUOTES})")
@@ -44,30 +71,72 @@ def d3_exact(spark: SparkSession, sf: str) -> DataFrame:
     return x.select("item_id", F.col("x.start").cast("long").alias("start"), F.col("x.end").cast("long").alias("end_at"), "x.occurrences")
 
 
-@query("d4_anchored_match", "SELECT item_id, starts_with(ltrim(text), trim(substr(text, 1, 20))) AS at_start, ends_with(rtrim(text), trim(substr(text, 1, 20))) AS at_end FROM benchmark")
+@query(
+    "d4_anchored_match",
+    "SELECT item_id, starts_with(ltrim(text), trim(substr(text, 1, 20))) AS at_start, ends_with(rtrim(text), trim(substr(text, 1, 20))) AS at_end, CAST(length(text) + 2 - 20 AS BIGINT) AS tail_start FROM benchmark WHERE length(text) > 40",
+)
 def d4(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.substring("text", 1, 20)
-    return table(spark, sf, "benchmark").select("item_id", T.anchored(words, F.col("text"), False).alias("at_start"), T.anchored(words, F.col("text"), True).alias("at_end"))
+    words, tail = F.substring("text", 1, 20), F.right("text", F.lit(20))
+    framed = F.concat(F.lit("  "), "text", F.lit(" \n"))
+    rows = table(spark, sf, "benchmark").where("length(text) > 40").withColumn("t", T.verify_anchored(tail, framed, True))
+    return rows.select("item_id", T.anchored(words, F.col("text"), False).alias("at_start"), T.anchored(words, F.col("text"), True).alias("at_end"), F.col("t.start").cast("long").alias("tail_start"))
+
+
+#: Texts of over 120 characters have furniture from 50 to 80; quotes of five kinds.
+EVIDENCE = (
+    "SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) > 120 AS cut, CASE WHEN length(coalesce(text, '')) <= 120 THEN coalesce(text, '') ELSE CASE doc_id % 5 WHEN 0 THEN substr(text, 10, 30) WHEN 1 THEN '[[SEGMENT 2]] ' || substr(text, 1, 9) "
+    "WHEN 2 THEN substr(text, 41, 30) WHEN 3 THEN substr(text, 31, 20) || ' ' || substr(text, 81, 20) ELSE substr(text, 2, 20) || '#~~' END END AS quote FROM documents"
+)
+_FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
 
 
-@query("d5_evidence_diagnosis", "SELECT doc_id, CASE WHEN contains(quote, '[[') THEN 'marker in quote' WHEN position(quote IN text) > 0 THEN 'verified' ELSE 'not found' END AS verdict FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN substr(text, 10, 30) WHEN 1 THEN '[[SEGMENT 2]] ' || substr(text, 1, 9) ELSE substr(text, 2, 20) || '#' END AS quote FROM documents) WHERE length(text) > 50")
+@query(
+    "d5_evidence_diagnosis",
+    "SELECT doc_id, CASE WHEN NOT regexp_matches(quote, '\\S') THEN 'empty' WHEN pos >= 0 AND cut AND pos < 80 AND 50 < pos + length(quote) THEN 'contains furniture' WHEN pos >= 0 THEN 'verified' "
+    f"WHEN starts_with(quote, '[[SEGMENT 2]]') THEN 'marker in quote' WHEN contains({_FLAT.format('left(text, 50) || chr(32) || substr(text, 81)')}, {_FLAT.format('quote')}) THEN 'joins text across furniture' ELSE 'not found' END AS verdict "
+    f"FROM (SELECT *, position(quote IN text) - 1 AS pos FROM ({EVIDENCE}))",
+)
 def d5(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents").where("length(text) > 50")
-    quote = F.when(F.col("doc_id") % 3 == 0, F.substring("text", 10, 30)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("[[SEGMENT 2]] "), F.substring("text", 1, 9))).otherwise(F.concat(F.substring("text", 2, 20), F.lit("#")))
-    verdict = F.when(quote.rlike(r"\[\[(?:PAGE BREAK|SEGMENT \d+)\]\]"), "marker in quote").when(T.verify_exact(quote, F.col("text")).isNotNull(), "verified").otherwise("not found")
-    return d.select("doc_id", verdict.alias("verdict"))
+    rows = on_tables(spark, sf, EVIDENCE)
+    span = F.struct(F.lit(50).cast("long").alias("s"), F.lit(80).cast("long").alias("e"))
+    rows = rows.withColumn("artifacts", F.when(F.col("cut"), F.array(span)).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>")))
+    return verify_evidence(rows, "quote", "text", "artifacts").select("doc_id", "verdict")
 
 
-@query("d6_quote_parts", "SELECT item_id, position(substr(text, 1, 15) IN text) > 0 AND position(substr(text, 20, 15) IN substr(text, 16)) > 0 AS in_order FROM benchmark")
+@query(
+    "d6_quote_parts",
+    "SELECT item_id, CASE k WHEN 4 THEN 'part 1 is not at its segment''s end' WHEN 5 THEN 'more than two parts' ELSE 'verified' END AS verdict, "
+    "CASE k WHEN 0 THEN position(substr(text, 3, 20) IN text) - 1 WHEN 1 THEN n + 8 + position(substr(text, 3, 20) IN text) - 1 WHEN 2 THEN position(substr(text, 3, 20) IN text) - 1 WHEN 3 THEN n - 15 END AS start, "
+    "CASE k WHEN 0 THEN position(substr(text, 3, 20) IN text) + 19 WHEN 1 THEN n + 8 + position(substr(text, 3, 20) IN text) + 19 WHEN 2 THEN position(substr(text, 3, 20) IN text) + 19 WHEN 3 THEN n + 23 END AS end_at, "
+    "CASE k WHEN 2 THEN 'in segment 1' END AS warning FROM (SELECT *, item_id % 6 AS k, length(text) AS n FROM benchmark WHERE length(text) > 60)",
+)
 def d6(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = F.substring("text", 1, 15), F.substring("text", 20, 15)
-    second = F.instr(F.col("text").substr(F.lit(16), F.length("text")), b)
-    return table(spark, sf, "benchmark").select("item_id", ((F.instr(F.col("text"), a) > 0) & (second > 0)).alias("in_order"))
+    """Each text stands twice, with a page's number between: segment 1, one artifact, segment 2."""
+    rows = table(spark, sf, "benchmark").where("length(text) > 60").withColumn("k", F.col("item_id") % 6)
+    n, text = F.length("text").cast("long"), F.col("text")
+
+    def part(segment: int, words):
+        return F.struct(F.lit(segment).alias("segment"), words.alias("text"))
+
+    middle, head, tail = F.substring(text, 3, 20), F.substring(text, 1, 15), F.right(text, F.lit(15))
+    kinds = [F.array(part(1, middle)), F.array(part(2, middle)), F.array(part(9, middle)), F.array(part(1, tail), part(2, head)), F.array(part(1, head), part(2, head)), F.array(part(1, tail), part(2, head), part(2, head))]
+    parts = kinds[-1]
+    for k, x in reversed(list(enumerate(kinds[:-1]))):
+        parts = F.when(F.col("k") == k, x).otherwise(parts)
 
+    def span(s, e, **more):
+        return F.struct(*(v.alias(c) for c, v in more.items()), s.cast("long").alias("s"), e.cast("long").alias("e"))
 
-@query("d7_nfc", "SELECT doc_id, nfc_normalize(replace(substr(text, 1, 200), 'é', 'e' || chr(769))) AS t FROM documents")
+    rows = rows.withColumns({
+        "parts": parts, "raw": F.concat("text", F.lit("\nPage 7\n"), "text"), "artifacts": F.array(span(n + 1, n + 8)),
+        "segments": F.array(span(F.lit(0), n + 1, number=F.lit(1)), span(n + 8, 2 * n + 8, number=F.lit(2))),
+    })
+    return verify_quote_parts(rows, "parts", "raw", "segments", "artifacts").select("item_id", "verdict", "start", F.col("end").alias("end_at"), "warning")
+
+
+@query("d7_nfc", "SELECT doc_id, md5(nfc_normalize(replace(text, 'é', 'e' || chr(769)))) AS nfc_md5 FROM documents")
 def d7(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", T.nfc(F.replace(F.substring("text", 1, 200), F.lit("é"), F.lit("é"))).alias("t"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.nfc(F.replace("text", F.lit("é"), F.lit("e\u0301"))).cast("binary")).alias("nfc_md5"))
 
 
 @query("d8_fold_key", "SELECT n_nationkey, lower(trim(regexp_replace('  ' || n_name || '  x ', '\\s+', ' ', 'g'))) AS key FROM nation")
@@ -313,10 +382,20 @@ def d36(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", F.regexp_count(t, F.lit(NORMATIVE)).cast("long").alias("normative"), t.rlike(r"(?i)\bmeans\b").alias("glossary"))
 
 
-@query("d37_boundary_levels")
-def d37(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.ordered import boundary_levels
+#: Lines with their ends; the level of each but a text's first, by patterns of RE2.
+LINES_SQL = "SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS p FROM (SELECT doc_id, regexp_extract_all(text, '[^\\n\\x0b\\f\\r\\x1c-\\x1e\\x85\\x{2028}\\x{2029}]*(?:\\r\\n|[\\n\\x0b\\f\\r\\x1c-\\x1e\\x85\\x{2028}\\x{2029}])|[^\\n\\x0b\\f\\r\\x1c-\\x1e\\x85\\x{2028}\\x{2029}]+') AS ls FROM documents)"
+_BARE = "regexp_replace(line, '^[\\s\\x1c-\\x1f\\x85\\xa0\\x{3000}]+|[\\s\\x1c-\\x1f\\x85\\xa0\\x{3000}]+$', '', 'g')"
+LEVELS_SQL = (
+    f"SELECT doc_id, position, CASE WHEN own <> '' AND ended AND NOT regexp_matches(own, '(?i)(or|and|the|of|to|by|in|for|[,;:(-])$') AND right(own, 2) NOT IN (').', ');', '),') AND "
+    "CASE WHEN regexp_matches(line, '^\\s*(§|Sec\\.|SEC\\.|(Section|SECTION|Article|ARTICLE|Chapter|CHAPTER|Part|PART|Division|DIVISION|Subchapter|SUBCHAPTER)\\b)') THEN length(own) <= 120 "
+    "ELSE length(own) BETWEEN 3 AND 80 AND regexp_matches(own, '^\\p{Lu}') AND right(own, 1) NOT IN ('.', ',', ';', ':') END THEN 'heading' WHEN before = '' THEN 'paragraph' WHEN ended THEN 'sentence' ELSE 'line' END AS level, own FROM "
+    "(SELECT *, before = '' OR right(before, 1) IN ('.', ';', ':', '!', '?') AS ended FROM (SELECT doc_id, p, line, own, lag(own) OVER w AS before, CAST(coalesce(sum(length(line)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS position "
+    f"FROM (SELECT *, {_BARE} AS own FROM ({LINES_SQL})) WINDOW w AS (PARTITION BY doc_id ORDER BY p))) WHERE p > 0"
+)
+
 
+@query("d37_boundary_levels", f"SELECT doc_id, position, level, CASE WHEN level = 'heading' THEN own END AS heading FROM ({LEVELS_SQL})")
+def d37(spark: SparkSession, sf: str) -> DataFrame:
     return boundary_levels(table(spark, sf, "documents"))
 
 
@@ -379,6 +458,6 @@ def d45(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("s_suppkey", F.format_string("%.6f", 30 + F.col("s_suppkey") * 0.01 + F.col("o.y")).alias("lat"), F.format_string("%.6f", -70 - F.col("s_suppkey") * 0.01 + F.col("o.x")).alias("lon"))
 
 
-@query("d46_escape_html", "SELECT page_id, replace(replace(replace(replace(replace(substr(html, 1, 300), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS shown FROM pages")
+@query("d46_escape_html", "SELECT page_id, md5(replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')) AS shown_md5 FROM pages")
 def d46(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "pages").select("page_id", T.escape_html(F.substring("html", 1, 300)).alias("shown"))
+    return table(spark, sf, "pages").select("page_id", F.md5(T.escape_html(F.col("html")).cast("binary")).alias("shown_md5"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ordered as O
+from .scalars import LEVELS_SQL
 from ..registry import both, on_tables, query, table
 
 both("g1_neighbours", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations")
@@ -39,13 +40,36 @@ def g5(spark: SparkSession, sf: str) -> DataFrame:
     return O.repeated_islands(lines, 3)
 
 
+#: Texts in which a header of two lines with a page's number stands before every twelfth line.
+PAGED = (
+    "SELECT doc_id, array_join(array_sort(collect_list(struct(n, CASE WHEN (n - 1) % 12 = 0 THEN concat('Official Code of the State\\nPage ', CAST((n - 1) / 12 + 1 AS BIGINT), '\\n', line) ELSE line END)), (a, b) -> CAST(a.n - b.n AS INT)).col2, '\\n') AS text "
+    "FROM lines GROUP BY doc_id"
+)
+
+
 @query("g5_page_furniture")
 def g5_furniture(spark: SparkSession, sf: str) -> DataFrame:
-    """Blocks of page furniture in texts to which a header with a counter is added every 12 lines."""
+    """Furniture of texts to which a header with a counter is added every 12 lines. No SQL: groups grow run by run. tests/test_ordered.py has a plain version."""
     lines = O.line_offsets(table(spark, sf, "documents"))
-    page = F.when((F.col("n") - 1) % 12 == 0, F.concat(F.lit("Official Code of the State\nPage "), (F.col("n") - 1) / 12 + 1, F.lit("\n"), F.col("line"))).otherwise(F.col("line"))
-    texts = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", page.alias("line")))).alias("l")).select("doc_id", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
-    return O.page_furniture(texts)
+    return O.page_furniture(on_tables(spark, sf, PAGED, lines=lines)).select("doc_id", "first_line", "end_line")
+
+
+@query(
+    "g6_view_tiles",
+    "WITH d AS (SELECT doc_id, length('Code of the State' || chr(10) || 'Page 1' || chr(10)) AS h, length(text) AS n FROM documents WHERE length(text) > 200) "
+    "SELECT doc_id, 4 AS artifacts, 4 AS segments, CAST(4 * h AS BIGINT) AS furniture_chars, 0 AS breaks FROM d",
+)
+def g6_view(spark: SparkSession, sf: str) -> DataFrame:
+    """Four pages with a header each: the view's segments and artifacts tile the text."""
+    body = F.concat_ws("\n", *(F.concat(F.lit(f"line {a} of its own"), F.translate(F.lit(f"{i}"), "0123456789", "abcdefghij")) for i, a in enumerate("abcdefghijkl")))
+    page = lambda k: F.concat(F.lit(f"Code of the State\nPage {k}\n"), F.translate(body, "own", "pqrs"[k - 1] * 3), F.lit("\n"))
+    docs = table(spark, sf, "documents").where("length(text) > 200").select("doc_id", F.concat(*(page(k) for k in range(1, 5))).alias("text"))
+    tiles = O.view(docs)
+    nxt = F.lead("raw_start").over(Window.partitionBy("doc_id").orderBy("raw_start"))
+    return tiles.withColumn("nxt", nxt).groupBy("doc_id").agg(
+        F.count_if(F.col("kind") == "artifact").cast("int").alias("artifacts"), F.count_if(F.col("kind") == "segment").cast("int").alias("segments"),
+        F.sum(F.when(F.col("kind") == "artifact", F.col("raw_end") - F.col("raw_start"))).cast("long").alias("furniture_chars"), F.count_if(F.col("nxt") != F.col("raw_end")).cast("int").alias("breaks"),
+    )
 
 
 SPANS = "SELECT DISTINCT l_orderkey AS doc, CAST(l_linenumber * 40 AS INT) AS s, CAST(l_linenumber * 40 + l_quantity % 30 + 1 AS INT) AS e FROM lineitem"
@@ -67,7 +91,16 @@ def g7(spark: SparkSession, sf: str) -> DataFrame:
     return O.budget_gate(e, "user_id", "event_id", "cost", 500.0).select("user_id", "event_id", "started")
 
 
-@query("g8_chunk_plan")
+@query(
+    "g8_chunk_plan",
+    f"WITH RECURSIVE b AS MATERIALIZED (SELECT doc_id, position, level, own, list_position(['hard', 'line', 'sentence', 'paragraph', 'heading'], level) AS rank FROM ({LEVELS_SQL})), d AS (SELECT doc_id, length(text) AS n, text FROM documents WHERE text IS NOT NULL), "
+    "cut(doc_id, number, pos, level, n) AS (SELECT doc_id, CAST(1 AS BIGINT), CAST(0 AS BIGINT), 'document_start', n FROM d UNION ALL "
+    "SELECT c.doc_id, c.number + 1, coalesce(max_by(b.position, (b.rank, b.position)), c.pos + 1000), coalesce(max_by(b.level, (b.rank, b.position)), 'hard'), c.n FROM cut c LEFT JOIN b ON b.doc_id = c.doc_id AND b.position BETWEEN c.pos + 500 AND c.pos + 1000 "
+    "WHERE c.n - c.pos > 1000 GROUP BY c.doc_id, c.number, c.pos, c.n), "
+    "e AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY number), n) AS raw_end FROM cut), h AS (SELECT e.doc_id, e.number, max_by(b.own, b.position) AS heading FROM e JOIN b ON b.doc_id = e.doc_id AND b.level = 'heading' AND b.position < e.pos GROUP BY 1, 2) "
+    "SELECT e.doc_id, e.number, e.pos AS raw_start, e.raw_end, e.level AS boundary, coalesce(h.heading, CASE WHEN e.pos > 0 AND regexp_matches(d.text, '\\S') THEN trim(string_split(d.text, chr(10))[1], ' ' || chr(9) || chr(13)) END) AS heading "
+    "FROM e JOIN d USING (doc_id) LEFT JOIN h ON h.doc_id = e.doc_id AND h.number = e.number",
+)
 def g8(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of 500 to 1,000 characters at the best line boundary, else a hard cut; they tile each text."""
     return O.plan_chunks(table(spark, sf, "documents"), 1000, 500)

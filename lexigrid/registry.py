@@ -56,6 +56,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_schema(ddl: str):
+    """On the driver; executors get the result."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    return to_arrow_schema(StructType.fromDDL(ddl))
+
+
 def on_tables(spark: SparkSession, sf_dir: str, sql: str, **frames: DataFrame) -> DataFrame:
     """Spark SQL on the tables that it names, passed by name: no view is left behind in the session."""
     import re

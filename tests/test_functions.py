@@ -5,7 +5,7 @@ import datetime
 from pyspark.sql import functions as F
 
 from lexigrid.functions import boundaries, dates, facts, kleene, places, text
-from lexigrid.operators import graph, joins, ordered
+from lexigrid.operators import graph, joins
 
 
 def one(spark, *columns):
@@ -43,7 +43,25 @@ def test_spans():
     assert text.find_span("a b", "x a b a b")[:4] == ("exact_match", 2, 5, 2)
     assert text.find_span("a  b", "x a\n b")[0] == "normalized_match"
     assert text.find_span("f(a)", "x f ( a ) y")[0] == "layout_normalized_match"
-    assert text.find_span("", "x")[0] == text.find_span("z", "x")[0] == "failed"
+    assert text.find_span("", "x")[0] == text.find_span("z", "x")[0] == text.find_span(None, "x")[0] == text.find_span("a", None)[0] == "failed"
+    assert text.find_span(" a\u00a0b ", "xa \n b a\tb") == ("normalized_match", 1, 6, 2, "a \n b")
+    assert text.find_span("e\u0301t", "l'\u00e9t")[:3] == ("normalized_match", 2, 4)
+    assert text.find_span("see [ 1 ](b) c", "x see\n[1 ] ( b )c and [2]") == ("layout_normalized_match", 2, 16, 1, "see\n[1 ] ( b )c")
+    assert text.find_span("see [ 1 ](b) c", "x see\n[1 ] ( b ) c and [2]") == ("layout_normalized_match", 2, 17, 1, "see\n[1 ] ( b ) c")
+    assert text.find_span("a b", "a (b") == ("failed", None, None, 0, None)
+    assert text.find_span("aa", "aaaa")[3] == 2 and text.find_span("a a", "a  a  a  a")[3] == 2
+
+
+def test_anchored_spans():
+    assert text.find_anchored("b", "a b \n", True) == ("exact_match", 2, 3) and text.find_anchored("b", "a b c", True)[0] == "failed"
+    assert text.find_anchored("a  b", " a b c", False) == ("normalized_match", 1, 4) and text.find_anchored("(c)", "a ( c ) ", True) == ("layout_normalized_match", 2, 7)
+    assert text.find_anchored(" ", "a", True)[0] == "failed"
+
+
+def test_folded_places(spark):
+    got = one(spark, text.fold_places(F.lit("a \n b ( c ]  [")).alias("x"), text.fold_places(F.lit("a \n b ( c ]  ["), True).alias("y"), text.fold_places(F.lit(None).cast("string")).alias("z"))
+    assert got["x"].text == "a b ( c ] [" and got["x"].places == [0, 1, 4, 5, 6, 7, 8, 9, 10, 11, 13]
+    assert got["y"].text == "a b(c][" and got["y"].places == [0, 1, 4, 6, 8, 10, 13] and got["z"].text is None
 
 
 def test_boundaries_keep_the_first_pattern(spark):
@@ -73,16 +91,3 @@ def test_overlaps_across_blocks(spark):
     a = spark.createDataFrame([("d", 1, 0, 500), ("d", 2, 400, 900), ("d", 3, 500, 501), ("d", 4, 5, 5)], "doc string, id int, s int, e int")
     got = {(r.id, r.other) for r in joins.overlaps(a, a.withColumnRenamed("id", "other")).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1), (2, 3), (3, 2)}
-
-
-def test_chunks_tile():
-    words = ("Section 1. Rules\n\n" + "A sentence of some length stands here.\n" * 50) * 3
-    chunks = ordered.chunks_of(words, 1000, 500)
-    assert chunks[0][0] == 0 and chunks[-1][1] == len(words)
-    assert all(a[1] == b[0] for a, b in zip(chunks, chunks[1:], strict=False)) and all(e - s <= 1000 for s, e, _ in chunks)
-
-
-def test_page_furniture():
-    body = "\n".join(f"Header of the code\nPage {p}\n" + "\n".join(f"line {p} {'abcdefghij'[i]} text" + "x" * (p + 10 * i) for i in range(10)) for p in range(1, 5))
-    assert len(ordered.furniture_of(body)) == 4
-    assert ordered.furniture_of("") == []
