@@ -46,8 +46,8 @@ def test_spans():
     assert text.find_span("", "x")[0] == text.find_span("z", "x")[0] == text.find_span(None, "x")[0] == text.find_span("a", None)[0] == "failed"
     assert text.find_span(" a\u00a0b ", "xa \n b a\tb") == ("normalized_match", 1, 6, 2, "a \n b")
     assert text.find_span("e\u0301t", "l'\u00e9t")[:3] == ("normalized_match", 2, 4)
-    assert text.find_span("see [ 1 ](b) c", "x see\n[1 ] ( b )c and [2]") == ("layout_normalized_match", 2, 16, 1, "see\n[1 ] ( b )c")
-    assert text.find_span("see [ 1 ](b) c", "x see\n[1 ] ( b ) c and [2]") == ("layout_normalized_match", 2, 17, 1, "see\n[1 ] ( b ) c")
+    assert text.find_span("see [ 1 ](b) c", "x see\n[1 ] ( b )c and [2]") == ("layout_normalized_match", 2, 17, 1, "see\n[1 ] ( b )c")
+    assert text.find_span("see [ 1 ](b) c", "x see\n[1 ] ( b ) c and [2]") == ("layout_normalized_match", 2, 18, 1, "see\n[1 ] ( b ) c")
     assert text.find_span("a b", "a (b") == ("failed", None, None, 0, None)
     assert text.find_span("aa", "aaaa")[3] == 2 and text.find_span("a a", "a  a  a  a")[3] == 2
 
