@@ -1,8 +1,8 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (A-Z to lower case, digits to 0, white space to single spaces, trimmed) and hashed. A line that more than `limit`
-distinct texts of one host share is removed there; a document that loses over half of its characters is depleted and rejected. Copies
-of one text count once, so a copied document isn't rejected for its copies. Distinct (line, text) pairs are counted before lines, so a line that a third of the
+distinct documents of one host share is removed there; a document that loses over half of its characters is depleted and rejected. Counted by texts instead, copies
+of one text count once, so that a copied document isn't rejected for its copies. Distinct (line, document) pairs are counted before lines, so a line that a third of the
 documents hold is summed from partial counts; lines meet the counts in a join that Spark may split.
 """
 
@@ -17,7 +17,8 @@ LIMIT = 50
 WINDOW = 8
 _GAPS = " \t\n\x0b\x0c\r"
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_SYMBOLS = "#*$%&|<>"
+_GAP = "[ \\t\\n\\x0b\\f\\r]"
+_SYMBOL = "[#*$%&|<>]"
 
 
 def _let(value: Column, f) -> Column:
@@ -25,12 +26,8 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _drop(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, _GAPS[1:], " " * 5), " "), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{_GAP}+"), "")
 
 
 def normal_lines(text: Column) -> Column:
@@ -55,7 +52,7 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
 
     def hashes(h: Column) -> Column:
         n = F.size(h) - (window - 1)
-        return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.slice(h, i, window))))
+        return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(*(h[i + k] for k in range(window)))))
 
     word_hashes = F.transform(words, lambda w: F.xxhash64(w))
     return _let(_let(word_hashes, hashes), covered)
@@ -65,35 +62,38 @@ def _key(host: Column, line: Column) -> Column:
     return F.xxhash64(host.isNull(), host, line)
 
 
-def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT) -> DataFrame:
+def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, count: str = "documents") -> DataFrame:
     """The rows of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_chars, depleted, kept
     and kept_text (the text without the removed lines; null for a null text).
 
-    base_failed: under 20 words, or over 30 % of the words in 8-word windows that occur twice. A null text has no words. Rows
-    without a host form one host. Repeated rows get the same verdict and count as one text. An empty table gives no rows. All columns
-    are kept; new ones replace those of the same name.
+    base_failed: under 20 words, or over 30 % of the words in 8-word windows that occur twice. count: what a line's limit counts, distinct `documents`
+    (by id and text) or distinct `texts`. A null text has no words. Rows without a host form one host. Repeated rows get the same verdict and count as one
+    document. A line that stands `limit` times stays; one more removes it. An empty table gives no rows. All columns are kept; new ones replace those of the same name.
     """
+    if count not in ("documents", "texts"):
+        raise ValueError("count must be documents or texts")
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", "depleted", "kept", "kept_text"]
     # names of this function's own, so that no column of docs can clash with them
     own = {c: f"__{i}" for i, c in enumerate(docs.columns)}
     docs, carried = docs.toDF(*own.values()), [own[c] for c in own if c not in made]
     whole, host = F.col(own[text_col]), F.col(own[host_col])
     text = F.coalesce(whole, F.lit(""))
-    mark = F.xxhash64(host.isNull(), host, text).alias("__th")
+    ids = [F.col(own[id_col]).isNull(), F.col(own[id_col])] if count == "documents" else []
+    mark = F.xxhash64(host.isNull(), host, text, *ids).alias("__th")
 
     lines = docs.select(mark, host.alias("__host"), F.array_distinct(normal_lines(text)).alias("__lines"))
     held = lines.select("__th", F.explode("__lines").alias("line"), "__host").select("__th", _key(F.col("__host"), F.col("line")).alias("key")).distinct()
     often = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
     hit = held.join(often, "key").groupBy("__th").agg(F.collect_list("key").alias("__often"))
 
-    base = docs.select(*carried, mark, words_of(text).alias("__words"), normal_lines(text).alias("__norm"), F.filter(F.split(text, "\n"), lambda x: _drop(x, _GAPS) != "").alias("__raw"))
-    chars = F.length(_drop(text, _GAPS)).cast("long")
+    base = docs.select(*carried, mark, words_of(text).alias("__words"), normal_lines(text).alias("__norm"), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_GAPS)) != "").alias("__raw"))
+    chars = (F.length(text) - F.regexp_count(text, F.lit(_GAP))).cast("long")
     base = base.select(
         *carried,
         "__th",
         F.size("__words").cast("long").alias("n_words"),
         chars.alias("word_chars"),
-        (F.length(text) - F.length(_drop(text, _SYMBOLS))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(_SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("__raw") - F.size(F.array_distinct("__raw"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("__words")).alias("n_repeat_words"),
         F.transform("__norm", lambda x: F.struct(_key(host, x).alias("key"), F.length(F.translate(x, " ", "")).alias("n"))).alias("__keys"),
@@ -111,10 +111,11 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = assess(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars")
+    shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars"]
+    return found.select(*shown, F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_text_md5"))
 
 
-#: The verdict for every row of a view named docs; {limit} as LIMIT.
+#: The verdict for every row of a view named docs; {limit} as LIMIT; {what}: what a line's limit counts.
 VERDICT_SQL = """
 d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM {docs}),
 w AS (SELECT r, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i, len(ws) AS n
@@ -124,14 +125,16 @@ rep AS (SELECT r, i, length(word) AS c, g IS NOT NULL AND count(*) OVER (PARTITI
 cov AS (SELECT r, c, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS covered FROM rep),
 ws AS (SELECT r, count(*) AS n_words, sum(c)::BIGINT AS word_chars, count(*) FILTER (covered) AS n_repeat_words FROM cov GROUP BY r),
 raw AS (SELECT r, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\\x20\\x09-\\x0D]') GROUP BY r),
-lines AS (SELECT r, source, t, trim(regexp_replace(l, ' +', ' ', 'g'), ' ') AS l FROM (
-      SELECT r, source, t, unnest(string_split(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789' || chr(9) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz0000000000    '), chr(10))) AS l FROM d)),
-often AS (SELECT source, l FROM lines WHERE l <> '' GROUP BY source, l HAVING count(DISTINCT t) > {limit}),
+lines AS (SELECT r, i, source, doc_id, t, trim(regexp_replace(l, ' +', ' ', 'g'), ' ') AS l FROM (
+      SELECT r, source, doc_id, t, unnest(range(len(string_split(t, chr(10))))) AS i, unnest(string_split(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789' || chr(9) || chr(11) || chr(12) || chr(13), 'abcdefghijklmnopqrstuvwxyz0000000000    '), chr(10))) AS l FROM d)),
+often AS (SELECT source, l FROM lines WHERE l <> '' GROUP BY source, l HAVING count(DISTINCT {what}) > {limit}),
 gone AS (SELECT r, sum(length(replace(lines.l, ' ', '')))::BIGINT AS removed_chars FROM lines JOIN often ON lines.l = often.l AND lines.source IS NOT DISTINCT FROM often.source GROUP BY r),
-verdict AS (SELECT d.r, d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
+raws AS (SELECT r, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM d),
+stay AS (SELECT raws.r, string_agg(x, chr(10) ORDER BY raws.i) AS kept_text FROM raws JOIN lines ON raws.r = lines.r AND raws.i = lines.i LEFT JOIN often ON lines.l = often.l AND lines.source IS NOT DISTINCT FROM often.source WHERE often.l IS NULL GROUP BY raws.r),
+verdict AS (SELECT d.r, d.doc_id, coalesce(kept_text, '') AS kept_text, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols,
       coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
       coalesce(n_words, 0) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * coalesce(n_words, 0) AS base_failed, coalesce(removed_chars, 0) AS removed_chars
-      FROM d LEFT JOIN ws USING (r) LEFT JOIN raw USING (r) LEFT JOIN gone USING (r))
+      FROM d LEFT JOIN ws USING (r) LEFT JOIN raw USING (r) LEFT JOIN gone USING (r) LEFT JOIN stay USING (r))
 """
 
-OP7_SQL = f"WITH {VERDICT_SQL.format(docs='documents', limit=LIMIT)} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND removed_chars * 2 <= word_chars AS kept, removed_chars FROM verdict"
+OP7_SQL = f"WITH {VERDICT_SQL.format(docs='documents', limit=LIMIT, what='(doc_id, t)')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND removed_chars * 2 <= word_chars AS kept, removed_chars, md5(kept_text) AS kept_text_md5 FROM verdict"
