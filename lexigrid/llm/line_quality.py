@@ -30,10 +30,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"{_GAP}+"), "")
 
 
-def normal_lines(text: Column) -> Column:
+def _normal(text: Column) -> Column:
+    """Of each line, in order; blank lines are empty."""
     plain = F.translate(text, _LETTERS + "0123456789\t\x0b\x0c\r", _LETTERS.lower() + "0" * 10 + " " * 4)
     single = F.when(F.contains(plain, F.lit("  ")), F.regexp_replace(plain, " +", " ")).otherwise(plain)
-    return F.filter(F.transform(F.split(single, "\n"), lambda x: F.btrim(x)), lambda x: x != "")
+    return F.transform(F.split(single, "\n"), lambda x: F.btrim(x))
+
+
+def normal_lines(text: Column) -> Column:
+    return F.filter(_normal(text), lambda x: x != "")
 
 
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
@@ -63,8 +68,8 @@ def _key(host: Column, line: Column) -> Column:
 
 
 def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: int = LIMIT, count: str = "documents") -> DataFrame:
-    """The rows of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_chars, depleted, kept
-    and kept_text (the text without the removed lines; null for a null text).
+    """The rows of docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, removed_chars, kept_chars, depleted, kept
+    and kept_text (the text without the removed lines, which has kept_chars characters; null for a null text).
 
     base_failed: under 20 words, or over 30 % of the words in 8-word windows that occur twice. count: what a line's limit counts, distinct `documents`
     (by id and text) or distinct `texts`. A null text has no words. Rows without a host form one host. Repeated rows get the same verdict and count as one
@@ -72,7 +77,7 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     """
     if count not in ("documents", "texts"):
         raise ValueError("count must be documents or texts")
-    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", "depleted", "kept", "kept_text"]
+    made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", "kept_chars", "depleted", "kept", "kept_text"]
     # names of this function's own, so that no column of docs can clash with them
     own = {c: f"__{i}" for i, c in enumerate(docs.columns)}
     docs, carried = docs.toDF(*own.values()), [own[c] for c in own if c not in made]
@@ -86,33 +91,37 @@ def assess(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host
     often = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
     hit = held.join(often, "key").groupBy("__th").agg(F.collect_list("key").alias("__often"))
 
-    base = docs.select(*carried, mark, words_of(text).alias("__words"), normal_lines(text).alias("__norm"), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(_GAPS)) != "").alias("__raw"))
-    chars = (F.length(text) - F.regexp_count(text, F.lit(_GAP))).cast("long")
+    both = F.zip_with(F.split(text, "\n"), _normal(text), lambda x, y: F.struct(x.alias("raw"), y.alias("line")))
+    base = docs.select(*carried, mark, words_of(text).alias("__words"), F.filter(both, lambda x: x["line"] != "").alias("__both"))
+    raw = F.transform("__both", lambda x: x["raw"])
     base = base.select(
         *carried,
         "__th",
         F.size("__words").cast("long").alias("n_words"),
-        chars.alias("word_chars"),
+        (F.length(text) - F.regexp_count(text, F.lit(_GAP))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(_SYMBOL)).cast("long").alias("n_symbols"),
-        (F.size("__raw") - F.size(F.array_distinct("__raw"))).cast("long").alias("n_dup_lines"),
+        (F.size("__both") - F.size(F.array_distinct(raw))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("__words")).alias("n_repeat_words"),
-        F.transform("__norm", lambda x: F.struct(_key(host, x).alias("key"), F.length(F.translate(x, " ", "")).alias("n"))).alias("__keys"),
+        F.length(text).alias("__length"),
+        F.transform("__both", lambda x: F.struct(_key(host, x["line"]).alias("key"), F.length(F.replace(x["line"], F.lit(" "), F.lit(""))).alias("n"), (F.length(x["raw"]) + 1).alias("raw"))).alias("__keys"),
     )
     met = base.join(hit, "__th", "left")
-    gone = F.when(F.col("__often").isNull(), F.lit(0).cast("long")).otherwise(F.aggregate("__keys", F.lit(0).cast("long"), lambda acc, x: acc + F.when(F.array_contains("__often", x["key"]), x["n"]).otherwise(0)))
+    none = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("raw"))
+    more = F.aggregate("__keys", none, lambda acc, x: F.when(F.array_contains("__often", x["key"]), F.struct((acc["n"] + x["n"]).alias("n"), (acc["raw"] + x["raw"]).alias("raw"))).otherwise(acc))
+    met = met.withColumn("__gone", F.when(F.col("__often").isNull(), none).otherwise(more))
+    gone, left = F.col("__gone.n"), F.greatest(F.col("__length") - F.col("__gone.raw"), F.lit(0))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     met = met.withColumn("removed_chars", gone).withColumn("base_failed", failed).withColumn("depleted", F.col("removed_chars") * 2 > F.col("word_chars"))
     stays = F.filter(F.split(whole, "\n"), lambda x: F.size(F.filter(F.transform(normal_lines(x), lambda y: _key(host, y)), lambda y: F.array_contains("__often", y))) == 0)
     kept_text = F.when(F.col("__often").isNull(), whole).otherwise(F.array_join(stays, "\n"))
     kept = ~F.col("base_failed") & ~F.col("depleted")
-    out = met.select(*carried, *made[:6], "removed_chars", "depleted", kept.alias("kept"), kept_text.alias("kept_text"))
+    out = met.select(*carried, *made[:6], "removed_chars", left.alias("kept_chars"), "depleted", kept.alias("kept"), kept_text.alias("kept_text"))
     return out.toDF(*(c for c in own if c not in made), *made)
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = assess(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    shown = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars"]
-    return found.select(*shown, F.md5(F.coalesce("kept_text", F.lit("")).cast("binary")).alias("kept_text_md5"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_chars", "kept_chars")
 
 
 #: The verdict for every row of a view named docs; {limit} as LIMIT; {what}: what a line's limit counts.
@@ -137,4 +146,4 @@ verdict AS (SELECT d.r, d.doc_id, coalesce(kept_text, '') AS kept_text, coalesce
       FROM d LEFT JOIN ws USING (r) LEFT JOIN raw USING (r) LEFT JOIN gone USING (r) LEFT JOIN stay USING (r))
 """
 
-OP7_SQL = f"WITH {VERDICT_SQL.format(docs='documents', limit=LIMIT, what='(doc_id, t)')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND removed_chars * 2 <= word_chars AS kept, removed_chars, md5(kept_text) AS kept_text_md5 FROM verdict"
+OP7_SQL = f"WITH {VERDICT_SQL.format(docs='documents', limit=LIMIT, what='(doc_id, t)')} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND removed_chars * 2 <= word_chars AS kept, removed_chars, CAST(length(kept_text) AS BIGINT) AS kept_chars FROM verdict"
