@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows that a Python step holds at once as Python objects.
 STEP = 256
@@ -78,9 +77,3 @@ def by_rows(df: DataFrame, make: Callable[[], Callable], schema: str, step: int
 
 def rounds_of(n_bytes: float, each: int, least: int = 1) -> int:
     return max(least, -(-int(n_bytes) // each))
-
-
-def text_bytes(df: DataFrame, text_col: str) -> int:
-    """Spark's estimate of the size, from file sizes, without a job; where it has none (rows that don't come from files), the texts' bytes are summed."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 55 else int(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)

@@ -2,12 +2,12 @@
 
 1. A task hashes all windows of its documents (two rolling hashes, modulo 2**64 with different bases), in blocks of bounded size. Of the
    windows of a block that share a hash only the first goes on; the others are known to repeat and become local answers. The rest is dealt by
-   the second hash to buckets whose number grows with the input, packed as 56 bits of the first.
-2. For each bucket, Spark counts the hashes: a window whose hash is also held by a smaller document repeats. The answer has one bit a window.
+   the second hash to buckets, a Spark partition each, whose number follows the bytes of text, packed as the first hash and eight more bits of the second.
+2. In each bucket the hashes are counted: a window whose hash is also held by a smaller document repeats. The answer has one bit a window.
 3. The answers meet the documents, which hash their windows again; repeated windows merge into maximal intervals of words, which are removed.
 
-A hash thus decides with 56 bits among the windows of its bucket: two different windows are taken as equal with a chance of about
-windows in a bucket / 2**56, under 1e-10 a window at any input size. Words are hashed with 64-bit XXH3.
+Within its bucket a window is known by 72 bits, with the bucket's number by 72 + log2(buckets): among 1e13 windows in 1e6 buckets one in a hundred such runs is expected
+to take two different windows as equal. Words are hashed with two independent 64-bit hashes, so that two words don't meet either.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, in_steps, rounds_of, table, text_bytes
+from .common import arrow_schema, in_steps, rounds_of, table
 
 WINDOW = 20
 #: Windows that a task holds before it deals them out.
 BLOCK = 2_000_000
-#: Bytes of input, as Spark estimates them, for each bucket.
-BUCKET = 8 << 20
+#: Bytes of text for each bucket: about 2.5 million windows, 25 MB as they are sent.
+BUCKET = 16 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 _LIMIT = 1 << 14
 _NULL_ID = -(1 << 63)
@@ -43,13 +43,13 @@ def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
 _POWERS = [_powers(b) for b in _BASES]
 
 
-def rolling(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Both hashes of each window: sum of word * base ** -place in the window, modulo 2**64, from sums of prefixes."""
+def rolling(words: np.ndarray, window: int, others: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of each window: sum of word * base ** -place in the window, modulo 2**64, from sums of prefixes. others: the words' hashes for the second one."""
     n = len(words) - window + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     out = []
-    for up, down in _POWERS:
+    for (up, down), words in zip(_POWERS, (words, words if others is None else others), strict=True):
         parts = []
         for at in range(0, n, _LIMIT - window):
             part = words[at : at + _LIMIT - 1]
@@ -66,31 +66,50 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def hashed(text: str | None, window: int, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, and of each window the hash of 56 bits and the bucket."""
+def both_hashes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each word's 128-bit XXH3."""
+    from xxhash import xxh3_128_digest
+
+    halves = np.frombuffer(b"".join(map(xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
+    return halves[:, 0], halves[:, 1]
+
+
+def hashed(text: str | None, window: int, buckets: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and of each window its hash, eight more bits and the bucket."""
     words = (text or "").encode().split()
-    a, b = rolling(word_hashes(words), window) if len(words) >= window else rolling(np.empty(0, np.uint64), window)
-    return words, a >> np.uint64(8), ((b >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+    first, second = both_hashes(words) if len(words) >= window else (np.empty(0, np.uint64),) * 2
+    a, b = rolling(first, window, second)
+    return words, a, (b >> np.uint64(24)).astype(np.uint8), ((b >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
+
+
+def ranked(h: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of (h, more), equal ones in the order in which they came; and which of them begin a run of equal ones."""
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    if (same & (more[order][1:] != more[order][:-1])).any():  # one hash with different bits: rare
+        order = np.lexsort((np.arange(len(h)), more, h))
+        same = (h[order][1:] == h[order][:-1]) & (more[order][1:] == more[order][:-1])
+    return order, np.concatenate(([True], ~same))
 
 
-DEALT = "bucket int, local boolean, block long, docs binary, marks binary, sizes binary, data binary"
+DEALT = "bucket int, local boolean, block long, docs binary, marks binary, sizes binary, data binary, more binary"
 PACKED = "part int, bucket int, docs binary, marks binary, blocks binary, sizes binary, data binary"
 ANSWER = "k long, th long, answers array<struct<bucket: int, bits: binary>>"
 
 
 def _deal(window: int, buckets: int, block: int):
-    """Rows for the buckets: documents (id, mark of the text, count of hashes) and 7 bytes a hash, in the documents' order; and local answers."""
+    """Rows for the buckets: documents (id, mark of the text, count of hashes) and 8 + 1 bytes a hash, in the documents' order; and local answers."""
     arrow = arrow_schema(DEALT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        held: list[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             held.sort(key=lambda x: x[:2])
             keys, marks = np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64)
             counts = np.array([len(x[2]) for x in held])
-            h, bucket = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
+            h, more, bucket = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
             doc = np.repeat(np.arange(len(held), dtype=np.int32), counts)
             held.clear()
             # blocks of the same rows send the same windows; copies of a row in other blocks send other ones
@@ -98,16 +117,15 @@ def _deal(window: int, buckets: int, block: int):
             # equal rows are one document: the copy's windows start no earlier
             same = np.concatenate(([False], (keys[1:] == keys[:-1]) & (marks[1:] == marks[:-1])))
             first = np.zeros(len(h), bool)
-            order = np.argsort(h, kind="stable")
-            ranked = h[order]
-            first[order[np.concatenate(([True], ranked[1:] != ranked[:-1]))]] = True
-            del order, ranked
+            order, begins = ranked(h, more)
+            first[order[begins]] = True
+            del order, begins
             edges = np.concatenate(([0], np.cumsum(counts)))
             rows = []
             for k in range(len(keys)):
                 own = first[edges[k] : edges[k + 1]]
                 if not same[k] and not own.all():
-                    rows.append((int(marks[k] % buckets), True, name, keys[k : k + 1].tobytes(), marks[k : k + 1].tobytes(), b"", np.packbits(~own).tobytes()))
+                    rows.append((int(marks[k] % buckets), True, name, keys[k : k + 1].tobytes(), marks[k : k + 1].tobytes(), b"", np.packbits(~own).tobytes(), b""))
             first[np.repeat(same, counts)] = False
             at = np.flatnonzero(first)
             at = at[np.argsort(bucket[at], kind="stable")]
@@ -118,15 +136,15 @@ def _deal(window: int, buckets: int, block: int):
                 if hi > lo:
                     own = at[lo:hi]
                     which, sizes = np.unique(doc[own], return_counts=True)
-                    rows.append((b, False, name, keys[which].tobytes(), marks[which].tobytes(), sizes.astype(np.uint32).tobytes(), h[own].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7].tobytes()))
+                    rows.append((b, False, name, keys[which].tobytes(), marks[which].tobytes(), sizes.astype(np.uint32).tobytes(), h[own].astype("<u8").tobytes(), more[own].tobytes()))
             for i in range(0, len(rows), 512):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 512], strict=True), arrow, strict=True)], schema=arrow)
 
         for batch in in_steps(batches):
             for key, mark, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                _, h, bucket = hashed(text, window, buckets)
+                _, h, more, bucket = hashed(text, window, buckets)
                 if len(h):
-                    held.append((key, mark, h, bucket))
+                    held.append((key, mark, h, more, bucket))
                     size += len(h)
                     if size >= block:
                         yield from flush()
@@ -142,40 +160,44 @@ def _count(parts: int):
     packed by the part of the documents that they belong to, so that rows don't grow as documents times buckets."""
     arrow = arrow_schema(PACKED)
 
-    def run(group: pa.Table) -> pa.Table:
+    def answers(rows: list[tuple]) -> Iterator[tuple[int, int, int, int, bytes]]:
+        """Of one bucket."""
+        bucket = rows[0][0]
+        keys, marks = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in (2, 3))
+        sizes = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows]).astype(np.int64)
+        names = np.repeat(np.array([r[6] for r in rows], np.int64), [len(r[2]) // 8 for r in rows])
+        h, more = np.frombuffer(b"".join(r[5] for r in rows), "<u8"), np.frombuffer(b"".join(r[7] for r in rows), np.uint8)
+        order = np.lexsort((marks, keys))
+        new = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (marks[order][1:] != marks[order][:-1])))
+        rank = np.empty(len(keys), np.int32)
+        rank[order] = np.cumsum(new) - 1
+        ranks = np.repeat(rank, sizes)
+        order, begins = ranked(h, more)
+        starts = np.flatnonzero(begins)
+        least = np.minimum.reduceat(ranks[order], starts)
+        repeats = np.empty(len(h), bool)
+        repeats[order] = ranks[order] > np.repeat(least, np.diff(np.append(starts, len(h))))
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        for k in np.flatnonzero(np.add.reduceat(repeats, edges[:-1])).tolist():
+            yield int(keys[k]), int(marks[k]), int(names[k]), bucket, np.packbits(repeats[edges[k] : edges[k + 1]]).tobytes()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[int, list[tuple]] = {}
         out: list[tuple[int, int, int, int, bytes]] = []
-        cols = [group.column(c).to_pylist() for c in ("bucket", "local", "docs", "marks", "sizes", "data", "block")]
-        rows = list(zip(*cols, strict=True))
-        out += [(int(np.frombuffer(d, np.int64)[0]), int(np.frombuffer(m, np.int64)[0]), name, -1, bits) for _, local, d, m, _, bits, name in rows if local]
-        rows = [r for r in rows if not r[1]]
-        if rows:
-            bucket = rows[0][0]
-            keys, marks = (np.concatenate([np.frombuffer(r[i], np.int64) for r in rows]) for i in (2, 3))
-            sizes = np.concatenate([np.frombuffer(r[4], np.uint32) for r in rows]).astype(np.int64)
-            names = np.repeat(np.array([r[6] for r in rows], np.int64), [len(r[2]) // 8 for r in rows])
-            raw = np.zeros((int(sizes.sum()), 8), np.uint8)
-            raw[:, :7] = np.frombuffer(b"".join(r[5] for r in rows), np.uint8).reshape(-1, 7)
-            del rows, cols
-            h = raw.view("<u8").reshape(-1)
-            order = np.lexsort((marks, keys))
-            new = np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (marks[order][1:] != marks[order][:-1])))
-            rank = np.empty(len(keys), np.int32)
-            rank[order] = np.cumsum(new) - 1
-            ranks = np.repeat(rank, sizes)
-            order = np.argsort(h, kind="stable")
-            ranked = h[order]
-            starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-            least = np.minimum.reduceat(ranks[order], starts)
-            repeats = np.empty(len(h), bool)
-            repeats[order] = ranks[order] > np.repeat(least, np.diff(np.append(starts, len(h))))
-            edges = np.concatenate(([0], np.cumsum(sizes)))
-            for k in np.flatnonzero(np.add.reduceat(repeats, edges[:-1])).tolist():
-                out.append((int(keys[k]), int(marks[k]), int(names[k]), bucket, np.packbits(repeats[edges[k] : edges[k + 1]]).tobytes()))
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "local", "docs", "marks", "sizes", "data", "block", "more")), strict=True):
+                if row[1]:
+                    out.append((int(np.frombuffer(row[2], np.int64)[0]), int(np.frombuffer(row[3], np.int64)[0]), row[6], -1, row[5]))
+                else:
+                    by.setdefault(row[0], []).append(row)
+        while by:
+            out += answers(by.popitem()[1])
         packed: dict[tuple[int, int], list[tuple[int, int, int, bytes]]] = {}
         for key, mark, name, bucket, bits in out:
             packed.setdefault(((key * 31 + mark) % parts, bucket), []).append((key, mark, name, bits))
         made = [(part, bucket, *(np.array([x[i] for x in xs], np.int64).tobytes() for i in range(3)), np.array([len(x[3]) for x in xs], np.uint32).tobytes(), b"".join(x[3] for x in xs)) for (part, bucket), xs in packed.items()]
-        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made, strict=True) if made else [[]] * 7, arrow, strict=True)], schema=arrow)
+        for i in range(0, len(made), 512):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*made[i : i + 512], strict=True), arrow, strict=True)], schema=arrow)
 
     return run
 
@@ -185,18 +207,22 @@ def _gather():
     copy's being complete: those of the smallest block are taken."""
     arrow = arrow_schema(ANSWER)
 
-    def run(group: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[tuple[int, int], tuple[int, list[dict]]] = {}
-        for bucket, docs, marks, blocks, sizes, data in zip(*(group.column(c).to_pylist() for c in ("bucket", "docs", "marks", "blocks", "sizes", "data")), strict=True):
-            at = 0
-            for key, mark, name, n in zip(*(np.frombuffer(x, np.int64).tolist() for x in (docs, marks, blocks)), np.frombuffer(sizes, np.uint32).tolist(), strict=True):
-                if (key, mark) not in found or name < found[key, mark][0]:
-                    found[key, mark] = (name, [])
-                if name == found[key, mark][0]:
-                    found[key, mark][1].append({"bucket": bucket, "bits": data[at : at + n]})
-                at += n
-        cols = [[k[0] for k in found], [k[1] for k in found], [a for _, a in found.values()]]
-        return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
+        for group in batches:
+            for bucket, docs, marks, blocks, sizes, data in zip(*(group.column(c).to_pylist() for c in ("bucket", "docs", "marks", "blocks", "sizes", "data")), strict=True):
+                at = 0
+                for key, mark, name, n in zip(*(np.frombuffer(x, np.int64).tolist() for x in (docs, marks, blocks)), np.frombuffer(sizes, np.uint32).tolist(), strict=True):
+                    if (key, mark) not in found or name < found[key, mark][0]:
+                        found[key, mark] = (name, [])
+                    if name == found[key, mark][0]:
+                        found[key, mark][1].append({"bucket": bucket, "bits": data[at : at + n]})
+                    at += n
+        held = list(found.items())
+        for i in range(0, len(held), 512):
+            some = held[i : i + 512]
+            cols = [[k[0] for k, _ in some], [k[1] for k, _ in some], [a for _, (_, a) in some]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(cols, arrow, strict=True)], schema=arrow)
 
     return run
 
@@ -254,16 +280,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A word goes if it lies in a window whose words also start earlier: in a row of smaller id, or before it in the same text. All
     is judged on the input. Rows of one id with different texts are ordered by a hash of the text; repeated rows (same id, same
-    text) count as one and get the same result. A null id counts as the smallest. A null text has no words, and its kept_text is null.
+    text) count as one and get the same result. A null id counts as the smallest. A null text has no words, and its kept_text is null. A very long text is a block of its own.
     Texts shorter than a window stay. An empty table gives no rows. All columns of docs are kept; new ones replace those of the same name.
     """
     taken = ["n_words", "n_removed", "spans", "kept_sha256"] + ["kept_text"] * keep
     carried = [c for c in docs.columns if c not in taken]
     plain = [c for c in carried if c != text_col]
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("k"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("__text"), F.struct(*plain).alias("__row"))
-    buckets = rounds_of(text_bytes(docs, text_col), bucket_bytes)
+    # as many as the texts' bytes ask for, which compressed files don't tell, and as the session has partitions
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    buckets = max(rounds_of(size, bucket_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.select("k", "th", "__text").mapInArrow(_deal(window, buckets, block), DEALT)
-    answers = dealt.groupBy("bucket").applyInArrow(_count(buckets), PACKED).groupBy("part").applyInArrow(_gather(), ANSWER)
+    answers = dealt.repartitionById(buckets, "bucket").mapInArrow(_count(buckets), PACKED).repartitionById(buckets, "part").mapInArrow(_gather(), ANSWER)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried)
     met = rows.join(answers.hint("shuffle_hash"), ["k", "th"], "left").select("__text", "answers", *(F.col("__row")[c].alias(c) for c in plain))
     schema = f"{kinds}, {OUT}" + ", kept_text string" * keep
@@ -274,7 +302,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             cols: list[list] = [[] for _ in taken]
             for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if found:
-                    words, _, bucket = hashed(text, window, buckets)
+                    words, _, _, bucket = hashed(text, window, buckets)
                     spans = intervals(removed_windows(bucket, [(a["bucket"], a["bits"]) for a in found]), window)
                 else:
                     words, spans = (text or "").encode().split(), []

@@ -24,6 +24,25 @@ def test_rolling_hashes_are_the_sums():
     assert len(substring_dedup.rolling(w[:19], 20)[0]) == 0 and len(a) == 39_981
 
 
+def test_ranked_with_equal_hashes():
+    rng = np.random.default_rng(4)
+    for bits in (1, 8):
+        h, more = rng.integers(0, 50, 400).astype(np.uint64), rng.integers(0, 1 << (bits - 1), 400).astype(np.uint8)
+        order, begins = substring_dedup.ranked(h, more)
+        want = sorted(range(400), key=lambda i: (h[i], more[i], i))
+        assert order.tolist() == want
+        assert begins.tolist() == [i == 0 or (h[want[i]], more[want[i]]) != (h[want[i - 1]], more[want[i - 1]]) for i in range(400)]
+
+
+def test_op6_bits_beside_the_hash_decide(spark, monkeypatch):
+    """Two windows of one hash and one bucket are different if the other bits are."""
+    whole = substring_dedup.hashed
+    monkeypatch.setattr(substring_dedup, "hashed", lambda t, w, b: (lambda x: (x[0], x[1] * np.uint64(0), x[2], x[3] * 0))(whole(t, w, b)))
+    words_, h, more, bucket = substring_dedup.hashed(" ".join(f"w{i}" for i in range(24)), 20, 4)
+    order, begins = substring_dedup.ranked(h, more)
+    assert not h.any() and not bucket.any() and begins.sum() == len(set(more.tolist()))
+
+
 def test_intervals_and_cut():
     marks = np.zeros(30, bool)
     marks[[2, 3, 10, 25]] = True
