@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_rows, table
+from .common import by_rows, shared_dir, table
 
 RATE = 8000
 PACKET = 2048
@@ -154,8 +154,8 @@ def pad(text: bytes, unit: int = 192) -> bytes:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, media: each text's UTF-8 bytes, padded, as an Ogg file. A null text counts as empty. Null ids and
-    repeated rows are kept; an empty table gives no rows; other columns are not read."""
+    """doc_id, n_bytes, media: each text's UTF-8 bytes, padded, as an Ogg file. A null text counts as empty. Null ids and repeated rows
+    are kept; an empty table gives no rows; a very long text is one file of many pages; other columns are not read, whatever their names."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("payload"))
     return by_rows(rows, lambda: lambda ids, texts: [ids, [len(t) for t in texts], [write_ogg(pad(t)) for t in texts]], f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary", 64)
 
@@ -175,12 +175,24 @@ def measure(media: bytes) -> tuple:
 
 
 def analyse(media: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media_bytes, media_sha256 and FEATURES of each Ogg file, from what is read back. A null file: null features."""
-    kind = f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, media_bytes long, media_sha256 string, {FEATURES}"
+    """doc_id, n_bytes, media_bytes, media_sha256, FEATURES and error of each Ogg file, from what is read back.
+
+    A file that can't be read (a wrong checksum, a lost page, other data) gives null features and says why in error. A null file: all null. Null ids and
+    repeated rows are kept, each with its own result; an empty table gives no rows; other columns are not read, whatever their names.
+    """
+    kind = f"doc_id {media.schema['doc_id'].dataType.simpleString()}, n_bytes long, media_bytes long, media_sha256 string, {FEATURES}, error string"
+
+    def measured(file: bytes | None) -> tuple:
+        if file is None:
+            return (None,) * 10
+        try:
+            return *measure(file), None
+        except (ValueError, IndexError, struct.error) as error:
+            return *(None,) * 9, str(error) or type(error).__name__
 
     def make():
         def run(ids, sizes, files):
-            rows = [measure(f) if f is not None else (None,) * 9 for f in files]
+            rows = [measured(f) for f in files]
             return [ids, sizes, [None if f is None else len(f) for f in files], [None if f is None else hashlib.sha256(f).hexdigest() for f in files], *zip(*rows, strict=True)]
 
         return run
@@ -188,5 +200,12 @@ def analyse(media: DataFrame) -> DataFrame:
     return by_rows(media.select("doc_id", "n_bytes", "media"), make, kind, 64)
 
 
+def write_media(media: DataFrame, path: str) -> None:
+    media.write.option("compression", "zstd").parquet(path)
+
+
 def op2_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyse(encode(table(spark, sf_dir, "documents")))
+    """Stores each text as an Ogg file in the shared folder and measures what is read back."""
+    media, path = encode(table(spark, sf_dir, "documents")), shared_dir(spark)
+    write_media(media, path)
+    return analyse(spark.read.schema(media.schema).parquet(path))

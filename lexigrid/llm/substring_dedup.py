@@ -125,7 +125,7 @@ def _deal(window: int, buckets: int, block: int):
             for k in range(len(keys)):
                 own = first[edges[k] : edges[k + 1]]
                 if not same[k] and not own.all():
-                    rows.append((int(marks[k] % buckets), True, name, keys[k : k + 1].tobytes(), marks[k : k + 1].tobytes(), b"", np.packbits(~own).tobytes(), b""))
+                    rows.append((int((keys[k] * 31 + marks[k]) % buckets), True, name, keys[k : k + 1].tobytes(), marks[k : k + 1].tobytes(), b"", np.packbits(~own).tobytes(), b""))
             first[np.repeat(same, counts)] = False
             at = np.flatnonzero(first)
             at = at[np.argsort(bucket[at], kind="stable")]

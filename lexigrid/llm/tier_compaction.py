@@ -3,18 +3,23 @@
 A store is a folder that all executors share: data/ holds immutable Parquet shards, manifests/ one JSON file for each version. Arrivals are
 appended as they come, in small shards. When a tier (shards of similar size) has enough of them, they are merged into files of the
 target size, without a shuffle. Every change writes a new manifest beside the last and renames it: a reader sees one version or the next, and of two
-writers one fails and tries again. Old shards stay until vacuum().
+writers one fails and tries again. That needs a file system whose rename is one step and fails if the target is there, as HDFS's is; a local folder checks and
+renames in two steps, which serves one driver at a time; an object store without such a rename needs a table format's commit service instead.
+Old shards stay until vacuum().
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import shared_dir, table
@@ -33,8 +38,8 @@ class Conflict(RuntimeError):
 class Store:
     """ddl: the rows' schema. The driver holds names and sizes of shards only.
 
-    An empty arrival adds a version without shards. Null values, repeated rows and extra columns are kept as they are; a column that
-    ddl names twice or an arrival lacks raises.
+    An empty arrival adds a version without shards' rows. Null values, repeated rows, empty and very long texts are kept as they are; columns that ddl doesn't
+    name are left out, whatever their names; a column that ddl names twice or an arrival lacks raises.
     """
 
     def __init__(self, spark: SparkSession, root: str, ddl: str, target: int = 128 << 20, least: int = 1 << 20, fanout: int = 4):
@@ -100,12 +105,25 @@ class Store:
     def _write(self, rows: DataFrame) -> list[Shard]:
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(folder)
+        return self._listed(folder)
+
+    def _listed(self, folder: str) -> list[Shard]:
         found = self._fs.listStatus(self._path(folder))
         return [Shard(f"{folder}/{x.getPath().getName()}", int(x.getLen())) for x in found if x.getPath().getName().startswith("part-")]
 
+    def _names(self) -> list[str]:
+        return [f.name for f in self.spark.createDataFrame([], self.ddl).schema]
+
     def append(self, rows: DataFrame) -> int:
-        names = [f.name for f in self.spark.createDataFrame([], self.ddl).schema]
-        return self._change(set(), self._write(rows.select(*names)))
+        return self._change(set(), self._write(rows.select(*self._names())))
+
+    def arrivals(self, rows: DataFrame, column: Column) -> Iterator[int]:
+        """Writes all rows in one pass, in a folder for each value of column; then appends the folders in order, a version each, as the caller asks for them."""
+        folder, by = f"{self.root}/data/{uuid.uuid4().hex}", "__arrival"
+        rows.select(*self._names(), column.cast("long").alias(by)).write.partitionBy(by).option("compression", "zstd").parquet(folder)
+        parts = [x.getPath().getName() for x in self._fs.listStatus(self._path(folder)) if x.isDirectory()]
+        for name in sorted((n for n in parts if n.startswith(f"{by}=")), key=lambda n: (not n[len(by) + 1 :].lstrip("-").isdigit(), int(n[len(by) + 1 :]) if n[len(by) + 1 :].lstrip("-").isdigit() else 0)):
+            yield self._change(set(), self._listed(f"{folder}/{name}"))
 
     def tier(self, shard: Shard) -> int:
         return max(0, math.floor(math.log(max(shard.bytes, 1) / self.least, self.fanout))) if shard.bytes > self.least else 0
@@ -134,22 +152,32 @@ class Store:
     def read(self, version: int | None = None) -> DataFrame:
         return self._rows(self.shards(version))
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes older manifests than the last `keep`, then shards that no manifest names; how many shards."""
+    def full_tiers(self) -> int:
+        """Tiers below the target that have enough shards to be merged."""
+        count = Counter(self.tier(s) for s in self.shards() if s.bytes < self.target // 2)
+        return sum(n >= self.fanout for n in count.values())
+
+    def vacuum(self, keep: int = 1, grace_s: float = 86_400) -> int:
+        """Deletes older manifests than the last `keep`, and the shards that only these name; how many shards.
+
+        A shard that no manifest names may be one that a writer is about to commit: it goes only once its file is older than grace_s, which must be longer
+        than any write and commit take. Manifests go after their shards, so that a vacuum that stops midway is done again by the next.
+        """
         known = self.versions()
+        named = {s.path for v in known[-keep:] for s in self.shards(v)}
+        dropped = {s.path for v in known[:-keep] for s in self.shards(v)} - named
+        for path in dropped:
+            self._fs.delete(self._path(path), False)
         for v in known[:-keep]:
             self._fs.delete(self._path(self._name(v)), False)
-        named = {s.path for v in known[-keep:] for s in self.shards(v)}
-        data, gone = self._path(f"{self.root}/data"), 0
-        for folder in self._fs.listStatus(data) if self._fs.exists(data) else []:
-            files = [x.getPath() for x in self._fs.listStatus(folder.getPath())]
-            stay = [f for f in files if f"{self.root}/data/{folder.getPath().getName()}/{f.getName()}" in named]
-            for f in files:
-                if f not in stay:
-                    gone += f.getName().startswith("part-")
-                    self._fs.delete(f, False)
-            if not stay:
-                self._fs.delete(folder.getPath(), True)
+        data, gone, until = self._path(f"{self.root}/data"), len(dropped), time.time() - grace_s
+        found = self._fs.listFiles(data, True) if self._fs.exists(data) else None
+        while found is not None and found.hasNext():
+            file = found.next()
+            path = f"{self.root}/data/{file.getPath().toString().split(f'{self.root.split("://")[-1]}/data/', 1)[1]}"
+            if path not in named and file.getModificationTime() / 1000 < until:
+                gone += file.getPath().getName().startswith("part-")
+                self._fs.delete(file.getPath(), False)
         return gone
 
 
@@ -157,14 +185,15 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def op8_tier_compaction(spark: SparkSession, sf_dir: str, arrivals: int = 4) -> DataFrame:
-    """Documents arrive in parts by a hash of their id; each is appended, and the store is compacted as it grows. The rows of the last version."""
+    """Documents arrive in parts by their id; each is appended, and the store is compacted as it grows. The rows of the last version, with the arrival
+    that the store keeps beside them and whether compaction left a tier that should have been merged."""
     docs = table(spark, sf_dir, "documents")
-    store = Store(spark, shared_dir(spark), DOCUMENTS, target=64 << 20)
-    for k in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(arrivals)) == k))
+    arrival = F.pmod("doc_id", F.lit(arrivals))
+    store = Store(spark, shared_dir(spark), f"{DOCUMENTS}, arrival long", target=64 << 20)
+    for _ in store.arrivals(docs.withColumn("arrival", arrival), arrival):
         store.compact()
         store.vacuum()
-    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    return store.read().select("doc_id", "lang", "source", "n_chars", "arrival", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.lit(store.full_tiers() == 0).alias("compacted"))
 
 
-OP8_SQL = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
+OP8_SQL = "SELECT doc_id, lang, source, n_chars, doc_id % 4 AS arrival, sha256(text) AS text_sha256, true AS compacted FROM documents"

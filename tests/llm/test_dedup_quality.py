@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexigrid.llm import components, license_scan, line_quality, simhash_gph, substring_dedup, tier_compaction
 from lexigrid.llm.queries import oracle_sql, queries
@@ -207,6 +208,30 @@ def test_store(spark, tmp_path):
         store.read(old)
 
 
+def test_vacuum_leaves_what_is_not_committed_yet(spark, tmp_path):
+    """Another writer's shards lie there before their commit."""
+    store = tier_compaction.Store(spark, str(tmp_path / "s"), "k long", target=1 << 20, least=1000, fanout=2)
+    store.append(spark.range(10).selectExpr("id AS k").coalesce(1))
+    late = store._write(spark.range(10, 30).selectExpr("id AS k").coalesce(1))
+    store.append(spark.range(30, 40).selectExpr("id AS k").coalesce(1))
+    store.compact()
+    assert store.vacuum() == 2  # the two that were merged
+    store._change(set(), late)
+    assert sorted(r.k for r in store.read().collect()) == list(range(40))
+    lost = store._write(spark.range(5).selectExpr("id AS k").coalesce(1))
+    assert store.vacuum() == 0 and store.vacuum(grace_s=-10) == len(lost)
+    assert store.read().count() == 40
+
+
+def test_arrivals_are_versions(spark, tmp_path):
+    store = tier_compaction.Store(spark, str(tmp_path / "s"), "k long, t string")
+    rows = spark.createDataFrame([(i, t, "x") for i in range(9) for t in ("", None, "é" * 100_000)], "k long, t string, __arrival string")
+    seen = [(v, store.read(v).count()) for v in store.arrivals(rows, F.col("k") % 3)]
+    assert seen == [(1, 9), (2, 18), (3, 27)]
+    assert sorted((r.k, r.t or "") for r in store.read().collect()) == sorted((r.k, r.t or "") for r in rows.collect()) and store.read().columns == ["k", "t"]
+    assert list(store.arrivals(rows.limit(0), F.col("k"))) == []
+
+
 def test_license_model_holds_out():
     model = license_scan.trained()
     _, held = license_scan.examples()

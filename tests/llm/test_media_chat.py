@@ -53,16 +53,51 @@ def test_missing_page():
 
 
 def test_op2_rows(spark):
-    got = {r.doc_id: r for r in ogg_media.analyse(ogg_media.encode(spark.createDataFrame(ODD, SCHEMA).where("doc_id <> 7 OR doc_id IS NULL"))).collect()}
-    for doc, text, *_ in [r for r in ODD if r[0] != 7]:
+    docs = spark.createDataFrame(ODD, SCHEMA).withColumnsRenamed({"lang": "media", "source": "payload", "n_chars": "n_bytes"})
+    got = sorted(((r.doc_id is None, r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.error) for r in ogg_media.analyse(ogg_media.encode(docs)).collect()), key=repr)
+    want = []
+    for doc, text, *_ in ODD:
         raw = (text or "").encode()
         payload = raw.ljust(max(1, -(-len(raw) // 192)) * 192)
-        r = got[doc]
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-16:]))
-    assert got[5].media_sha256 == got[6].media_sha256 and got[5].feature == got[6].feature
+        want.append((doc is None, doc, len(raw), len(payload), sha(payload), zlib.crc32(payload[-16:]), None))
+    assert got == sorted(want, key=repr)
+    by = {r.doc_id: r for r in ogg_media.analyse(ogg_media.encode(docs)).collect()}
+    assert by[5].media_sha256 == by[6].media_sha256 and by[5].feature == by[6].feature
     assert ogg_media.encode(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_bad_files_are_rows(spark):
+    good = ogg_media.write_ogg(bytes(range(192)))
+    broken = bytearray(good)
+    broken[60] ^= 1
+    files = [good, bytes(broken), good[:-5], b"", b"not a file" * 9, None, good[: len(good) // 2], b"".join(p for _, p in ogg_media.pages_of(3, [(b"other", 0), (b"x", 1)]))]
+    rows = spark.createDataFrame([(i, 0, f) for i, f in enumerate(files)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in ogg_media.analyse(rows).collect()}
+    assert got[0].error is None and got[0].payload_sha256 == sha(bytes(range(192))) and got[5].error is None and got[5].media_bytes is None
+    assert "checksum" in got[1].error and all(got[i].error and got[i].payload_sha256 is None and got[i].media_bytes == len(files[i]) for i in (1, 2, 3, 4, 6, 7))
+
+
+def test_op2_query(spark, sf):
+    from lexigrid.llm.queries import queries
+
+    got = {r.doc_id: r for r in queries()["op2_ogg_media"](spark, sf).collect()}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for d in docs:
+        payload = ogg_media.pad(d.text.encode())
+        r = got[d.doc_id]
+        half = len(payload) // 2
+        samples = [b - 128 for b in payload]
+        crossings = sum((x < 0) != (y < 0) for x, y in zip(samples, samples[1:], strict=False))
+        feature = f"rms2={sum(x * x for x in samples) // len(samples)};crossings={crossings};peak={max(map(abs, samples))};mean={sum(samples) * 1000 // len(samples)}"
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.feature) == (len(d.text.encode()), len(payload), sha(payload), zlib.crc32(payload[-16:]), feature)
+        # two streams of a head and packets of 2,048 samples; heads, samples, lacing and page heads make up the file
+        packets = 2 * (1 + -(-half // 2048))
+        assert (r.streams, r.packets, r.duration_ms, r.error) == (2, packets, round(1000 * (len(payload) - half) / 8000), None)
+        media = ogg_media.write_ogg(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(media), sha(media)) and r.pages == media.count(b"OggS") and r.last_page_ms == [round(half / 8), round((len(payload) - half) / 8)]
+
+
 def test_escape_is_reversible():
     rng = random.Random(4)
     parts = [*chat_events.CONTROL, "\\", "<", "|", "a", "\n", "[", "start"]
