@@ -111,16 +111,54 @@ def test_escape_is_reversible():
         list(chat_events.parse("loose words"))
 
 
+def plain_fold(log):
+    """Rows of EVENTS, one at a time in the order of the sequence."""
+    begin, talks = {}, {}
+    for conv, seq, message, kind, role, text in sorted(log, key=lambda e: (e[1], e[3], e[5] or "")):
+        talk = talks.setdefault(conv, {})
+        first = (conv, message) not in begin
+        at = begin.setdefault((conv, message), seq)
+        if first:
+            talk[message] = ["", "", False]
+        if kind in ("edit", "regenerate"):
+            for m in [m for m in talk if begin[conv, m] > at and begin[conv, m] < seq]:
+                del talk[m]
+        if message in talk:
+            state = talk[message]
+            state[0] = role or "" if kind == "start" else state[0]
+            state[1] = {"start": state[1], "delta": state[1] + (text or ""), "edit": text or "", "regenerate": "", "delete": state[1]}[kind]
+            state[2] |= kind == "delete"
+    return {(c, m): (begin[c, m], role, text) for c, talk in talks.items() for m, (role, text, gone) in talk.items() if not gone}
+
+
+def folded(spark, log):
+    return {(r.conv_id, r.message): (r.position, r.role, r.text) for r in chat_events.fold(spark.createDataFrame(log, chat_events.EVENTS)).collect()}
+
+
 def test_fold(spark):
     log = [
-        (1, 1, 0, "start", "user", None), (1, 1, 1, "delta", None, "a"), (1, 1, 2, "delta", None, "b"), (1, 2, 0, "start", "assistant", None), (1, 2, 1, "delta", None, "no"), (1, 2, 2, "regenerate", None, None), (1, 2, 3, "delta", None, "yes"),
-        (1, 3, 0, "start", None, None), (1, 3, 1, "edit", None, "e"), (1, 3, 2, "delta", None, None), (1, 4, 0, "start", "user", None), (1, 4, 1, "delete", None, None), (None, 1, 0, "delta", None, "lost"),
+        (1, 0, 1, "start", "user", None), (1, 1, 1, "delta", None, "a"), (1, 2, 1, "delta", None, "b"), (1, 3, 2, "start", "assistant", None), (1, 4, 2, "delta", None, "no"), (1, 5, 3, "start", "user", None), (1, 6, 3, "delta", None, "why"),
+        (1, 7, 2, "regenerate", None, None), (1, 8, 2, "delta", None, "yes"), (1, 9, 4, "edit", None, "e"), (1, 10, 4, "delta", None, None), (1, 11, 5, "start", "user", None), (1, 12, 5, "delete", None, None), (None, 1, 1, "delta", None, "lost"),
+        (2, 1, 1, "start", "user", None), (2, 2, 2, "start", "assistant", None), (2, 3, 3, "start", "user", None), (2, 4, 1, "edit", None, "over all"), (2, 5, 3, "delta", None, "too late"), (2, 6, 4, "start", "assistant", None),
     ]
-    got = {(r.conv_id, r.message): (r.role, r.text) for r in chat_events.fold(spark.createDataFrame(log, chat_events.EVENTS)).collect()}
-    assert got == {(1, 1): ("user", "ab"), (1, 2): ("assistant", "yes"), (1, 3): ("", "e"), (None, 1): ("", "lost")}
+    got = folded(spark, log)
+    assert got == {(1, 1): (0, "user", "ab"), (1, 2): (3, "assistant", "yes"), (1, 4): (9, "", "e"), (None, 1): (1, "", "lost"), (2, 1): (1, "user", "over all"), (2, 4): (6, "assistant", "")}
+    assert got == plain_fold(log)
     assert chat_events.fold(spark.createDataFrame([], chat_events.EVENTS)).count() == 0
 
 
+def test_fold_against_plain(spark):
+    rng = random.Random(5)
+    log = []
+    for conv in range(60):
+        for seq in rng.sample(range(1000), rng.randrange(30)):
+            log.append((conv, seq, rng.randrange(6), rng.choice(["start", "delta", "delta", "delta", "edit", "regenerate", "delete"]), rng.choice(["user", "assistant"]), rng.choice("xyz")))
+    rng.shuffle(log)
+    assert folded(spark, log) == plain_fold(log)
+    with pytest.raises(Exception, match="unknown kind"):
+        folded(spark, [(1, 1, 1, "shout", None, None)])
+
+
 def test_op4_query(spark, sf):
     from lexigrid.llm.queries import queries
 
@@ -134,8 +172,12 @@ def test_op4_query(spark, sf):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(own), sha("".join(f"{t[2]}\n{t[3]}\n" for t in own)), len(loss), sha(loss))
 
 
-def test_op4_null_and_repeated_rows(spark):
-    rows = [(1, 0, "user", None), (1, 0, "user", None), (None, 0, None, "x"), (1, 1, "assistant", "\\<s>")]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat_events.digest(chat_events.format_messages(chat_events.fold(chat_events.as_events(turns)))).collect()}
+def test_op4_odd_rows(spark):
+    rows = [(1, 0, "user", None, 1), (1, 0, "user", None, 2), (None, 0, None, "x", 3), (1, 1, "assistant", "\\<s>", 4), (2, None, "assistant", "é🙂" * 100_000, 5), (2, -3, "user", "", 6)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, position long")
+    made = lambda t: chat_events.digest(chat_events.format_messages(chat_events.fold(chat_events.as_events(t))))
+    got = {r.conv_id: r for r in made(turns).collect()}
     assert got[1].n_turns == 3 and got[1].loss_chars == 4 and got[None].n_turns == 1
+    long = "é🙂" * 100_000
+    assert (got[2].n_turns, got[2].loss_chars, got[2].turns_sha256) == (2, 200_000, sha(f"assistant\n{long}\nuser\n\n"))
+    assert made(turns.limit(0)).count() == 0
