@@ -1,10 +1,15 @@
 """Licence paragraphs: a logistic regression on word n-grams names a family, and the family's templates must confirm it.
 
+A paragraph ends at a blank line, or at the end of a line that ends a sentence; lines that run on are one paragraph, so a notice that is wrapped is seen whole.
+
 The model is trained on the driver from the templates below and from variations of them made by rule; no table is read for it. It has a class `unknown`,
-trained on sentences that talk of licences without granting one, and its temperature and threshold are calibrated on variations held out.
-Scoring is DataFrame functions only. Every n-gram of the model has a telling word, whatever its length; documents, and then lines, without
+trained on sentences that talk of licences without granting one. Its temperature and threshold are calibrated on sentences that the scoring model hasn't seen in any
+form (families named in frames that are new to it, unknown sentences that are) and on groups of families that it hasn't seen at all, which must be unknown; the model in
+use is then trained on all sentences.
+Scoring is DataFrame functions only. Every n-gram of the model has a telling word, whatever its length; documents, and then paragraphs, without
 any of these words as a whole are left out: their score is the intercept alone, which must name `unknown` (training checks it). The others' n-grams meet
-the weights in a broadcast join whose size is bounded by MOST_GRAMS, and lines are scored once for each distinct document.
+the weights in a broadcast join whose size is bounded by MOST_GRAMS, and paragraphs are scored once for each distinct document. Weights are whole multiples of 2**-24, so
+that sums don't depend on the order in which Spark adds them.
 """
 
 from __future__ import annotations
@@ -118,6 +123,27 @@ UNKNOWN = [
     "Attribution of the painting is uncertain; the museum asked for an international opinion.",
     "The terms were agreed to in writing under applicable law.",
 ]
+# Names under which the families are cited, and what else may stand in such a place.
+NAMES = {
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 license"],
+    "MIT": ["MIT License", "MIT license", "MIT (Expat) License"],
+    "BSD": ["BSD 3-Clause License", "BSD 2-Clause License", "BSD License", "BSD-style license"],
+    "GPL": ["GNU General Public License, version 3", "GNU General Public License v2 or later", "GNU GPL v2", "GNU GPL v3", "GPL v2"],
+    "LGPL": ["GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v3", "GNU LGPL v3", "LGPL v2.1"],
+    "MPL": ["Mozilla Public License, version 2.0", "Mozilla Public License, v. 2.0", "MPL 2.0"],
+    "ISC": ["ISC License", "ISC license"],
+    "CC-BY": ["CC BY 4.0", "CC BY-SA 4.0", "CC BY 3.0", "Creative Commons Attribution 4.0 International License"],
+    "CC-BY-NC": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC 3.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "Public-Domain": ["CC0 1.0 Universal", "CC0 1.0", "CC0 1.0 public domain dedication"],
+}
+OTHER_NAMES = ["rules of the county permit office", "terms of the sales contract", "supervision of a physician", "End User License Agreement of the vendor", "name of the author", "old driving license", "law of the land", "version 2.0 of the plan", "general license of the state", "public label"]
+FRAMES = [
+    "{}", "Licensed under the {}.", "Licensed under {}.", "Released under the {}.", "This work is licensed under the {}.", "This project is licensed under the terms of the {}.", "Distributed under the {}.",
+    "The software is made available under the {}; see the LICENSE file for details.", "Copyright 2021 by the authors, {}.", "All code here is under the {}", "The contents are covered by the {} unless stated otherwise.", "Use of this file is governed by the {}.",
+]
+#: Families whose wordings are close: none of a group is unknown to a model that knows another.
+GROUPS = (("Apache-2.0",), ("MIT", "ISC"), ("BSD",), ("GPL", "LGPL"), ("MPL",), ("CC-BY", "CC-BY-NC"), ("Public-Domain",))
+
 # Words too common to make an n-gram by themselves.
 COMMON = frozenset("a an and are as at be but by can for from has have he if in is it its may not of on or that the this to was were which will with you your".split())
 
@@ -164,56 +190,121 @@ class Model:
         return e / e.sum()
 
 
-def examples() -> tuple[list[tuple[str, int]], list[tuple[str, int]]]:
-    """(text, class) to train on, and every fifth variation held out."""
-    rows = [(v, k) for k, texts in enumerate([*TEMPLATES.values(), UNKNOWN]) for t in texts for v in variations(t)]
+@dataclass(frozen=True)
+class Example:
+    text: str
+    family: int
+    sentence: int  # the frame, or the unknown sentence, that a part of the calibration holds out; -1: templates, which no other sentence resembles
+
+
+def examples() -> list[Example]:
+    """Variations of all templates and unknown sentences, all names in all frames, and word salad of the templates' words as unknown."""
     last = len(TEMPLATES)
+    rows = [Example(v, k, -1) for k, texts in enumerate(TEMPLATES.values()) for t in texts for v in variations(t)]
+    rows += [Example(v, last, i) for i, t in enumerate(UNKNOWN) for v in variations(t)]
+    rows += [Example(frame.format(name), k, i) for k, names in enumerate([*NAMES.values(), OTHER_NAMES]) for name in names for i, frame in enumerate(FRAMES)]
     words = sorted({w for texts in TEMPLATES.values() for t in texts for w in tokens(t)})
-    rows += [(" ".join(words[(7 * i + 13 * j * (i + 1)) % len(words)] for j in range(12)), last) for i in range(120)]
-    return [r for i, r in enumerate(rows) if i % 5], [r for i, r in enumerate(rows) if not i % 5]
+    return rows + [Example(" ".join(words[(7 * i + 13 * j * (i + 1)) % len(words)] for j in range(12)), last, i) for i in range(120)]
 
 
-@functools.lru_cache(maxsize=1)
-def trained(rounds: int = 400, rate: float = 0.5, shrink: float = 2e-3) -> Model:
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
+class _Grams:
+    """The n-grams that each example holds, as numbers."""
+
+    def __init__(self, rows: list[Example]):
+        found = [set(grams(tokens(r.text))) for r in rows]
+        self.names = sorted(set(itertools.chain.from_iterable(found)))
+        if len(self.names) > MOST_GRAMS:
+            raise ValueError("more n-grams than the bound")
+        place = {g: i for i, g in enumerate(self.names)}
+        self.held = [np.array(sorted(place[g] for g in f), np.int64) for f in found]
+        self.family = np.array([r.family for r in rows])
+
+    def scores(self, w: np.ndarray, b: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.array([w[self.held[i]].sum(axis=0) for i in at]).reshape(len(at), len(b)) + b
+
+
+def _fitted(x: _Grams, at: np.ndarray, rounds: int, rate: float, shrink: float) -> tuple[np.ndarray, np.ndarray]:
     """Softmax regression by proximal gradient descent with an L1 penalty, which leaves few weights."""
-    fit, held = examples()
-    names = sorted(set(itertools.chain.from_iterable(set(grams(tokens(t))) for t, _ in fit)))
-    if len(names) > MOST_GRAMS:
-        raise ValueError("more n-grams than the bound")
-    place, k = {g: i for i, g in enumerate(names)}, len(TEMPLATES) + 1
-
-    def sparse(rows: list[tuple[str, int]]) -> tuple[list[np.ndarray], np.ndarray]:
-        """The n-grams that each row holds, and its class."""
-        found = [(np.array(sorted({place[g] for g in set(grams(tokens(t))) if g in place}), np.int64), c) for t, c in rows]
-        return [x for x, _ in found], np.eye(k)[[c for _, c in found]]
-
-    def softmax(z: np.ndarray) -> np.ndarray:
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
-
-    x, y = sparse(fit)  # every n-gram of names is held by a row; a row without any would teach nothing, as the intercept is fixed
-    y, x = y[[len(i) > 0 for i in x]], [i for i in x if len(i)]
-    flat, row = np.concatenate(x), np.repeat(np.arange(len(x)), [len(i) for i in x])
-    starts = np.concatenate(([0], np.cumsum([len(i) for i in x])[:-1]))
+    k = len(TEMPLATES) + 1
+    at = np.array([i for i in at if len(x.held[i])])  # a row without n-grams would teach nothing, as the intercept is fixed
+    held, y = [x.held[i] for i in at], np.eye(k)[x.family[at]]
+    flat, row = np.concatenate(held), np.repeat(np.arange(len(held)), [len(h) for h in held])
+    starts = np.concatenate(([0], np.cumsum([len(h) for h in held])[:-1]))
     order = np.argsort(flat, kind="stable")
     firsts = np.concatenate(([0], np.flatnonzero(np.diff(flat[order])) + 1))
-    w, b = np.zeros((len(names), k)), np.zeros(k)
+    used = flat[order][firsts]
+    w, b = np.zeros((len(x.names), k)), np.zeros(k)
     b[-1] = 2.0  # fixed: without evidence the class is unknown
-    count = np.bincount(flat, minlength=len(names))[:, None]
+    count = np.bincount(flat, minlength=len(x.names))[used, None]
     for _ in range(rounds):
-        error = softmax(np.add.reduceat(w[flat], starts) + b) - y
-        w -= rate * np.add.reduceat(error[row[order]], firsts) / count**0.5 / 4
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * shrink, 0)
-    hx, hy = sparse(held)
-    z = np.array([w[i].sum(axis=0) for i in hx]) + b
-    temperature = min(np.geomspace(0.25, 4, 41), key=lambda t: -np.log(np.maximum((softmax(z / t) * hy).sum(axis=1), 1e-12)).sum())
-    p = softmax(z / temperature)
-    wrong = [float(r[c]) for r, c, true in zip(p, p.argmax(axis=1), hy.argmax(axis=1), strict=True) if c != k - 1 and c != true]
-    threshold = min(0.9, max([0.5, *(v + 1e-3 for v in wrong)]))
+        error = _softmax(np.add.reduceat(w[flat], starts) + b) - y
+        v = w[used] - rate * np.add.reduceat(error[row[order]], firsts) / count**0.5 / 4
+        w[used] = np.sign(v) * np.maximum(np.abs(v) - rate * shrink, 0)
+    return w, b
+
+
+@dataclass(frozen=True)
+class Unseen:
+    """Scores of examples by models that haven't seen their sentence or, if the right class isn't the family, haven't seen their group of families."""
+
+    logits: np.ndarray
+    family: np.ndarray
+    right: np.ndarray
+
+    def probabilities(self, temperature: float) -> np.ndarray:
+        return _softmax(self.logits / temperature)
+
+
+#: Parts of the sentences, each scored by a model of the others.
+FOLDS = 4
+
+
+@functools.lru_cache(maxsize=1)
+def unseen(rounds: int = 150, rate: float = 0.5, shrink: float = 2e-3) -> Unseen:
+    rows = examples()
+    x, last = _Grams(rows), len(TEMPLATES)
+    sentence, everything = np.array([r.sentence for r in rows]), np.arange(len(rows))
+    fold = np.where(sentence < 0, -1, sentence % FOLDS)
+    parts = [(everything[fold == f], everything[fold != f], None) for f in range(FOLDS)]
+    names = list(TEMPLATES)
+    for group in GROUPS:
+        own = np.isin(x.family, [names.index(f) for f in group])
+        parts.append((everything[own], everything[~own], last))
+    logits, family, right = [], [], []
+    for held, fit, other in parts:
+        logits.append(x.scores(*_fitted(x, fit, rounds, rate, shrink), held))
+        family.append(x.family[held])
+        right.append(x.family[held] if other is None else np.full(len(held), other))
+    return Unseen(np.concatenate(logits), np.concatenate(family), np.concatenate(right))
+
+
+@functools.lru_cache(maxsize=1)
+def trained(rounds: int = 400, rate: float = 0.5, shrink: float = 2e-3) -> Model:
+    """On all sentences; the temperature makes the unseen examples likeliest, and the threshold, 0.5 to 0.9, lets as few of them as one in a hundred pass as a
+    family that it isn't, if it can. What still passes (a family that isn't among the templates, mostly) is for the comparison with the templates to leave unconfirmed."""
+    rows, k, other = examples(), len(TEMPLATES) + 1, unseen()
+    x = _Grams(rows)
+    w, b = _fitted(x, np.arange(len(rows)), rounds, rate, shrink)
+
+    def surprise(t: float) -> float:
+        return -np.log(np.maximum(other.probabilities(t)[np.arange(len(other.right)), other.right], 1e-12)).mean()
+
+    temperature = float(min(np.geomspace(0.25, 4, 41), key=surprise))
+    p = other.probabilities(temperature)
+    best = p.argmax(axis=1)
+    wrong = np.sort(p.max(axis=1)[(best != k - 1) & (best != other.right)])[::-1]
+    allowed = len(p) // 100
+    threshold = min(0.9, max(0.5, float(wrong[allowed]) + 1e-3)) if len(wrong) > allowed else 0.5
     used = np.flatnonzero(np.abs(w).sum(axis=1) > 0)
-    model = Model((*TEMPLATES, "unknown"), tuple(names[i] for i in used), (w[used] / temperature).astype(np.float64), (b / temperature).astype(np.float64), float(threshold))
+    fine = lambda v: np.round(v / temperature * (1 << 24)) / (1 << 24)
+    model = Model((*TEMPLATES, "unknown"), tuple(x.names[i] for i in used), fine(w[used]), fine(b), threshold)
     if model.scores("").argmax() != k - 1:
-        raise ValueError("a line without n-grams must be unknown")
+        raise ValueError("a paragraph without n-grams must be unknown")
     return model
 
 
@@ -247,12 +338,17 @@ def _let(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
+#: Between paragraphs: blank lines, or the end of a line that ends a sentence.
+BREAK = r"\r?\n(?:[ \t]*\r?\n)+|(?<=[.!?:;])[ \t]*\r?\n"
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, confirmed: float = CONFIRMED) -> DataFrame:
-    """doc_id, line (from 0), paragraph, family, probability, similarity, confirmed: each line whose best class is a family with at least the
+    """doc_id, place (from 0, of the paragraph), paragraph, family, probability, similarity, confirmed: each paragraph whose best class is a family with at least the
     calibrated probability. similarity: shared n-grams with the family's nearest template, over the smaller count; confirmed if it is at least `confirmed`.
 
-    A null or empty text has no lines to report. Repeated rows (same id and text) give one result; rows of one id with different texts one each.
-    Ties between families go to the first by name. A null id is kept. Other columns are not read.
+    A null or empty text has no paragraphs to report. Repeated rows (same id and text) give one result; rows of one id with different texts one each.
+    Ties between families go to the first in the model's order. A null id is kept. A very long paragraph is scored whole. An empty table gives no rows. Other columns are not
+    read, whatever their names.
     """
     model = model or trained()
     spark, k = docs.sparkSession, len(model.families)
@@ -263,11 +359,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     def may_hold(text: Column) -> Column:
         return F.arrays_overlap(F.split(_lower(text), "[^a-z0-9]+"), told)
 
-    near = docs.where(may_hold(F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, "\n")).alias("line", "paragraph"))
-    lines = near.where(may_hold(F.col("paragraph"))).withColumn("words", _words(F.col("paragraph")))
-    found = lines.withColumn("grams", _gram_column(F.col("words")))
-    hits = found.select("doc_id", "th", "line", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
-    scored = hits.dropDuplicates(["doc_id", "th", "line", "gram"]).groupBy("doc_id", "th", "line").agg(F.first("paragraph").alias("paragraph"), *(F.sum(c).alias(c) for c in sums))
+    near = docs.where(may_hold(F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, BREAK)).alias("place", "paragraph"))
+    parts = near.where(may_hold(F.col("paragraph"))).withColumn("words", _words(F.col("paragraph")))
+    found = parts.withColumn("grams", _gram_column(F.col("words")))
+    hits = found.select("doc_id", "th", "place", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
+    scored = hits.dropDuplicates(["doc_id", "th", "place", "gram"]).groupBy("doc_id", "th", "place").agg(F.first("paragraph").alias("paragraph"), *(F.sum(c).alias(c) for c in sums))
     z = F.array(*(F.col(c) + float(b) for c, b in zip(sums, model.intercept, strict=True)))
 
     def best(v: Column) -> Column:
@@ -275,9 +371,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         total = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + F.exp(x - top))
         return F.struct(F.array_position(v, top).cast("int").alias("k"), (1 / total).alias("p"))
 
-    named = scored.select("doc_id", "line", "paragraph", _let(z, best).alias("best")).where((F.col("best.k") < k) & (F.col("best.p") >= model.threshold))
+    named = scored.select("doc_id", "place", "paragraph", _let(z, best).alias("best")).where((F.col("best.k") < k) & (F.col("best.p") >= model.threshold))
     names = F.array(*(F.lit(f) for f in model.families))
-    named = named.select("doc_id", "line", "paragraph", F.element_at(names, F.col("best.k")).alias("family"), F.col("best.p").alias("probability"), _gram_column(_words(F.col("paragraph"))).alias("grams"))
+    named = named.select("doc_id", "place", "paragraph", F.element_at(names, F.col("best.k")).alias("family"), F.col("best.p").alias("probability"), _gram_column(_words(F.col("paragraph"))).alias("grams"))
     wording = [(f, sorted(set(grams(tokens(t))))) for f, texts in TEMPLATES.items() for t in texts]
     templates = spark.createDataFrame(wording, "family string, template array<string>").groupBy("family").agg(F.collect_list("template").alias("templates"))
 
@@ -285,7 +381,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         return F.size(F.array_intersect("grams", t)) / F.greatest(F.least(F.size("grams"), F.size(t)), F.lit(1))
 
     met = named.join(F.broadcast(templates), "family").withColumn("similarity", F.array_max(F.transform("templates", likeness)))
-    return met.select("doc_id", "line", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= confirmed).alias("confirmed"))
+    return met.select("doc_id", "place", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"), (F.col("similarity") >= confirmed).alias("confirmed"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,5 @@
+import re
+
 from lexigrid.llm import license_scan
 
 
@@ -6,10 +8,10 @@ def test_short_names_are_scored(spark):
     short = {"gnu gpl", "gpl v2", "cc by", "cc by-nc", "by-nc 4.0", "cc0 1.0"}
     assert short & set(model.grams)
     texts = ["GNU GPL v2", "CC BY-NC 4.0", "CC0 1.0", "CC BY 4.0", "Prose.\nSee CC BY-NC-SA 4.0"]
-    got = {(r.doc_id, r.line): r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {(r.doc_id, r.place): r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     want = {}
     for i, text in enumerate(texts):
-        for n, line in enumerate(text.split("\n")):
+        for n, line in enumerate(re.split(license_scan.BREAK, text)):
             s = model.scores(line)
             if s.argmax() != len(model.families) - 1 and s.max() >= model.threshold:
                 want[i, n] = model.families[s.argmax()]
