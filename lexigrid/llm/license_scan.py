@@ -308,20 +308,27 @@ def trained(rounds: int = 400, rate: float = 0.5, shrink: float = 2e-3) -> Model
     return model
 
 
-def _gram_column(words: Column) -> Column:
-    """The distinct n-grams of an array of words, which is computed once."""
-    return _let(words, _grams_of)
+def _gram_column(words: Column, told: list[str] | None = None) -> Column:
+    """The distinct n-grams of an array of words, which is computed once; told: only those with one of these runs of letters and digits in a word."""
 
+    def mark(w: Column) -> Column:
+        near = F.lit(True)
+        if told is not None:
+            near = F.when(w.rlike("[.+-]"), F.exists(F.split(w, "[.+-]"), lambda r: r.isin(told))).otherwise(w.isin(told))
+        return F.struct(w.alias("w"), w.isin(sorted(COMMON)).alias("common"), near.alias("near"))
 
-def _grams_of(words: Column) -> Column:
-    common = F.array(*(F.lit(w) for w in sorted(COMMON)))
+    def joined(marks: Column) -> Column:
+        def of(n: int) -> Column:
+            def gram(i: Column) -> Column:
+                part = [marks[i + k] for k in range(n)]
+                kept = ~functools.reduce(Column.__and__, (x["common"] for x in part)) & functools.reduce(Column.__or__, (x["near"] for x in part))
+                return F.when(kept, F.concat_ws(" ", *(x["w"] for x in part)))
 
-    def of(n: int) -> Column:
-        whole = F.transform(words, lambda w, i: F.slice(words, i + 1, n))
-        kept = F.filter(whole, lambda g: (F.size(g) == n) & (F.size(F.array_except(g, common)) > 0))
-        return F.transform(kept, lambda g: F.array_join(g, " "))
+            return F.when(F.size(marks) >= n, F.array_compact(F.transform(F.sequence(F.lit(0), F.size(marks) - n), gram))).otherwise(F.array().cast("array<string>"))
 
-    return F.array_distinct(F.concat(of(2), of(3)))
+        return F.array_distinct(F.concat(of(2), of(3)))
+
+    return _let(F.transform(words, mark), joined)
 
 
 def _lower(text: Column) -> Column:
@@ -339,7 +346,7 @@ def _let(value: Column, f) -> Column:
 
 
 #: Between paragraphs: blank lines, or the end of a line that ends a sentence.
-BREAK = r"\r?\n(?:[ \t]*\r?\n)+|(?<=[.!?:;])[ \t]*\r?\n"
+BREAK = r"\n(?:(?<=[.!?:;][ \t\r]{0,9}\n)|(?=[ \t\r]*\n))(?:[ \t\r]*\n)*"
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, confirmed: float = CONFIRMED) -> DataFrame:
@@ -354,15 +361,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     spark, k = docs.sparkSession, len(model.families)
     sums = [f"w{i}" for i in range(k)]
     weights = spark.createDataFrame([(g, *map(float, w)) for g, w in zip(model.grams, model.weights, strict=True)], "gram string, " + ", ".join(f"{c} double" for c in sums))
-    told = F.array(*(F.lit(w) for w in sorted({telling(g) for g in model.grams})))
+    runs = sorted({telling(g) for g in model.grams})
+    told = F.array(*(F.lit(w) for w in runs))
 
     def may_hold(text: Column) -> Column:
         return F.arrays_overlap(F.split(_lower(text), "[^a-z0-9]+"), told)
 
     near = docs.where(may_hold(F.col(text_col))).select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.posexplode(F.split(text_col, BREAK)).alias("place", "paragraph"))
     parts = near.where(may_hold(F.col("paragraph"))).withColumn("words", _words(F.col("paragraph")))
-    found = parts.withColumn("grams", _gram_column(F.col("words")))
-    hits = found.select("doc_id", "th", "place", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
+    found = parts.withColumn("grams", _gram_column(F.col("words"), runs))
+    hits = found.select("doc_id", "th", "place", "paragraph", F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
     scored = hits.dropDuplicates(["doc_id", "th", "place", "gram"]).groupBy("doc_id", "th", "place").agg(F.first("paragraph").alias("paragraph"), *(F.sum(c).alias(c) for c in sums))
     z = F.array(*(F.col(c) + float(b) for c, b in zip(sums, model.intercept, strict=True)))
 

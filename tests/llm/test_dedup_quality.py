@@ -273,9 +273,9 @@ def test_wrapped_notices_are_one_paragraph(spark):
 
 
 def paragraphs(text):
-    import re
+    import regex
 
-    return re.split(license_scan.BREAK, text or "")
+    return regex.split(license_scan.BREAK, text or "")
 
 
 def test_op3_query(spark, sf):

@@ -1,4 +1,4 @@
-import re
+import regex
 
 from lexigrid.llm import license_scan
 
@@ -11,7 +11,7 @@ def test_short_names_are_scored(spark):
     got = {(r.doc_id, r.place): r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     want = {}
     for i, text in enumerate(texts):
-        for n, line in enumerate(re.split(license_scan.BREAK, text)):
+        for n, line in enumerate(regex.split(license_scan.BREAK, text)):
             s = model.scores(line)
             if s.argmax() != len(model.families) - 1 and s.max() >= model.threshold:
                 want[i, n] = model.families[s.argmax()]
