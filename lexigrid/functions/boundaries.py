@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import written_date
+from .dates import calendar_dates, written_date
 
 _DATE = r"((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s*\d{4})"
 _THROUGH = r",?\s+(?:through|thru)\s+"
@@ -22,34 +22,72 @@ PATTERNS = (
     ("effective_from", rf"(?i)\b(?:effective|takes?\s+effect|becomes?\s+effective)\s+(?:on\s+|as\s+of\s+)?{_DATE}", 1, 0),
 )
 HISTORY_NOTE = r"(?i)\b(?:added|amended|retitled|renumbered|repealed|rewritten|inserted|re-?enacted)\b[^()\[\]]{0,160}?\bby\b"
-BOUNDARY = "struct<kind:string,role:string,date:date,end_exclusive:date,ambiguous_day:date,history:boolean>"
+BOUNDARY = "struct<kind:string,role:string,date:date,end_exclusive:date,ambiguous_day:date,history:boolean,raw_start:int,raw_end:int,date_start:int,date_end:int>"
 
 
-def _boundary(kind: Column, role: str, day: Column, history: Column) -> Column:
-    end = F.lit(role == "end")
+def _entry(kind: Column, role: str, day: Column, history: Column, raw: tuple[Column, Column], own: tuple[Column, Column]) -> Column:
+    end = role == "end"
+    none = F.lit(None).cast("date")
     return F.struct(
-        kind.alias("kind"), F.lit(role).alias("role"), day.alias("date"), F.when(end, F.when(kind == "repealed_on", day).otherwise(F.date_add(day, 1))).alias("end_exclusive"),
-        F.when(end & (kind == "expires_on"), day).alias("ambiguous_day"), history.alias("history"),
+        kind.alias("kind"), F.lit(role).alias("role"), day.alias("date"), (F.when(kind == "repealed_on", day).otherwise(F.date_add(day, 1)) if end else none).alias("end_exclusive"),
+        (F.when(kind == "expires_on", day) if end else none).alias("ambiguous_day"), history.alias("history"), raw[0].alias("raw_start"), raw[1].alias("raw_end"), own[0].alias("date_start"), own[1].alias("date_end"),
     )
 
 
-def boundaries(text: Column, history: Column) -> Column:
-    """Boundaries of one passage in the order of their patterns. A written date that an earlier pattern has taken isn't taken
-    again. history: the passage dates its own wording, so that a bare `effective` date is that of the wording."""
-    dated = history | text.rlike(HISTORY_NOTE)
-    found = F.array().cast(f"array<{BOUNDARY}>")
-    for kind, pattern, start, end in PATTERNS:
-        for group, role in ((start, "start"), (end, "end")):
-            if group:
-                name = F.lit(kind) if role == "end" else F.when(dated & F.lit(kind == "effective_from"), F.lit("amendment_history")).otherwise(F.lit("effective_from" if kind == "valid_through" else kind))
-                days = F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda d: written_date(F.regexp_replace(d, r",\s*", ", "))))
-                found = F.concat(found, F.transform(days, _make(name, role, history)))
-    # the first pattern that has a date keeps it
-    return F.filter(found, lambda b, i: F.size(F.filter(F.slice(found, F.lit(1), i), lambda o: o["date"] == b["date"])) == 0)
+def _matches(text: Column, pattern: str, start: int, end: int) -> Column:
+    """array<struct<a, b, s, e>>: where each match begins and ends, and the dates of its start and end. Offsets are sums of the lengths of the matches and of what lies between."""
+    parts = F.arrays_zip(*(x.alias(n) for n, x in (
+        ("m", F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), ("gap", F.split(text, pattern)),
+        ("s", F.regexp_extract_all(text, F.lit(pattern), F.lit(start)) if start else F.array().cast("array<string>")), ("e", F.regexp_extract_all(text, F.lit(pattern), F.lit(end)) if end else F.array().cast("array<string>")),
+    )))
+    none = F.array().cast("array<struct<a:int,b:int,s:string,e:string,m:string>>")
 
+    def add(acc: Column, x: Column) -> Column:
+        at = acc["at"] + F.length(x["gap"])
+        found = F.struct(at.alias("a"), (at + F.length(x["m"])).alias("b"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m"))
+        return F.struct((at + F.coalesce(F.length(x["m"]), F.lit(0))).alias("at"), F.when(x["m"].isNull(), acc["l"]).otherwise(F.concat(acc["l"], F.array(found))).alias("l"))
 
-def _make(name: Column, role: str, history: Column):
-    return lambda d: _boundary(name, role, d, history)
+    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("l")), add, lambda acc: acc["l"])
+
+
+def boundaries(text: Column, history: Column, base: Column | int = 0) -> Column:
+    """Boundaries of one passage in the order of their patterns, then the dates that no pattern explains (kind unknown_temporal_note).
+
+    A match whose date an earlier pattern has taken, at the same place, isn't taken again; the same date elsewhere in the passage is. history: the passage dates its own
+    wording, so that a bare `effective` date is that of the wording. base: the passage's offset in its source, which raw_start and raw_end count from.
+    """
+    base = base if isinstance(base, Column) else F.lit(base)
+    dated = history | F.coalesce(text.rlike(HISTORY_NOTE), F.lit(False))
+
+    def day(written: Column) -> Column:
+        return written_date(F.regexp_replace(written, r",\s*", ", "))
+
+    def candidates(kind: str, pattern: str, start: int, end: int) -> Column:
+        """Of each match, its entries."""
+
+        def entries(x: Column) -> Column:
+            out = []
+            for group, role, written in ((start, "start", x["s"]), (end, "end", x["e"])):
+                if group:
+                    # the end of two dates stands last, any other date stands first
+                    at = x["b"] - F.length(written) if start and end and role == "end" else x["a"] + F.instr(x["m"], written) - 1
+                    name = F.lit(kind) if role == "end" else F.when(dated & F.lit(kind == "effective_from"), "amendment_history").otherwise("effective_from" if kind == "valid_through" else kind)
+                    out.append(_entry(name, role, day(written), history, (base + x["a"], base + x["b"]), (at, at + F.length(written))))
+            return F.array(*out)
+
+        return F.transform(_matches(text, pattern, start, end), entries).cast(f"array<array<{BOUNDARY}>>")
+
+    def take(found: Column, some: Column) -> Column:
+        met = F.exists(some, lambda n: F.exists(found, lambda o: (n["date_start"] < o["date_end"]) & (o["date_start"] < n["date_end"])))
+        return F.when(met, found).otherwise(F.concat(found, F.filter(some, lambda n: n["date"].isNotNull())))
+
+    def others(found: Column) -> Column:
+        none = F.lit(None).cast("int")
+        known = F.transform(found, lambda b: b["date"])
+        unknown = F.transform(F.array_except(calendar_dates(text), known), lambda d: _entry(F.lit("unknown_temporal_note"), "unknown", d, history, (none, none), (none, none)))
+        return F.concat(found, unknown.cast(f"array<{BOUNDARY}>"))
+
+    return F.aggregate(F.concat(*(candidates(*p) for p in PATTERNS)), F.array().cast(f"array<{BOUNDARY}>"), take, others)
 
 
 def decide(bounds: Column, as_of: Column) -> Column:

@@ -10,10 +10,31 @@ ZIP_RANGES = {"CA": ("900", "961"), "NJ": ("070", "089"), "MA": ("010", "027")}
 # Postal directionals, secondary units, and standard suffixes with their variants.
 DIRECTIONS = {"NORTH": "N", "SOUTH": "S", "EAST": "E", "WEST": "W", "NORTHEAST": "NE", "NORTHWEST": "NW", "SOUTHEAST": "SE", "SOUTHWEST": "SW"}
 UNITS = ("APT", "BLDG", "DEPT", "FL", "HNGR", "LOT", "PIER", "RM", "SLIP", "SPC", "STE", "STOP", "TRLR", "UNIT")
-SUFFIXES = {
-    "ALLEY": "ALY", "AVENUE": "AVE", "AV": "AVE", "BOULEVARD": "BLVD", "CIRCLE": "CIR", "COURT": "CT", "DRIVE": "DR", "HIGHWAY": "HWY", "LANE": "LN", "PARKWAY": "PKWY",
-    "PLACE": "PL", "PLAZA": "PLZ", "ROAD": "RD", "SQUARE": "SQ", "STREET": "ST", "STR": "ST", "TERRACE": "TER", "WY": "WAY",
-}
+# Street suffixes and their common variants, as the postal service's Publication 28, Appendix C1 lists them.
+VARIANTS = {
+    "ALY": "ALLEY ALLEE ALLY",
+    "AVE": "AVENUE AV AVEN AVENU AVN AVNUE",
+    "BLVD": "BOULEVARD BOUL BOULV",
+    "CIR": "CIRCLE CIRC CIRCL CRCL CRCLE",
+    "CT": "COURT",
+    "DR": "DRIVE DRIV DRV",
+    "EXT": "EXTENSION EXTN EXTNSN",
+    "HTS": "HEIGHTS HT",
+    "HWY": "HIGHWAY HIGHWY HIWAY HIWY HWAY",
+    "LN": "LANE",
+    "PARK": "PRK",
+    "PKWY": "PARKWAY PARKWY PKWAY PKY",
+    "PL": "PLACE",
+    "PLZ": "PLAZA PLZA",
+    "RD": "ROAD",
+    "ROW": "",
+    "SQ": "SQUARE SQR SQRE SQU",
+    "ST": "STREET STRT STR",
+    "TER": "TERRACE TERR",
+    "WALK": "",
+    "WAY": "WY",
+}
+SUFFIXES = {v: s for s, others in VARIANTS.items() for v in others.split()}
 PREFIXES = {"ST": "SAINT", "MT": "MOUNT", "FT": "FORT"}
 _ORDINALS = "FIRST SECOND THIRD FOURTH FIFTH SIXTH SEVENTH EIGHTH NINTH TENTH ELEVENTH TWELFTH THIRTEENTH FOURTEENTH FIFTEENTH SIXTEENTH SEVENTEENTH EIGHTEENTH NINETEENTH TWENTIETH".split()
 
@@ -83,7 +104,7 @@ def parse_street(text: Column) -> Column:
         known = _map(ordinals())
         tokens = F.transform(words, lambda t: F.coalesce(F.try_element_at(known, t), F.regexp_replace(t, r"^0+(\d+(?:ST|ND|RD|TH))$", "$1")))
         directions = _map(DIRECTIONS | {d: d for d in DIRECTIONS.values()})
-        suffixes = _map(SUFFIXES | {s: s for s in SUFFIXES.values()})
+        suffixes = _map(SUFFIXES | {s: s for s in VARIANTS})
 
         def first(t: Column) -> Column:
             pre = F.when(F.size(t) > 1, F.try_element_at(directions, F.element_at(t, 1)))

@@ -23,9 +23,9 @@ def parsed(rules: DataFrame, as_of_year: int | None) -> DataFrame:
 
 
 def candidates(rules: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Pairs by an equi-join: a rule of the address's state or local jurisdiction; for an address that has neither, each rule that hasn't
+    """Pairs by an equi-join: a rule of the address's state or local jurisdiction; for an address that has neither (null or empty), each rule that hasn't
     failed. No pair of another jurisdiction is made."""
-    keys = F.array_distinct(F.array_compact(F.array("state_jurisdiction", "local_jurisdiction")))
+    keys = F.array_distinct(F.filter(F.array("state_jurisdiction", "local_jurisdiction"), lambda j: F.coalesce(j, F.lit("")) != ""))
     places = addresses.withColumn("key", F.explode(F.when(F.size(keys) == 0, F.array(F.lit(ANYWHERE))).otherwise(keys)))
     by_key = rules.withColumn("key", F.explode(F.when(F.col("status") != "failed", F.array("jurisdiction", F.lit(ANYWHERE))).otherwise(F.array("jurisdiction"))))
     return places.join(by_key, "key")

@@ -149,10 +149,17 @@ def d9(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey", T.record_id(F.col("p_name"), F.col("p_brand")).alias("rule_id"))
 
 
-CLAIMS = "SELECT o_orderkey AS k, 'Rent of $' || CAST(CAST(floor(o_totalprice) AS INT) AS VARCHAR(12)) || ' rises ' || CAST(o_orderkey % 9 + 1 AS VARCHAR(3)) || ' percent after ' || CAST(o_custkey % 40 + 2 AS VARCHAR(4)) || ' days' AS claim FROM orders"
+CLAIMS = (
+    "SELECT o_orderkey AS k, 'Rent of $' || CAST(CAST(floor(o_totalprice) AS INT) AS VARCHAR(12)) || ' rises ' || CAST(o_orderkey % 9 + 1 AS VARCHAR(3)) || ' percent after ' || CAST(o_custkey % 40 + 2 AS VARCHAR(4)) || ' days, "
+    "or one hundred twenty (120) business days from ' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) || ' and thirty-one months.' AS claim FROM orders"
+)
 
 
-@listed("d10_figures", "figures", "SELECT k, list_sort(['money:' || CAST(p AS VARCHAR), 'percent:' || pc, 'day:' || dy]) AS figures FROM (SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS INT) AS p, o_orderkey % 9 + 1 AS pc, o_custkey % 40 + 2 AS dy FROM orders)")
+@listed(
+    "d10_figures", "figures",
+    "SELECT k, list_sort(['money:' || CAST(p AS VARCHAR), 'percent:' || pc, 'day:' || dy, 'day:120', 'month:31', 'date:' || CAST(d AS VARCHAR)]) AS figures FROM "
+    "(SELECT o_orderkey AS k, CAST(floor(o_totalprice) AS INT) AS p, o_orderkey % 9 + 1 AS pc, o_custkey % 40 + 2 AS dy, CAST(o_orderdate AS DATE) AS d FROM orders)",
+)
 def d10(spark: SparkSession, sf: str) -> DataFrame:
     return on_tables(spark, sf, CLAIMS).select("k", F.array_sort(T.figures(F.col("claim"))).alias("figures"))
 
@@ -190,9 +197,9 @@ def d14(spark: SparkSession, sf: str) -> DataFrame:
     return on_tables(spark, sf, REFS_SPARK).select("conv_id", "turn", F.array_join(T.ref_tokens(F.concat(F.lit("Section "), F.col("ref"))), ",").alias("tokens"))
 
 
-@listed("d15_expand_ranges", "refs", "SELECT conv_id, turn, list_transform(range(0, turn % 5 + 1), lambda i: '§ 9(' || chr(CAST(97 + i AS INT)) || ')') AS refs FROM conversations")
+@listed("d15_expand_ranges", "refs", "SELECT conv_id, turn, flatten(list_transform(range(0, turn % 5 + 1), lambda i: list_transform(range(1, conv_id % 3 + 2), lambda n: '§ 9(' || chr(CAST(97 + i AS INT)) || ')(' || n || ')'))) AS refs FROM conversations")
 def d15(spark: SparkSession, sf: str) -> DataFrame:
-    ref = F.concat(F.lit("§ 9(a)-("), F.char((97 + F.col("turn") % 5).cast("int")), F.lit(")"))
+    ref = F.concat(F.lit("§ 9(a)-("), F.char((97 + F.col("turn") % 5).cast("int")), F.lit(")(1)-("), (F.col("conv_id") % 3 + 1).cast("string"), F.lit(")"))
     return table(spark, sf, "conversations").select("conv_id", "turn", T.expand_range(ref).alias("refs"))
 
 
@@ -344,13 +351,20 @@ def d32(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), found.alias("written"))
 
 
-@query("d33_boundary_scan", "SELECT o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN 'repealed_on' WHEN 1 THEN 'expires_on' ELSE 'valid_through' END AS kind, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) ELSE CAST(o_orderdate AS DATE) + 1 END AS end_exclusive FROM orders")
+@query(
+    "d33_boundary_scan",
+    "WITH t AS (SELECT o_orderkey AS k, o_orderkey % 3 AS c, CAST(o_orderdate AS DATE) AS d, strftime(o_orderdate, '%B %-d, %Y') AS w FROM orders), "
+    "l AS (SELECT *, CASE c WHEN 0 THEN 'This section remains in effect only until ' WHEN 1 THEN 'It expires on ' ELSE 'Valid through ' END AS lead_in FROM t) "
+    "SELECT k, CASE c WHEN 0 THEN 'repealed_on' WHEN 1 THEN 'expires_on' ELSE 'valid_through' END AS kind, CASE WHEN c = 0 THEN d ELSE d + 1 END AS end_exclusive, length(lead_in) AS date_start FROM l "
+    "UNION ALL SELECT k, 'repealed_on', d, length(lead_in || w || CASE c WHEN 0 THEN ', and as of that date is repealed.' ELSE '.' END || ' Rule 2 is repealed on ') FROM l UNION ALL SELECT k, 'unknown_temporal_note', NULL, NULL FROM l WHERE d <> DATE '1990-05-06'",
+)
 def d33(spark: SparkSession, sf: str) -> DataFrame:
+    """Two boundaries on one date, each at its own place, and a date that nothing explains."""
     k, day = F.col("o_orderkey") % 3, F.date_format("o_orderdate", "MMMM d, yyyy")
     lead = F.when(k == 0, F.lit("This section remains in effect only until ")).when(k == 1, F.lit("It expires on ")).otherwise(F.lit("Valid through "))
-    text = F.concat(lead, day, F.when(k == 0, F.lit(", and as of that date is repealed.")).otherwise(F.lit(".")))
+    text = F.concat(lead, day, F.when(k == 0, F.lit(", and as of that date is repealed.")).otherwise(F.lit(".")), F.lit(" Rule 2 is repealed on "), day, F.lit(". Heard 5/6/1990."))
     b = table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.explode(B.boundaries(text, F.lit(False))).alias("b"))
-    return b.select("k", "b.kind", "b.end_exclusive")
+    return b.select("k", "b.kind", "b.end_exclusive", F.col("b.date_start").cast("long").alias("date_start"))
 
 
 @query("d34_session", "SELECT o_orderkey AS k, 190 + o_orderkey % 8 AS court, 2023 + 2 * (o_orderkey % 8 - 3) AS first_year, make_date(2025 + 2 * (o_orderkey % 8 - 3), 2, 1) AS ends_by, o_orderkey % 2 = 0 AS consistent FROM orders")

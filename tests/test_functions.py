@@ -64,10 +64,49 @@ def test_folded_places(spark):
     assert got["y"].text == "a b(c][" and got["y"].places == [0, 1, 4, 6, 8, 10, 13] and got["z"].text is None
 
 
-def test_boundaries_keep_the_first_pattern(spark):
+def found_in(spark, words, history=False):
+    return one(spark, boundaries.boundaries(F.lit(words), F.lit(history), 100).alias("b"))["b"]
+
+
+def test_boundaries_take_a_place_once(spark):
     words = "This section shall remain in effect only until January 1, 2030, and as of that date is repealed."
-    got = one(spark, boundaries.boundaries(F.lit(words), F.lit(False)).alias("b"))["b"]
-    assert [(b.kind, b.end_exclusive) for b in got] == [("repealed_on", datetime.date(2030, 1, 1))] or got[0].kind in ("repealed_on", "expires_on")
+    got = found_in(spark, words)
+    assert [(b.kind, b.role, b.end_exclusive.isoformat(), b.date_start, b.date_end) for b in got] == [("repealed_on", "end", "2030-01-01", 47, 62)]
+    words = "It remains in effect only until January 1, 2030, and as of that date is repealed."
+    assert [(b.kind, b.end_exclusive.isoformat(), b.raw_start) for b in found_in(spark, words)] == [("repealed_on", "2030-01-01", 103)]
+
+
+def test_boundaries_on_one_date(spark):
+    got = found_in(spark, "repealed on January 1, 2030 or it expires on January 1, 2030")
+    assert [(b.kind, b.date_start, b.ambiguous_day) for b in got] == [("repealed_on", 12, None), ("expires_on", 45, datetime.date(2030, 1, 1))]
+    got = found_in(spark, "valid from March 3, 2020 through March 3, 2020, note of 4/5/2021 and 2022-13-01", True)
+    assert [(b.kind, b.role, b.date_start) for b in got] == [("effective_from", "start", 11), ("valid_through", "end", 33), ("unknown_temporal_note", "unknown", None)]
+    assert found_in(spark, "") == [] and one(spark, boundaries.boundaries(F.lit(None).cast("string"), F.lit(False)).alias("b"))["b"] in (None, [])
+    assert [b.kind for b in found_in(spark, "Amended by Ord. 5. Effective May 1, 2020")] == ["amendment_history"]
+
+
+def test_ranges(spark):
+    got = one(spark, *(text.expand_range(F.lit(r)) for r in ("§ 9(a)-(b)(1)-(2)", "(c)-(a)", "§ 4", "(1)-(3)", "(a)-(2)", "(A)-(b)")))
+    assert list(got) == [["§ 9(a)(1)", "§ 9(a)(2)", "§ 9(b)(1)", "§ 9(b)(2)"], ["(c)", "(a)"], ["§ 4"], ["(1)", "(2)", "(3)"], ["(a)", "(2)"], ["(A)", "(b)"]]
+
+
+def test_figures(spark):
+    got = one(spark, *(text.figures(F.lit(t)) for t in ("one hundred twenty days and $5 from August 1, 2025", "ten (10) percent within 2.50 years, 8/1/2025", "nothing, 2025-99-99", "Thirty-one business days; $1,200.00; 31 days")))
+    assert list(got) == [["day:120", "money:5", "date:2025-08-01"], ["percent:10", "year:2.5", "date:2025-08-01"], [], ["day:31", "money:1200"]]
+
+
+def test_suffix_variants(spark):
+    got = one(spark, *(places.parse_street(F.lit(s)) for s in ("12 N MAPLE HTS", "12 Maple Avn", "3 Park Row", "9 Elm Terr", "1 Ocean Hiway")))
+    assert [("".join(r["name"]), r.suffix) for r in got] == [("MAPLE", "HTS"), ("MAPLE", "AVE"), ("PARK", "ROW"), ("ELM", "TER"), ("OCEAN", "HWY")]
+
+
+def test_an_empty_jurisdiction_is_unresolved(spark):
+    from lexigrid.operators import applicability
+
+    rules = spark.createDataFrame([(1, "CA", "in_force"), (2, "", "failed"), (3, "NJ", "failed")], "rule_id int, jurisdiction string, status string")
+    rows = spark.createDataFrame([(1, "", None), (2, "CA", ""), (3, None, None)], "address_id int, state_jurisdiction string, local_jurisdiction string")
+    got = {(r.address_id, r.rule_id) for r in applicability.candidates(rules, rows).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1)}
 
 
 def test_unit_range_and_conflict(spark):
