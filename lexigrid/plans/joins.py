@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_words, shingles
 from ..operators import joins as J
 from ..operators.applicability import ANYWHERE, candidates
+from ..operators import reviews as RV
 from ..registry import both, on_tables, query, table
 from .inputs import FACTS_SQL, RULES_SQL, addresses, rules
 from .rule_sql import pair_ctes
@@ -159,7 +160,24 @@ def e16(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("doc_id", F.when(F.col("there").isNull(), "no document").when(F.col("lang") != "en", "language differs").when(F.col("n_chars") < 100, "too short").otherwise("ok").alias("problem"))
 
 
-both("e17_baseline_delta", "SELECT quality AS was, toxic AS now, count(*) AS n FROM labels WHERE quality <> toxic GROUP BY quality, toxic")
+RUNS = (
+    "SELECT l_orderkey AS doc_id, l_linenumber AS candidate, CASE WHEN l_returnflag = 'R' THEN 'rejected' WHEN l_linestatus = 'F' THEN 'held' ELSE 'published' END AS old_state, "
+    "CASE WHEN l_quantity < 10 THEN 'published' WHEN l_quantity < 20 THEN 'historical: expired' WHEN l_quantity < 25 THEN 'suppressed_exact_duplicate' WHEN l_returnflag = 'R' THEN 'rejected' WHEN l_linestatus = 'F' THEN 'held' ELSE 'published' END AS state, "
+    "CASE l_partkey % 3 WHEN 0 THEN 'citation: not found' WHEN 1 THEN 'version annotation is dated 2020' ELSE 'no' END AS why FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag, min(l_linestatus) AS l_linestatus, min(l_quantity) AS l_quantity, min(l_partkey) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber) x"
+)
+
+
+@query(
+    "e17_baseline_delta",
+    f"SELECT old_state AS before, state AS after, CASE WHEN old_state = 'rejected' AND why LIKE '%is dated%' THEN 'recovered: temporal' WHEN old_state <> 'published' AND why LIKE 'citation:%' THEN 'recovered: citation' WHEN state = 'historical: expired' THEN 'removed: expired' "
+    f"WHEN state = 'suppressed_exact_duplicate' THEN 'removed: duplicate' ELSE 'other' END AS reason, count(*) AS n FROM ({RUNS}) WHERE old_state <> state AND candidate <= 5 GROUP BY 1, 2, 3",
+)
+def e17(spark: SparkSession, sf: str) -> DataFrame:
+    """The new run has up to five candidates a document only."""
+    runs = on_tables(spark, sf, RUNS).withColumn("reasons", F.array("why"))
+    old, new = runs.select("doc_id", "candidate", F.col("old_state").alias("state"), "reasons"), runs.where("candidate <= 5").select("doc_id", "candidate", "state")
+    return RV.baseline_delta(old, new).groupBy("before", "after", "reason").agg(F.count("*").alias("n"))
+
 both(
     "e18_reconciliation",
     "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'only in links' WHEN b.doc_id IS NULL THEN 'only in manifest' WHEN a.lang <> b.lang THEN 'lang differs' ELSE 'same' END AS state "

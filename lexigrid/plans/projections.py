@@ -11,6 +11,7 @@ from ..functions import boundaries as B
 from ..functions import dates as D
 from ..functions import places as P
 from ..operators import validation as V
+from ..operators import reviews as RV
 from ..registry import both, on_tables, query, table
 from .inputs import AS_OF, RULES_SQL, rules
 from .rule_sql import BOUNDS
@@ -112,13 +113,30 @@ both(
     "c12_final_state",
     "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag = 'R' AND l_tax > 0.04 THEN 'rejected' WHEN l_returnflag = 'R' THEN 'held' WHEN l_linestatus = 'F' AND l_discount > 0.08 THEN 'historical' WHEN l_quantity = 1 THEN 'duplicate' ELSE 'accepted' END AS state FROM lineitem",
 )
-CODES = (("PROMO", "promotion"), ("STANDARD A", "standard_a"), ("STANDARD", "standard"), ("SMALL", "small"), ("ECO", "economy"))
+#: Reasons of a document, by its number modulo 17; documents with held candidates have two of them.
+REASONS = (
+    "SELECT o_orderkey AS doc_id, CASE o_orderkey % 17 WHEN 0 THEN 'the response could not be processed: no JSON' WHEN 1 THEN 'no complete, well-formed provision inventory' WHEN 2 THEN 'the inventory lists no provisions' "
+    "WHEN 3 THEN 'no rule candidates, and no source-grounded justification for it' WHEN 4 THEN 'inventory provisions of uncertain scope: 3' WHEN 5 THEN '2 candidates held, not published' "
+    "WHEN 6 THEN 'enactment_status inconsistent with the document posture' WHEN 7 THEN 'named-subject scope mappings unresolved: 1' WHEN 8 THEN 'named-subject scope mappings never answered' WHEN 9 THEN 'legislative status needs review' "
+    "WHEN 10 THEN 'document-level scope conditions not applied' WHEN 11 THEN 'repair targets still unresolved: x' WHEN 12 THEN 'in-scope provisions with no candidate record: 4' WHEN 13 THEN 'in-scope provisions whose candidate records were all rejected: 5' "
+    "WHEN 14 THEN 'source subdivisions with no accepted record: (b)' WHEN 15 THEN 'repair pass: failed' ELSE 'something else' END AS reason FROM orders"
+)
+HELD = (
+    "SELECT o_orderkey AS doc_id, l.n AS candidate, CASE l.n WHEN 0 THEN 'held: a stated end day is not settled' WHEN 1 THEN 'date is relative or conditional' ELSE 'no effective date is established' END AS derivation, "
+    "CASE WHEN o_orderkey % 2 = 0 AND l.n = 1 THEN 'outside the supported grammar' END AS formula_reason FROM orders CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2) l"
+)
 
 
-@query("c13_prefix_codes", "SELECT p_partkey, CASE " + " ".join(f"WHEN starts_with(p_type, '{a}') THEN '{b}'" for a, b in CODES) + " ELSE 'other' END AS code FROM part")
+@query(
+    "c13_review_codes",
+    "SELECT o_orderkey AS doc_id, list_extract(['other', 'incomplete_inventory', 'incomplete_inventory', 'other', 'uncertain_scope', 'held_rule', 'ambiguous_document_posture', 'scope_mapping_uncertain', 'scope_mapping_uncertain', 'other', 'uncertain_scope', "
+    "'incomplete_inventory', 'incomplete_inventory', 'incomplete_inventory', 'uncovered_subdivision', 'repair_failed', 'other'], o_orderkey % 17 + 1) AS code, list_extract(['response_unprocessable', 'inventory_invalid', 'inventory_invalid', 'unjustified_empty_result', "
+    "'inventory_uncertain', NULL, 'status_posture_mismatch', NULL, NULL, 'legislative_status_conflict', 'global_scope_unverified', 'unresolved_repair_target', 'in_scope_provision_without_record', 'in_scope_provision_all_rejected', NULL, NULL, NULL], o_orderkey % 17 + 1) AS subcode, "
+    "CAST(NULL AS BIGINT) AS candidate FROM orders UNION ALL SELECT o_orderkey, CASE n WHEN 1 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'unsupported_date_formula' ELSE 'unresolved_relative_date' END ELSE 'unresolved_effective_date' END, "
+    "CASE n WHEN 0 THEN 'validity_window' WHEN 2 THEN 'posture' ELSE CASE WHEN o_orderkey % 2 = 0 THEN 'outside the supported grammar' END END, n FROM orders, range(3) r(n) WHERE o_orderkey % 17 = 5",
+)
 def c13(spark: SparkSession, sf: str) -> DataFrame:
-    code = reduce(lambda acc, x: acc.when(F.startswith(F.col("p_type"), F.lit(x[0])), x[1]), CODES[1:], F.when(F.startswith(F.col("p_type"), F.lit(CODES[0][0])), CODES[0][1]))
-    return table(spark, sf, "part").select("p_partkey", code.otherwise("other").alias("code"))
+    return RV.review_codes(on_tables(spark, sf, REASONS), on_tables(spark, sf, HELD))
 
 
 @query(

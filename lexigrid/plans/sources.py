@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
+from ..operators import reviews as RV
 from ..registry import both, listed, on_tables, query, table
 from ..sources import readers as R
 from ..sources import sinks as S
@@ -108,9 +109,37 @@ def a16(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("identity", F.sha2("prompt", 256))
 
 
-@query("a17_request_identity", "SELECT conv_id, sha256('[' || string_agg(CAST(turn AS VARCHAR), ',' ORDER BY turn) || ']') AS identity FROM conversations GROUP BY 1")
+@query(
+    "a14_retry_policy",
+    "SELECT event_id, CASE WHEN status = 200 THEN 'done' WHEN (status IS NULL OR status IN (429, 503)) AND attempt < 3 AND NOT (status IS NOT NULL AND coalesce(hint, 0) > 60) THEN 'retry' ELSE 'fail' END AS action, "
+    "CASE WHEN (status IS NULL OR status IN (429, 503)) AND attempt < 3 AND NOT (status IS NOT NULL AND coalesce(hint, 0) > 60) THEN CASE WHEN status IS NOT NULL AND hint IS NOT NULL THEN hint WHEN attempt = 1 THEN 2.0 ELSE 8.0 END END::DOUBLE AS wait_s FROM "
+    "(SELECT event_id, CASE event_id % 5 WHEN 0 THEN 200 WHEN 1 THEN 429 WHEN 2 THEN 503 WHEN 3 THEN 404 END AS status, event_id % 3 + 1 AS attempt, CASE event_id % 7 WHEN 0 THEN 5.0 WHEN 1 THEN 90.0 END AS hint FROM events)",
+)
+def a14(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    status = F.when(k % 5 == 0, 200).when(k % 5 == 1, 429).when(k % 5 == 2, 503).when(k % 5 == 3, 404)
+    hint = F.when(k % 7 == 0, 5.0).when(k % 7 == 1, 90.0)
+    return table(spark, sf, "events").select("event_id", RV.retry(status, k % 3 + 1, hint).alias("x")).select("event_id", "x.action", "x.wait_s")
+
+
+IDENTITY_SQL = (
+    "'{\"generation_settings\":\"temperature 0\",\"model\":\"m' || conv_id % 3 || '\",\"pass\":\"repair\",\"prompt_sha256\":\"' || sha256('system' || chr(0) || said) || '\",\"prompt_version\":\"p1\",\"provider\":\"stored\",\"response_schema_sha256\":\"' || sha256('{}') || "
+    "'\",\"source_doc_id\":' || conv_id || ',\"source_sha256\":\"' || sha256(said) || '\",\"targets\":[' || targets || '],\"view_sha256\":\"' || sha256(lower(said)) || '\"}'"
+)
+
+
+@query("a17_request_identity", f"SELECT conv_id, sha256({IDENTITY_SQL}) AS identity FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS said, string_agg('\"t' || turn || '\"', ',' ORDER BY 't' || turn) AS targets FROM conversations GROUP BY conv_id)")
 def a17(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "conversations").groupBy("conv_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("turn"))), 256).alias("identity"))
+    """Of a repair request on each conversation, whose turns are its targets."""
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    rows = table(spark, sf, "conversations").groupBy("conv_id").agg(lines.alias("said"), F.collect_list(F.concat(F.lit("t"), "turn")).alias("targets"))
+    sha = lambda c: F.sha2(c, 256)
+    fields = {
+        "pass": F.lit("repair"), "source_doc_id": F.col("conv_id"), "source_sha256": sha(F.col("said")), "view_sha256": sha(F.lower("said")), "provider": F.lit("stored"), "model": F.concat(F.lit("m"), F.col("conv_id") % 3),
+        "prompt_version": F.lit("p1"), "prompt_sha256": sha(F.concat(F.lit("system\0"), "said")), "response_schema_sha256": sha(F.lit("{}")), "generation_settings": F.lit("temperature 0"),
+    }
+    return rows.select("conv_id", RV.request_identity(fields, F.col("targets")).alias("identity"))
+
 
 
 @query("b1_json_sink", f"WITH {pair_ctes()} SELECT address_id, rule_id, result FROM outcome WHERE result IS NOT NULL")

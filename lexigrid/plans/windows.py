@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ordered as O
+from ..operators import reviews as RV
 from .scalars import LEVELS_SQL
 from ..registry import both, on_tables, query, table
 
@@ -130,10 +131,21 @@ def g10(spark: SparkSession, sf: str) -> DataFrame:
     return O.failed_before(on_tables(spark, sf, ATTEMPTS))
 
 
-@query("g11_cascading_attempts", f"WITH a AS ({ATTEMPTS}) SELECT id, ord, kind FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ord) AS r FROM a WHERE usable) WHERE r = 1")
+@query(
+    "g11_cascading_attempts",
+    "WITH a AS (SELECT c_custkey AS id, c_custkey % 4 <> 0 AS has_city, c_custkey % 5 <> 0 AS has_zip FROM customer), m AS (SELECT id, has_city, has_zip, id % 3 = 0 AND id % 2 = 0 AS a, has_zip AND id % 7 < 4 AS b, has_zip AND has_city AND id % 11 < 9 AS c FROM a) "
+    "SELECT id, CASE WHEN a THEN 'A' WHEN b THEN 'B' WHEN c THEN 'C' END AS used, CASE WHEN a THEN 'pA' WHEN b THEN 'pB' WHEN c THEN 'pC' END AS place, "
+    "'A' || CASE WHEN NOT a AND has_zip THEN 'B' ELSE '' END || CASE WHEN NOT a AND NOT b AND has_zip AND has_city THEN 'C' ELSE '' END AS tried, "
+    "CAST(CASE WHEN NOT a AND NOT has_zip THEN 1 ELSE 0 END + CASE WHEN NOT a AND NOT b AND NOT (has_zip AND has_city) THEN 1 ELSE 0 END AS BIGINT) AS skipped FROM m",
+)
 def g11(spark: SparkSession, sf: str) -> DataFrame:
-    a = on_tables(spark, sf, ATTEMPTS).where("usable")
-    return a.groupBy("id").agg(F.min_by(F.struct("ord", "kind"), "ord").alias("b")).select("id", "b.*")
+    """A match of attempt A in another state isn't usable."""
+    k = F.col("c_custkey")
+    c = table(spark, sf, "customer")
+    rows = c.select(k.alias("id"), F.lit("1 Main St").alias("street"), F.when(k % 4 == 0, "").otherwise("Town").alias("city"), F.lit("MA").alias("state"), F.when(k % 5 == 0, F.lit(None)).otherwise(F.lit("02139")).alias("zip"))
+    kinds = [("A", k % 3 == 0, F.when(k % 2 == 0, "MA").otherwise("NJ")), ("B", k % 7 < 4, F.lit("MA")), ("C", k % 11 < 9, F.lit("MA"))]
+    answers = F.array(*(F.struct(F.lit(a).alias("attempt"), F.when(hit, "Match").otherwise("No_Match").alias("indicator"), state.alias("state"), F.lit(f"p{a}").alias("place")) for a, hit, state in kinds))
+    return RV.run_attempts(rows, c.select(k.alias("id"), F.explode(answers).alias("x")).select("id", "x.*"))
 
 
 @query("g13_tiling", f"WITH x AS (SELECT doc, s, max(e) AS e FROM ({SPANS}) GROUP BY doc, s) SELECT doc, count(*) FILTER (nxt IS NOT NULL AND nxt <> e) AS breaks FROM (SELECT doc, e, lead(s) OVER (PARTITION BY doc ORDER BY s) AS nxt FROM x) GROUP BY doc")
