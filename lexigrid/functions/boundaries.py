@@ -56,8 +56,12 @@ def boundaries(text: Column, history: Column, base: Column | int = 0) -> Column:
     A match whose date an earlier pattern has taken, at the same place, isn't taken again; the same date elsewhere in the passage is. history: the passage dates its own
     wording, so that a bare `effective` date is that of the wording. base: the passage's offset in its source, which raw_start and raw_end count from.
     """
-    base = base if isinstance(base, Column) else F.lit(base)
-    dated = history | F.coalesce(text.rlike(HISTORY_NOTE), F.lit(False))
+    given = F.struct(F.coalesce(text, F.lit("")).alias("text"), history.alias("history"), (base if isinstance(base, Column) else F.lit(base)).alias("base"))
+    return F.transform(F.array(given), lambda x: _scan(x["text"], x["history"], x["base"]))[0]
+
+
+def _scan(text: Column, history: Column, base: Column) -> Column:
+    dated = history | text.rlike(HISTORY_NOTE)
 
     def day(written: Column) -> Column:
         return written_date(F.regexp_replace(written, r",\s*", ", "))
@@ -75,7 +79,8 @@ def boundaries(text: Column, history: Column, base: Column | int = 0) -> Column:
                     out.append(_entry(name, role, day(written), history, (base + x["a"], base + x["b"]), (at, at + F.length(written))))
             return F.array(*out)
 
-        return F.transform(_matches(text, pattern, start, end), entries).cast(f"array<array<{BOUNDARY}>>")
+        found = F.transform(_matches(text, pattern, start, end), entries).cast(f"array<array<{BOUNDARY}>>")
+        return F.when(text.rlike(pattern), found).otherwise(F.array().cast(f"array<array<{BOUNDARY}>>"))
 
     def take(found: Column, some: Column) -> Column:
         met = F.exists(some, lambda n: F.exists(found, lambda o: (n["date_start"] < o["date_end"]) & (o["date_start"] < n["date_end"])))

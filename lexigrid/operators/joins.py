@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Length of the blocks of an interval join; intervals meet in the blocks that both touch.
@@ -37,22 +37,32 @@ def propagate(rules: DataFrame, conditions: DataFrame, doc: str) -> DataFrame:
     return whole.unionByName(some)
 
 
-def similar_pairs(rows: DataFrame, least: float, block: str | None = None) -> DataFrame:
-    """a, b, jaccard of rows (id, grams: distinct) that share at least `least` of their grams, within a block if one is given.
+def similar_classes(rows: DataFrame, least: float, block: str | None = None) -> DataFrame:
+    """a, b, jaccard, n_a, n_b of classes of rows (id, grams: distinct) that share at least `least` of their grams, within a block if one is given.
 
-    Prefix filter: with grams in the order of a hash, two such sets share one of their first n - ceil(least * n) + 1, so only those
-    grams meet; the pairs found are verified on whole sets. Sets without grams have no pairs.
+    Rows of one gram set are a class, named by its smallest id, of n rows; a class of several rows also has a row with itself, of jaccard 1. So a group of copies is one
+    row, not all pairs. Prefix filter: with grams in the order of how many classes hold them, rarest first, two such sets share one of their first n - ceil(least * n) + 1.
+    A gram of one class only can't be shared: these go after one count, and only the others are put together again, probed and compared. Grams are compared
+    as 64-bit hashes. Sets without grams have no pairs.
     """
     keys = [block] if block else []
-    sized = rows.where(F.size("grams") > 0).select("id", *keys, "grams", F.transform(F.array_sort(F.transform("grams", lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda x: x["h"]).alias("ranked"))
-    n = F.size("ranked")
-    probe = sized.select("id", *keys, n.alias("n"), F.explode(F.slice("ranked", F.lit(1), n - F.ceil(n * least).cast("int") + 1)).alias("h"))
+    hashed = rows.where(F.size("grams") > 0).select("id", *keys, F.array_sort(F.transform("grams", lambda g: F.xxhash64(g))).alias("grams"))
+    mark = F.struct(F.xxhash64("grams").alias("x"), F.size("grams").alias("size"), F.element_at("grams", 1).alias("least"))
+    classes = hashed.groupBy(*keys, mark.alias("mark")).agg(F.min("id").alias("id"), F.count("*").alias("n_rows"), F.first("grams").alias("grams"))
+    each = classes.select("id", *keys, "n_rows", F.size("grams").alias("n"), F.explode("grams").alias("h"))
+    each = each.withColumn("held", F.count("*").over(Window.partitionBy(*keys, "h"))).where("held > 1")
+    shared = each.groupBy("id", *keys, "n", "n_rows").agg(F.array_sort(F.collect_list(F.struct("held", "h"))).alias("l")).withColumn("ranked", F.transform("l", lambda x: x["h"])).drop("l")
+    # the grams of one class alone come first
+    reach = F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1 - (F.col("n") - F.size("ranked"))
+    probe = shared.select("id", *keys, "n", F.explode(F.slice("ranked", F.lit(1), F.greatest(reach, F.lit(0)))).alias("h"))
     left, right = probe.withColumnsRenamed({"id": "a", "n": "n1"}), probe.withColumnsRenamed({"id": "b", "n": "n2"})
-    pairs = left.join(right, [*keys, "h"]).where((F.col("a") < F.col("b")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * least)).select("a", "b").distinct()
-    sets = sized.select("id", "grams")
-    met = pairs.join(sets.withColumnsRenamed({"id": "a", "grams": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "grams": "y"}), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return met.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("jaccard")).where(F.col("jaccard") >= least)
+    pairs = left.join(right, [*keys, "h"]).where((F.col("a") < F.col("b")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * least)).select("a", "b", "n1", "n2").distinct()
+    sets = shared.select("id", "ranked", "n_rows")
+    met = pairs.join(sets.withColumnsRenamed({"id": "a", "ranked": "x", "n_rows": "n_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "ranked": "y", "n_rows": "n_b"}), "b")
+    both = F.size(F.array_intersect("x", "y"))
+    near = met.select("a", "b", (both / (F.col("n1") + F.col("n2") - both)).alias("jaccard"), "n_a", "n_b").where(F.col("jaccard") >= least)
+    copies = classes.where("n_rows > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"), F.col("n_rows").alias("n_a"), F.col("n_rows").alias("n_b"))
+    return near.unionByName(copies)
 
 
 def overridden(rows: DataFrame, overrides: DataFrame, key: str, fields: list[str]) -> DataFrame:
