@@ -57,14 +57,14 @@ def g5_furniture(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "g6_view_tiles",
-    "WITH d AS (SELECT doc_id, length('Code of the State' || chr(10) || 'Page 1' || chr(10)) AS h, length(text) AS n FROM documents WHERE length(text) > 200) "
+    "WITH d AS (SELECT doc_id, length('Code of the State' || chr(10) || 'Page 1' || chr(10)) AS h, length(text) AS n FROM documents) "
     "SELECT doc_id, 4 AS artifacts, 4 AS segments, CAST(4 * h AS BIGINT) AS furniture_chars, 0 AS breaks FROM d",
 )
 def g6_view(spark: SparkSession, sf: str) -> DataFrame:
     """Four pages with a header each: the view's segments and artifacts tile the text."""
     body = F.concat_ws("\n", *(F.concat(F.lit(f"line {a} of its own"), F.translate(F.lit(f"{i}"), "0123456789", "abcdefghij")) for i, a in enumerate("abcdefghijkl")))
     page = lambda k: F.concat(F.lit(f"Code of the State\nPage {k}\n"), F.translate(body, "own", "pqrs"[k - 1] * 3), F.lit("\n"))
-    docs = table(spark, sf, "documents").where("length(text) > 200").select("doc_id", F.concat(*(page(k) for k in range(1, 5))).alias("text"))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(*(page(k) for k in range(1, 5))).alias("text"))
     tiles = O.view(docs)
     nxt = F.lead("raw_start").over(Window.partitionBy("doc_id").orderBy("raw_start"))
     return tiles.withColumn("nxt", nxt).groupBy("doc_id").agg(
