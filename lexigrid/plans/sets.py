@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.applicability import transitions
-from ..operators.changes import boundary_sets, negative_violations, pending_gaps
+from ..operators.changes import boundary_sets, negative_violations, pending_gaps, run_tests
 from ..registry import both, query, table
 from .aggregates import found
 from .inputs import FACTS_SQL, RULES_SQL, addresses, rules
@@ -79,11 +79,27 @@ def g12(spark: SparkSession, sf: str) -> DataFrame:
     return transitions(rules(spark), addresses(spark, sf), BEFORE, AFTER)
 
 
-@query("h9_change_tests", f"WITH c AS ({change_sql()}) SELECT 'as_of' AS test, count(DISTINCT address_id) FILTER (affected) AS affected FROM c UNION ALL SELECT 'pending', count(DISTINCT address_id) FROM (WITH {pair_ctes()} SELECT * FROM outcome WHERE result = 'pending')")
+TESTS = [
+    {"id": "T1", "kind": "as_of", "states": ["AMERICA", "ASIA", "EUROPE"], "rule_ids": [f"r{i:02}" for i in range(1, 15)], "before": BEFORE, "after": AFTER, "as_stated": True, "conflict_with": ["CHINA", "FRANCE"]},
+    {"id": "T2", "kind": "boundary", "states": ["AMERICA", "EUROPE"], "rule_ids": ["r05", "r07"]},
+    {"id": "T3", "kind": "pending", "states": ["EUROPE"], "rule_ids": ["r03", "r12"]},
+    {"id": "T4", "kind": "negative", "states": ["AFRICA", "ASIA"], "rule_ids": ["r04"], "category": "rent"},
+]
+
+
+@query(
+    "h9_change_tests",
+    f"WITH c AS ({change_sql()}), o AS (WITH {pair_ctes()} SELECT address_id, rule_id, result FROM outcome), f AS ({FACTS_SQL}), "
+    "hit AS (SELECT DISTINCT c.address_id, f.local_jurisdiction AS place FROM c JOIN f USING (address_id) WHERE affected AND state_jurisdiction IN ('AMERICA', 'ASIA', 'EUROPE')), "
+    "p AS (SELECT f.address_id, count(DISTINCT o.rule_id) AS n FROM f LEFT JOIN o ON o.address_id = f.address_id AND o.result = 'pending' AND o.rule_id IN ('r03', 'r12') WHERE state_jurisdiction = 'EUROPE' GROUP BY 1), "
+    "x AS (SELECT 'T1' AS test, 'affected' AS role, address_id FROM hit UNION ALL SELECT 'T1', 'conflict', address_id FROM hit WHERE place IN ('CHINA', 'FRANCE') UNION ALL SELECT 'T2', 'affected', address_id FROM f WHERE local_jurisdiction IN ('FRANCE', 'BRAZIL') "
+    "UNION ALL SELECT 'T3', 'affected', address_id FROM p WHERE n > 0 UNION ALL SELECT 'T3', 'missing', address_id FROM p WHERE n < 2 UNION ALL SELECT 'T3', 'applies', address_id FROM o WHERE result = 'applies' AND rule_id IN ('r03', 'r12') "
+    f"UNION ALL SELECT 'T4', 'surfaced', f.address_id FROM f JOIN o USING (address_id) JOIN ({RULES_SQL}) r USING (rule_id) WHERE result IS NOT NULL AND category = 'rent' AND state_jurisdiction IN ('AFRICA', 'ASIA') "
+    "UNION ALL SELECT t, 'undetermined', address_id FROM f, (VALUES ('T1'), ('T2'), ('T3'), ('T4')) v(t) WHERE state_jurisdiction IS NULL) SELECT test, role, count(DISTINCT address_id) AS addresses FROM x GROUP BY 1, 2",
+)
 def h9(spark: SparkSession, sf: str) -> DataFrame:
-    a = g12(spark, sf).where("affected").agg(F.lit("as_of").alias("test"), F.count_distinct("address_id").alias("affected"))
-    b = found(spark, sf).where("result = 'pending'").agg(F.lit("pending").alias("test"), F.count_distinct("address_id").alias("affected"))
-    return a.unionByName(b)
+    found_ = run_tests(TESTS, rules(spark), addresses(spark, sf), found(spark, sf))
+    return found_.groupBy("test", "role").agg(F.count_distinct("address_id").alias("addresses"))
 
 
 @query("h10_ordered_distinct", "SELECT user_id, string_agg(event_type, ',' ORDER BY f) AS kinds FROM (SELECT user_id, event_type, min(event_id) AS f FROM events GROUP BY 1, 2) GROUP BY 1")

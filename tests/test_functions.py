@@ -130,3 +130,28 @@ def test_overlaps_across_blocks(spark):
     a = spark.createDataFrame([("d", 1, 0, 500), ("d", 2, 400, 900), ("d", 3, 500, 501), ("d", 4, 5, 5)], "doc string, id int, s int, e int")
     got = {(r.id, r.other) for r in joins.overlaps(a, a.withColumnRenamed("id", "other")).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (1, 2), (2, 1), (2, 3), (3, 2)}
+
+
+def test_change_tests(spark):
+    from lexigrid.operators import applicability, changes
+
+    kinds = "rule_id string, jurisdiction string, level string, category string, status string, effective_date string, coverage_conditions string, exemptions string"
+    rules = spark.createDataFrame([("a", "CA", "state", "rent", "pending", None, None, None), ("b", "Town, CA", "city", "rent", "in_force", "2020-01-01", None, None), ("c", "NJ", "state", "notice", "pending", None, None, None)], kinds)
+    facts = [(1, "CA", "Town, CA"), (2, "CA", None), (3, "NJ", None), (4, None, None), (5, "", "")]
+    rows = spark.createDataFrame([(*f, 1990, 2, 2, "apartment") for f in facts], "address_id int, state_jurisdiction string, local_jurisdiction string, year_built int, units_min int, units_max int, use_class string")
+    shown = applicability.outcomes(rules, rows, "2026-01-01")
+    tests = [
+        {"id": "1", "kind": "as_of", "states": ["CA"], "rule_ids": ["a"], "before": "2026-01-01", "after": "2026-12-31", "conflict_with": ["Town, CA"]}, {"id": "2", "kind": "boundary", "states": ["CA"], "rule_ids": ["b"]},
+        {"id": "3", "kind": "pending", "states": ["NJ", "CA"], "rule_ids": ["c"]}, {"id": "4", "kind": "negative", "states": ["CA"], "rule_ids": [], "category": "rent"},
+    ]
+    found = changes.run_tests(tests, rules, rows, shown)
+    got = {(r.test, r.role, r.address_id) for r in found.collect() if r.role != "undetermined"}
+    assert got == {("1", "affected", 1), ("1", "affected", 2), ("1", "conflict", 1), ("2", "affected", 1), ("3", "affected", 3), ("3", "missing", 1), ("3", "missing", 2), ("4", "surfaced", 1), ("4", "surfaced", 2)}
+    assert {r.address_id for r in found.where("role = 'undetermined' AND test = '2'").collect()} == {4, 5}
+    said = {r.test: r.note for r in changes.notes(found, tests).collect()}
+    assert said["1"].startswith("2026-01-01 to 2026-12-31: 2 addresses newly covered; 1 of them") and said["3"].startswith("1 addresses would be affected if enacted; 2 lack") and "2 addresses without" in said["4"]
+    try:
+        changes.run_tests([{"id": "9", "kind": "other", "states": []}], rules, rows, shown)
+        raise AssertionError
+    except ValueError:
+        pass
