@@ -14,12 +14,16 @@ from .line_quality import OP7_SQL, op7_line_quality
 from .ogg_media import op2_ogg_media
 from .pow2_packing import op5_pow2_packing
 from .simhash_gph import op9_simhash_gph
+from .spelling_variants import op13_spelling_variants
 from .substring_dedup import OP6_SQL, op6_substring_dedup
 from .tier_compaction import OP8_SQL, op8_tier_compaction
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_bfd_packing, op2_ogg_media, op3_license_scan, op4_chat_events, op5_pow2_packing, op6_substring_dedup, op7_line_quality, op8_tier_compaction, op9_simhash_gph, op10_bpe_fst]
+    found = [
+        op1_bfd_packing, op2_ogg_media, op3_license_scan, op4_chat_events, op5_pow2_packing, op6_substring_dedup, op7_line_quality, op8_tier_compaction, op9_simhash_gph, op10_bpe_fst,
+        op13_spelling_variants,
+    ]
     return {f.__name__: f for f in found}
 
 
