@@ -26,7 +26,9 @@ RUN, LEAST_LENGTH, NOISE, RATIO = "[A-Za-zÀ-ÿ]", 7, 31, 10
 #: Distinct words of a task before they are handed to Spark's aggregation.
 HELD_WORDS = 200_000
 #: Words of a shard, bytes of the shards that are broadcast together, and words whose automata run in step.
-SHARD_WORDS, GROUP_BYTES, BLOCK = 1 << 17, 48 << 20, 4096
+SHARD_WORDS, GROUP_BYTES, BLOCK = 1 << 17, 32 << 20, 4096
+#: Words of a task that runs automata.
+TASK_WORDS = 1 << 15
 
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 #: Latin-1 bytes a-z as 0 to 25, from C0 on as 26 to 89.
@@ -343,7 +345,7 @@ def neighbours(words: DataFrame, each: int = SHARD_WORDS, group_bytes: int = GRO
             rows = tries.where(F.col("shard").between(ids[0], ids[-1])).collect()
             group = spark.sparkContext.broadcast([{k: bytes(r[k]) for k in _KINDS} for r in sorted(rows, key=lambda r: r["shard"])])
             del rows
-            parts.append(written(_found(words, group)))
+            parts.append(written(_found(words.repartition(-(-n_words // TASK_WORDS)), group)))
             group.destroy()
     every = parts[0]
     for p in parts[1:]:
