@@ -65,6 +65,45 @@ def calendar_dates(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(DATE_TEXT), F.lit(0)), one), lambda d: d.isNotNull()))
 
 
+# How a text records its enactment.
+BASE_DATE = r"(?i)\b(approved|enacted|signed)\b(?:\s+by\s+(?:the\s+)?governor)?[\s,:]*(?:on\s+)?((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s*\d{4})"
+
+# How far a note reaches back from a passage, and on after it.
+NOTE_REACH = 300
+
+
+def base_dates(text: Column) -> Column:
+    """array<struct<event, date, start, end, text>>: enactment records written in a text, without dates that aren't in the calendar."""
+    from .text import spans
+
+    def one(s: Column) -> Column:
+        day = written_date(F.regexp_extract(s["text"], BASE_DATE, 2))
+        return F.struct(F.lower(F.regexp_extract(s["text"], BASE_DATE, 1)).alias("event"), day.alias("date"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
+
+    return F.filter(F.transform(spans(text, BASE_DATE), one), lambda x: x["date"].isNotNull())
+
+
+def enclosing_note(text: Column, start: Column, end: Column) -> Column:
+    """struct(start, end) of the bracketed note around a passage, else of the passage: from the nearest bracket before it that isn't closed again, to the first
+    closing bracket after it, each within NOTE_REACH characters."""
+    from .text import spans
+
+    low = F.greatest(start - NOTE_REACH, F.lit(0))
+    marks = F.reverse(spans(F.substring(text, low + 1, start - low), r"[()\[\]]"))
+    zero = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("int").alias("at"))
+
+    def back(acc: Column, m: Column) -> Column:
+        closes = m["text"].isin(")", "]")
+        here = F.struct(F.lit(0).alias("depth"), m["start"].alias("at"))
+        on = F.struct((acc["depth"] + F.when(closes, 1).otherwise(-1)).alias("depth"), acc["at"].alias("at"))
+        return F.when(acc["at"].isNotNull(), acc).when(~closes & (acc["depth"] == 0), here).otherwise(on)
+
+    opened = low + F.aggregate(marks, zero, back, lambda acc: acc["at"])
+    close = F.regexp_instr(F.substring(text, end + 1, F.lit(NOTE_REACH + 1)), F.lit(r"[)\]]"))
+    noted = opened.isNotNull() & (close > 0)
+    return F.struct(F.when(noted, opened).otherwise(start).alias("start"), F.when(noted, end + close).otherwise(end).alias("end"))
+
+
 SESSION = r"(?i)\b(\d{3})(?:st|nd|rd|th)\s*\(\s*(?:(\d{4})\s*[-–]\s*(\d{4})|Current)\s*\)"
 
 

@@ -1,4 +1,4 @@
-"""Extraction from stored responses, staged runs, and resolution in attempts."""
+"""Staged runs, and resolution in attempts."""
 
 from __future__ import annotations
 
@@ -6,17 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def extract(responses: DataFrame, documents: DataFrame, least: int = 2) -> DataFrame:
-    """doc_id, pass, value, state: the primary response of each document, or its repair if the primary one can't be parsed. A quote must stand in
-    the text; records under `least` are held. responses: doc_id, pass, payload; documents: doc_id, text."""
-    parsed = responses.select("doc_id", "pass", F.from_json("payload", "quote string, value int", {"mode": "PERMISSIVE"}).alias("r")).where("r.quote IS NOT NULL")
-    best = parsed.groupBy("doc_id").agg(F.min_by(F.struct("pass", "r"), "pass").alias("b"))
-    met = documents.join(best, "doc_id", "left")
-    verified = F.contains(F.col("text"), F.col("b.r.quote"))
-    state = F.when(F.col("b").isNull() | ~F.coalesce(verified, F.lit(False)), "rejected").when((F.col("b.pass") == "primary") & (F.col("b.r.value") < least), "held").otherwise("accepted")
-    return met.select("doc_id", F.col("b.pass").alias("pass"), F.col("b.r.value").alias("value"), state.alias("state"))
-
-
 def run_until_stopped(rows: DataFrame, key: str, order: str, stops: str) -> DataFrame:
     """ran: no row before it in its run has stopped the run."""
     before = F.max(F.col(stops).cast("int")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

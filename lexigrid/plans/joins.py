@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.text import ascii_words, shingle_hashes
 from ..operators import joins as J
 from ..operators.applicability import ANYWHERE, candidates
+from ..operators import references as R
 from ..operators import reviews as RV
 from ..registry import both, on_tables, query, table
 from .inputs import FACTS_SQL, RULES_SQL, addresses, rules
 from .rule_sql import pair_ctes
+from .scalars import with_citation
 
 
 @query("e1_candidate_join", f"SELECT f.address_id, r.rule_id FROM ({FACTS_SQL}) f JOIN ({RULES_SQL}) r ON r.jurisdiction IN (f.state_jurisdiction, f.local_jurisdiction)")
@@ -107,15 +109,27 @@ def e11(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("doc", F.array_join(F.transform("l", lambda p: p["p"]), ";").alias("pieces"), "n")
 
 
+_S, _L = "CAST(conv_id % 90 + 1 AS VARCHAR)", "chr(CAST(97 + turn % 5 AS INT))"
+
+
 @query(
     "e12_target_matching",
-    "SELECT t.conv_id, t.turn AS target, min(c.turn) AS answered_by FROM (SELECT * FROM conversations WHERE role = 'user') t LEFT JOIN (SELECT * FROM conversations WHERE role = 'assistant') c ON c.conv_id = t.conv_id AND c.turn > t.turn AND c.turn <= t.turn + 2 GROUP BY 1, 2",
+    f"WITH t AS (SELECT conv_id, turn AS target, turn % 3 AS kind, 'p' || turn % 4 AS prov, {_S} AS s, {_S} || '.' || {_L} AS ref FROM conversations WHERE role = 'user'), "
+    f"c AS (SELECT conv_id, turn AS candidate, ['p' || turn % 4, 'p' || (turn + 1) % 4] AS provs, unnest(CASE turn % 4 WHEN 0 THEN ['mun.code.' || {_S} || '.' || {_L} || '.1'] WHEN 1 THEN [{_S}] WHEN 2 THEN [{_S} || '.b', {_S} || '.c'] ELSE [{_S} || '.' || {_L}] END) AS cite FROM conversations WHERE role = 'assistant'), "
+    "m AS (SELECT DISTINCT t.conv_id, target, candidate FROM t JOIN c USING (conv_id) WHERE kind = 1 AND contains('.' || cite || '.', '.' || ref || '.') OR list_contains(provs, prov) AND (kind = 2 OR kind = 0 AND (contains('.' || cite || '.', '.' || ref || '.') OR ends_with('.' || cite, '.' || s)))) "
+    "SELECT conv_id, target, min(candidate) AS answered_by, count(candidate) AS answers FROM t LEFT JOIN m USING (conv_id, target) GROUP BY 1, 2",
 )
 def e12(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    reach = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("answer"), F.explode(F.array(F.col("turn") - 1, F.col("turn") - 2)).alias("target"))
-    t = c.where("role = 'user'").select("conv_id", F.col("turn").alias("target"))
-    return t.join(reach, ["conv_id", "target"], "left").groupBy("conv_id", "target").agg(F.min("answer").alias("answered_by"))
+    """Targets with the candidates that answer them by reference, citation or link, and those that nothing answers."""
+    c = with_citation(on_tables(spark, sf, "SELECT conv_id, turn, role, '§ ' || (conv_id % 90 + 1) || '(' || chr(CAST(97 + turn % 5 AS INT)) || ')' AS ref FROM conversations")).withColumnRenamed("conv_id", "doc")
+    link = F.concat(F.lit("p"), (F.col("turn") % 4).cast("string"))
+    source = F.when(F.col("turn") % 3 == 0, R.UNCOVERED).when(F.col("turn") % 3 == 1, R.SUBDIVISION).otherwise(R.CHALLENGE)
+    targets = c.where("role = 'user'").select("doc", F.col("turn").alias("target"), "ref", source.alias("source"), link.alias("provision"))
+    candidates = c.where("role = 'assistant'").select("doc", F.col("turn").alias("candidate"), "citation", F.array(link, F.concat(F.lit("p"), ((F.col("turn") + 1) % 4).cast("string"))).alias("provisions"))
+    met = R.answers(targets, candidates)
+    open_ones = R.unanswered(targets, met).select("doc", "target", F.lit(None).cast("bigint").alias("candidate"))
+    rows = met.select("doc", "target", F.col("candidate").cast("bigint")).unionByName(open_ones)
+    return rows.groupBy(F.col("doc").alias("conv_id"), "target").agg(F.min("candidate").alias("answered_by"), F.count("candidate").alias("answers"))
 
 
 @query(

@@ -6,30 +6,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.kleene import built, compare_units
+from ..operators import extraction as X
 from ..operators import pipelines as L
 from ..operators.applicability import outcomes
 from ..operators.graph import shared_folder
-from ..registry import on_tables, query, table
+from ..registry import query, table
 from ..streaming.ledger import drain, totals
-from .inputs import FACTS_SQL, addresses, rules
+from . import responses as R
+from .inputs import AS_OF, FACTS_SQL, addresses, rules
 from .rule_sql import pair_ctes
+from .windows import CHUNKS_SQL
 
-RESPONSES = (
-    "SELECT event_id AS doc_id, 'primary' AS pass, CASE WHEN event_id % 13 = 0 THEN '{{oops' ELSE concat('{{\"quote\": \"', event_type, '\", \"value\": ', CAST(event_id % 9 AS VARCHAR(4)), '}}') END AS payload FROM events UNION ALL "
-    "SELECT event_id, 'repair', concat('{{\"quote\": \"', event_type, '\", \"value\": 5}}') FROM events WHERE event_id % 26 = 0"
-).replace("{{", "{").replace("}}", "}")
-EXTRACTED = "SELECT event_id AS doc_id, CASE WHEN event_id % 26 = 0 THEN 'repair' WHEN event_id % 13 = 0 THEN NULL ELSE 'primary' END AS pass, CASE WHEN event_id % 26 = 0 THEN 5 WHEN event_id % 13 <> 0 THEN CAST(event_id % 9 AS INT) END AS value, CASE WHEN event_id % 13 = 0 AND event_id % 26 <> 0 THEN 'rejected' WHEN event_id % 26 <> 0 AND event_id % 9 < 2 THEN 'held' ELSE 'accepted' END AS state FROM events"
+@query("i1_document_extraction", R.VERDICT)
+def i1(spark: SparkSession, sf: str) -> DataFrame:
+    """One request a document and at most one repair, over stored responses with every kind of fault."""
+    return R.verdict(X.extract(*R.single(spark, sf), R.SETTINGS, AS_OF))
 
 
-@query("i1_document_extraction", EXTRACTED)
-def i1(spark: SparkSession, sf: str) -> DataFrame:
-    return L.extract(on_tables(spark, sf, RESPONSES), table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("text")))
+LARGE = f"""
+WITH c AS (SELECT c.doc_id, c.number, (c.doc_id + c.number) % 11 <> 0 AS stored, substr(substr(d.text, c.raw_start + 1, c.raw_end - c.raw_start), 1, 24) AS q FROM ({CHUNKS_SQL}) c JOIN documents d ON d.doc_id = c.doc_id),
+o AS (SELECT *, regexp_matches(q, '\\S') AS ok FROM c),
+e AS (SELECT doc_id, coalesce(bool_or(number = 1 AND stored AND ok), false) AS est FROM o GROUP BY 1),
+s AS (SELECT o.*, CASE WHEN NOT ok THEN 'rejected' WHEN est THEN 'accepted' ELSE 'held' END AS state FROM o JOIN e USING (doc_id)),
+g AS (SELECT doc_id, count(*) AS requests, count_if(stored) AS n_candidates, count_if(stored AND state = 'accepted') AS n_accepted, count_if(stored AND state = 'held') AS n_held, count_if(stored AND NOT ok) AS blank FROM s GROUP BY 1)
+SELECT doc_id, CASE WHEN reasons = '' THEN 'complete' ELSE 'review_required' END AS status, * EXCLUDE (doc_id) FROM (
+  SELECT doc_id, array_to_string(list_filter([CASE WHEN n_candidates > 0 AND n_candidates < requests THEN 'chunk_not_extracted' END, CASE WHEN n_held > 0 THEN 'held' END, CASE WHEN blank > 0 THEN 'provision_all_rejected' END,
+    CASE WHEN n_candidates = 0 THEN 'response_unprocessable' END, CASE WHEN blank > 0 THEN 'scope_not_applied' END], lambda x: x IS NOT NULL), ',') AS reasons,
+  requests, n_candidates, CAST(n_accepted AS BIGINT) AS n_accepted, CAST(n_held AS BIGINT) AS n_held FROM g)"""
 
 
-@query("i2_large_documents", "SELECT doc_id, n_chars > 5000 AS large, CASE WHEN n_chars > 5000 THEN CAST(ceil(n_chars / 4000.0) AS BIGINT) ELSE 1 END AS requests FROM documents")
+@query("i2_large_documents", LARGE)
 def i2(spark: SparkSession, sf: str) -> DataFrame:
-    large = F.col("n_chars") > 5000
-    return table(spark, sf, "documents").select("doc_id", large.alias("large"), F.when(large, F.ceil(F.col("n_chars") / 4000.0)).otherwise(F.lit(1)).cast("long").alias("requests"))
+    """A request for each chunk; what the chunks say is merged under ids of their own and judged once."""
+    return R.verdict(X.extract(*R.chunked(spark, sf), R.SETTINGS, AS_OF))
 
 
 @query("i3_stage_runner", "SELECT user_id, event_id, coalesce(max(CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS ran FROM events")
@@ -46,10 +55,10 @@ def i3_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").select("user_id", "requests", F.round("spent", 4).alias("spent"))
 
 
-@query("i4_replay", EXTRACTED.replace("% 9 < 2 THEN 'held'", "% 9 < 4 THEN 'held'"))
+@query("i4_replay", R.REPLAYED)
 def i4(spark: SparkSession, sf: str) -> DataFrame:
-    """The stored responses under a stricter rule; nothing is requested."""
-    return L.extract(on_tables(spark, sf, RESPONSES), table(spark, sf, "events").select(F.col("event_id").alias("doc_id"), F.col("event_type").alias("text")), least=4)
+    """The stored first responses judged again without a second request."""
+    return R.verdict(X.extract(*R.single(spark, sf), R.SETTINGS, AS_OF, repair=False))
 
 
 @query(

@@ -10,6 +10,7 @@ from ..functions import dates as D
 from ..functions import facts as X
 from ..functions import places as P
 from ..functions import text as T
+from ..operators import references as R
 from ..operators.evidence import verify_evidence, verify_quote_parts
 from ..operators.ordered import boundary_levels
 from ..registry import listed, on_tables, query, table
@@ -197,34 +198,71 @@ def d14(spark: SparkSession, sf: str) -> DataFrame:
     return on_tables(spark, sf, REFS_SPARK).select("conv_id", "turn", F.array_join(T.ref_tokens(F.concat(F.lit("Section "), F.col("ref"))), ",").alias("tokens"))
 
 
-@listed("d15_expand_ranges", "refs", "SELECT conv_id, turn, flatten(list_transform(range(0, turn % 5 + 1), lambda i: list_transform(range(1, conv_id % 3 + 2), lambda n: '§ 9(' || chr(CAST(97 + i AS INT)) || ')(' || n || ')'))) AS refs FROM conversations")
+@listed(
+    "d15_expand_ranges",
+    "refs",
+    "SELECT conv_id, turn, flatten(list_transform(base, lambda x: list_transform(CASE WHEN conv_id % 4 = 0 THEN ['(a)(1)(a)', '(a)(1)(b)', '(a)(2)(a)', '(a)(2)(b)', '(b)(1)(a)', '(b)(1)(b)', '(b)(2)(a)', '(b)(2)(b)'] ELSE [''] END, lambda y: x || y))) AS refs FROM ("
+    "SELECT conv_id, turn, flatten(list_transform(range(0, turn % 5 + 1), lambda i: list_transform(range(1, conv_id % 3 + 2), lambda n: '§ 9(' || chr(CAST(97 + i AS INT)) || ')(' || n || ')'))) AS base FROM conversations)",
+)
 def d15(spark: SparkSession, sf: str) -> DataFrame:
-    ref = F.concat(F.lit("§ 9(a)-("), F.char((97 + F.col("turn") % 5).cast("int")), F.lit(")(1)-("), (F.col("conv_id") % 3 + 1).cast("string"), F.lit(")"))
+    """Two ranges, and five where conv_id is divisible by four."""
+    more = F.when(F.col("conv_id") % 4 == 0, F.lit("(a)-(b)(1)-(2)(a)-(b)")).otherwise(F.lit(""))
+    ref = F.concat(F.lit("§ 9(a)-("), F.char((97 + F.col("turn") % 5).cast("int")), F.lit(")(1)-("), (F.col("conv_id") % 3 + 1).cast("string"), F.lit(")"), more)
     return table(spark, sf, "conversations").select("conv_id", "turn", T.expand_range(ref).alias("refs"))
 
 
-@query("d16_ref_matches", "SELECT a.conv_id, a.turn AS ref, b.turn AS cited, a.turn % 5 = b.turn % 5 AS matches FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id")
+_S, _L = "CAST(conv_id % 90 + 1 AS VARCHAR)", "chr(CAST(97 + turn % 5 AS INT))"
+#: Tokens, joined with points, of the references and citations below: a citation is a subdivision in another code, a section, a range or the reference itself.
+REF_SQL = f"SELECT DISTINCT conv_id, {_S} || '.' || {_L} AS ref FROM conversations"
+CITE_SQL = (
+    f"SELECT DISTINCT conv_id, unnest(CASE turn % 4 WHEN 0 THEN ['mun.code.' || {_S} || '.' || {_L} || '.1'] WHEN 1 THEN [{_S}] WHEN 2 THEN [{_S} || '.b', {_S} || '.c'] ELSE [{_S} || '.' || {_L}] END) AS citation FROM conversations"
+)
+
+
+def _refs(spark: SparkSession, sf: str, deeper: bool = False) -> DataFrame:
+    c = on_tables(spark, sf, REFS_SPARK).withColumnRenamed("conv_id", "doc")
+    if deeper:
+        c = c.withColumn("ref", F.concat("ref", F.lit("("), (F.col("turn") % 3 + 1).cast("string"), F.lit(")")))
+    return R.named_refs(c, "ref")
+
+
+def _citations(spark: SparkSession, sf: str) -> DataFrame:
+    return R.named_refs(with_citation(on_tables(spark, sf, REFS_SPARK)).withColumnRenamed("conv_id", "doc"), "citation")
+
+
+def with_citation(c: DataFrame) -> DataFrame:
+    section = F.concat(F.lit("Section "), (F.col("conv_id") % 90 + 1).cast("string"))
+    kinds = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("Mun. Code "), "ref", F.lit("(1)"))).when(F.col("turn") % 4 == 1, section).when(F.col("turn") % 4 == 2, F.concat(section, F.lit("(b)-(c), as amended"))).otherwise(F.col("ref"))
+    return c.withColumn("citation", kinds)
+
+
+def _shown(pairs: DataFrame, *names: str) -> DataFrame:
+    return pairs.select(F.col("doc").alias("conv_id"), *(F.array_join(n, ".").alias(n) for n in names))
+
+
+@query("d16_ref_matches", f"SELECT DISTINCT conv_id, ref, citation FROM ({REF_SQL}) r JOIN ({CITE_SQL}) c USING (conv_id) WHERE contains('.' || citation || '.', '.' || ref || '.')")
 def d16(spark: SparkSession, sf: str) -> DataFrame:
-    x = on_tables(spark, sf, REFS_SPARK).withColumn("tokens", T.ref_tokens(F.col("ref")))
-    y = x.select("conv_id", F.col("turn").alias("cited"), F.concat("tokens", F.array(F.lit("1"))).alias("citation"))
-    met = x.select("conv_id", F.col("turn").alias("r"), "tokens").join(y, "conv_id")
-    return met.select("conv_id", F.col("r").alias("ref"), "cited", T.contains_run(F.col("citation"), F.col("tokens")).alias("matches"))
+    """Of each conversation the distinct references and citations that match."""
+    return _shown(R.matching(_refs(spark, sf), _citations(spark, sf)), "ref", "citation")
 
 
-@query("d17_ref_ancestor", "SELECT a.conv_id, a.turn AS ref, b.turn AS cited, a.turn % 5 = b.turn % 5 AS ancestor FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id")
+@query(
+    "d17_ref_ancestor",
+    f"SELECT DISTINCT conv_id, ref, citation FROM (SELECT DISTINCT conv_id, {_S} AS s, {_S} || '.' || {_L} AS sl, {_S} || '.' || {_L} || '.' || (turn % 3 + 1) AS ref FROM conversations) r JOIN ({CITE_SQL}) c USING (conv_id) WHERE ends_with('.' || citation, '.' || s) OR ends_with('.' || citation, '.' || sl)",
+)
 def d17(spark: SparkSession, sf: str) -> DataFrame:
-    x = on_tables(spark, sf, REFS_SPARK).withColumn("tokens", T.ref_tokens(F.col("ref")))
-    y = x.select("conv_id", F.col("turn").alias("cited"), "tokens")
-    met = x.select("conv_id", F.col("turn").alias("r"), F.concat("tokens", F.array(F.lit("2"))).alias("longer")).join(y, "conv_id")
-    return met.select("conv_id", F.col("r").alias("ref"), "cited", T.is_ancestor(F.col("tokens"), F.col("longer")).alias("ancestor"))
+    return _shown(R.ancestors(_refs(spark, sf, deeper=True), _citations(spark, sf)), "ref", "citation")
 
 
-@query("d18_same_ref", "SELECT a.conv_id, a.turn AS ref, b.turn AS other, a.turn % 5 = b.turn % 5 AS same FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id")
+@query(
+    "d18_same_ref",
+    f"SELECT DISTINCT conv_id, ref, other FROM ({REF_SQL}) r JOIN (SELECT conv_id, citation AS other FROM ({CITE_SQL}) UNION SELECT conv_id, 'code.' || ref FROM ({REF_SQL})) o USING (conv_id) "
+    "WHERE ref = other OR contains(ref, '.') AND contains(other, '.') AND (ends_with('.' || ref, '.' || other) OR ends_with('.' || other, '.' || ref))",
+)
 def d18(spark: SparkSession, sf: str) -> DataFrame:
-    x = on_tables(spark, sf, REFS_SPARK).withColumn("tokens", T.ref_tokens(F.col("ref")))
-    y = x.select("conv_id", F.col("turn").alias("other"), F.concat(F.array(F.lit("title")), "tokens").alias("longer"))
-    met = x.select("conv_id", F.col("turn").alias("r"), "tokens").join(y, "conv_id")
-    return met.select("conv_id", F.col("r").alias("ref"), "other", T.same_ref(F.col("tokens"), F.col("longer")).alias("same"))
+    refs = _refs(spark, sf)
+    others = _citations(spark, sf).select("doc", "tokens").unionByName(refs.select("doc", F.concat(F.array(F.lit("code")), "tokens").alias("tokens")))
+    return _shown(R.same(refs, others), "ref", "other")
 
 
 STREETS = (
@@ -328,19 +366,40 @@ def d29(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), D.first_of_month_after(F.to_date("o_orderdate"), (F.col("o_orderkey") % 24 + 1).cast("int")).alias("d"))
 
 
-@query("d30_base_dates", "SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS base, CASE o_orderkey % 3 WHEN 1 THEN 'approved' WHEN 2 THEN 'signed' ELSE '' END AS event FROM orders")
+_APPROVED = "strftime(DATE '2019-03-01' + CAST(doc_id % 900 AS INT), '%B %-d, %Y')"
+
+
+@query(
+    "d30_base_dates",
+    f"WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, {_APPROVED} AS d FROM documents), x AS (SELECT doc_id, unnest([{{'event': 'approved', 's': n + 2, 'e': n + 24 + length(d), 'date': DATE '2019-03-01' + CAST(doc_id % 900 AS INT)}}, {{'event': 'signed', 's': n + 34 + length(d), 'e': n + 61 + length(d), 'date': DATE '2020-02-29'}}]) AS u FROM t WHERE doc_id % 3 < 2) "
+    "SELECT doc_id, u.event AS event, CAST(u.date AS DATE) AS date, CAST(u.s AS INT) AS start, CAST(u.e AS INT) AS stop FROM x",
+)
 def d30(spark: SparkSession, sf: str) -> DataFrame:
-    pattern = r"(?i)\b(approved|enacted|signed)\b(?:\s+by\s+(?:the\s+)?governor)?[\s,:]*(?:on\s+)?((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s*\d{4})"
-    day = F.date_format("o_orderdate", "MMMM d, yyyy")
-    text = F.when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("[ Approved by Governor, "), day, F.lit(" ]"))).when(F.col("o_orderkey") % 3 == 2, F.concat(F.lit("It was signed on "), day)).otherwise(F.concat(F.lit("Filed "), day))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), D.written_date(F.regexp_extract(text, pattern, 2)).alias("base"), F.lower(F.regexp_extract(text, pattern, 1)).alias("event"))
+    """Enactment dates with their places; February 30 is none."""
+    day = F.date_format(F.date_add(F.to_date(F.lit("2019-03-01")), (F.col("doc_id") % 900).cast("int")), "MMMM d, yyyy")
+    more = F.concat(F.lit("[ Approved by Governor, "), day, F.lit(" ] It was signed on February 29, 2020, and enacted February 30, 2020."))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 < 2, more).otherwise(F.lit(" Filed March 1, 2020")))
+    x = table(spark, sf, "documents").select("doc_id", F.explode(D.base_dates(text)).alias("x"))
+    return x.select("doc_id", "x.event", "x.date", "x.start", F.col("x.end").alias("stop"))
 
 
-@query("d31_history_note", f"SELECT o_orderkey AS k, regexp_matches(t, {q(B.HISTORY_NOTE)}) AS note FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Amended 3-1-2020 by Ord. ' || o_custkey WHEN 1 THEN 'Section repealed (see note) by them' ELSE 'Nothing' END AS t FROM orders)")
+@query(
+    "d31_enclosing_note",
+    "WITH t AS (SELECT doc_id, length(coalesce(text, '')) + 310 AS n FROM documents) "
+    "SELECT doc_id, CAST(CASE doc_id % 4 WHEN 1 THEN n + 38 WHEN 2 THEN n + 331 ELSE n END AS INT) AS start, CAST(CASE doc_id % 4 WHEN 0 THEN n + 44 WHEN 1 THEN n + 45 WHEN 2 THEN n + 338 ELSE n + 271 END AS INT) AS stop, doc_id % 4 IN (0, 3) AS history FROM t",
+)
 def d31(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("o_orderkey") % 3
-    t = F.when(k == 0, F.concat(F.lit("Amended 3-1-2020 by Ord. "), F.col("o_custkey"))).when(k == 1, F.lit("Section repealed (see note) by them")).otherwise(F.lit("Nothing"))
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), t.rlike(B.HISTORY_NOTE).alias("note"))
+    """The bracketed note around `Ord. 12`: with brackets inside; without one; opened over 300 characters before; and closed late."""
+    k = F.col("doc_id") % 4
+    lead = F.concat(F.coalesce("text", F.lit("")), F.lit("x" * 310))
+    note = F.when(k == 0, F.lit("(see (a) above; added 3-1-2020 by Ord. 12 q)")).when(k == 1, F.lit("Added 3-1-2020 (as it was) and now by Ord. 12 more")).when(k == 2, F.concat(F.lit("("), F.lit("y" * 320), F.lit(" added by Ord. 12)")))
+    note = F.coalesce(note, F.concat(F.lit("[amended by Ord. 12 "), F.lit("z" * 250), F.lit("] end")))
+    text = F.concat(lead, note)
+    start = F.length(lead) + F.locate("Ord. 12", note) - 1
+    t = table(spark, sf, "documents").select("doc_id", text.alias("text"), start.alias("s"))
+    t = t.select("doc_id", "text", F.explode(F.array(D.enclosing_note(F.col("text"), F.col("s"), F.col("s") + 7))).alias("x"))
+    piece = F.substring(F.col("text"), F.col("x.start") + 1, F.col("x.end") - F.col("x.start"))
+    return t.select("doc_id", "x.start", F.col("x.end").alias("stop"), piece.rlike(B.HISTORY_NOTE).alias("history"))
 
 
 @query("d32_date_in_evidence", "SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS written FROM orders")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import extraction as X
 from ..operators.applicability import transitions
 from ..operators.changes import boundary_sets, negative_violations, pending_gaps, run_tests
-from ..registry import both, query, table
+from ..operators.references import containers
+from ..registry import both, on_tables, query, table
+from . import responses as R
 from .aggregates import found
-from .inputs import FACTS_SQL, RULES_SQL, addresses, rules
+from .inputs import AS_OF, FACTS_SQL, RULES_SQL, addresses, rules
 from .rule_sql import pair_ctes
+from .windows import CHUNKS_SQL
 
 BEFORE, AFTER = "2026-06-30", "2027-06-30"
 
@@ -108,35 +112,55 @@ def h10(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "event_type"))), lambda x: x["event_type"]), ",").alias("kinds"))
 
 
-@query("h11_merge_chunks", "SELECT conv_id, string_agg('c' || lpad(CAST(turn // 2 + 1 AS VARCHAR), 2, '0') || '.' || turn, ',' ORDER BY turn) AS ids, min_by(role, turn) AS document FROM conversations GROUP BY 1")
+@query(
+    "h11_merge_chunks",
+    f"WITH c AS (SELECT c.doc_id, number, 'c' || lpad(CAST(number AS VARCHAR), 2, '0') AS tag, substr(substr(d.text, raw_start + 1, raw_end - raw_start), 1, 24) AS q FROM ({CHUNKS_SQL}) c JOIN documents d ON d.doc_id = c.doc_id WHERE (c.doc_id + number) % 11 <> 0) "
+    "SELECT doc_id, string_agg(tag || '.p1', ',' ORDER BY number) AS ids, string_agg(tag || '.s1>' || tag || '.p1', ',' ORDER BY number) AS conditions, max(q) FILTER (number = 1) AS evidence, count(*) AS n_rules FROM c GROUP BY 1",
+)
 def h11(spark: SparkSession, sf: str) -> DataFrame:
-    tag = F.concat(F.lit("c"), F.lpad((F.floor(F.col("turn") / 2) + 1).cast("string"), 2, "0"), F.lit("."), F.col("turn").cast("string"))
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", tag.alias("id")))).alias("l"), F.min_by("role", "turn").alias("document"))
-    return g.select("conv_id", F.array_join(F.transform("l", lambda x: x["id"]), ",").alias("ids"), "document")
+    """What the chunks' responses say, under ids of their own; a chunk's "all" means its own provisions."""
+    _, requests, responses = R.chunked(spark, sf)
+    m = X.merge(X.parse_responses(requests.join(responses, "key")))
+    ids = m.items.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "provision"))), lambda x: x["provision"]), ",").alias("ids"))
+    said = F.concat("condition", F.lit(">"), F.array_join("governed", "+"))
+    conditions = m.conditions.groupBy("doc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", said.alias("s")))), lambda x: x["s"]), ",").alias("conditions"))
+    return m.documents.join(ids, "doc").join(conditions, "doc").select(F.col("doc").alias("doc_id"), "ids", "conditions", "evidence", F.col("n_rules").cast("long").alias("n_rules"))
 
 
-@query(
-    "h12_document_status",
-    "WITH r AS (SELECT doc_id, 'short' AS reason FROM documents WHERE n_chars < 200 UNION ALL SELECT doc_id, 'foreign' FROM documents WHERE lang <> 'en' UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1) SELECT d.doc_id, coalesce(string_agg(reason, ',' ORDER BY reason), '') AS reasons, CASE WHEN count(reason) = 0 THEN 'complete' ELSE 'review_required' END AS status FROM documents d LEFT JOIN r USING (doc_id) GROUP BY 1",
-)
+@query("h12_document_status", f"SELECT code, count(*) AS documents, min(doc_id) AS first FROM (SELECT doc_id, unnest(string_split(CASE WHEN reasons = '' THEN 'complete' ELSE reasons END, ',')) AS code FROM ({R.VERDICT})) GROUP BY 1")
 def h12(spark: SparkSession, sf: str) -> DataFrame:
-    d, lab = table(spark, sf, "documents").select("doc_id", "n_chars", "lang"), table(spark, sf, "labels")
-    gaps = d.where("n_chars < 200").select("doc_id", F.lit("short").alias("reason")).unionByName(d.where("lang <> 'en'").select("doc_id", F.lit("foreign").alias("reason"))).unionByName(lab.where("toxic = 1").select("doc_id", F.lit("toxic").alias("reason")))
-    g = gaps.groupBy("doc_id").agg(F.array_sort(F.collect_list("reason")).alias("l"))
-    return d.select("doc_id").join(g, "doc_id", "left").select("doc_id", F.coalesce(F.array_join("l", ","), F.lit("")).alias("reasons"), F.when(F.col("l").isNull(), "complete").otherwise("review_required").alias("status"))
+    """How many documents each reason keeps from being complete, and how many are."""
+    d = X.extract(*R.single(spark, sf), R.SETTINGS, AS_OF).documents
+    codes = F.when(F.size("reasons") == 0, F.array(F.lit("complete"))).otherwise(F.col("reasons"))
+    return d.select("doc", F.explode(codes).alias("code")).groupBy("code").agg(F.count("*").alias("documents"), F.min("doc").alias("first"))
+
+
+PROVISIONS = (
+    "SELECT doc, id, min(a) AS a, min(b) AS b, min(c) AS c, bool_or(flag <> 'N' AND quantity > 10) AS in_scope, bool_or(quantity >= 49) AS states FROM (SELECT l_suppkey AS doc, l_orderkey * 10 + l_linenumber AS id, "
+    "CAST(year(CAST(l_shipdate AS DATE)) AS VARCHAR(4)) AS a, l_returnflag AS b, CAST(l_linenumber AS VARCHAR(4)) AS c, l_returnflag AS flag, l_quantity AS quantity FROM lineitem) x GROUP BY doc, id"
+)
+#: What a provision proposes: nothing (the whole document), the in-scope ones of its first two levels, of its first level, or only itself.
+PROPOSED = "p.id % 4 = 3 AND q.id = p.id OR p.id % 4 > 0 AND p.id % 4 < 3 AND q.in_scope AND q.a = p.a AND (p.id % 4 = 1 OR q.b = p.b)"
 
 
 @query(
     "h13_smallest_container",
-    "WITH g AS (SELECT p_type, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS k, p_name FROM part), x AS (SELECT p_type, k, array_to_string(string_split(p_name, ' ')[1:k], ' ') AS prefix, count(*) AS members FROM g GROUP BY 1, 2, 3), t AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1) "
-    "SELECT p_type, max(k) FILTER (members * 2 >= n) AS depth FROM t LEFT JOIN x USING (p_type) GROUP BY 1",
+    f"WITH p AS ({PROVISIONS}), x AS (SELECT p.doc, p.id AS condition, p.id % 4 = 0 AS whole, q.in_scope, {PROPOSED} AS proposed, q.a = p.a AS m1, q.a = p.a AND q.b = p.b AS m2, q.a = p.a AND q.b = p.b AND q.c = p.c AS m3 FROM p JOIN p q ON p.doc = q.doc WHERE p.states), "
+    "n AS (SELECT doc, condition, k, any_value(whole) AS whole, count_if(m) AS members, count_if(proposed) AS n, count_if(m AND proposed) AS there, count_if(m AND in_scope) AS inside, count_if(m AND in_scope AND proposed) AS both_in FROM (SELECT doc, condition, whole, in_scope, proposed, unnest([0, 1, 2, 3]) AS k, unnest([true, m1, m2, m3]) AS m FROM x) GROUP BY 1, 2, 3) "
+    "SELECT doc, condition, max(k) FILTER (ok) AS depth, max_by(members, k) FILTER (ok) AS members FROM (SELECT *, whole AND k = 0 OR NOT whole AND there = n AND both_in = inside AS ok FROM n) GROUP BY 1, 2",
 )
 def h13(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "part").select("p_type", F.split("p_name", " ").alias("w"))
-    prefixes = p.select("p_type", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("k")).select("p_type", F.col("k").cast("long").alias("k"), F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("prefix"))
-    x = prefixes.groupBy("p_type", "k", "prefix").agg(F.count("*").alias("members"))
-    t = p.groupBy("p_type").agg(F.count("*").alias("n"))
-    return t.join(x, "p_type", "left").groupBy("p_type").agg(F.max(F.when(F.col("members") * 2 >= F.col("n"), F.col("k"))).alias("depth"))
+    """Provisions of a supplier by year, flag and line number: the smallest group that holds what a condition proposes and nothing else in scope."""
+    p = on_tables(spark, sf, PROVISIONS)
+    inventory = p.select("doc", F.col("id").alias("provision"), F.array("a", "b", "c").alias("tokens"), "in_scope")
+    stated = p.where("states").select("doc", "id", "a", "b")
+    level = p.where("in_scope").groupBy("doc", "a").agg(F.collect_list("id").alias("first"))
+    levels = p.where("in_scope").groupBy("doc", "a", "b").agg(F.collect_list("id").alias("second"))
+    met = stated.join(level, ["doc", "a"], "left").join(levels, ["doc", "a", "b"], "left")
+    none, kind = F.array().cast("array<bigint>"), F.col("id") % 4
+    governed = F.when(kind == 1, F.coalesce("first", none)).when(kind == 2, F.coalesce("second", none)).when(kind == 3, F.array("id"))
+    found = containers(inventory, met.select("doc", F.col("id").alias("condition"), F.col("id").alias("source"), governed.alias("governed")))
+    return found.select("doc", "condition", "depth", "members")
 
 
 both(

@@ -92,16 +92,18 @@ def g7(spark: SparkSession, sf: str) -> DataFrame:
     return O.budget_gate(e, "user_id", "event_id", "cost", 500.0).select("user_id", "event_id", "started")
 
 
-@query(
-    "g8_chunk_plan",
+CHUNKS_SQL = (
     f"WITH RECURSIVE b AS MATERIALIZED (SELECT doc_id, position, level, own, list_position(['hard', 'line', 'sentence', 'paragraph', 'heading'], level) AS rank FROM ({LEVELS_SQL})), d AS (SELECT doc_id, length(text) AS n, text FROM documents WHERE text IS NOT NULL), "
     "cut(doc_id, number, pos, level, n) AS (SELECT doc_id, CAST(1 AS BIGINT), CAST(0 AS BIGINT), 'document_start', n FROM d UNION ALL "
     "SELECT c.doc_id, c.number + 1, coalesce(max_by(b.position, (b.rank, b.position)), c.pos + 1000), coalesce(max_by(b.level, (b.rank, b.position)), 'hard'), c.n FROM cut c LEFT JOIN b ON b.doc_id = c.doc_id AND b.position BETWEEN c.pos + 500 AND c.pos + 1000 "
     "WHERE c.n - c.pos > 1000 GROUP BY c.doc_id, c.number, c.pos, c.n), "
     "e AS (SELECT *, coalesce(lead(pos) OVER (PARTITION BY doc_id ORDER BY number), n) AS raw_end FROM cut), h AS (SELECT e.doc_id, e.number, max_by(b.own, b.position) AS heading FROM e JOIN b ON b.doc_id = e.doc_id AND b.level = 'heading' AND b.position < e.pos GROUP BY 1, 2) "
     "SELECT e.doc_id, e.number, e.pos AS raw_start, e.raw_end, e.level AS boundary, coalesce(h.heading, CASE WHEN e.pos > 0 AND regexp_matches(d.text, '\\S') THEN trim(string_split(d.text, chr(10))[1], ' ' || chr(9) || chr(13)) END) AS heading "
-    "FROM e JOIN d USING (doc_id) LEFT JOIN h ON h.doc_id = e.doc_id AND h.number = e.number",
+    "FROM e JOIN d USING (doc_id) LEFT JOIN h ON h.doc_id = e.doc_id AND h.number = e.number"
 )
+
+
+@query("g8_chunk_plan", CHUNKS_SQL)
 def g8(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of 500 to 1,000 characters at the best line boundary, else a hard cut; they tile each text."""
     return O.plan_chunks(table(spark, sf, "documents"), 1000, 500)
