@@ -72,3 +72,12 @@ def overridden(rows: DataFrame, overrides: DataFrame, key: str, fields: list[str
     for f in fields:
         stale = stale | (F.col(f"evidence.{f}").isNotNull() & ~F.col(f"evidence.{f}").eqNullSafe(F.col(f)))
     return met.withColumn("stale", F.col("evidence").isNotNull() & F.coalesce(stale, F.lit(False)))
+
+
+def reconcile(left: DataFrame, right: DataFrame, key: str, compare: list[str], only: tuple[str, str]) -> DataFrame:
+    """key, state: on which side alone the key is (named by `only`), else which of the compared columns differ (null differs from a value), else same. Keys are distinct on each side."""
+    a = left.select(key, F.lit(True).alias("__l"), *(F.col(c).alias(f"__l_{c}") for c in compare))
+    b = right.select(key, F.lit(True).alias("__r"), *(F.col(c).alias(f"__r_{c}") for c in compare))
+    differ = F.array_compact(F.array(*(F.when(~F.col(f"__l_{c}").eqNullSafe(F.col(f"__r_{c}")), F.lit(c)) for c in compare)))
+    state = F.when(F.col("__r").isNull(), only[0]).when(F.col("__l").isNull(), only[1]).when(F.size(differ) == 0, "same").otherwise(F.concat(F.lit("differs: "), F.array_join(differ, ", ")))
+    return a.join(b, key, "full").select(key, state.alias("state"))

@@ -50,3 +50,10 @@ def strict_verdict(payload: Column, kinds: dict[str, str]) -> Column:
 
 def finding(severity: str, name: str, rows: DataFrame) -> DataFrame:
     return rows.agg(F.lit(severity).alias("severity"), F.lit(name).alias("finding"), F.count("*").alias("n"))
+
+
+def column_findings(rows: DataFrame, expected: list[str]) -> list[DataFrame]:
+    """Two findings: how many of the expected columns are missing, and how many there are besides."""
+    missing, extra = len(set(expected) - set(rows.columns)), len(set(rows.columns) - set(expected))
+    spark = rows.sparkSession
+    return [spark.range(1).select(F.lit(s).alias("severity"), F.lit(n).alias("finding"), F.lit(k).cast("long").alias("n")) for s, n, k in (("ERROR", "missing_column", missing), ("WARNING", "extra_column", extra))]

@@ -150,11 +150,11 @@ def f18(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "f19_components",
-    "WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 3 + s_suppkey % 5 AS b FROM supplier WHERE s_suppkey % 4 <> 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), "
+    "WITH RECURSIVE e AS (SELECT s_suppkey AS a, s_suppkey + 4 + 2 * (s_suppkey % 6) AS b FROM supplier), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), "
     "walk(node, reach) AS (SELECT DISTINCT a, a FROM u UNION SELECT w.node, u.b FROM walk w JOIN u ON w.reach = u.a) SELECT node, min(reach) AS component FROM walk GROUP BY node",
 )
 def f19(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "supplier").where("s_suppkey % 4 <> 0").select(F.col("s_suppkey").alias("a"), F.expr("s_suppkey + 3 + s_suppkey % 5").alias("b"))
+    e = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a"), F.expr("s_suppkey + 4 + 2 * (s_suppkey % 6)").alias("b"))
     return components(e)
 
 

@@ -192,11 +192,15 @@ def e17(spark: SparkSession, sf: str) -> DataFrame:
     old, new = runs.select("doc_id", "candidate", F.col("old_state").alias("state"), "reasons"), runs.where("candidate <= 5").select("doc_id", "candidate", "state")
     return RV.baseline_delta(old, new).groupBy("before", "after", "reason").agg(F.count("*").alias("n"))
 
-both(
+@query(
     "e18_reconciliation",
-    "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'only in links' WHEN b.doc_id IS NULL THEN 'only in manifest' WHEN a.lang <> b.lang THEN 'lang differs' ELSE 'same' END AS state "
-    "FROM (SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id % 4 <> 0) b ON a.doc_id = b.doc_id",
+    "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'only in links' WHEN b.doc_id IS NULL THEN 'only in manifest' WHEN a.lang IS DISTINCT FROM b.lang AND a.source IS DISTINCT FROM b.source THEN 'differs: lang, source' WHEN a.lang IS DISTINCT FROM b.lang THEN 'differs: lang' WHEN a.source IS DISTINCT FROM b.source THEN 'differs: source' ELSE 'same' END AS state "
+    "FROM documents a FULL JOIN (SELECT doc_id + 50 AS doc_id, lang, source FROM documents) b ON a.doc_id = b.doc_id",
 )
+def e18(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents against links to the fiftieth document on."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    return J.reconcile(d, d.withColumn("doc_id", F.col("doc_id") + 50), "doc_id", ["lang", "source"], ("only in manifest", "only in links"))
 
 
 BENCH_SHINGLES = "list_distinct(list_transform(range(1, greatest(len(w) - {n} + 2, 1)), lambda i: array_to_string(w[i:i + {n} - 1], ' ')))"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import boundaries as B
 from ..functions import dates as D
 from ..functions import places as P
+from ..operators import integrity as I
 from ..operators import validation as V
 from ..operators import reviews as RV
 from ..registry import both, on_tables, query, table
@@ -142,7 +143,9 @@ def c13(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "c14_validation_findings",
     "SELECT 'ERROR' AS severity, 'empty' AS finding, count(*) AS n FROM documents WHERE text = '' OR text IS NULL UNION ALL SELECT 'WARNING', 'duplicate_text', count(*) FROM (SELECT text FROM documents GROUP BY text HAVING count(*) > 1) UNION ALL SELECT 'ERROR', 'unknown_nation', count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation) "
-    "UNION ALL SELECT 'WARNING', 'label_without_document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'INFO', 'length_differs', count(*) FROM documents WHERE length(text) <> n_chars",
+    "UNION ALL SELECT 'WARNING', 'label_without_document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'INFO', 'length_differs', count(*) FROM documents WHERE length(text) <> n_chars "
+    "UNION ALL SELECT 'ERROR', 'duplicate_id', count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) UNION ALL SELECT 'ERROR', 'unknown_customer', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) "
+    "UNION ALL SELECT 'ERROR', 'language_format', count(*) FROM documents WHERE NOT regexp_full_match(coalesce(lang, ''), '[a-z]{2}') UNION ALL SELECT 'ERROR', 'missing_column', 1 UNION ALL SELECT 'WARNING', 'extra_column', 1",
 )
 def c14(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
@@ -152,17 +155,59 @@ def c14(spark: SparkSession, sf: str) -> DataFrame:
         V.finding("ERROR", "unknown_nation", table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left_anti")),
         V.finding("WARNING", "label_without_document", table(spark, sf, "labels").join(d, "doc_id", "left_anti")),
         V.finding("INFO", "length_differs", d.where("length(text) <> n_chars")),
+        V.finding("ERROR", "duplicate_id", d.groupBy("doc_id").count().where("count > 1")),
+        V.finding("ERROR", "unknown_customer", table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti")),
+        V.finding("ERROR", "language_format", d.where(~F.coalesce("lang", F.lit("")).rlike("^[a-z]{2}$"))),
+        *V.column_findings(d, ["doc_id", "text", "lang", "source", "license"]),
     ]
     return reduce(DataFrame.unionByName, checks)
 
 
-@query("c15_integrity_invariants", "SELECT l_orderkey, l_linenumber, 'discount_range' AS violation FROM lineitem WHERE l_discount > 0.09 UNION ALL SELECT l_orderkey, l_linenumber, 'ship_before_order' FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_shipdate < o_orderdate UNION ALL SELECT l_orderkey, l_linenumber, 'no_order' FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+@query(
+    "c15_integrity_invariants",
+    "SELECT doc_id, CAST(CASE WHEN m <= 8 THEN NULL WHEN m = 18 THEN 0 ELSE 1 END AS BIGINT) AS index, ['source_hash', 'tiling', 'artifact_text', 'published_differs', 'primary_identity', 'chunk_tiling', 'repair_identity', 'repair_without_request', 'quote_not_source', 'invalid_record', "
+    "'unverified_scope', 'scope_without_link', 'mapping_missing', 'held_published', 'historical_published', 'validity_ended', 'duplicate_published', 'passage_twice'][m] AS violation FROM (SELECT doc_id, doc_id % 20 AS m FROM documents) WHERE m BETWEEN 1 AND 18",
+)
 def c15(spark: SparkSession, sf: str) -> DataFrame:
-    """One pass over the rows and one join; each row names the invariants that it breaks."""
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
-    m = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_shipdate").join(o, "l_orderkey", "left")
-    broken = F.array_compact(F.array(F.when(F.col("l_discount") > 0.09, F.lit("discount_range")), F.when(F.col("l_shipdate") < F.col("o_orderdate"), F.lit("ship_before_order")), F.when(F.col("o_orderdate").isNull(), F.lit("no_order"))))
-    return m.select("l_orderkey", "l_linenumber", F.explode(broken).alias("violation"))
+    """A run over the documents in which each remainder of doc_id by 20, but 0 and 19, breaks one invariant."""
+    m, text = F.pmod("doc_id", F.lit(20)), F.concat(F.coalesce("text", F.lit("")), F.lit(" tail of the text"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), text.alias("text"), m.alias("m"))
+    m, n = F.col("m"), F.length("text").cast("long")
+
+    def whole(x: int):
+        return F.lit(x).cast("long")
+
+    documents = d.select(
+        "doc", "text", F.when(m == 1, "x").otherwise(F.sha2("text", 256)).alias("sha256"), F.lit("k").alias("key"), F.when(m == 5, "other").otherwise("k").alias("expected_key"), (m != 8).alias("repaired"), F.lit("r").alias("repair_key"),
+        F.when(m == 7, "s").otherwise("r").alias("expected_repair_key"), F.when(m == 4, F.array(whole(0))).otherwise(F.array(whole(0), whole(1))).alias("published"),
+    )
+
+    def piece(start, end, artifact=None):
+        return F.struct(start.alias("start"), end.alias("end"), (F.lit(None).cast("string") if artifact is None else artifact).alias("artifact"))
+
+    cut = F.when(m == 3, "zz").otherwise(F.substring("text", 6, 4))
+    pieces = d.select("doc", F.inline(F.array(piece(whole(0), whole(5)), piece(whole(5), whole(9), cut), piece(F.when(m == 2, 10).otherwise(9).cast("long"), n))))
+    chunks = d.where("m IN (6, 19)").select("doc", F.inline(F.array(piece(whole(0), whole(10)), piece(F.when(m == 6, 11).otherwise(10).cast("long"), n)))).drop("artifact")
+
+    def scope(condition: str, mode: str, governed: list[str] | None):
+        return F.array(F.struct(F.lit(condition).alias("condition"), F.lit(mode).alias("mode"), (F.lit(None) if governed is None else F.array(*map(F.lit, governed))).cast("array<string>").alias("governed")))
+
+    applied = F.when(m == 11, scope("c9", "structural", None)).when(m == 12, scope("c1", "structural", ["p7"])).when(m == 13, scope("c2", "named_subject", ["p1"])).when(m == 19, scope("c3", "named_subject", ["p1"])).otherwise(scope("c1", "structural", None))
+
+    def candidate(k: int, quote, start, origin: str, category, broken):
+        return F.struct(
+            whole(k).alias("index"), F.lit(origin).alias("origin"), F.lit(True).alias("accepted"), (broken & (m == 14)).alias("held"), (broken & (m == 15)).alias("historical"), F.when(broken & (m == 17), whole(0)).alias("duplicate_of"), category.alias("category"),
+            start.cast("long").alias("start"), (start + 4).cast("long").alias("end"), quote.alias("quote"), (~(broken & (m == 10))).alias("valid"), F.when(broken & (m == 16), F.to_date(F.lit(AS_OF))).alias("ends"), F.array(F.lit("p1")).alias("provisions"),
+            F.when(broken, applied).otherwise(scope("c1", "structural", None)).alias("applied"),
+        )
+
+    same = m == 18
+    second = F.when(m == 9, "zzzz").otherwise(F.substring("text", F.when(same, 1).otherwise(5), F.lit(4)))
+    candidates = d.select("doc", F.inline(F.array(candidate(0, F.substring("text", 1, 4), F.lit(0), "primary", F.lit("a"), F.lit(False)), candidate(1, second, F.when(same, 0).otherwise(4), "repair", F.when(same, "a").otherwise("b"), F.lit(True)))))
+    conditions = d.select("doc", F.explode(F.array(*map(F.lit, ("c1", "c2", "c3")))).alias("condition"), F.lit(True).alias("verified"))
+    mappings = d.where("m = 19").select("doc", F.lit("c3").alias("condition"), F.lit("p1").alias("provision"))
+    found = I.violations(documents, pieces, chunks, candidates, conditions, mappings, AS_OF)
+    return found.select(F.col("doc").alias("doc_id"), "index", F.explode("violations").alias("violation"))
 
 
 both(

@@ -50,16 +50,17 @@ def d2(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUOTES = (
-    "SELECT item_id, CASE item_id % 4 WHEN 0 THEN substr(text, 5, 40) WHEN 1 THEN replace(substr(text, 5, 40), ' ', '  ') WHEN 2 THEN '( ' || substr(text, 5, 40) || ' )' ELSE 'no such words here' END AS quote, "
-    "CASE WHEN item_id % 4 = 2 THEN '(' || substr(text, 5, 40) || ')' || text ELSE text END AS source FROM benchmark WHERE substr(text, 5, 1) <> ' ' AND substr(text, 44, 1) <> ' '"
+    "SELECT item_id, q, CASE item_id % 4 WHEN 0 THEN q WHEN 1 THEN replace(q, ' ', '  ') WHEN 2 THEN '( ' || q || ' )' ELSE 'no such words here' END AS quote, CASE WHEN item_id % 4 = 2 THEN '(' || q || ')' || text ELSE text END AS source "
+    "FROM (SELECT item_id, text, substr(text, 5 + item_id % 40, 40 + item_id % 60) AS q FROM benchmark) x"
 )
 
 
 @query(
     "d3_verify_span",
-    "SELECT item_id, status, CASE WHEN status <> 'failed' THEN CASE WHEN item_id % 4 = 2 THEN 0 ELSE position(substr(source, 5, 40) IN source) - 1 END END AS start, "
-    "CASE WHEN status <> 'failed' THEN CASE WHEN item_id % 4 = 2 THEN 42 ELSE position(substr(source, 5, 40) IN source) + 39 END END AS end_at FROM "
-    f"(SELECT *, CASE item_id % 4 WHEN 0 THEN 'exact_match' WHEN 1 THEN CASE WHEN position(' ' IN substr(quote, 1, 80)) > 0 THEN 'normalized_match' ELSE 'exact_match' END WHEN 2 THEN 'layout_normalized_match' ELSE 'failed' END AS status FROM ({QUOTES}))",
+    "SELECT item_id, status, CASE WHEN status <> 'failed' THEN CASE WHEN item_id % 4 = 2 THEN 0 ELSE position(own IN source) - 1 END END AS start, "
+    "CASE WHEN status <> 'failed' THEN CASE WHEN item_id % 4 = 2 THEN length(q) + 2 ELSE position(own IN source) - 1 + length(own) END END AS end_at FROM "
+    "(SELECT *, CASE WHEN status = 'normalized_match' THEN regexp_replace(q, '^\\s+|\\s+$', '', 'g') ELSE q END AS own FROM (SELECT *, CASE item_id % 4 WHEN 0 THEN 'exact_match' WHEN 1 THEN CASE WHEN contains(q, ' ') THEN 'normalized_match' ELSE 'exact_match' END "
+    f"WHEN 2 THEN CASE WHEN regexp_matches(q, '^\\s') AND regexp_matches(q, '\\s$') THEN 'normalized_match' ELSE 'layout_normalized_match' END ELSE 'failed' END AS status FROM ({QUOTES})))",
 )
 def d3(spark: SparkSession, sf: str) -> DataFrame:
     x = on_tables(spark, sf, QUOTES).select("item_id", T.verify_span(F.col("quote"), F.col("source")).alias("x"))

@@ -85,15 +85,16 @@ both("a11_candidate_listing", "SELECT c_custkey, s_suppkey AS candidate FROM cus
 @query(
     "a12_batch_reconciliation",
     "SELECT CAST(coalesce(c.c_custkey, s.k) AS VARCHAR) AS id, CASE WHEN c.c_custkey IS NULL THEN 'not submitted' WHEN s.k IS NULL THEN 'missing' WHEN s.k % 7 = 0 THEN 'unknown indicator' WHEN s.k % 3 = 0 AND s.k % 5 = 0 THEN 'malformed match' END AS problem "
-    "FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) c FULL JOIN (SELECT o_custkey AS k FROM orders GROUP BY 1) s ON s.k = c.c_custkey",
+    "FROM customer c FULL JOIN (SELECT o_custkey AS k FROM orders UNION SELECT s_suppkey + 10000000 FROM supplier) s ON s.k = c.c_custkey",
 )
 def a12(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("o_custkey")
+    """All customers are submitted; lines came for those with orders, and for suppliers, who weren't."""
+    k = F.col("k")
     match = F.when(k % 7 == 0, "Odd").when(k % 3 == 0, "Match").otherwise("No_Match")
     line = F.concat_ws(",", k.cast("string"), match, F.lit("06"), F.when(k % 5 == 0, "").otherwise("075"), F.lit("0101"))
-    rows = table(spark, sf, "orders").select("o_custkey").distinct().select(line.alias("line"))
-    sent = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.lit(True).alias("sent"))
-    return R.parse_batch(rows, sent).select("id", "problem")
+    ids = table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).unionByName(table(spark, sf, "supplier").select((F.col("s_suppkey") + 10000000).alias("k"))).distinct()
+    sent = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit(True).alias("sent"))
+    return R.parse_batch(ids.select(line.alias("line")), sent).select("id", "problem")
 
 
 @query("a13_cache_key", "SELECT p_partkey, sha256('{\"a\":\"' || p_brand || '\",\"b\":' || CASE WHEN p_size > 25 THEN 'null' ELSE CAST(p_size AS VARCHAR) END || '}') AS key FROM part")

@@ -57,19 +57,22 @@ def g5_furniture(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "g6_view_tiles",
-    "WITH d AS (SELECT doc_id, length('Code of the State' || chr(10) || 'Page 1' || chr(10)) AS h, length(text) AS n FROM documents) "
-    "SELECT doc_id, 4 AS artifacts, 4 AS segments, CAST(4 * h AS BIGINT) AS furniture_chars, 0 AS breaks FROM d",
+    "SELECT doc_id, length(t) AS chars, 0 AS breaks, sha256(t) AS text_sha256 FROM (SELECT doc_id, concat('Code of the State', chr(10), 'Page 1', chr(10), x, chr(10), 'Code of the State', chr(10), 'Page 2', chr(10), x, chr(10), 'Code of the State', chr(10), 'Page 3', chr(10), x) AS t FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))",
 )
 def g6_view(spark: SparkSession, sf: str) -> DataFrame:
-    """Four pages with a header each: the view's segments and artifacts tile the text."""
-    body = F.concat_ws("\n", *(F.concat(F.lit(f"line {a} of its own"), F.translate(F.lit(f"{i}"), "0123456789", "abcdefghij")) for i, a in enumerate("abcdefghijkl")))
-    page = lambda k: F.concat(F.lit(f"Code of the State\nPage {k}\n"), F.translate(body, "own", "pqrs"[k - 1] * 3), F.lit("\n"))
-    docs = table(spark, sf, "documents").select("doc_id", F.concat(*(page(k) for k in range(1, 5))).alias("text"))
+    """Each document's own text three times, with a page header each: segments and artifacts tile it, and put together are it again."""
+    head = lambda k: F.lit(f"Code of the State\nPage {k}\n")
+    x = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf, "documents").select("doc_id", F.concat(head(1), x, F.lit("\n"), head(2), x, F.lit("\n"), head(3), x).alias("text"))
     tiles = O.view(docs)
     nxt = F.lead("raw_start").over(Window.partitionBy("doc_id").orderBy("raw_start"))
-    return tiles.withColumn("nxt", nxt).groupBy("doc_id").agg(
-        F.count_if(F.col("kind") == "artifact").cast("int").alias("artifacts"), F.count_if(F.col("kind") == "segment").cast("int").alias("segments"),
-        F.sum(F.when(F.col("kind") == "artifact", F.col("raw_end") - F.col("raw_start"))).cast("long").alias("furniture_chars"), F.count_if(F.col("nxt") != F.col("raw_end")).cast("int").alias("breaks"),
+    pieces = tiles.withColumn("nxt", nxt).join(docs, "doc_id")
+    piece = F.substring(F.col("text"), F.col("raw_start").cast("int") + 1, (F.col("raw_end") - F.col("raw_start")).cast("int"))
+    told = pieces.select("doc_id", "raw_start", "raw_end", (F.col("nxt") != F.col("raw_end")).alias("gap"), piece.alias("piece"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("raw_start", "piece"))), lambda p: p["piece"]), "")
+    return told.groupBy("doc_id").agg(
+        F.sum(F.col("raw_end") - F.col("raw_start")).cast("long").alias("chars"), F.count_if("gap").cast("int").alias("breaks"),
+        F.sha2(joined, 256).alias("text_sha256"),
     )
 
 
