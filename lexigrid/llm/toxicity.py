@@ -2,12 +2,13 @@
 
 The kernel compares words by their subsequences of three and four letters, gaps allowed and the less worth the wider they are, so inserted letters and letters set apart
 change it little. Landmarks are words; the machine is trained on sentences of labelled documents. A label says that some sentence of a document is toxic, not which:
-each sentence stands for its worst word, a toxic document for those sentences that the machine finds toxic so far, or its worst one, and clean documents for all of theirs.
+a toxic document stands for the words of those sentences that are clearly toxic so far, or for its worst one, clean documents for all of theirs.
 A trained machine is linear in the subsequences of its landmarks, so it is folded into one table of weights, and scoring costs a lookup for each subsequence.
 """
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import re
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ MOST_DOCUMENTS, MOST_WORDS, LANDMARKS, FIT_ROUNDS = 4000, 20_000, 128, 3
 PRIOR, PRIOR_COST = (-3.0, 5.0, 2.0, 0.0, 0.0), 0.2
 #: One document in four of the sample sets the probabilities and isn't fitted.
 CALIBRATION = 4
-#: Words whose margins a task keeps.
+#: Words whose margins a process keeps.
 KEPT_WORDS = 500_000
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
@@ -58,16 +59,16 @@ def _letter_codes(text: str) -> np.ndarray:
 
 
 def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For words of one length at a time: which of the words, their subsequences' numbers, and those's weights (alike for all)."""
+    """For words of one length at a time: which of the words, their subsequences' numbers, and how many letters each of those skips (alike for all)."""
     sizes = np.array([len(w) for w in words])
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        block = max(1, (1 << 21) // (int(size) + 2) // len(_GAPS))
+        block = max(1, (1 << 20) // (int(size) + 2) // len(_GAPS))
         for lo in range(0, len(at), block):
             part = at[lo : lo + block]
             codes = np.zeros((len(part), size + 2), np.int32)
             codes[:, 1:-1] = _letter_codes("".join(words[k] for k in part)).reshape(len(part), size)
-            pieces, weights = [], []
+            pieces, skips = [], []
             for gaps in _GAPS:
                 n = size + 2 - gaps[-1]
                 if n > 0:
@@ -75,22 +76,32 @@ def subsequences(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
                     for g in gaps:
                         number = (number << 6) | codes[:, g : g + n]
                     pieces.append(number if len(gaps) == 2 else _THREE + ((number.astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.int32))
-                    weights.append(np.full(n, DECAY ** (gaps[-1] - len(gaps)), np.float32))
-            yield part, np.concatenate(pieces, axis=1), np.concatenate(weights)
+                    skips.append(np.full(n, gaps[-1] - len(gaps), np.int32))
+            if pieces:
+                yield part, np.concatenate(pieces, axis=1), np.concatenate(skips)
+
+
+_WORTH = DECAY ** np.arange(SPAN, dtype=np.float32)
+
+
+def _runs(numbers: np.ndarray, skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each run of equal numbers of a row begins among the sorted entries, the sorted numbers, and the runs' sums of worths."""
+    entries = np.sort((numbers << 3) | skips, axis=1)
+    ids = entries >> 3
+    new = np.ones(ids.shape, bool)
+    np.not_equal(ids[:, 1:], ids[:, :-1], out=new[:, 1:])
+    start = np.flatnonzero(new)
+    return start, ids.ravel(), np.add.reduceat(_WORTH[entries.ravel() & 7], start)
 
 
 def merged(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """The same with equal subsequences of a word added up: which words, then for each entry its word's place among them, its number and its value; a word's
+    """Equal subsequences of a word added up: which words, then for each entry its word's place among them, its number and its value; a word's
     values have the length one."""
-    for part, numbers, weights in subsequences(words):
-        order = np.argsort(numbers, axis=1, kind="stable")
-        ids, values = np.take_along_axis(numbers, order, 1).ravel(), weights[order].ravel()
-        row = np.repeat(np.arange(len(part)), numbers.shape[1])
-        start = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (row[1:] != row[:-1])))
-        total = np.add.reduceat(values, start)
-        row, ids = row[start], ids[start]
+    for part, numbers, skips in subsequences(words):
+        start, ids, total = _runs(numbers, skips)
+        row = start // numbers.shape[1]
         norm = np.sqrt(np.bincount(row, weights=total * total, minlength=len(part)))
-        yield part, row, ids, total / norm[row]
+        yield part, row, ids[start], total / norm[row]
 
 
 @dataclass
@@ -103,8 +114,10 @@ class Model:
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
-        for part, row, ids, values in merged(words):
-            out[part] += np.bincount(row, weights=values * self.weights[ids], minlength=len(part))
+        for part, numbers, skips in subsequences(words):
+            start, _, total = _runs(numbers, skips)
+            norm = np.sqrt(np.bincount(start // numbers.shape[1], weights=total * total, minlength=len(part)))
+            out[part] += (self.weights[numbers] @ _WORTH[skips]) / norm
         return np.clip(out, -3, 3)
 
     def probability(self, features: np.ndarray) -> np.ndarray:
@@ -133,6 +146,18 @@ class Margins:
         return [1.0, top, second, float(np.log1p((found > 0).sum())), float(np.log1p(len(names)))], worst
 
 
+_KEPT: dict[bytes, Margins] = {}
+
+
+def margins_of(model: Model) -> Margins:
+    """The margins that this process has kept of the model; those of other models are dropped."""
+    key = hashlib.sha256(model.weights.tobytes() + repr((model.bias, model.link.tolist())).encode()).digest()
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Margins(model)
+    return _KEPT[key]
+
+
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     columns, base = landmark_columns(landmarks)
     return _kernel(words, columns, base)
@@ -157,14 +182,14 @@ def _nystroem(marks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _kernel(words: list[str], columns: np.ndarray, base: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(words), len(base)))
-    for at in range(0, len(words), 1000):
-        for part, row, ids, values in merged(words[at : at + 1000]):
+    out, rows = np.zeros((len(words), len(base))), np.ascontiguousarray(base.T)
+    for at in range(0, len(words), 500):
+        for part, row, ids, values in merged(words[at : at + 500]):
             place = np.searchsorted(columns, ids).clip(max=len(columns) - 1)
-            hit = columns[place] == ids
-            dense = np.zeros((len(part), len(columns)), np.float32)
-            dense[row[hit], place[hit]] = values[hit]
-            out[at + part] = dense @ base.T
+            hit = np.flatnonzero(columns[place] == ids)
+            if hit.size:
+                start = np.flatnonzero(np.append(True, row[hit][1:] != row[hit][:-1]))
+                out[at + part[row[hit[start]]]] = np.add.reduceat(rows[place[hit]] * values[hit, None], start, axis=0)
     return out
 
 
@@ -198,12 +223,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
 
 def _apart(words: list[str], n: int, most: float = 0.7) -> list[str]:
     """Words in order without those that are more alike to one taken before."""
-    taken: list[str] = []
-    near = np.zeros(len(words))
+    found = [(part[row], ids, values) for part, row, ids, values in merged(words)]
+    row, ids, values = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+    order = np.argsort(row, kind="stable")
+    row, ids, values = row[order], ids[order], values[order]
+    taken, near, own = [], np.zeros(len(words)), np.zeros(_SIZE)
     while len(taken) < n and (near <= most).any():
-        taken.append(words[int(np.argmax(near <= most))])
-        near = np.maximum(near, kernel(words, taken[-1:])[:, 0])
-        near[words.index(taken[-1])] = 1.0
+        k = int(np.argmax(near <= most))
+        taken.append(words[k])
+        mine = slice(*np.searchsorted(row, (k, k + 1)))
+        own[ids[mine]] = values[mine]
+        near = np.maximum(near, np.bincount(row, weights=values * own[ids], minlength=len(words)))
+        own[ids[mine]] = 0
+        near[k] = 1.0
     return taken
 
 
@@ -237,7 +269,7 @@ def _counted(sample: DataFrame) -> DataFrame:
 
 
 def _witnesses(sample: DataFrame, scores) -> DataFrame:
-    """word, n: the worst words of toxic documents' sentences: of those above zero, or of the worst sentence. scores: a broadcast function's maker."""
+    """word, n: the words of toxic documents' sentences that are clearly above zero, or the worst word of a document without any. scores: a broadcast function's maker."""
     schema = "word string"
     arrow = arrow_schema(schema)
 
@@ -246,8 +278,8 @@ def _witnesses(sample: DataFrame, scores) -> DataFrame:
         for batch in in_steps(batches):
             for text in batch.column(0).to_pylist():
                 sentences = [w for w in map(words_of, _SENTENCE.split(text)) if w]
-                worst = [max(zip(score(s), s, strict=True)) for s in sentences]
-                words = [w for m, w in worst if m > 0] or [max(worst)[1]] if worst else []
+                scored = [pair for s in sentences for pair in zip(score(s), s, strict=True)]
+                words = sorted({w for m, w in scored if m > scores.value.clear}) or [max(scored)[1]] if scored else []
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], schema=arrow)
 
     return sample.where("fits AND toxic = 1").select("text").mapInArrow(run, schema).groupBy("word").agg(F.count("*").alias("n"))
@@ -258,6 +290,7 @@ class _ByTable:
     """Scores of a first guess: a number for each word that toxic documents have more often."""
 
     known: dict[str, float]
+    clear = 0.0
 
     def __call__(self):
         return lambda words: [self.known.get(w, -10.0) for w in words]
@@ -266,9 +299,10 @@ class _ByTable:
 @dataclass
 class _ByModel:
     model: Model
+    clear = 0.5
 
     def __call__(self):
-        margins = Margins(self.model)
+        margins = margins_of(self.model)
 
         def score(words: set[str]) -> list[float]:
             margins.learn(words)
@@ -285,7 +319,7 @@ def _features(rows: DataFrame, model: Model) -> DataFrame:
     arrow, shared = arrow_schema(FEATURES), rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margins = Margins(shared.value)
+        margins = margins_of(shared.value)
         for batch in in_steps(batches):
             words = [words_of(t) if t else set() for t in batch.column(2).to_pylist()]
             for w in words:
