@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 
 def compare(given: Column, found: Column) -> tuple[Column, Column]:
     """Lists of minor and of meaningful differences between two parsed streets."""
@@ -22,3 +24,12 @@ def compare(given: Column, found: Column) -> tuple[Column, Column]:
         )
     )
     return minor, meaningful
+
+
+def compare_places(minor: Column, meaningful: Column, city: Column, found_city: Column, zip_code: Column, found_zip: Column, plausible: Column) -> tuple[Column, Column]:
+    """The lists with what city and ZIP code add: each alone is minor (an implausible ZIP code is said to be so), both together are meaningful if the ZIP code
+    is plausible for its state. A missing city or ZIP code doesn't differ."""
+    other_city = (F.coalesce(city, F.lit("")) != "") & (T.fold_key(city) != T.fold_key(found_city))
+    other_zip = (F.coalesce(zip_code, F.lit("")) != "") & (zip_code != found_zip)
+    more = F.array_compact(F.array(F.when(other_city, "city_differs"), F.when(other_zip & plausible, "zip_differs").when(other_zip, "zip_differs_outside_state")))
+    return F.concat(minor, more), F.concat(meaningful, F.when(other_city & other_zip & plausible, F.array(F.lit("city_and_zip_both_differ"))).otherwise(F.array().cast("array<string>")))

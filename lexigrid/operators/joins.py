@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Length of the blocks of an interval join; intervals meet in the blocks that both touch.
@@ -50,7 +50,7 @@ def similar_classes(rows: DataFrame, least: float, block: str | None = None) ->
     mark = F.struct(F.xxhash64("grams").alias("x"), F.size("grams").alias("size"), F.element_at("grams", 1).alias("least"))
     classes = hashed.groupBy(*keys, mark.alias("mark")).agg(F.min("id").alias("id"), F.count("*").alias("n_rows"), F.first("grams").alias("grams"))
     each = classes.select("id", *keys, "n_rows", F.size("grams").alias("n"), F.explode("grams").alias("h"))
-    each = each.withColumn("held", F.count("*").over(Window.partitionBy(*keys, "h"))).where("held > 1")
+    each = each.join(each.groupBy(*keys, "h").agg(F.count("*").alias("held")).where("held > 1"), [*keys, "h"])
     shared = each.groupBy("id", *keys, "n", "n_rows").agg(F.array_sort(F.collect_list(F.struct("held", "h"))).alias("l")).withColumn("ranked", F.transform("l", lambda x: x["h"])).drop("l")
     # the grams of one class alone come first
     reach = F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1 - (F.col("n") - F.size("ranked"))

@@ -10,7 +10,7 @@ from ..functions.kleene import and3, and3_rows, or3, or3_rows
 from ..operators.applicability import outcomes, parsed
 from ..operators.graph import components
 from ..registry import both, query, table
-from .inputs import AS_OF, addresses, rules
+from .inputs import AS_OF, SUPPLIED_SQL, addresses, rules, supplied_rules
 from .rule_sql import clause_ctes, pair_ctes
 
 FLAG = "CASE WHEN l_linenumber = 1 THEN l_quantity > 25 WHEN l_linenumber = 2 THEN l_discount < 0.05 WHEN l_linenumber = 3 THEN NULL ELSE l_tax < 0.07 END"
@@ -46,9 +46,9 @@ def f1_arrays(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select("c_custkey", and3(F.expr(ARRAY)).alias("all_of"), or3(F.expr(ARRAY)).alias("any_of"))
 
 
-@query("d27_classify_clauses", f"WITH {clause_ctes()} SELECT rule_id, role, ord, text, kind, any_of, coalesce((SELECT string_agg(a.kind, ',' ORDER BY a.kind) FROM atoms a WHERE a.rule_id = k.rule_id AND a.role = k.role AND a.ord = k.ord), '') AS atoms FROM kinds k")
+@query("d27_classify_clauses", f"WITH {clause_ctes(rules_sql=SUPPLIED_SQL)} SELECT rule_id, role, ord, text, kind, any_of, coalesce((SELECT string_agg(a.kind, ',' ORDER BY a.kind) FROM atoms a WHERE a.rule_id = k.rule_id AND a.role = k.role AND a.ord = k.ord), '') AS atoms FROM kinds k")
 def d27(spark: SparkSession, sf: str) -> DataFrame:
-    p = parsed(rules(spark), int(AS_OF[:4]))
+    p = parsed(supplied_rules(spark, sf), int(AS_OF[:4]))
     rows = [p.select("rule_id", F.lit(r).alias("role"), F.posexplode(r).alias("ord", "c")) for r in ("coverage", "exemption")]
     kinds = F.array_join(F.array_sort(F.transform("c.clause.atoms", lambda a: a["kind"])), ",")
     return rows[0].unionByName(rows[1]).select("rule_id", "role", (F.col("ord") + 1).cast("long").alias("ord"), "c.text", "c.clause.kind", "c.clause.any_of", kinds.alias("atoms"))
@@ -204,9 +204,9 @@ def f23(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("doc", F.when(F.size("d") == 1, F.col("d")[0]).alias("end_day"), F.when(F.size("d") > 1, F.array_join("d", ",")).alias("conflict"))
 
 
-@query("f24_clause_inventory", f"WITH {clause_ctes()} SELECT role, kind, count(*) AS clauses, count(DISTINCT rule_id) AS rules FROM kinds GROUP BY ALL")
+@query("f24_clause_inventory", f"WITH {clause_ctes(rules_sql=SUPPLIED_SQL)} SELECT role, kind, count(*) AS clauses, count(DISTINCT rule_id) AS rules FROM kinds GROUP BY ALL")
 def f24(spark: SparkSession, sf: str) -> DataFrame:
-    p = parsed(rules(spark), None)
+    p = parsed(supplied_rules(spark, sf), None)
     one = [p.select("rule_id", F.lit(r).alias("role"), F.explode(r).alias("c")) for r in ("coverage", "exemption")]
     return one[0].unionByName(one[1]).groupBy("role", F.col("c.clause.kind").alias("kind")).agg(F.count("*").alias("clauses"), F.countDistinct("rule_id").alias("rules"))
 

@@ -60,3 +60,14 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 RULES_SQL = f"SELECT * FROM ({values(RULES)}) AS t({RULE_COLUMNS})"
+
+#: A rule for each supplier: one of the constants with an id, a jurisdiction and years of its own.
+SUPPLIED_SQL = f"""
+SELECT r.rule_id || '-' || CAST(s.s_suppkey AS VARCHAR(20)) AS rule_id, n.n_name AS jurisdiction, r.level, r.category, r.status, r.effective_date,
+  replace(r.coverage_conditions, '1995', CAST(1960 + s.s_suppkey % 60 AS VARCHAR(4))) AS coverage_conditions, replace(r.exemptions, '1990', CAST(1970 + s.s_suppkey % 50 AS VARCHAR(4))) AS exemptions
+FROM supplier s JOIN nation n ON n.n_nationkey = s.s_nationkey JOIN (SELECT *, CAST(substr(rule_id, 2, 2) AS INT) - 1 AS place FROM ({RULES_SQL}) q) r ON r.place = s.s_suppkey % {len(RULES)}
+"""
+
+
+def supplied_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return on_tables(spark, sf_dir, SUPPLIED_SQL)

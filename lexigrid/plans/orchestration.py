@@ -11,7 +11,8 @@ from ..operators import pipelines as L
 from ..operators.applicability import outcomes
 from ..operators.graph import shared_folder
 from ..registry import query, table
-from ..streaming.ledger import drain, totals
+from ..streaming.ledger import totals, windowed
+from ..streaming.runner import latest, results, run_stage, totals_by_version
 from . import responses as R
 from .inputs import AS_OF, FACTS_SQL, addresses, rules
 from .rule_sql import pair_ctes
@@ -51,8 +52,32 @@ def i3_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a stream of files, drained with a checkpoint."""
     root = shared_folder(spark)
     table(spark, sf, "events").select("user_id", "value").repartition(4).write.parquet(f"{root}/in")
-    drain(totals(spark, f"{root}/in", "user_id long, value double"), f"{root}/out", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out").select("user_id", "requests", F.round("spent", 4).alias("spent"))
+    totals_by_version(totals(spark, f"{root}/in", "user_id long, value double"), f"{root}/out", f"{root}/checkpoint")
+    return latest(spark, f"{root}/out").select("user_id", "requests", F.round("spent", 4).alias("spent"))
+
+
+@query(
+    "i3_resumable_runner",
+    "SELECT event_id, CASE WHEN event_id > stop THEN 'not_run' WHEN event_id % 11 = 0 THEN 'error' ELSE 'done' END AS state, CASE WHEN event_id <= stop AND event_id % 11 <> 0 THEN event_type END AS result FROM events, (SELECT coalesce(min(event_id) FILTER (event_id % 397 = 396), 9223372036854775807) AS stop FROM events)",
+)
+def i3_runner(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as work items: one in eleven fails alone, one stops what comes after it."""
+    root = shared_folder(spark)
+    table(spark, sf, "events").select(F.col("event_id").alias("seq"), "event_type").write.parquet(f"{root}/in")
+    items = spark.readStream.schema("seq long, event_type string").parquet(f"{root}/in")
+    failed = F.when(F.col("seq") % 11 == 0, F.lit("can't be read"))
+    work = lambda b: b.select("seq", failed.alias("error"), (F.col("seq") % 397 == 396).alias("stops"), F.when(failed.isNull(), F.col("event_type")).alias("result"))
+    run_stage(items, work, f"{root}/out", f"{root}/checkpoint")
+    return results(spark, f"{root}/out").select(F.col("seq").alias("event_id"), "state", "result")
+
+
+@query("i3_windowed_ledger", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS requests, round(sum(value), 4) AS spent FROM events GROUP BY 1, 2")
+def i3_windowed(spark: SparkSession, sf: str) -> DataFrame:
+    """Requests and spending by hour of event time."""
+    root = shared_folder(spark)
+    table(spark, sf, "events").select("ts", "event_type", "value").write.parquet(f"{root}/in")
+    totals_by_version(windowed(spark, f"{root}/in", "ts timestamp, event_type string, value double", "1 hour", "10 minutes"), f"{root}/out", f"{root}/checkpoint")
+    return latest(spark, f"{root}/out").select(F.col("window.start").alias("hour"), "event_type", "requests", F.round("spent", 4).alias("spent"))
 
 
 @query("i4_replay", R.REPLAYED)

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from ..functions import boundaries as B
 from ..functions import dates as D
 from ..functions import places as P
+from ..functions.posture import CODIFIED, establish_posture
 from ..operators import integrity as I
+from ..operators.extraction import located
 from ..operators import validation as V
 from ..operators import reviews as RV
 from ..registry import both, on_tables, query, table
-from .inputs import AS_OF, RULES_SQL, rules
-from .rule_sql import BOUNDS
+from .inputs import AS_OF
 
 CUSTOMERS = "SELECT c_custkey, c_name, c_nationkey, c_mktsegment, CASE WHEN c_custkey % 7 = 0 THEN 'ST' || c_nationkey END AS jurisdiction, CASE WHEN c_custkey % 5 = 0 THEN 'x' END AS confidence FROM customer"
 
@@ -85,16 +86,18 @@ def c8(spark: SparkSession, sf: str) -> DataFrame:
     return on_tables(spark, sf, PROPS).select("event_id", F.try_parse_json("p").isNotNull().alias("parsed"), F.coalesce(F.array_join(F.array_sort(F.array_except(keys, F.array(F.lit("k")))), ","), F.lit("")).alias("unknown_keys"))
 
 
-@query("c9_temporal_status", f"SELECT rule_id, CASE WHEN status = 'in_force' AND {BOUNDS} > DATE '{AS_OF}' THEN 'not_yet_effective' ELSE status END AS now FROM ({RULES_SQL})")
-def c9(spark: SparkSession, sf: str) -> DataFrame:
-    return rules(spark).select("rule_id", D.temporal_status(F.col("status"), F.col("effective_date"), F.lit(AS_OF).cast("date")).alias("now"))
-
-
 PARTIAL = "SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 1, 4) WHEN 1 THEN substr(CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)), 1, 7) WHEN 2 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR(10)) ELSE NULL END AS effective, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'F' THEN 'enacted' ELSE 'enacted' END AS enactment, o_orderkey % 3 = 0 AS evidence, o_orderkey % 5 = 0 AS codified FROM orders"
 LATEST = "CASE length(effective) WHEN 4 THEN CAST(effective || '-12-31' AS DATE) WHEN 7 THEN last_day(CAST(effective || '-01' AS DATE)) ELSE CAST(effective AS DATE) END"
 EARLIEST = "CASE length(effective) WHEN 4 THEN CAST(effective || '-01-01' AS DATE) WHEN 7 THEN CAST(effective || '-01' AS DATE) ELSE CAST(effective AS DATE) END"
 
 
+@query("c9_temporal_status", f"SELECT k, CASE WHEN status = 'in_force' AND {EARLIEST} > DATE '1998-06-17' THEN 'not_yet_effective' ELSE status END AS now FROM (SELECT *, CASE enactment WHEN 'enacted' THEN 'in_force' ELSE enactment END AS status FROM ({PARTIAL}))")
+def c9(spark: SparkSession, sf: str) -> DataFrame:
+    """The orders' days as partial dates, seen from one day among them."""
+    status = F.when(F.col("enactment") == "enacted", "in_force").otherwise(F.col("enactment"))
+    return on_tables(spark, sf, PARTIAL).select("k", D.temporal_status(status, F.col("effective"), F.lit("1998-06-17").cast("date")).alias("now"))
+
+
 @query("c10_date_bounds", f"SELECT k, {EARLIEST} AS earliest, {LATEST} AS latest FROM ({PARTIAL})")
 def c10(spark: SparkSession, sf: str) -> DataFrame:
     return on_tables(spark, sf, PARTIAL).select("k", D.date_bounds(F.col("effective")).alias("b")).select("k", "b.earliest", "b.latest")
@@ -210,10 +213,22 @@ def c15(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("doc").alias("doc_id"), "index", F.explode("violations").alias("violation"))
 
 
-both(
+@query(
     "c16_posture",
-    "SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'not_established' WHEN l.quality = 1 AND d.lang = 'en' THEN 'codified' WHEN l.quality = 1 THEN 'official_text' ELSE 'unverified' END AS posture FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    "SELECT doc_id, ['unknown', 'unknown', 'unknown', 'unknown', 'unknown', 'unknown', 'codified_current_law', 'pending_bill'][m + 1] AS established, ['none declared', 'malformed', 'declared unknown', 'without evidence', 'evidence not in the text', 'the text records an enactment date', "
+    "'verified evidence', 'verified evidence'][m + 1] AS basis, m = 6 AS in_force_without_date FROM (SELECT doc_id, CAST(doc_id % 8 AS INT) AS m FROM documents)",
 )
+def c16(spark: SparkSession, sf: str) -> DataFrame:
+    """What each document declares itself to be, with evidence of every kind."""
+    m = F.pmod("doc_id", F.lit(8))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit(" This code is  current."), F.when(m == 5, " Approved by Governor, March 3, 2020").otherwise(""))
+    declared = F.when(m == 1, "no such kind").when(m == 2, "unknown").when(m == 7, "pending_bill").when(m > 2, CODIFIED)
+    evidence = F.when(m == 4, "words of another text #~#").when(m.isin(5, 6, 7), "This code is current.")
+    d = table(spark, sf, "documents").select("doc_id", text.alias("text"), declared.alias("declared"), evidence.alias("evidence"))
+    x = establish_posture(F.col("declared"), F.col("evidence"), located(F.col("evidence"), F.col("text"))["status"], F.size(D.base_dates(F.col("text"))) > 0)
+    return d.select("doc_id", x.alias("x")).select("doc_id", "x.established", "x.basis", (F.col("x.established") == CODIFIED).alias("in_force_without_date"))
+
+
 both(
     "c17_effective_evidence",
     "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'date' WHEN o_orderpriority LIKE '2%' THEN 'history' WHEN o_orderpriority LIKE '3%' AND o_totalprice > 100000 THEN 'operative' ELSE 'reject' END AS kind, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN CAST(o_orderdate AS DATE) END AS effective FROM orders",

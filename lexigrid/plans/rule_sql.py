@@ -18,7 +18,7 @@ def split_sql(column: str) -> str:
     return f"list_filter(list_transform(string_split(regexp_replace({column}, ';\\s+([A-Z])', chr(1) || '\\1', 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
 
 
-def clause_ctes(as_of: str = AS_OF) -> str:
+def clause_ctes(as_of: str = AS_OF, rules_sql: str = RULES_SQL) -> str:
     year = int(as_of[:4])
     age = f"regexp_extract(text, {q(C.CERTIFICATE_AGE)}, 1)"
     reg = "NOT oper AND NOT prod AND NOT repl"
@@ -37,7 +37,7 @@ def clause_ctes(as_of: str = AS_OF) -> str:
     ]
     atoms += [f"SELECT rule_id, role, ord, '{k}', '{r}', NULL, NULL FROM cl WHERE {reg} AND {hit(p)}" for k, r, p in C.UNDECIDED]
     return f"""
-rules AS ({RULES_SQL}),
+rules AS ({rules_sql}),
 raw AS (SELECT rule_id, 'coverage' AS role, {split_sql("coverage_conditions")} AS l FROM rules UNION ALL SELECT rule_id, 'exemption', {split_sql("exemptions")} FROM rules),
 cl0 AS (SELECT rule_id, role, unnest(l) AS text, unnest(range(1, len(l) + 1)) AS ord FROM raw WHERE l IS NOT NULL),
 cl AS (SELECT *, {hit(C.OPERATIVE)} AS oper, role = 'exemption' AND {hit(C.PRODUCT)} AND NOT {hit(C.OPERATIVE)} AS prod, {hit(C.BUILT)} AS has_date,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import boundaries as B
@@ -166,13 +166,24 @@ def d10(spark: SparkSession, sf: str) -> DataFrame:
     return on_tables(spark, sf, CLAIMS).select("k", F.array_sort(T.figures(F.col("claim"))).alias("figures"))
 
 
-PHRASES = (("one hundred twenty", 120), ("fifteen", 15), ("two thousand five", 2005), ("thirty-one", 31), ("ninety nine", 99), ("three hundred", 300), ("twelve thousand", 12000))
+def in_words(n: Column) -> Column:
+    """A number below 100,000 in words."""
+    small, tens = (F.array(*map(F.lit, [*t] if t is T.SMALL else ["", "", *t])) for t in (T.SMALL, T.TENS))
 
+    def below_hundred(x: Column) -> Column:
+        x = x.cast("int")
+        return F.when(x < 20, F.get(small, x)).otherwise(F.concat(F.get(tens, (x / 10).cast("int")), F.when(x % 10 > 0, F.concat(F.lit("-"), F.get(small, x % 10))).otherwise(F.lit(""))))
 
-@query("d11_phrase_value", f"SELECT * FROM ({values(PHRASES)}) AS t(phrase, n)")
+    thousands, hundreds, rest = F.floor(n / 1000), F.floor(n % 1000 / 100), n % 100
+    parts = [F.when(thousands > 0, F.concat(below_hundred(thousands), F.lit(" thousand"))), F.when(hundreds > 0, F.concat(below_hundred(hundreds), F.lit(" hundred"))), F.when((rest > 0) | (n == 0), below_hundred(rest))]
+    return F.concat_ws(" ", *parts)
+
+
+@query("d11_phrase_value", "SELECT c_custkey, CAST(c_custkey * 7919 % 100000 AS INT) AS n FROM customer")
 def d11(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(p,) for p, _ in PHRASES], "phrase string")
-    return rows.select("phrase", T.phrase_value(F.col("phrase")).alias("n"))
+    """Numbers made of the customers' keys, in words and back."""
+    words = in_words(F.col("c_custkey") * 7919 % 100000)
+    return table(spark, sf, "customer").select("c_custkey", T.phrase_value(F.initcap(words)).alias("n"))
 
 
 @listed("d12_unsupported_figures", "unsupported", "SELECT o_orderkey AS k, CASE WHEN (o_orderkey % 9 + 1) = 3 THEN [] ELSE ['percent:' || (o_orderkey % 9 + 1)] END AS unsupported FROM orders")
@@ -266,21 +277,22 @@ def d18(spark: SparkSession, sf: str) -> DataFrame:
     return _shown(R.same(refs, others), "ref", "other")
 
 
-STREETS = (
-    ("123 North First Street Apt 4", "123", None, "N", "1ST", "ST", None, "APT 4"),
-    ("45-47 St. James Ave.", "45", "47", None, "SAINT JAMES", "AVE", None, None),
-    ("9 Broadway", "9", None, None, "BROADWAY", None, None, None),
-    ("14.5 Mt Vernon Rd W", "14.5", None, None, "MOUNT VERNON", "RD", "W", None),
-    ("200 South 05th St #12", "200", None, "S", "5TH", "ST", None, "#12"),
-    ("Avenue", None, None, None, "AVENUE", None, None, None),
-    ("77A Fort Hill Square", "77A", None, None, "FORT HILL", "SQ", None, None),
-)
+_SEGMENT = "upper(replace(c_mktsegment, ' ', ''))"
 
 
-@query("d19_parse_street", f"SELECT * FROM ({values(STREETS)}) AS t(line, low, high, predir, name, suffix, postdir, unit)")
+@query(
+    "d19_parse_street",
+    f"SELECT c_custkey, CAST(c_custkey % 900 + 1 AS VARCHAR) AS low, CASE WHEN c_custkey % 6 = 0 THEN CAST(c_custkey % 900 + 5 AS VARCHAR) END AS high, ['N', 'S', 'E', 'W', NULL][CAST(c_custkey % 5 + 1 AS INT)] AS predir, 'SAINT ' || {_SEGMENT} AS name, ['ST', 'AVE', 'RD'][CAST(c_custkey % 3 + 1 AS INT)] AS suffix, "
+    "CASE WHEN c_custkey % 7 = 0 THEN 'W' END AS postdir, CASE WHEN c_custkey % 4 = 0 THEN 'APT ' || c_custkey END AS unit FROM customer",
+)
 def d19(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(s[0],) for s in STREETS], "line string").select("line", P.parse_street(F.col("line")).alias("s"))
-    return rows.select("line", "s.low", "s.high", "s.predir", F.array_join("s.name", " ").alias("name"), "s.suffix", "s.postdir", "s.unit")
+    """Streets made of the customers' keys and segments."""
+    k = F.col("c_custkey")
+    pick = lambda n, *xs: F.get(F.array(*(F.lit(x) for x in xs)), (k % n).cast("int"))
+    number = F.concat((k % 900 + 1).cast("string"), F.when(k % 6 == 0, F.concat(F.lit("-"), (k % 900 + 5).cast("string"))).otherwise(F.lit("")))
+    line = F.concat_ws(" ", number, pick(5, "North", "South", "E.", "west", None), F.lit("St."), F.initcap(F.replace("c_mktsegment", F.lit(" "), F.lit(""))), pick(3, "Street", "Ave.", "road"), F.when(k % 7 == 0, "W"), F.when(k % 4 == 0, F.concat(F.lit("Apt "), k.cast("string"))))
+    rows = table(spark, sf, "customer").select("c_custkey", P.parse_street(line).alias("s"))
+    return rows.select("c_custkey", "s.low", "s.high", "s.predir", F.array_join("s.name", " ").alias("name"), "s.suffix", "s.postdir", "s.unit")
 
 
 MATCHED = "SELECT s_suppkey, s_suppkey || ' MAIN ST, ' || CASE WHEN s_suppkey % 4 = 0 THEN 'STE 2, ' ELSE '' END || 'TOWN' || s_nationkey || ', MA, 0' || (2000 + s_suppkey) AS m FROM supplier"
@@ -297,24 +309,25 @@ def d21(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "nation").select("n_nationkey", P.same_place(F.col("n_name"), other).alias("same"))
 
 
-COMPARED = (
-    ("10 Main St", "10 MAIN ST, BOSTON, MA, 02101", "", ""),
-    ("10-12 Main St", "12 MAIN ST, BOSTON, MA, 02101", "house_number_range_endpoint", ""),
-    ("10 Main St", "11 MAIN ST, BOSTON, MA, 02101", "", "house_number_differs"),
-    ("10 Main", "10 MAIN ST, BOSTON, MA, 02101", "street_suffix_only_on_one_side", ""),
-    ("10 N Main St Apt 2", "10 S MAIN ST, BOSTON, MA, 02101", "secondary_unit_in_input", "street_directional_differs"),
-    ("10 Oak Ave", "10 MAIN ST, BOSTON, MA, 02101", "", "street_name_differs"),
-    ("Main Ave", "10 MAIN ST, BOSTON, MA, 02101", "", "house_number_missing_in_input,street_suffix_differs"),
+@query(
+    "d22_compare_addresses",
+    "SELECT c_custkey, array_to_string(list_filter([['', 'house_number_range_endpoint', '', 'street_suffix_only_on_one_side', 'secondary_unit_in_input', '', ''][m + 1], CASE WHEN city THEN 'city_differs' END, CASE WHEN zip AND ok THEN 'zip_differs' WHEN zip THEN 'zip_differs_outside_state' END], lambda x: x <> ''), ',') AS minor, "
+    "array_to_string(list_filter([['', '', 'house_number_differs', '', 'street_directional_differs', 'street_name_differs', 'house_number_missing_in_input,street_suffix_differs'][m + 1], CASE WHEN city AND zip AND ok THEN 'city_and_zip_both_differ' END], lambda x: x <> ''), ',') AS meaningful "
+    "FROM (SELECT c_custkey, CAST(c_custkey % 7 AS INT) AS m, c_custkey % 3 = 0 AS city, c_custkey % 4 = 0 AS zip, c_custkey % 5 > 0 AS ok FROM customer)",
 )
-
-
-@query("d22_compare_addresses", f"SELECT given, matched, minor, meaningful FROM ({values(COMPARED)}) AS t(given, matched, minor, meaningful)")
 def d22(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.addresses import compare
+    """Customers' addresses against matches that differ in every way."""
+    from ..operators.addresses import compare, compare_places
 
-    rows = spark.createDataFrame([c[:2] for c in COMPARED], "given string, matched string").withColumn("g", P.parse_street(F.col("given"))).withColumn("m", P.parse_street(P.split_matched(F.col("matched"))["street"]))
-    minor, meaningful = compare(F.col("g"), F.col("m"))
-    return rows.select("given", "matched", F.array_join(minor, ",").alias("minor"), F.array_join(meaningful, ",").alias("meaningful"))
+    k, name = F.col("c_custkey"), F.replace("c_mktsegment", F.lit(" "), F.lit(""))
+    m, low = k % 7, (k % 900 + 1).cast("string")
+    number = F.when(m == 1, F.concat((k % 900).cast("string"), F.lit("-"), low)).when(m == 6, F.lit(None)).otherwise(low)
+    given = F.concat_ws(" ", number, F.when(m == 4, "North"), F.initcap(name), F.when(m == 3, F.lit(None)).when(m == 6, "Ave").otherwise("St"), F.when(m == 4, "Apt 2"))
+    street = F.concat_ws(" ", F.when(m == 2, (k % 900 + 2).cast("string")).otherwise(low), F.when(m == 4, "S"), F.when(m == 5, "OTHERWISE").otherwise(F.upper(name)), F.lit("ST"))
+    matched = F.concat(street, F.lit(", "), F.when(k % 3 == 0, "SALEM").otherwise("NEW TOWN"), F.lit(", MA, "), F.when(k % 4 == 0, "02102").otherwise("02101"))
+    rows = table(spark, sf, "customer").select("c_custkey", P.parse_street(given).alias("g"), P.split_matched(matched).alias("f")).withColumn("m", P.parse_street(F.col("f.street")))
+    minor, meaningful = compare_places(*compare(F.col("g"), F.col("m")), F.lit(" New  Town"), F.col("f.city"), F.lit("02101"), F.col("f.zip"), F.col("c_custkey") % 5 > 0)
+    return rows.select("c_custkey", F.array_join(minor, ",").alias("minor"), F.array_join(meaningful, ",").alias("meaningful"))
 
 
 USES = (
@@ -437,14 +450,15 @@ def d34(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("k", F.col("s.general_court").cast("long").alias("court"), F.col("s.first_year").cast("long").alias("first_year"), "s.ends_by", "s.consistent")
 
 
-SCOPES = (("This Division shall not apply to hotels", "structural"), ("For purposes of this section, a unit", "structural"), ("Sections 12(a) and 14 do not apply", "explicit_reference"), ("Any tenant of a mobilehome", "named_subject"), ("Nothing in this act limits", "structural"))
-
-
-@query("d35_scope_mode", f"SELECT * FROM ({values(SCOPES)}) AS t(words, mode)")
+@query("d35_scope_mode", "SELECT conv_id, turn, CASE WHEN turn % 5 IN (0, 1, 4) THEN 'structural' WHEN turn % 5 = 2 THEN 'explicit_reference' ELSE 'named_subject' END AS mode FROM conversations")
 def d35(spark: SparkSession, sf: str) -> DataFrame:
+    """Clauses about scope behind the conversations' own words."""
     from ..functions.scope import scope_mode
 
-    return spark.createDataFrame([(s[0],) for s in SCOPES], "words string").select("words", scope_mode(F.col("words")).alias("mode"))
+    n = (F.col("conv_id") % 90 + 1).cast("string")
+    clause = [F.lit("This Division shall not apply to hotels"), F.lit("For purposes of this section, a unit"), F.concat(F.lit("Sections "), n, F.lit("(a) and 14 do not apply")), F.lit("Any tenant of a mobilehome"), F.lit("Nothing in this act limits")]
+    words = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"(?i)section|paragraph|clause|§|this|these|act", ""), F.lit(" "), F.get(F.array(*clause), (F.col("turn") % 5).cast("int")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", scope_mode(words).alias("mode"))
 
 
 NORMATIVE = r"(?i)\b(?:shall|must|may\s+only|may\s+not|no\s+\w+\s+may|prohibited|unlawful|permitted|allowed|entitled|required)\b"

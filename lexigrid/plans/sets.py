@@ -12,17 +12,17 @@ from ..operators.references import containers
 from ..registry import both, on_tables, query, table
 from . import responses as R
 from .aggregates import found
-from .inputs import AS_OF, FACTS_SQL, RULES_SQL, addresses, rules
+from .inputs import AS_OF, FACTS_SQL, RULES_SQL, SUPPLIED_SQL, addresses, rules, supplied_rules
 from .rule_sql import pair_ctes
 from .windows import CHUNKS_SQL
 
 BEFORE, AFTER = "2026-06-30", "2027-06-30"
 
 
-@query("h1_rule_order", f"SELECT rule_id, row_number() OVER (ORDER BY level <> 'state', category, jurisdiction, rule_id) AS place FROM ({RULES_SQL})")
+@query("h1_rule_order", f"SELECT rule_id, row_number() OVER (PARTITION BY jurisdiction ORDER BY level <> 'state', category, rule_id) AS place FROM ({SUPPLIED_SQL})")
 def h1(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.orderBy(F.col("level") != "state", "category", "jurisdiction", "rule_id")
-    return rules(spark).select("rule_id", F.row_number().over(w).cast("long").alias("place"))
+    w = Window.partitionBy("jurisdiction").orderBy(F.col("level") != "state", "category", "rule_id")
+    return supplied_rules(spark, sf).select("rule_id", F.row_number().over(w).cast("long").alias("place"))
 
 
 @query("h2_natural_order", "SELECT s_name, row_number() OVER (PARTITION BY s_nationkey ORDER BY try_cast(regexp_replace(s_name, '[^0-9]', '', 'g') AS BIGINT), s_name) AS place FROM supplier")

@@ -1,4 +1,4 @@
-"""The spending ledger as a stream: appended files, totals and a gate by micro-batch."""
+"""The spending ledger as a stream: totals over appended files, and by window of event time."""
 
 from __future__ import annotations
 
@@ -11,15 +11,6 @@ def totals(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path).groupBy("user_id").agg(F.count("*").alias("requests"), F.sum("value").alias("spent"))
 
 
-def drain(stream: DataFrame, target: str, checkpoint: str) -> None:
-    """Runs until all files that are there have been read, and leaves the last totals as a table. A restart with the same checkpoint reads only new files."""
-
-    def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
-
-    stream.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-
-
 def windowed(spark: SparkSession, path: str, schema: str, width: str, late: str) -> DataFrame:
     """Requests and spending by window of event time; rows later than the watermark are left out."""
     rows = spark.readStream.schema(schema).parquet(path).withWatermark("ts", late)

@@ -4,11 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigrid.functions import dates as D
+from lexigrid.functions import places as P
 from lexigrid.functions import text as T
 from lexigrid.operators import extraction as X
 from lexigrid.operators import integrity as I
 from lexigrid.operators import references as R
 from lexigrid.plans import projections, responses
+from lexigrid.streaming.runner import results, run_stage
 
 
 def test_expand_range_has_no_cap(spark):
@@ -98,3 +100,60 @@ def test_integrity_stops_the_run(spark, sf):
     assert sum(e.value.counts.values()) == found.count() and set(e.value.counts) == set(I.INVARIANTS)
     assert spark.read.parquet(e.value.path).count() == found.count()
     assert spark.read.parquet(I.enforce(found.where("false"))).count() == 0
+
+
+def test_figures_fold_compatibility_characters(spark):
+    rows = spark.createDataFrame([("５ days and ２０％ of ＄３００",), ("5 days",), (None,)], "t string")
+    got = [sorted(r.x) if r.x is not None else None for r in rows.select(T.figures(F.col("t")).alias("x")).collect()]
+    assert got == [["day:5", "money:300", "percent:20"], ["day:5"], None]
+
+
+def test_a_killed_run_goes_on_where_it_was(spark, tmp_path):
+    """A batch that dies before it is published is processed again, one that was published isn't; a stop holds for later batches."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    seen = []
+
+    def work(fail):
+        def process(batch):
+            seen.append(sorted(r.seq for r in batch.select("seq").collect()))
+            if fail:
+                raise RuntimeError("the driver dies")
+            return batch.select("seq", F.when(F.col("seq") % 5 == 0, F.lit("odd")).alias("error"), (F.col("seq") == 13).alias("stops"), (F.col("seq") * 2).alias("twice"))
+
+        return process
+
+    def go(low, high, fail=False):
+        spark.range(low, high).select(F.col("id").alias("seq")).coalesce(1).write.mode("append").parquet(source)
+        run_stage(spark.readStream.schema("seq long").parquet(source), work(fail), out, checkpoint)
+
+    go(0, 10)
+    with pytest.raises(Exception, match="the driver dies"):
+        go(10, 20, fail=True)
+    run_stage(spark.readStream.schema("seq long").parquet(source), work(False), out, checkpoint)
+    go(20, 25)
+    got = {r.seq: (r.state, r.twice) for r in results(spark, out).collect()}
+    expected = {s: ("not_run", None) if s > 13 else ("error" if s % 5 == 0 else "done", 2 * s) for s in range(25)}
+    assert got == expected and results(spark, out).count() == 25
+    assert seen.count(list(range(10))) == 1 and seen.count(list(range(10, 20))) == 2
+
+
+STREETS = (
+    ("123 North First Street Apt 4", "123", None, "N", "1ST", "ST", None, "APT 4"),
+    ("45-47 St. James Ave.", "45", "47", None, "SAINT JAMES", "AVE", None, None),
+    ("9 Broadway", "9", None, None, "BROADWAY", None, None, None),
+    ("14.5 Mt Vernon Rd W", "14.5", None, None, "MOUNT VERNON", "RD", "W", None),
+    ("200 South 05th St #12", "200", None, "S", "5TH", "ST", None, "#12"),
+    ("Avenue", None, None, None, "AVENUE", None, None, None),
+    ("77A Fort Hill Square", "77A", None, None, "FORT HILL", "SQ", None, None),
+)
+
+
+def test_streets(spark):
+    rows = spark.createDataFrame([(s[0],) for s in STREETS], "line string").select("line", P.parse_street(F.col("line")).alias("s")).collect()
+    assert [(r.line, r.s.low, r.s.high, r.s.predir, " ".join(r.s.name), r.s.suffix, r.s.postdir, r.s.unit) for r in rows] == list(STREETS)
+
+
+def test_number_phrases(spark):
+    phrases = {"one hundred twenty": 120, "fifteen": 15, "two thousand five": 2005, "thirty-one": 31, "ninety nine": 99, "three hundred": 300, "twelve thousand": 12000}
+    got = spark.createDataFrame([(p,) for p in phrases], "p string").select("p", T.phrase_value(F.col("p")).alias("n")).collect()
+    assert {r.p: r.n for r in got} == phrases
