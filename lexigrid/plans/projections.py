@@ -11,6 +11,7 @@ from ..functions import boundaries as B
 from ..functions import dates as D
 from ..functions import places as P
 from ..functions.posture import CODIFIED, establish_posture
+from ..functions.temporal import effective_evidence
 from ..operators import integrity as I
 from ..operators.extraction import located
 from ..operators import validation as V
@@ -229,11 +230,39 @@ def c16(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", x.alias("x")).select("doc_id", "x.established", "x.basis", (F.col("x.established") == CODIFIED).alias("in_force_without_date"))
 
 
-both(
-    "c17_effective_evidence",
-    "SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'date' WHEN o_orderpriority LIKE '2%' THEN 'history' WHEN o_orderpriority LIKE '3%' AND o_totalprice > 100000 THEN 'operative' ELSE 'reject' END AS kind, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN CAST(o_orderdate AS DATE) END AS effective FROM orders",
+_FORMULA = "take effect on the first day of the seventh month next following enactment"
+#: What follows a document's text, the evidence, the declared kind and date, and what must come of them: kind, date, whether there is evidence of a date, rejection, reason.
+EVIDENCE = (
+    (" This section is in force from May 1, 2024.", "in force from May 1, 2024", "explicit_operative_date", "2024-05-01", "explicit_operative_date", "2024-05-01", True, None, None),
+    (" This section is in force from May 2024.", "in force from May 2024", "explicit_operative_date", "2024-05", "explicit_operative_date", "2024-05", True, None, None),
+    (" This section is in force from May 1, 2024.", "in force from May 1, 2024", "explicit_operative_date", "2024-06", "explicit_operative_date", None, False, "date not in its evidence", None),
+    (" This section is in force from May 1, 2024.", "in force from May 1, 2024", "explicit_operative_date", None, "explicit_operative_date", None, False, "no date given", None),
+    (" (Added 3-1-2020 by Ord. 1234; effective 4-1-2020.) End", "effective 4-1-2020", "explicit_operative_date", "2020-04-01", "history_note", None, False, None, None),
+    (" (Added 3-1-2020 by Ord. 1234.) End", "Added 3-1-2020", "history_note", None, "history_note", None, False, None, None),
+    (" It was so before.", "so before", "history_note", None, "history_note", None, False, "no history in the note", None),
+    (f" Approved June 18, 2021. It shall {_FORMULA}.", _FORMULA, "operative_condition", "2021-01-01", "relative_date_formula", "2022-01-01", True, None, None),
+    (f" It shall {_FORMULA}.", _FORMULA, "relative_date_formula", None, "relative_date_formula", None, True, None, "no base date"),
+    (" It begins when a portal exists.", "when a portal exists", "operative_condition", None, "operative_condition", None, False, None, None),
+    (" It begins when a portal exists.", "when a portal exists", None, None, None, None, False, "not classified", None),
+    (" It begins.", "words of another text #~#", "operative_condition", None, "operative_condition", None, False, "evidence not found", None),
 )
 
+
+def _sql(values) -> str:
+    return "[" + ", ".join("NULL" if v is None else str(v).upper() if isinstance(v, bool) else "'" + v + "'" for v in values) + f"][CAST(doc_id % {len(EVIDENCE)} + 1 AS INT)]"
+
+
+@query("c17_effective_evidence", "SELECT doc_id, " + ", ".join(f"{_sql([e[4 + k] for e in EVIDENCE])} AS {name}" for k, name in enumerate(("applied", "effective", "dated", "rejection", "reason"))) + " FROM documents")
+def c17(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of every kind behind the documents' own texts."""
+    pick = lambda k: F.get(F.array(*(F.lit(e[k]).cast("string") for e in EVIDENCE)), (F.col("doc_id") % len(EVIDENCE)).cast("int"))
+    d = table(spark, sf, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit("x" * 310 + "."), pick(0)).alias("text"), pick(1).alias("words"), pick(2).alias("kind"), pick(3).alias("given"))
+    d = d.withColumn("s", F.instr(F.col("text"), F.col("words")) - 1).withColumn("span", F.when(F.col("s") >= 0, F.col("words")))
+    start = F.greatest("s", F.lit(0))
+    x = effective_evidence(F.col("kind"), F.col("given"), F.col("span"), F.col("text"), start, start + F.length("words"))
+    return d.select("doc_id", F.explode(F.array(x)).alias("x")).select("doc_id", "x.*")
+
+
 BILLS = "SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'Approved by the Governor, July 9, 2024' WHEN 1 THEN 'House bill' || chr(10) || 'No further action taken.' WHEN 2 THEN 'In the 193rd (2023 - 2024) session' WHEN 3 THEN 'In the 194th (Current) session' ELSE 'No label here' END AS body FROM orders"
 ENACTED = r"(?im)\b(?:approved|enacted|signed)\b(?:\s+by\s+(?:the\s+)?governor)?[\s,:]*(?:on\s+)?(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s*\d{4}|^\s*(?:signed by the governor\b.*|chapter \d+ of the acts of \d{4}\b.*)$"
 TERMINAL = r"(?im)^\s*(?:no further action(?: taken)?|withdrawn|leave to withdraw(?: granted)?|rejected|defeated|vetoed)\s*\.?\s*$"

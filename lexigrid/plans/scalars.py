@@ -9,6 +9,7 @@ from ..functions import boundaries as B
 from ..functions import dates as D
 from ..functions import facts as X
 from ..functions import places as P
+from ..functions import temporal as TP
 from ..functions import text as T
 from ..operators import references as R
 from ..operators.evidence import verify_evidence, verify_quote_parts
@@ -375,9 +376,45 @@ def d28(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), D.written_date(F.upper(F.date_format("o_orderdate", "MMMM d, yyyy"))).alias("d"))
 
 
-@query("d29_relative_date", "SELECT o_orderkey AS k, CAST(date_trunc('month', CAST(o_orderdate AS DATE) + to_months(CAST(o_orderkey % 24 + 1 AS INT))) AS DATE) AS d FROM orders")
+_MONTH = "the first day of the {} month next following {}"
+#: What follows a document's own text, the words that are evidence, and what must come of them.
+RELATIVE = (
+    (" Approved by Governor, June 18, 2021. It shall take effect on {}.", _MONTH.format("seventh", "enactment"), "2022-01-01", None),
+    (" Approved June 18, 2021. It shall become operative on {}.", _MONTH.format("12th", "the date of approval"), "2022-06-01", None),
+    (" Approved June 18, 2021. It is {}.", "effective at once", None, "not one formula"),
+    (" Approved June 18, 2021. It shall take effect on {}.", _MONTH.format("second", "enactment") + " and become operative later", None, "more than one date"),
+    (" Approved June 18, 2021. It shall take effect on {}.", _MONTH.format("thirtieth", "enactment"), None, "unsupported ordinal"),
+    (" Approved June 18, 2021. Except as provided, it shall take effect on {}.", _MONTH.format("second", "enactment"), None, "qualified"),
+    (" Approved June 18, 2021. It shall take effect on {}, and applies to leases.", _MONTH.format("second", "enactment"), None, "qualified"),
+    (" It shall take effect on {}.", _MONTH.format("second", "enactment"), None, "no base date"),
+    (" Approved June 18, 2021. Enacted May 2, 2020. It shall take effect on {}.", _MONTH.format("second", "enactment"), None, "several base dates"),
+    (" Signed June 18, 2021. It shall take effect on {}.", _MONTH.format("second", "approval"), None, "no base date"),
+    (" Approved June 18, 2021. Take effect it will.", "words of another text #~#", None, "not verified"),
+)
+
+
+def _evidence(tail: str, words: str) -> str:
+    """The trigger's words belong to the evidence."""
+    for t in ("take effect on ", "become operative on "):
+        if t + "{}" in tail:
+            return t + words
+    return words
+
+
+@query(
+    "d29_relative_date",
+    f"SELECT doc_id, CAST([{', '.join('NULL' if r[2] is None else repr(r[2]) for r in RELATIVE)}][CAST(doc_id % {len(RELATIVE)} + 1 AS INT)] AS DATE) AS resolved, [{', '.join('NULL' if r[3] is None else repr(r[3]) for r in RELATIVE)}][CAST(doc_id % {len(RELATIVE)} + 1 AS INT)] AS reason FROM documents",
+)
 def d29(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), D.first_of_month_after(F.to_date("o_orderdate"), (F.col("o_orderkey") % 24 + 1).cast("int")).alias("d"))
+    """Relative dates behind the documents' own texts, with each guard of the grammar."""
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (F.col("doc_id") % len(RELATIVE)).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("."), pick([t.format(w) for t, w, _, _ in RELATIVE]))
+    d = table(spark, sf, "documents").select("doc_id", text.alias("text"), pick([_evidence(t, w) for t, w, _, _ in RELATIVE]).alias("words"))
+    start = F.instr(F.col("text"), F.col("words")) - 1
+    d = d.withColumn("s", start).withColumn("e", F.col("s") + F.length("words")).withColumn("span", F.when(F.col("s") >= 0, F.col("words")))
+    before, after = TP.sentence_around(F.col("text"), F.greatest("s", F.lit(0)), F.greatest("e", F.lit(0)))
+    x = TP.relative_date(F.col("span"), before, after, D.base_dates(F.col("text")))
+    return d.select("doc_id", F.explode(F.array(x)).alias("x")).select("doc_id", "x.resolved", "x.reason")
 
 
 _APPROVED = "strftime(DATE '2019-03-01' + CAST(doc_id % 900 AS INT), '%B %-d, %Y')"
