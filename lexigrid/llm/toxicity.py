@@ -8,6 +8,7 @@ A trained machine is linear in the subsequences of its landmarks, so it is folde
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import re
@@ -31,6 +32,8 @@ PRIOR, PRIOR_COST = (-3.0, 5.0, 2.0, 0.0, 0.0), 0.2
 CALIBRATION = 4
 #: Words whose margins a process keeps.
 KEPT_WORDS = 500_000
+#: Margins count from here to there; most words of any text are below, and then needn't be known exactly.
+FLOOR, CEILING = -0.5, 3.0
 
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _BROKEN = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:(?:[^\w\s]|[\d_])++[^\W\d_]++)+").findall
@@ -43,11 +46,17 @@ _THREE, _FOUR = 1 << 18, 1 << 20
 _SIZE = _THREE + _FOUR
 
 
+@functools.lru_cache(KEPT_WORDS)
+def _parts(token: str) -> frozenset[str]:
+    return frozenset(_LETTERS(token)).union("".join(_LETTERS(w)) for w in _BROKEN(token))
+
+
 def words_of(text: str) -> set[str]:
     """Lower-case runs of letters; what is left of a run between blanks without its other characters; single letters set apart as one word."""
     text = text.lower()
-    found = set(_LETTERS(text))
-    found.update("".join(_LETTERS(w)) for w in _BROKEN(text))
+    tokens = set(text.split())
+    found = {t for t in tokens if t.isalpha()}
+    found = found.union(*map(_parts, tokens - found))
     found.update("".join(w.split()) for w in _SPACED(text))
     return found
 
@@ -113,37 +122,46 @@ class Model:
     link: np.ndarray
 
     def margins(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), self.bias)
+        """Merging equal subsequences only makes a word's length larger, so that a word whose sum is small enough for the unmerged length is at the floor."""
+        out = np.full(len(words), max(FLOOR, self.bias))
         for part, numbers, skips in subsequences(words):
-            start, _, total = _runs(numbers, skips)
-            norm = np.sqrt(np.bincount(start // numbers.shape[1], weights=total * total, minlength=len(part)))
-            out[part] += (self.weights[numbers] @ _WORTH[skips]) / norm
-        return np.clip(out, -3, 3)
+            worth = _WORTH[skips]
+            raw = self.weights[numbers] @ worth
+            out[part] = FLOOR
+            sure = np.flatnonzero(self.bias + np.maximum(raw, 0) / np.sqrt(worth @ worth) > FLOOR)
+            if sure.size:
+                start, _, total = _runs(numbers[sure], skips)
+                norm = np.sqrt(np.bincount(start // numbers.shape[1], weights=total * total, minlength=len(sure)))
+                out[part[sure]] = self.bias + raw[sure] / norm
+        return np.clip(out, FLOOR, CEILING)
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.link, -40, 40)))
 
 
 class Margins:
-    """Margins of words, kept for the next texts."""
+    """Margins of words, kept for the next texts: which words are known, and the margins above the floor."""
 
     def __init__(self, model: Model):
-        self.model, self.known, self.none = model, {}, float(np.clip(model.bias, -3, 3))
+        self.model, self.known, self.above, self.none = model, set(), {}, float(np.clip(model.bias, FLOOR, CEILING))
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, *texts: set[str]) -> None:
+        """So that the words of all these texts are known."""
         if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
+            self.known, self.above = set(), {}
+        new = list(set().union(*texts) - self.known)
         if new:
-            self.known.update(zip(new, self.model.margins(new).tolist(), strict=True))
+            found = self.model.margins(new)
+            self.known.update(new)
+            self.above.update((new[k], float(found[k])) for k in np.flatnonzero(found > FLOOR))
+
+    def of(self, word: str) -> float:
+        return self.above.get(word, FLOOR)
 
     def features(self, words: set[str]) -> tuple[list[float], str | None]:
-        names = list(words)
-        found = np.fromiter(map(self.known.__getitem__, names), float, len(names))
-        top = float(found.max()) if names else self.none
-        worst = min(names[k] for k in np.flatnonzero(found == top)) if names else None
-        second = float(np.partition(found, -2)[-2]) if len(names) > 1 else self.none
-        return [1.0, top, second, float(np.log1p((found > 0).sum())), float(np.log1p(len(names)))], worst
+        found = sorted(((self.above[w], w) for w in self.above.keys() & words), key=lambda x: (-x[0], x[1]))
+        values = [m for m, _ in found[:2]] + [FLOOR] * (min(2, len(words)) - len(found[:2])) + [self.none] * (2 - min(2, len(words)))
+        return [1.0, *values, float(np.log1p(sum(m > 0 for m, _ in found))), float(np.log1p(len(words)))], found[0][1] if found else None
 
 
 _KEPT: dict[bytes, Margins] = {}
@@ -269,18 +287,18 @@ def _counted(sample: DataFrame) -> DataFrame:
 
 
 def _witnesses(sample: DataFrame, scores) -> DataFrame:
-    """word, n: the words of toxic documents' sentences that are clearly above zero, or the worst word of a document without any. scores: a broadcast function's maker."""
+    """word, n: the words of toxic documents' sentences that are clearly above zero, or the worst word of a document without any. scores: broadcast; a call with sentences gives the function from a word to its score."""
     schema = "word string"
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = scores.value()
         for batch in in_steps(batches):
-            for text in batch.column(0).to_pylist():
-                sentences = [w for w in map(words_of, _SENTENCE.split(text)) if w]
-                scored = [pair for s in sentences for pair in zip(score(s), s, strict=True)]
-                words = sorted({w for m, w in scored if m > scores.value.clear}) or [max(scored)[1]] if scored else []
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], schema=arrow)
+            texts = [[w for w in map(words_of, _SENTENCE.split(t)) if w] for t in batch.column(0).to_pylist()]
+            score, out = scores.value([s for t in texts for s in t]), []
+            for sentences in texts:
+                scored = [(score(w), w) for s in sentences for w in s]
+                out += sorted({w for m, w in scored if m > scores.value.clear}) or ([max(scored)[1]] if scored else [])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], schema=arrow)
 
     return sample.where("fits AND toxic = 1").select("text").mapInArrow(run, schema).groupBy("word").agg(F.count("*").alias("n"))
 
@@ -292,8 +310,8 @@ class _ByTable:
     known: dict[str, float]
     clear = 0.0
 
-    def __call__(self):
-        return lambda words: [self.known.get(w, -10.0) for w in words]
+    def __call__(self, texts: list[set[str]]):
+        return lambda word: self.known.get(word, -10.0)
 
 
 @dataclass
@@ -301,14 +319,10 @@ class _ByModel:
     model: Model
     clear = 0.5
 
-    def __call__(self):
+    def __call__(self, texts: list[set[str]]):
         margins = margins_of(self.model)
-
-        def score(words: set[str]) -> list[float]:
-            margins.learn(words)
-            return [margins.known[w] for w in words]
-
-        return score
+        margins.learn(*texts)
+        return margins.of
 
 
 FEATURES = "doc_id long, toxic int, features array<double>, worst string"
@@ -322,12 +336,8 @@ def _features(rows: DataFrame, model: Model) -> DataFrame:
         margins = margins_of(shared.value)
         for batch in in_steps(batches):
             words = [words_of(t) if t else set() for t in batch.column(2).to_pylist()]
-            for w in words:
-                margins.learn(w)
-            found = []
-            for w in words:
-                margins.learn(w)  # again only if the words were dropped meanwhile
-                found.append(margins.features(w))
+            margins.learn(*words)
+            found = [margins.features(w) for w in words]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([w for _, w in found], pa.string())], schema=arrow)
 
     return rows.mapInArrow(run, FEATURES)
