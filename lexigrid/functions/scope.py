@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 KIND = r"(?:act|division|chapter|article|part|title|section|subsection|subdivision|ordinance|code|law)s?"
 CONTAINER = rf"(?i)\b(?:(?:the\s+provisions\s+of\s+)?(?:this|these)\s+{KIND}\s+(?:shall|does|do|is|are|will|applies|apply)\b|(?:nothing\s+in|(?:for\s+)?(?:the\s+)?purposes\s+of)\s+(?:this|these)\s+{KIND}\b)"
 REFERENCE = r"(?i)(?:§+|\b(?:sections?|subsections?|paragraphs?|subdivisions?|clauses?)\b)\s*(?:\d|\([A-Za-z0-9]{1,4}\))"
+# Words that command or allow.
+NORMATIVE = r"(?i)\b(?:shall|must|may\s+only|may\s+not|no\s+\w+\s+may|prohibited|unlawful|permitted|allowed|entitled|required)\b"
 #: (state, prefix of the key, pattern of the section).
 STATUTES = (("CA", "ca-civ-", r"(?i)Civ(?:\.|il)\s+Code\s+(?:§+\s*)?(\d+(?:\.\d+)?)"), ("NJ", "nj-", r"(?i)N\.?J\.?S\.?A?\.?\s*(\d+A?:\d+-\d+(?:\.\d+)?)"), ("MA", "ma-", r"(?i)c\.\s*(\d+[A-Z]?)"))
 

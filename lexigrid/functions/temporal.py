@@ -19,6 +19,9 @@ ORDINALS = (
 )
 EVENTS = {"enactment": ("approved", "enacted", "signed"), "approval": ("approved",)}
 CONTEXT = 400
+# Lines that say that a bill was enacted, or that it ended.
+ENACTED = r"(?im)\b(?:approved|enacted|signed)\b(?:\s+by\s+(?:the\s+)?governor)?[\s,:]*(?:on\s+)?(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s*\d{4}|^\s*(?:signed by the governor\b.*|chapter \d+ of the acts of \d{4}\b.*)$"
+TERMINAL = r"(?im)^\s*(?:no further action(?: taken)?|withdrawn|leave to withdraw(?: granted)?|rejected|defeated|vetoed)\s*\.?\s*$"
 KINDS = ("explicit_operative_date", "relative_date_formula", "history_note", "operative_condition")
 
 

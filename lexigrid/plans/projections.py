@@ -11,7 +11,7 @@ from ..functions import boundaries as B
 from ..functions import dates as D
 from ..functions import places as P
 from ..functions.posture import CODIFIED, establish_posture
-from ..functions.temporal import effective_evidence
+from ..functions.temporal import ENACTED, TERMINAL, effective_evidence
 from ..operators import integrity as I
 from ..operators.extraction import located
 from ..operators import validation as V
@@ -264,8 +264,6 @@ def c17(spark: SparkSession, sf: str) -> DataFrame:
 
 
 BILLS = "SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 0 THEN 'Approved by the Governor, July 9, 2024' WHEN 1 THEN 'House bill' || chr(10) || 'No further action taken.' WHEN 2 THEN 'In the 193rd (2023 - 2024) session' WHEN 3 THEN 'In the 194th (Current) session' ELSE 'No label here' END AS body FROM orders"
-ENACTED = r"(?im)\b(?:approved|enacted|signed)\b(?:\s+by\s+(?:the\s+)?governor)?[\s,:]*(?:on\s+)?(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s*\d{4}|^\s*(?:signed by the governor\b.*|chapter \d+ of the acts of \d{4}\b.*)$"
-TERMINAL = r"(?im)^\s*(?:no further action(?: taken)?|withdrawn|leave to withdraw(?: granted)?|rejected|defeated|vetoed)\s*\.?\s*$"
 
 
 @query(

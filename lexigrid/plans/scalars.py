@@ -11,6 +11,7 @@ from ..functions import facts as X
 from ..functions import places as P
 from ..functions import temporal as TP
 from ..functions import text as T
+from ..functions.scope import NORMATIVE
 from ..operators import references as R
 from ..operators.evidence import verify_evidence, verify_quote_parts
 from ..operators.ordered import boundary_levels
@@ -498,9 +499,6 @@ def d35(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", scope_mode(words).alias("mode"))
 
 
-NORMATIVE = r"(?i)\b(?:shall|must|may\s+only|may\s+not|no\s+\w+\s+may|prohibited|unlawful|permitted|allowed|entitled|required)\b"
-
-
 @query("d36_text_signals", f"SELECT conv_id, turn, len(regexp_extract_all(t, {q(NORMATIVE)})) AS normative, regexp_matches(t, '(?i)\\bmeans\\b') AS glossary FROM (SELECT conv_id, turn, text || CASE WHEN turn % 2 = 0 THEN ' A landlord shall not, and must never. Rent means cost' ELSE '' END AS t FROM conversations)")
 def d36(spark: SparkSession, sf: str) -> DataFrame:
     t = F.concat("text", F.when(F.col("turn") % 2 == 0, F.lit(" A landlord shall not, and must never. Rent means cost")).otherwise(F.lit("")))
