@@ -194,6 +194,16 @@ def same_source(candidates: DataFrame) -> DataFrame:
     return _rejected(c, "__drop", F.concat(F.lit("duplicate: same passage as "), F.col("__keep").cast("string"))).drop("__lead", "__better", "__keep", "__drop")
 
 
+def keep_or_replace(rows: DataFrame, key: str) -> DataFrame:
+    """key, place, replaced: of each key's rows (place: their order; repaired; worth: an array of numbers) the first, or if that wasn't repaired the first repaired one
+    that is worth at least as much in each number and more in one. Two aggregations and a join by key, so no list of a key's rows is made."""
+    first = rows.groupBy(key).agg(F.min(F.struct("place", "repaired", "worth")).alias("lead"))
+    met = rows.where("repaired").join(first.where("NOT lead.repaired"), key)
+    better = F.forall(F.zip_with("worth", "lead.worth", lambda a, b: a >= b), lambda x: x) & (F.col("worth") != F.col("lead.worth"))
+    found = met.where(better).groupBy(key).agg(F.min("place").alias("better"))
+    return first.join(found, key, "left").select(key, F.coalesce("better", "lead.place").alias("place"), F.col("better").isNotNull().alias("replaced"))
+
+
 def coverage(items: DataFrame, candidates: DataFrame) -> DataFrame:
     """doc, provision, target, ref, n_candidates, n_accepted, n_held: each provision that the in-scope items name, with the candidates that answer it."""
     refs = items.where("scope = 'in_scope'").select("doc", "provision", F.explode(T.expand_range(F.trim(F.element_at(F.split("ref", ","), 1)))).alias("ref"))

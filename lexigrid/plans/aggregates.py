@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.conditions import evaluate_clause
 from ..functions.kleene import and3, and3_rows, or3, or3_rows
 from ..operators.applicability import outcomes, parsed
+from ..operators.extraction import keep_or_replace
 from ..operators.graph import components
-from ..registry import both, query, table
+from ..registry import both, on_tables, query, table
 from .inputs import AS_OF, SUPPLIED_SQL, addresses, rules, supplied_rules
 from .rule_sql import clause_ctes, pair_ctes
 
@@ -161,20 +162,16 @@ def f19(spark: SparkSession, sf: str) -> DataFrame:
 DUP = "SELECT l_orderkey AS g, l_linenumber AS ord, l_partkey % 2 AS repair, CAST(l_quantity AS INT) % 3 AS m1, CAST(l_quantity AS INT) % 4 AS m2, l_suppkey % 3 AS m3, l_partkey % 5 AS m4 FROM lineitem"
 
 
-@query("f20_keep_or_replace")
+@query(
+    "f20_keep_or_replace",
+    f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY ord, repair, m1, m2, m3, m4) AS n FROM ({DUP})), f AS (SELECT * FROM r WHERE n = 1), "
+    "b AS (SELECT r.g, min(r.n) AS n FROM r JOIN f ON r.g = f.g WHERE f.repair = 0 AND r.repair = 1 AND r.m1 >= f.m1 AND r.m2 >= f.m2 AND r.m3 >= f.m3 AND r.m4 >= f.m4 AND (r.m1 > f.m1 OR r.m2 > f.m2 OR r.m3 > f.m3 OR r.m4 > f.m4) GROUP BY r.g) "
+    "SELECT f.g, coalesce(k.ord, f.ord) AS kept, k.ord IS NOT NULL AS replaced FROM f LEFT JOIN b ON b.g = f.g LEFT JOIN r k ON k.g = b.g AND k.n = b.n",
+)
 def f20(spark: SparkSession, sf: str) -> DataFrame:
-    """Of records with one key the first stays, unless a repaired one is at least as good in all four measures and better in one."""
-    from ..registry import on_tables
-
-    rows = on_tables(spark, sf, DUP)
-    fields = ("ord", "repair", "m1", "m2", "m3", "m4")
-    seq = F.array_sort(F.collect_list(F.struct(*fields)))
-    best = F.aggregate(
-        F.slice("seq", 2, F.size("seq")),
-        F.col("seq")[0],
-        lambda kept, x: F.when((x["repair"] == 1) & (x["m1"] >= kept["m1"]) & (x["m2"] >= kept["m2"]) & (x["m3"] >= kept["m3"]) & (x["m4"] >= kept["m4"]) & ((x["m1"] > kept["m1"]) | (x["m2"] > kept["m2"]) | (x["m3"] > kept["m3"]) | (x["m4"] > kept["m4"])), x).otherwise(kept),
-    )
-    return rows.groupBy("g").agg(seq.alias("seq")).select("g", best["ord"].alias("kept"))
+    """Of records with one key the first stays, unless it wasn't repaired and a repaired one is at least as good in all four measures and better in one."""
+    rows = on_tables(spark, sf, DUP).select("g", F.struct("ord", "repair", "m1", "m2", "m3", "m4").alias("place"), F.col("repair") == 1, F.array("m1", "m2", "m3", "m4")).toDF("g", "place", "repaired", "worth")
+    return keep_or_replace(rows, "g").select("g", "place.ord", "replaced").withColumnRenamed("ord", "kept")
 
 
 @query(
