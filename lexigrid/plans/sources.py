@@ -183,8 +183,19 @@ def b5(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", F.array_join("leaks", ",").alias("kinds"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("b6_superseding_write", "SELECT d.doc_id AS key, CASE WHEN l.doc_id IS NULL THEN 'write' WHEN l.toxic = 1 THEN 'version' ELSE 'keep' END AS action FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+@query(
+    "b6_superseding_write",
+    "SELECT d.doc_id AS key, CASE WHEN l.doc_id IS NULL THEN 'write' WHEN l.toxic = 1 THEN 'version' ELSE 'keep' END AS action, sha256(coalesce(d.text, '')) AS current, CASE WHEN l.toxic = 1 THEN 2 ELSE 1 END AS versions, CASE WHEN l.doc_id IS NULL OR l.toxic = 1 THEN 1 ELSE 0 END AS generation "
+    "FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+)
 def b6(spark: SparkSession, sf: str) -> DataFrame:
-    new = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.col("doc_id").cast("string").alias("identity"))
-    old = table(spark, sf, "labels").select(F.col("doc_id").alias("key"), F.when(F.col("toxic") == 1, "other").otherwise(F.col("doc_id").cast("string")).alias("identity"))
-    return S.superseding(old, new).select("key", "action")
+    """The labelled documents are written first, toxic ones with another identity; then all documents, which supersedes those and leaves equal ones alone."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("key"), F.coalesce("text", F.lit("")).alias("payload"))
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("key"), "toxic")
+    store = S.Artifacts(spark, f"{shared_folder(spark)}/artifacts")
+    other = F.concat(F.when(F.col("toxic") == 1, "old ").otherwise(""), F.sha2("payload", 256))
+    store.write(docs.join(labels, "key").select("key", other.alias("identity"), "payload"))
+    done = store.write(docs.select("key", F.sha2("payload", 256).alias("identity"), "payload"), replace=True)
+    versions = store.all().groupBy("key").agg(F.count("*").cast("int").alias("versions"))
+    now = store.current().select("key", F.sha2("payload", 256).alias("current"), "generation")
+    return done.join(now, "key").join(versions, "key").select("key", "action", "current", "versions", "generation")

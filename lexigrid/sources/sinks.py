@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import shared_folder
+from ..streaming.runner import Published
 
 
 def csv_rows(rows: DataFrame, lists: list[str], joiner: str = ";") -> DataFrame:
@@ -47,8 +48,41 @@ def superseding(old: DataFrame, new: DataFrame) -> DataFrame:
     return met.select("key", F.coalesce("identity", "was").alias("identity"), action.alias("action"))
 
 
+class Artifacts:
+    """A folder of artifacts (key, identity, payload) in which nothing is overwritten: each write publishes a generation with what is new or of another identity.
+
+    A reader takes of each key the last generation's row; earlier rows stay as superseded versions. Without `replace` a key of another identity is refused, and the
+    rows say so. Keys are distinct in a write. A generation is written aside and renamed in one step, so a write that dies leaves nothing behind that is read.
+    """
+
+    SCHEMA = "key long, identity string, payload string, generation int"
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self._store = spark, Published(spark, root)
+
+    def all(self) -> DataFrame:
+        return self._store.read(self.SCHEMA)
+
+    def current(self) -> DataFrame:
+        last = self.all().groupBy("key").agg(F.max(F.struct("generation", "identity", "payload")).alias("x"))
+        return last.select("key", "x.identity", "x.payload", "x.generation")
+
+    def write(self, rows: DataFrame, replace: bool = False) -> DataFrame:
+        """key, action of each row: write, keep, version (an older one is superseded) or refuse."""
+        found = superseding(self.current().select("key", "identity"), rows.select("key", "identity")).join(rows.select("key", "payload"), "key")
+        action = F.when((F.col("action") == "version") & F.lit(not replace), "refuse").otherwise(F.col("action"))
+        path = shared_folder(self.spark)
+        found.withColumn("action", action).write.parquet(path)  # decided once, before anything is published
+        decided = self.spark.read.parquet(path)
+        number = max(self._store.batches(), default=-1) + 1
+        new = decided.where("action IN ('write', 'version')").select("key", "identity", "payload", F.lit(number).alias("generation"))
+        self._store.publish(new, number)
+        return decided.select("key", "action")
+
+
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(F.col("path"), F.sha2("content", 256).alias("sha256"))
+    """path, sha256 of each file below a folder: equal digests mean equal bytes."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path"), F.sha2("content", 256).alias("sha256"))
 
 
 def leaks(texts: DataFrame, text: str, patterns: dict[str, str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 STATES = ("done", "error", "not_run")
 
 
-class _Folder:
+class Published:
     """The results' folder: batch=N holds what batch N published."""
 
     def __init__(self, spark: SparkSession, root: str):
@@ -28,6 +28,11 @@ class _Folder:
         names = [x.getPath().getName() for x in self._fs.listStatus(path)] if self._fs.exists(path) else []
         return sorted(int(n[6:]) for n in names if n.startswith("batch=") and n[6:].isdigit())
 
+    def read(self, schema: str) -> DataFrame:
+        """All that was published; an empty table if nothing was."""
+        there = self.batches()
+        return self.spark.read.schema(schema).parquet(*map(self.of, there)) if there else self.spark.createDataFrame([], schema)
+
     def publish(self, df: DataFrame, number: int) -> None:
         """Written aside, then renamed in one step: a reader sees a batch whole or not at all, and a batch that is there stays."""
         aside = f"{self.root}/_aside/{number}"
@@ -45,7 +50,7 @@ def run_stage(items: DataFrame, process: Callable[[DataFrame], DataFrame], out:
     call goes on where the run was: a batch that was published isn't processed again, one that wasn't is processed as a whole.
     """
     spark = items.sparkSession
-    folder = _Folder(spark, out)
+    folder = Published(spark, out)
 
     def step(batch: DataFrame, number: int) -> None:
         if folder.has(number):
@@ -64,13 +69,13 @@ def run_stage(items: DataFrame, process: Callable[[DataFrame], DataFrame], out:
 
 def results(spark: SparkSession, out: str) -> DataFrame:
     """What all published batches hold."""
-    folder = _Folder(spark, out)
+    folder = Published(spark, out)
     return spark.read.parquet(*map(folder.of, folder.batches()))
 
 
 def totals_by_version(stream: DataFrame, target: str, checkpoint: str) -> None:
     """Running totals (a stream in complete mode): each batch publishes a version of its own, so the last totals are there even if the next ones die midway."""
-    folder = _Folder(stream.sparkSession, target)
+    folder = Published(stream.sparkSession, target)
 
     def step(batch: DataFrame, number: int) -> None:
         if not folder.has(number):
@@ -80,5 +85,5 @@ def totals_by_version(stream: DataFrame, target: str, checkpoint: str) -> None:
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
-    folder = _Folder(spark, target)
+    folder = Published(spark, target)
     return spark.read.parquet(folder.of(folder.batches()[-1]))

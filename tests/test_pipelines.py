@@ -10,6 +10,7 @@ from lexigrid.operators import extraction as X
 from lexigrid.operators import integrity as I
 from lexigrid.operators import references as R
 from lexigrid.plans import projections, responses
+from lexigrid.sources.sinks import Artifacts, file_digests
 from lexigrid.streaming.runner import results, run_stage
 
 
@@ -157,3 +158,22 @@ def test_number_phrases(spark):
     phrases = {"one hundred twenty": 120, "fifteen": 15, "two thousand five": 2005, "thirty-one": 31, "ninety nine": 99, "three hundred": 300, "twelve thousand": 12000}
     got = spark.createDataFrame([(p,) for p in phrases], "p string").select("p", T.phrase_value(F.col("p")).alias("n")).collect()
     assert {r.p: r.n for r in got} == phrases
+
+
+def test_artifacts_are_never_overwritten(spark, tmp_path):
+    def rows(*pairs):
+        return spark.createDataFrame([(k, i, f"{k} {i}") for k, i in pairs], "key long, identity string, payload string")
+
+    def said(df):
+        return {r.key: r.action for r in df.collect()}
+
+    store = Artifacts(spark, str(tmp_path / "artifacts"))
+    assert store.current().collect() == []
+    assert said(store.write(rows((1, "a"), (2, "b")))) == {1: "write", 2: "write"}
+    assert said(store.write(rows((1, "a"), (2, "c"), (3, "d")))) == {1: "keep", 2: "refuse", 3: "write"}
+    assert {r.key: r.payload for r in store.current().collect()} == {1: "1 a", 2: "2 b", 3: "3 d"}
+    before = {r.path: r.sha256 for r in file_digests(spark, str(tmp_path / "artifacts")).collect()}
+    assert said(store.write(rows((2, "c")), replace=True)) == {2: "version"}
+    assert {r.key: r.payload for r in store.current().collect()} == {1: "1 a", 2: "2 c", 3: "3 d"} and store.all().count() == 4
+    after = {r.path: r.sha256 for r in file_digests(spark, str(tmp_path / "artifacts")).collect()}
+    assert before.items() <= after.items()
