@@ -46,7 +46,7 @@ _THREE, _FOUR = 1 << 18, 1 << 20
 _SIZE = _THREE + _FOUR
 
 
-@functools.lru_cache(KEPT_WORDS)
+@functools.lru_cache(KEPT_WORDS // 5)
 def _parts(token: str) -> frozenset[str]:
     return frozenset(_LETTERS(token)).union("".join(_LETTERS(w)) for w in _BROKEN(token))
 
