@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm.common import table, written
+from lexigrid.llm.components import connected_components
 from lexigrid.llm.line_quality import assess
 from lexigrid.llm.pow2_packing import bucketed, digest
 from lexigrid.llm.shingle_pairs import similar_groups
+from lexigrid.llm.simhash_gph import near_duplicates
 from lexigrid.llm.substring_dedup import remove_repeats
 from lexigrid.llm.tokens import public_file
 
@@ -30,11 +32,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles, Jaccard similarity 0.8 or more) one row stays: of the smallest doc_id (null is smallest), then of the smallest text hash."""
+    """Of each group of near-duplicates one row stays: of the smallest doc_id (null is smallest), then of the smallest text hash.
+
+    Rows are linked by op9's fingerprints of at most two differing bits, found by its pigeonhole keys, and, as these miss copies with more changes, also by Jaccard similarity of
+    0.8 or more of five-word shingles; a group is what links of either kind reach.
+    """
     docs = docs.select(*COLUMNS).withColumn("__th", F.xxhash64("text"))
-    groups = similar_groups(docs.select(F.struct("doc_id", "__th").alias("key"), "text"), id_col="key")
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.__th").alias("__mark"))
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__mark")), "left_semi")
+    keyed = docs.select(F.struct("doc_id", "__th").alias("key"), "text")
+    groups = near_duplicates(keyed, id_col="key").select("doc_id", "component_id").unionByName(similar_groups(keyed, id_col="key"))
+    later = connected_components(groups.where(F.col("doc_id") != F.col("component_id")), "doc_id", "component_id")
+    gone = later.select(F.col("node.doc_id").alias("__id"), F.col("node.__th").alias("__mark"))
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__mark")), "left_anti")
     return kept.dropDuplicates(["doc_id", "__th"]).select(*COLUMNS)
 
 
