@@ -79,14 +79,22 @@ def g6_view(spark: SparkSession, sf: str) -> DataFrame:
 SPANS = "SELECT DISTINCT l_orderkey AS doc, CAST(l_linenumber * 40 AS INT) AS s, CAST(l_linenumber * 40 + l_quantity % 30 + 1 AS INT) AS e FROM lineitem"
 
 
+#: Lines of a task, on average.
+TASK_LINES = 500_000
+
+
 @query(
     "g6_complement_segments",
     f"WITH x AS (SELECT doc, s, max(e) AS e FROM ({SPANS}) GROUP BY doc, s), a AS (SELECT doc, e AS s, lead(s) OVER (PARTITION BY doc ORDER BY s) AS e FROM x UNION ALL SELECT doc, 0, min(s) FROM x GROUP BY doc), b AS (SELECT doc, s, coalesce(e, 1000) AS e FROM a) "
     "SELECT doc, s, e, row_number() OVER (PARTITION BY doc ORDER BY s) AS segment FROM b WHERE s < e",
 )
 def g6(spark: SparkSession, sf: str) -> DataFrame:
-    x = on_tables(spark, sf, SPANS).groupBy("doc", "s").agg(F.max("e").alias("e"))
-    return O.complement(x, 1000)
+    """Lines are dealt by document first, in tasks of a bounded number: partial aggregates before that hold nearly all rows, as few are equal."""
+    lines = table(spark, sf, "lineitem")
+    tasks = 1 + lines.count() // TASK_LINES
+    start = (F.col("l_linenumber") * 40).cast("int")
+    x = lines.select(F.col("l_orderkey").alias("doc"), start.alias("s"), (F.col("l_linenumber") * 40 + F.col("l_quantity") % 30 + 1).cast("int").alias("e"))
+    return O.complement(x.repartition(tasks, "doc").groupBy("doc", "s").agg(F.max("e").alias("e")), 1000)
 
 
 @query("g7_budget_gate", "SELECT user_id, event_id, coalesce(sum(abs(value)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 500 AS started FROM events")
