@@ -15,7 +15,7 @@ from ..functions import dates as D
 from ..functions import text as T
 from ..functions.posture import EXPECTED, establish_posture
 from ..functions.scope import scope_mode
-from .graph import shared_folder
+from .graph import kept
 from .references import UNCOVERED, answers, unanswered
 from .references import same as same_refs
 from .references import named_refs
@@ -39,13 +39,6 @@ REASONS = (
 )
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: a step's results are computed once and survive lost executors."""
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def parse_responses(rows: DataFrame) -> DataFrame:
     """rows with payload -> r (null if it can't be used) and error."""
     json = F.try_parse_json("payload").isNotNull()

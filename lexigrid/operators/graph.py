@@ -20,23 +20,23 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: a step's results are computed once and survive lost executors."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node it reaches) for the edges a, b. Labels spread to neighbours and to the labels' own labels,
     so the rounds grow with the logarithm of a component's width; each round is a table in the shared folder."""
-    spark = edges.sparkSession
-
-    def keep(df: DataFrame) -> DataFrame:
-        path = shared_folder(spark)
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    both = keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = keep(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
+    both = kept(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         hop = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
         new = labels.join(hop, "component").join(near, "node").select("node", F.least("component", "further", "m").alias("component"), F.col("component").alias("was"))
-        new = keep(new)
+        new = kept(new)
         moved = new.where("component <> was").limit(1).count()
         labels = new.drop("was")
         if not moved:

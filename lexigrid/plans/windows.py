@@ -60,19 +60,18 @@ def g5_furniture(spark: SparkSession, sf: str) -> DataFrame:
     "SELECT doc_id, length(t) AS chars, 0 AS breaks, sha256(t) AS text_sha256 FROM (SELECT doc_id, concat('Code of the State', chr(10), 'Page 1', chr(10), x, chr(10), 'Code of the State', chr(10), 'Page 2', chr(10), x, chr(10), 'Code of the State', chr(10), 'Page 3', chr(10), x) AS t FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents))",
 )
 def g6_view(spark: SparkSession, sf: str) -> DataFrame:
-    """Each document's own text three times, with a page header each: segments and artifacts tile it, and put together are it again."""
+    """Each document's own text three times, with a page header each: segments and artifacts tile it, and put together are it again. The texts are dealt once, as they stand in the table."""
     head = lambda k: F.lit(f"Code of the State\nPage {k}\n")
     x = F.coalesce("text", F.lit(""))
-    docs = table(spark, sf, "documents").select("doc_id", F.concat(head(1), x, F.lit("\n"), head(2), x, F.lit("\n"), head(3), x).alias("text"))
-    tiles = O.view(docs)
-    nxt = F.lead("raw_start").over(Window.partitionBy("doc_id").orderBy("raw_start"))
-    pieces = tiles.withColumn("nxt", nxt).join(docs, "doc_id")
-    piece = F.substring(F.col("text"), F.col("raw_start").cast("int") + 1, (F.col("raw_end") - F.col("raw_start")).cast("int"))
-    told = pieces.select("doc_id", "raw_start", "raw_end", (F.col("nxt") != F.col("raw_end")).alias("gap"), piece.alias("piece"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("raw_start", "piece"))), lambda p: p["piece"]), "")
-    return told.groupBy("doc_id").agg(
-        F.sum(F.col("raw_end") - F.col("raw_start")).cast("long").alias("chars"), F.count_if("gap").cast("int").alias("breaks"),
-        F.sha2(joined, 256).alias("text_sha256"),
+    thrice = F.concat(head(1), x, F.lit("\n"), head(2), x, F.lit("\n"), head(3), x)
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    tiles = O.view(docs.select("doc_id", thrice.alias("text")))
+    spans = tiles.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("raw_start", "raw_end"))).alias("spans"))
+    pairs = F.zip_with(F.slice("spans", F.lit(1), F.size("spans") - 1), F.slice("spans", F.lit(2), F.size("spans") - 1), lambda a, b: a["raw_end"] != b["raw_start"])
+    pieces = F.transform("spans", lambda p: F.substring(F.col("text"), p["raw_start"].cast("int") + 1, (p["raw_end"] - p["raw_start"]).cast("int")))
+    return spans.join(docs, "doc_id").withColumn("text", thrice).select(
+        "doc_id", F.aggregate("spans", F.lit(0).cast("long"), lambda n, p: n + p["raw_end"] - p["raw_start"]).alias("chars"), F.size(F.filter(pairs, lambda b: b)).alias("breaks"),
+        F.sha2(F.array_join(pieces, ""), 256).alias("text_sha256"),
     )
 
 
