@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import kept
+
 #: Length of the blocks of an interval join; intervals meet in the blocks that both touch.
 BLOCK = 64
 
@@ -42,21 +44,22 @@ def similar_classes(rows: DataFrame, least: float, block: str | None = None) ->
 
     Rows of one gram set are a class, named by its smallest id, of n rows; a class of several rows also has a row with itself, of jaccard 1. So a group of copies is one
     row, not all pairs. Prefix filter: with grams in the order of how many classes hold them, rarest first, two such sets share one of their first n - ceil(least * n) + 1.
-    A gram of one class only can't be shared: these go after one count, and only the others are put together again, probed and compared. Grams are compared
-    as 64-bit hashes. Sets without grams have no pairs.
+    A gram of one class only can't be shared: these go after one count, and only the others are put together again, probed and compared. Classes and what they share
+    are tables in the shared folder, made once, and grams are sorted by their number before the block's name. Grams are compared as 64-bit hashes. Sets without grams have no pairs.
     """
     keys = [block] if block else []
     hashed = rows.where(F.size("grams") > 0).select("id", *keys, F.array_sort(F.transform("grams", lambda g: F.xxhash64(g))).alias("grams"))
-    mark = F.struct(F.xxhash64("grams").alias("x"), F.size("grams").alias("size"), F.element_at("grams", 1).alias("least"))
-    classes = hashed.groupBy(*keys, mark.alias("mark")).agg(F.min("id").alias("id"), F.count("*").alias("n_rows"), F.first("grams").alias("grams"))
+    mark = {"x": F.xxhash64("grams"), "size": F.size("grams"), "least": F.element_at("grams", 1)}
+    classes = kept(hashed.groupBy(*(c.alias(k) for k, c in mark.items()), *keys).agg(F.min("id").alias("id"), F.count("*").alias("n_rows"), F.first("grams").alias("grams")).drop(*mark))
     each = classes.select("id", *keys, "n_rows", F.size("grams").alias("n"), F.explode("grams").alias("h"))
-    each = each.join(each.groupBy(*keys, "h").agg(F.count("*").alias("held")).where("held > 1"), [*keys, "h"])
-    shared = each.groupBy("id", *keys, "n", "n_rows").agg(F.array_sort(F.collect_list(F.struct("held", "h"))).alias("l")).withColumn("ranked", F.transform("l", lambda x: x["h"])).drop("l")
+    each = each.withColumn("held", F.count("*").over(Window.partitionBy("h", *keys))).where("held > 1")
+    shared = each.groupBy("id", *keys, "n", "n_rows").agg(F.array_sort(F.collect_list(F.struct("held", "h"))).alias("l")).withColumn("ranked", F.col("l.h")).drop("l")
+    shared = kept(shared)
     # the grams of one class alone come first
     reach = F.col("n") - F.ceil(F.col("n") * least).cast("int") + 1 - (F.col("n") - F.size("ranked"))
     probe = shared.select("id", *keys, "n", F.explode(F.slice("ranked", F.lit(1), F.greatest(reach, F.lit(0)))).alias("h"))
     left, right = probe.withColumnsRenamed({"id": "a", "n": "n1"}), probe.withColumnsRenamed({"id": "b", "n": "n2"})
-    pairs = left.join(right, [*keys, "h"]).where((F.col("a") < F.col("b")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * least)).select("a", "b", "n1", "n2").distinct()
+    pairs = left.join(right, ["h", *keys]).where((F.col("a") < F.col("b")) & (F.least("n1", "n2") >= F.greatest("n1", "n2") * least)).select("a", "b", "n1", "n2").distinct()
     sets = shared.select("id", "ranked", "n_rows")
     met = pairs.join(sets.withColumnsRenamed({"id": "a", "ranked": "x", "n_rows": "n_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "ranked": "y", "n_rows": "n_b"}), "b")
     both = F.size(F.array_intersect("x", "y"))
