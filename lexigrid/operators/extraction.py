@@ -47,27 +47,41 @@ def parse_responses(rows: DataFrame) -> DataFrame:
     return rows.withColumn("error", error).withColumn("r", F.when(error.isNull(), r)).drop("payload")
 
 
-def located(span: Column, text: Column) -> Column:
-    """struct(status, start, end) of words in a text: by built-in functions where they stand as they are, else by the looser tiers."""
-    exact = F.when(span.rlike(r"(?U)[^\s\x1c-\x1f]"), T.verify_exact(span, text))
-    loose = T.verify_span(F.when(exact.isNull(), span), F.when(exact.isNull(), text))
-    return F.when(exact.isNotNull(), F.struct(F.lit("exact_match").alias("status"), exact["start"].alias("start"), exact["end"].alias("end"))).otherwise(
+def _stands(span: Column, text: Column) -> Column:
+    """Where the words stand in the text as they are (from 0); NULL if they don't, or are blank."""
+    at = F.instr(text, span)
+    return F.when(span.rlike(r"(?U)[^\s\x1c-\x1f]") & (at > 0), at - 1)
+
+
+def _found(exact: Column, span: Column, text: Column) -> Column:
+    loose = T.verify_span(F.when(exact.isNull(), span), F.when(exact.isNull() & span.isNotNull(), text))
+    return F.when(exact.isNotNull(), F.struct(F.lit("exact_match").alias("status"), exact.alias("start"), (exact + F.length(span)).alias("end"))).otherwise(
         F.struct(F.coalesce(loose["status"], F.lit("failed")).alias("status"), loose["start"].alias("start"), loose["end"].alias("end"))
     )
 
 
+def located(span: Column, text: Column) -> Column:
+    """struct(status, start, end) of words in a text: by built-in functions where they stand as they are, else by the looser tiers."""
+    return _found(_stands(span, text), span, text)
+
+
 def _within(rows: DataFrame, docs: DataFrame, **spans: str) -> DataFrame:
-    """rows with, for each name, where the words of that column stand in their document's text; for rows with raw_start and raw_end only between these."""
+    """rows with, for each name, where the words of that column stand in their document's text; for rows with raw_start and raw_end only between these.
+
+    Only the texts in which some words don't stand as they are go on to the looser tiers, in Python."""
     met = rows.join(docs.select("doc", "text"), "doc", "left")
     moved = F.lit(0)
     if "raw_start" in rows.columns:
         moved = F.coalesce(F.col("raw_start"), F.lit(0)).cast("int")
         piece = F.substring(F.col("text"), moved + 1, (F.col("raw_end") - moved).cast("int"))
         met = met.withColumn("text", F.when(F.col("raw_start").isNull(), F.col("text")).otherwise(piece))
+    met = met.withColumns({f"__{name}": _stands(F.col(column), F.col("text")) for name, column in spans.items()})
+    wanting = [F.col(column).isNotNull() & F.col(f"__{name}").isNull() for name, column in spans.items()]
+    met = met.withColumn("text", F.when(F.coalesce(F.greatest(*wanting) if len(wanting) > 1 else wanting[0], F.lit(False)), F.col("text")))
     for name, column in spans.items():
-        at = located(F.col(column), F.col("text"))
+        at = _found(F.col(f"__{name}"), F.col(column), F.col("text"))
         met = met.withColumn(name, F.struct(at["status"].alias("status"), (at["start"] + moved).alias("start"), (at["end"] + moved).alias("end")))
-    return met.drop("text")
+    return met.drop("text", *(f"__{name}" for name in spans))
 
 
 @dataclass(frozen=True)
@@ -297,6 +311,7 @@ def _resolutions(second: DataFrame, targets: DataFrame, docs: DataFrame) -> Data
 def _finish(docs, documents, items, conditions, first, targets, pairs, second, as_of) -> Run:
     if second is None:
         asked = targets.select("doc").unionByName(pairs.select("doc")).distinct().select("doc", F.lit(None).cast(PAYLOAD).alias("r"), F.lit("repair disabled").alias("error"))
+        asked = kept(asked)
     else:
         asked = second
     classified = kept(_resolutions(asked, targets, docs))

@@ -21,10 +21,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder: a step's results are computed once and survive lost executors."""
+    """The rows as a table in the shared folder: a step's results are computed once and survive lost executors.
+
+    Joins with it are merged: its files say nothing of its size, as they may be a hundredth of what the rows take in memory, and so don't let Spark send it whole through the driver."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def components(edges: DataFrame) -> DataFrame:
