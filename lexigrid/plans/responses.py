@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extraction as X
+from ..operators.graph import kept
 from ..operators.ordered import plan_chunks
 from ..registry import table
 
@@ -132,17 +133,17 @@ MOST, LEAST = 1000, 500
 
 def chunked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs, requests (doc, part, tag, raw_start, raw_end, key), responses for a request for each chunk: each chunk has a provision and a rule that quotes its first
-    words; the first one the posture; each a condition for "all" that it sees; one in eleven has no stored response."""
+    words; the first one the posture; each a condition for "all" that it sees; one in eleven has no stored response. Chunks are cut once, requests and responses kept as one table."""
     docs = documents(spark, sf)
     cuts = plan_chunks(table(spark, sf, "documents"), MOST, LEAST).select(F.col("doc_id").alias("doc"), F.col("number").alias("part"), "raw_start", "raw_end")
     tag = F.format_string("c%02d", "part")
     piece = docs.withColumn("text", F.coalesce("text", F.lit(""))).join(cuts, "doc").withColumn("text", F.substring(F.col("text"), F.col("raw_start").cast("int") + 1, (F.col("raw_end") - F.col("raw_start")).cast("int")))
     key = X.identity(piece, SETTINGS, "chunk")
-    keyed = piece.withColumn("key", F.sha2(F.concat_ws(" ", key, "part"), 256))
     section, q = F.concat(F.lit("§ "), F.col("part").cast("string")), F.substring("text", 1, 24)
     posture = F.when(F.col("part") == 1, _struct(posture="codified_current_law", evidence=q))
     items = F.array(_struct(id="p1", ref=section, scope="in_scope", category="fees"))
     scope = F.array(_struct(id="s1", statement="This chapter applies to all units", evidence=q, governed=F.lit(None).cast("array<string>")))
     payload = F.to_json(_struct(document=posture, provisions=items, global_scope=scope, rules=F.array(_rule("fees", q, section, ["p1"]))))
-    stored = keyed.where((F.col("doc") + F.col("part")) % 11 != 0).select("key", payload.alias("payload"))
-    return docs, keyed.select("doc", "part", tag.alias("tag"), "raw_start", "raw_end", "key"), stored
+    answer = F.when((F.col("doc") + F.col("part")) % 11 != 0, payload)
+    keyed = kept(piece.select("doc", "part", tag.alias("tag"), "raw_start", "raw_end", F.sha2(F.concat_ws(" ", key, "part"), 256).alias("key"), answer.alias("payload")))
+    return docs, keyed.drop("payload"), keyed.where("payload IS NOT NULL").select("key", "payload")
