@@ -92,24 +92,30 @@ def unanswered(targets: DataFrame, answered: DataFrame, key: str = "doc") -> Dat
     return targets.join(answered.select(key, "target").distinct(), [key, "target"], "left_anti")
 
 
-def containers(inventory: DataFrame, conditions: DataFrame, key: str = "doc") -> DataFrame:
+def containers(inventory: DataFrame, conditions: DataFrame, key: str = "doc", tasks: int | None = None) -> DataFrame:
     """key, condition, depth, members: the smallest group of provisions that a condition's own provision stands in and that has all proposed provisions, while
     all in-scope provisions of the group are proposed.
 
     inventory: key, provision, tokens, in_scope, each provision once; conditions: key, condition, source (its provision, or null), governed (array of provisions, null: the whole document).
     A group is a node of the trie of tokens, a row with its counts; depth 0 is the whole document, null means that no group fits. Each provision counts once for
     each of its prefixes, each proposed one for each of its own, and both meet by the prefix: no list of a node's provisions is made.
+    tasks: to how many tasks rows are dealt for each step, so that a task's rows don't grow with the table (null: as the session says).
     """
     front = F.explode(F.transform(F.sequence(F.lit(0), F.size("tokens")), lambda k: F.slice("tokens", F.lit(1), k))).alias("node")
-    parts = inventory.select(key, "provision", "in_scope", front)
-    nodes = parts.groupBy(key, "node").agg(F.count("*").alias("members"), F.count_if("in_scope").alias("inside"))
+
+    def dealt(df: DataFrame, *by: str) -> DataFrame:
+        return df.repartition(tasks, key, *by) if tasks else df
+
+    counted = dealt(inventory.select(key, "in_scope", front), "node")
+    nodes = counted.groupBy(key, "node").agg(F.count("*").alias("members"), F.count_if("in_scope").alias("inside"))
     source = inventory.select(key, F.col("provision").alias("source"), "tokens")
     asked = conditions.select(key, "condition", "source", F.array_distinct("governed").alias("governed"))
-    own = asked.join(source, [key, "source"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    own = dealt(asked, "source").join(dealt(source, "source"), [key, "source"], "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
     own = own.select(key, "condition", F.when(F.col("governed").isNotNull(), F.size("governed")).alias("n"), front)
-    proposed = asked.select(key, "condition", F.explode("governed").alias("provision")).join(parts, [key, "provision"])
-    hit = proposed.groupBy(key, "condition", "node").agg(F.count("*").alias("there"), F.count_if("in_scope").alias("there_inside"))
-    met = own.join(nodes, [key, "node"]).join(hit, [key, "condition", "node"], "left").fillna(0, ["there", "there_inside"])
+    proposed = dealt(asked.select(key, "condition", F.explode("governed").alias("provision")), "provision").join(dealt(inventory, "provision"), [key, "provision"])
+    # each of its prefixes comes after the join, so that rows meet once
+    hit = dealt(proposed.select(key, "condition", "in_scope", front), "condition", "node").groupBy(key, "condition", "node").agg(F.count("*").alias("there"), F.count_if("in_scope").alias("there_inside"))
+    met = dealt(dealt(own, "node").join(nodes, [key, "node"]), "condition", "node").join(hit, [key, "condition", "node"], "left").fillna(0, ["there", "there_inside"])
     whole = (F.size("node") == 0) & F.col("n").isNull()
     fits = whole | ((F.col("there") == F.col("n")) & (F.col("there_inside") == F.col("inside")))
     found = met.where(fits).groupBy(key, "condition").agg(F.max(F.struct(F.size("node").alias("depth"), "members")).alias("best"))
