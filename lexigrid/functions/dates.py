@@ -65,8 +65,8 @@ def calendar_dates(text: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.regexp_extract_all(text, F.lit(DATE_TEXT), F.lit(0)), one), lambda d: d.isNotNull()))
 
 
-# How a text records its enactment.
-BASE_DATE = r"(?i)\b(approved|enacted|signed)\b(?:\s+by\s+(?:the\s+)?governor)?[\s,:]*(?:on\s+)?((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s*\d{4})"
+# How a text records its enactment. The first letter is looked at before anything else, as most places fail there.
+BASE_DATE = r"(?i)(?=[aes])\b(approved|enacted|signed)\b(?:\s+by\s+(?:the\s+)?governor)?[\s,:]*(?:on\s+)?((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s*\d{4})"
 
 # How far a note reaches back from a passage, and on after it.
 NOTE_REACH = 300

@@ -7,6 +7,7 @@ the targets of a second request; its identity holds the sorted targets, so a sto
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from ..functions import text as T
 from ..functions.posture import EXPECTED, establish_posture
 from ..functions.scope import scope_mode
 from .graph import kept
-from .references import UNCOVERED, answers, unanswered
+from .references import covers, unanswered
 from .references import same as same_refs
 from .references import named_refs
 from .reviews import request_identity
@@ -40,11 +41,11 @@ REASONS = (
 
 
 def parse_responses(rows: DataFrame) -> DataFrame:
-    """rows with payload -> r (null if it can't be used) and error."""
-    json = F.try_parse_json("payload").isNotNull()
-    r = F.from_json("payload", PAYLOAD)
-    error = F.when(F.col("payload").isNull(), "no stored response").when(~json, "not JSON").when(r["rules"].isNull(), "no list of rules")
-    return rows.withColumn("error", error).withColumn("r", F.when(error.isNull(), r)).drop("payload")
+    """rows with payload -> r (null if it can't be used) and error. Each payload is parsed once: what a generator gives isn't computed again where it is used."""
+    read = F.struct(F.try_parse_json("payload").isNotNull().alias("json"), F.from_json("payload", PAYLOAD).alias("r"))
+    read = rows.withColumn("__x", F.explode(F.array(read)))
+    error = F.when(F.col("payload").isNull(), "no stored response").when(~F.col("__x.json"), "not JSON").when(F.col("__x.r.rules").isNull(), "no list of rules")
+    return read.withColumn("error", error).withColumn("r", F.when(F.col("error").isNull(), F.col("__x.r"))).drop("payload", "__x")
 
 
 def _stands(span: Column, text: Column) -> Column:
@@ -65,11 +66,11 @@ def located(span: Column, text: Column) -> Column:
     return _found(_stands(span, text), span, text)
 
 
-def _within(rows: DataFrame, docs: DataFrame, **spans: str) -> DataFrame:
-    """rows with, for each name, where the words of that column stand in their document's text; for rows with raw_start and raw_end only between these.
+def _within(rows: DataFrame, docs: DataFrame, more: tuple[str, ...] = (), /, **spans: str) -> DataFrame:
+    """rows with, for each name, where the words of that column stand in their document's text; for rows with raw_start and raw_end only between these. more: columns of docs to be kept.
 
     Only the texts in which some words don't stand as they are go on to the looser tiers, in Python."""
-    met = rows.join(docs.select("doc", "text"), "doc", "left")
+    met = rows.join(docs.select("doc", "text", *more), "doc", "left")
     moved = F.lit(0)
     if "raw_start" in rows.columns:
         moved = F.coalesce(F.col("raw_start"), F.lit(0)).cast("int")
@@ -130,7 +131,7 @@ def inventory(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The well-formed items, of repeated ids the first, and doc, bad: how many are not."""
     sound = F.col("provision").isNotNull() & F.col("ref").isNotNull() & F.coalesce(F.col("scope").isin(*_SCOPES), F.lit(False))
     nth = F.row_number().over(Window.partitionBy("doc", "provision").orderBy(F.col("sound").desc(), "part", "place"))
-    rows = items.withColumn("sound", sound).withColumn("ok", F.col("sound") & (nth == 1))
+    rows = kept(items.withColumn("sound", sound).withColumn("ok", F.col("sound") & (nth == 1)))
     return rows.where("ok").drop("ok", "sound"), rows.where("NOT ok").groupBy("doc").agg(F.count("*").alias("bad"))
 
 
@@ -211,14 +212,27 @@ def keep_or_replace(rows: DataFrame, key: str) -> DataFrame:
     return first.join(found, key, "left").select(key, F.coalesce("better", "lead.place").alias("place"), F.col("better").isNotNull().alias("replaced"))
 
 
-def coverage(items: DataFrame, candidates: DataFrame) -> DataFrame:
-    """doc, provision, target, ref, n_candidates, n_accepted, n_held: each provision that the in-scope items name, with the candidates that answer it."""
+def asked_for(items: DataFrame) -> DataFrame:
+    """doc, provision, target, ref: each provision that the in-scope items name, ranges expanded."""
     refs = items.where("scope = 'in_scope'").select("doc", "provision", F.explode(T.expand_range(F.trim(F.element_at(F.split("ref", ","), 1)))).alias("ref"))
-    asked = refs.select("doc", "provision", "ref", F.concat_ws(" ", "provision", "ref").alias("target"), F.lit(UNCOVERED).alias("source"))
-    named = candidates.select("doc", F.col("index").alias("candidate"), "citation", "provisions", "accepted", "held")
-    met = answers(asked, named).join(named.select("doc", "candidate", "accepted", "held"), ["doc", "candidate"])
+    return refs.select("doc", "provision", F.concat_ws(" ", "provision", "ref").alias("target"), "ref").distinct()
+
+
+def _covers(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """doc, target, index: which candidate answers which target. It depends on what candidates name, not on what becomes of them, so it is found once for each."""
+    return covers(asked, candidates.select("doc", F.col("index").alias("candidate"), "citation", "provisions")).withColumnRenamed("candidate", "index")
+
+
+def coverage(asked: DataFrame, links: DataFrame, candidates: DataFrame) -> DataFrame:
+    """asked with n_candidates, n_accepted, n_held: of the candidates that answer it."""
+    met = links.join(candidates.select("doc", "index", "accepted", "held"), ["doc", "index"])
     n = met.groupBy("doc", "target").agg(F.count("*").alias("n_candidates"), F.count_if("accepted").alias("n_accepted"), F.count_if("held").alias("n_held"))
-    return asked.distinct().join(n, ["doc", "target"], "left").fillna(0, ["n_candidates", "n_accepted", "n_held"])
+    return asked.join(n, ["doc", "target"], "left").fillna(0, ["n_candidates", "n_accepted", "n_held"])
+
+
+def _coded(rows: DataFrame, **codes: Column) -> DataFrame:
+    """doc, code of each condition that a row meets."""
+    return rows.select("doc", F.explode(F.array_compact(F.array(*(F.when(c, k) for k, c in codes.items())))).alias("code"))
 
 
 def _held(candidates: DataFrame) -> DataFrame:
@@ -267,17 +281,17 @@ def extract(docs: DataFrame, requests: DataFrame, responses: DataFrame, settings
     parsed = kept(parse_responses(requests.join(stored, "key", "left")))
     m = merge(parsed)
     m = replace(m, documents=kept(m.documents))
-    sound, bad = inventory(m.items)
-    items = kept(sound)
-    base = docs.select("doc", F.size(F.regexp_extract_all("text", F.lit(D.BASE_DATE), F.lit(0))).alias("base_dates"))
-    declared = _within(m.documents.withColumn("justified", F.col("empty.evidence")), docs, posture_at="evidence", empty_at="justified").join(base, "doc", "left")
-    established = establish_posture(F.col("posture"), F.col("evidence"), F.col("posture_at.status"), F.coalesce(F.col("base_dates"), F.lit(0)) > 0)
+    items, bad = inventory(m.items)
+    recorded = docs.withColumn("recorded", F.col("text").rlike(D.BASE_DATE))
+    declared = _within(m.documents.withColumn("justified", F.col("empty.evidence")), recorded, ("recorded",), posture_at="evidence", empty_at="justified")
+    established = establish_posture(F.col("posture"), F.col("evidence"), F.col("posture_at.status"), F.coalesce("recorded", F.lit(False)))
     known = items.groupBy("doc").agg(F.count("*").alias("n_items"), F.count_if(F.col("scope") == "uncertain").alias("uncertain")).join(bad, "doc", "full")
-    documents = kept(declared.withColumn("established", established["established"]).join(known, "doc", "left").fillna(0, ["n_items", "uncertain", "bad"]).drop("posture_at", "base_dates"))
+    documents = kept(declared.withColumn("established", established["established"]).join(known, "doc", "left").fillna(0, ["n_items", "uncertain", "bad"]).drop("posture_at", "recorded"))
     conditions = kept(_conditions(m.conditions, docs, items))
     first = kept(_held(_repeated(evaluate(m.rules.withColumn("origin", F.lit("primary")), docs, documents, items, as_of))))
-    covered = coverage(items, first)
-    open_refs = kept(covered.where("n_candidates = 0").select("doc", "provision", "target", "ref", "source"))
+    named = kept(asked_for(items))
+    links = kept(_covers(named, first))
+    open_refs = kept(named.join(links, ["doc", "target"], "left_anti").select("doc", "provision", "target", "ref"))
     pairs = kept(_mappings(conditions, first))
     asked = open_refs.groupBy("doc").agg(F.collect_set("ref").alias("refs")).join(pairs.groupBy("doc").agg(F.collect_set(F.concat_ws(" ", "condition", "provision")).alias("pairs")), "doc", "full")
     primary = requests.groupBy("doc").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("key")), ","), 256).alias("primary"))
@@ -285,7 +299,7 @@ def extract(docs: DataFrame, requests: DataFrame, responses: DataFrame, settings
     key = repair_key(F.col("primary"), F.coalesce("refs", none), F.coalesce("pairs", none), settings)
     second = asked.join(primary, "doc").select("doc", F.lit(1).alias("part"), F.lit(None).cast("string").alias("tag"), key.alias("key"))
     second = kept(parse_responses(second.join(stored, "key", "left"))) if repair else None
-    return _finish(docs, documents, items, conditions, first, open_refs, pairs, second, as_of)
+    return _finish(docs, documents, items, conditions, first, named, links, open_refs, pairs, second, as_of)
 
 
 def _conditions(conditions: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -308,27 +322,40 @@ def _resolutions(second: DataFrame, targets: DataFrame, docs: DataFrame) -> Data
     return met.groupBy("doc", "target").agg(F.min_by(F.struct("scope", "proven"), "place").alias("x")).select("doc", "target", "x.scope", "x.proven")
 
 
-def _finish(docs, documents, items, conditions, first, targets, pairs, second, as_of) -> Run:
-    if second is None:
-        asked = targets.select("doc").unionByName(pairs.select("doc")).distinct().select("doc", F.lit(None).cast(PAYLOAD).alias("r"), F.lit("repair disabled").alias("error"))
-        asked = kept(asked)
-    else:
-        asked = second
-    classified = kept(_resolutions(asked, targets, docs))
+def _repaired(docs, documents, items, first, named, targets, second, as_of) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The second response's classification of the targets, its candidates, and which of these answer what."""
+    classified = kept(_resolutions(second, targets, docs))
     last = first.groupBy("doc").agg((F.max("index") + 1).alias("n"))
-    more = asked.select("doc", F.posexplode_outer("r.rules").alias("place", "rule")).where("place IS NOT NULL").join(last, "doc", "left")
+    more = second.select("doc", F.posexplode_outer("r.rules").alias("place", "rule")).where("place IS NOT NULL").join(last, "doc", "left")
     nowhere = F.lit(None).cast("long")
     more = more.select("doc", (F.coalesce("n", F.lit(0)) + F.col("place")).cast("long").alias("index"), F.lit("repair").alias("origin"), "rule", nowhere.alias("raw_start"), nowhere.alias("raw_end"))
     again = kept(evaluate(more, docs, documents, items, as_of))
-    hits = answers(targets, again.select("doc", F.col("index").alias("candidate"), "citation", "provisions")).join(classified, ["doc", "target"], "left")
-    hits = hits.groupBy("doc", F.col("candidate").alias("index")).agg(F.bool_and(F.coalesce(F.col("scope").isin("out_of_scope", "uncertain"), F.lit(False))).alias("declined"))
+    links = kept(_covers(named, again))
+    hits = links.join(targets.select("doc", "target"), ["doc", "target"], "left_semi").join(classified, ["doc", "target"], "left")
+    hits = hits.groupBy("doc", "index").agg(F.bool_and(F.coalesce(F.col("scope").isin("out_of_scope", "uncertain"), F.lit(False))).alias("declined"))
     again = again.join(hits, ["doc", "index"], "left")
     again = _rejected(again.withColumn("__x", F.col("declined").isNull()), "__x", F.lit("repair: answers no target"))
-    again = _rejected(again.withColumn("__x", F.col("declined")), "__x", F.lit("repair: answers a declined target")).drop("__x", "declined")
-    candidates = kept(_held(same_source(_repeated(first.drop("held").unionByName(again)))))
-    final = kept(coverage(items, candidates))
+    return classified, _rejected(again.withColumn("__x", F.col("declined")), "__x", F.lit("repair: answers a declined target")).drop("__x", "declined"), links
+
+
+def _finish(docs, documents, items, conditions, first, named, links, targets, pairs, second, as_of) -> Run:
+    """links: which first candidates answer what; targets, which none of them answers, are closed by repaired ones only. Without a second request there is nothing to look up for one."""
+    candidates, nothing = first.drop("held"), links.where("false")
+    if second is None:
+        asked = targets.select("doc").unionByName(pairs.select("doc")).distinct().select("doc", F.lit(None).cast(PAYLOAD).alias("r"), F.lit("repair disabled").alias("error"))
+        asked, more = kept(asked), nothing
+        classified = targets.where("false").select("doc", "target", F.lit(None).cast("string").alias("scope"), F.lit(None).cast("boolean").alias("proven"))
+        decided = pairs.where("false")
+    else:
+        asked = second
+        classified, again, more = _repaired(docs, documents, items, first, named, targets, second, as_of)
+        candidates = _repeated(candidates.unionByName(again))
+        decisions = asked.select("doc", F.explode("r.scope_mappings").alias("x")).select("doc", "x.condition", "x.provision", "x.decision", "x.reason", "x.evidence")
+        decided = _within(decisions, docs, at="evidence").where((F.col("reason") != "") & ((F.col("decision") == "applies") & (F.col("evidence").isNull() | (F.col("at.status") != "failed")) | (F.col("decision") == "does_not_apply") & (F.col("at.status") != "failed")))
+    candidates = kept(_held(same_source(candidates)))
+    final = coverage(named, links.unionByName(more), candidates)
     ran = asked.select("doc", F.col("error").alias("problem"))
-    answered = answers(targets, candidates.where("accepted").select("doc", F.col("index").alias("candidate"), "citation", "provisions"))
+    answered = more.join(candidates.where("accepted").select("doc", "index"), ["doc", "index"], "left_semi")
     open_targets = unanswered(targets, answered)
     resolved = targets.join(open_targets.select("doc", "target").withColumn("open", F.lit(True)), ["doc", "target"], "left").join(classified, ["doc", "target"], "left").join(ran, "doc", "left")
     why = (
@@ -337,34 +364,24 @@ def _finish(docs, documents, items, conditions, first, targets, pairs, second, a
         .otherwise("in scope, without an accepted record")
     )
     resolved = kept(resolved.withColumn("why", why).select("doc", "target", "ref", F.when(F.col("why").startswith("resolved"), F.col("why")).otherwise("unresolved").alias("resolution"), "why"))
-    decisions = asked.select("doc", F.explode("r.scope_mappings").alias("x")).select("doc", "x.condition", "x.provision", "x.decision", "x.reason", "x.evidence")
-    decided = _within(decisions, docs, at="evidence").where((F.col("reason") != "") & ((F.col("decision") == "applies") & (F.col("evidence").isNull() | (F.col("at.status") != "failed")) | (F.col("decision") == "does_not_apply") & (F.col("at.status") != "failed")))
     unmapped = pairs.join(decided, ["doc", "condition", "provision"], "left_anti").select("doc").unionByName(pairs.join(ran.where("problem IS NOT NULL"), "doc", "left_semi").select("doc"))
     unverified = _mappings(conditions, candidates).join(pairs, ["doc", "condition", "provision"], "left_anti")
     gaps = final.join(resolved, ["doc", "target"], "left_anti")
     d, n_failed = documents, F.col("failed") == F.col("parts")
     none_found = candidates.select("doc").distinct()
-    found = {
-        "response_unprocessable": d.where(n_failed),
-        "inventory_invalid": d.where(~n_failed & (~F.col("listed") | (F.col("bad") > 0))),
-        "inventory_empty": d.where(~n_failed & F.col("listed") & (F.col("bad") == 0) & (F.col("n_items") == 0) & (F.col("n_rules") > 0)),
-        "unjustified_empty_result": d.where(~n_failed & (F.col("empty").isNull() | (F.col("empty_at.status") == "failed"))).join(none_found, "doc", "left_anti"),
-        "inventory_uncertain": d.where("uncertain > 0"),
-        "held": candidates.where("held"),
-        "status_posture_mismatch": candidates.where("mismatch"),
-        "scope_mapping_unresolved": unmapped,
-        "scope_mapping_unverified": unverified,
-        "scope_not_applied": conditions.where("NOT applied"),
-        "repair_target_unresolved": resolved.where("resolution = 'unresolved'"),
-        "provision_without_record": gaps.where("n_candidates = 0"),
-        "provision_all_rejected": gaps.where("n_candidates > 0 AND n_accepted = 0 AND n_held < n_candidates"),
-        "repair_failed": ran.where("problem IS NOT NULL"),
-        "chunk_not_extracted": d.where(~n_failed & (F.col("failed") > 0)),
-    }
-    rows = None
-    for code, df in found.items():
-        part = df.select("doc", F.lit(code).alias("code"))
-        rows = part if rows is None else rows.unionByName(part)
+    sound = ~n_failed & F.col("listed") & (F.col("bad") == 0)
+    found = [
+        _coded(d, response_unprocessable=n_failed, inventory_invalid=~n_failed & (~F.col("listed") | (F.col("bad") > 0)), inventory_empty=sound & (F.col("n_items") == 0) & (F.col("n_rules") > 0), inventory_uncertain=F.col("uncertain") > 0, chunk_not_extracted=~n_failed & (F.col("failed") > 0)),
+        _coded(d.where(~n_failed & (F.col("empty").isNull() | (F.col("empty_at.status") == "failed"))).join(none_found, "doc", "left_anti"), unjustified_empty_result=F.lit(True)),
+        _coded(candidates, held=F.col("held"), status_posture_mismatch=F.col("mismatch")),
+        _coded(unmapped, scope_mapping_unresolved=F.lit(True)),
+        _coded(unverified, scope_mapping_unverified=F.lit(True)),
+        _coded(conditions, scope_not_applied=~F.col("applied")),
+        _coded(resolved, repair_target_unresolved=F.col("resolution") == "unresolved"),
+        _coded(gaps, provision_without_record=F.col("n_candidates") == 0, provision_all_rejected=F.expr("n_candidates > 0 AND n_accepted = 0 AND n_held < n_candidates")),
+        _coded(ran, repair_failed=F.col("problem").isNotNull()),
+    ]
+    rows = reduce(DataFrame.unionByName, found)
     reasons = rows.groupBy("doc").agg(F.array_sort(F.collect_set("code")).alias("reasons"))
     state = F.when(F.col("accepted"), "accepted").when(F.col("held"), "held").when(F.exists("reasons", lambda x: F.startswith(x, F.lit("duplicate"))), "duplicate").otherwise("rejected")
     candidates = candidates.withColumn("state", state)

@@ -75,19 +75,23 @@ def answers(targets: DataFrame, candidates: DataFrame, key: str = "doc") -> Data
     """
     t, c = named_refs(targets, "ref"), named_refs(candidates, "citation")
     names = matching(t, c, key)
-    above = ancestors(t, c, key)
     of_t = t.select(key, "target", "source", "provision", F.col("tokens").alias("ref"))
     of_c = c.select(key, "candidate", "provisions", F.col("tokens").alias("citation"))
     linked = targets.where(F.col("provision").isNotNull()).join(candidates.where(F.col("citation").isNotNull()).withColumn("provision", F.explode(F.array_distinct("provisions"))), [key, "provision"])
     challenged = linked.where(F.col("source") == CHALLENGE).select(key, "target", "candidate")
     named = of_t.where(F.col("source") == SUBDIVISION).join(names, [key, "ref"]).join(of_c, [key, "citation"]).select(key, "target", "candidate")
-    pairs = linked.where(F.col("source") == UNCOVERED).select(key, "target", "candidate")
-    near = names.unionByName(above).distinct()
-    met = pairs.join(of_t.select(key, "target", "ref"), [key, "target"]).join(of_c.select(key, "candidate", "citation"), [key, "candidate"])
-    covered = met.join(near, [key, "ref", "citation"], "left_semi").select(key, "target", "candidate")
+    covered = covers(targets.where(F.col("source") == UNCOVERED), candidates, key)
     return challenged.unionByName(named).unionByName(covered).distinct()
 
 
+def covers(targets: DataFrame, candidates: DataFrame, key: str = "doc") -> DataFrame:
+    """key, target, candidate: the answers to uncovered provisions (of targets: key, target, ref, provision). Rows meet by the link alone, once; names are compared only of rows that are linked."""
+    t = named_refs(targets.where(F.col("provision").isNotNull()).select(key, "target", "provision", "ref"), "ref").select(key, "target", "provision", F.col("tokens").alias("__ref"))
+    c = named_refs(candidates.select(key, "candidate", "provisions", "citation"), "citation").select(key, "candidate", F.explode(F.array_distinct("provisions")).alias("provision"), F.col("tokens").alias("__citation"))
+    ref, citation = F.col("__ref"), F.col("__citation")
+    return t.join(c, [key, "provision"]).where(T.contains_run(citation, ref) | T.is_ancestor(citation, ref)).select(key, "target", "candidate").distinct()
+
+
 def unanswered(targets: DataFrame, answered: DataFrame, key: str = "doc") -> DataFrame:
     return targets.join(answered.select(key, "target").distinct(), [key, "target"], "left_anti")
 

@@ -37,7 +37,7 @@ def _struct(**parts) -> Column:
 
 
 def single(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs, requests, responses for one request a document and its repair."""
+    """docs, requests, responses for one request a document and its repair: identities and responses come from one pass over the texts, kept as a table."""
     docs = documents(spark, sf)
     m, section = F.pmod("doc", F.lit(KINDS)), F.concat(F.lit("§ "), (F.col("doc") % 90 + 1).cast("string"))
     q = [_quote(k) for k in range(4)]
@@ -63,10 +63,7 @@ def single(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     )
     empty = F.when(m == 13, _struct(reason="a notice only", evidence=q[0]))
     payload = F.when(m == 12, "{oops").otherwise(F.to_json(_struct(document=posture, provisions=provisions, global_scope=scope, rules=rules, no_rules=empty)))
-    primary = X.identity(docs, SETTINGS, "primary")
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", primary)
-    requests = keyed.select("doc", F.lit(1).alias("part"), F.lit(None).cast("string").alias("tag"), "key")
-    first = keyed.select("key", payload.alias("payload"))
+    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("key", X.identity(docs, SETTINGS, "primary"))
     fixed = F.when(m == 5, F.array(_rule("notices", q[1], cite[1], ["p2"]))).when(m == 21, F.array(_rule("notices", q[1], F.concat(section, F.lit("(e)")), ["p1"]))).when(
         m == 22, F.array(_rule("notices", q[1], cite[1], ["p2"]), _rule("fees", q[0], cite[1], ["p2"], "enacted", q[1]))
     ).otherwise(F.array().cast(f"array<{X.RULE}>"))
@@ -78,8 +75,10 @@ def single(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFram
     pairs = F.when(m == 23, F.filter(F.array(F.lit("c1 p1"), F.when(words, "c1 p2")), lambda x: x.isNotNull())).otherwise(F.array().cast("array<string>"))
     refs = F.when(m == 23, F.array().cast("array<string>")).otherwise(F.array(cite[1]))
     repair = X.repair_key(F.sha2(F.col("key"), 256), refs, pairs, SETTINGS)
-    asked = keyed.where(m.isin(5, 6, 16, 17, 20, 21, 22, 23)).select(repair.alias("key"), answer.alias("payload"))
-    return docs, requests, first.unionByName(asked)
+    made = kept(keyed.select("doc", "key", payload.alias("payload"), F.when(m.isin(5, 6, 16, 17, 20, 21, 22, 23), repair).alias("repair"), answer.alias("answer")))
+    requests = made.select("doc", F.lit(1).alias("part"), F.lit(None).cast("string").alias("tag"), "key")
+    asked = made.where("repair IS NOT NULL").select(F.col("repair").alias("key"), F.col("answer").alias("payload"))
+    return docs, requests, made.select("key", "payload").unionByName(asked)
 
 
 def _verdict(repair: bool) -> str:
