@@ -73,20 +73,21 @@ NOTE_REACH = 300
 
 
 def base_dates(text: Column) -> Column:
-    """array<struct<event, date, start, end, text>>: enactment records written in a text, without dates that aren't in the calendar."""
+    """array<struct<event, date, start, end, text>>: enactment records written in a text, without dates that aren't in the calendar. A text without one is read once."""
     from .text import spans
 
     def one(s: Column) -> Column:
         day = written_date(F.regexp_extract(s["text"], BASE_DATE, 2))
         return F.struct(F.lower(F.regexp_extract(s["text"], BASE_DATE, 1)).alias("event"), day.alias("date"), s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"))
 
-    return F.filter(F.transform(spans(text, BASE_DATE), one), lambda x: x["date"].isNotNull())
+    none = F.array().cast("array<struct<event:string,date:date,start:int,end:int,text:string>>")
+    return F.when(text.rlike(BASE_DATE), F.filter(F.transform(spans(text, BASE_DATE), one), lambda x: x["date"].isNotNull())).when(text.isNotNull(), none)
 
 
 def enclosing_note(text: Column, start: Column, end: Column) -> Column:
     """struct(start, end) of the bracketed note around a passage, else of the passage: from the nearest bracket before it that isn't closed again, to the first
     closing bracket after it, each within NOTE_REACH characters."""
-    from .text import spans
+    from .text import _let, spans
 
     low = F.greatest(start - NOTE_REACH, F.lit(0))
     marks = F.reverse(spans(F.substring(text, low + 1, start - low), r"[()\[\]]"))
@@ -100,8 +101,12 @@ def enclosing_note(text: Column, start: Column, end: Column) -> Column:
 
     opened = low + F.aggregate(marks, zero, back, lambda acc: acc["at"])
     close = F.regexp_instr(F.substring(text, end + 1, F.lit(NOTE_REACH + 1)), F.lit(r"[)\]]"))
-    noted = opened.isNotNull() & (close > 0)
-    return F.struct(F.when(noted, opened).otherwise(start).alias("start"), F.when(noted, end + close).otherwise(end).alias("end"))
+
+    def around(x: Column) -> Column:
+        noted = x["opened"].isNotNull() & (x["close"] > 0)
+        return F.struct(F.when(noted, x["opened"]).otherwise(start).alias("start"), F.when(noted, end + x["close"]).otherwise(end).alias("end"))
+
+    return _let(F.struct(opened.alias("opened"), close.alias("close")), around)
 
 
 SESSION = r"(?i)\b(\d{3})(?:st|nd|rd|th)\s*\(\s*(?:(\d{4})\s*[-–]\s*(\d{4})|Current)\s*\)"
